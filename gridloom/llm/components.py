@@ -15,14 +15,16 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     small-star), which at least halves the longest chains; the loop ends when a round
     changes nothing. Links are (a, b) longs; a node linked to itself alone is its own
     root. A round's links are written once to the shared folder, so nothing grows with
-    the number of rounds and no round is computed twice. Groups are only ever reduced to
+    the number of rounds and no round is computed twice. So are the minima, for
+    the join with them then has exchanges of its own, which Spark can split where a node
+    is hot. Groups are only ever reduced to
     their minimum, with map-side aggregation: a node with many links is no hot task.
     """
     links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     before = None
     for _ in range(max_rounds):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("x"), F.col("m").alias("y"))
         large = large.union(low.select(F.col("a").alias("x"), F.col("m").alias("y"))).distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))

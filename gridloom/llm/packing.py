@@ -82,7 +82,7 @@ def pack(lengths: Sequence[int], sizes: Sequence[int] = SIZES, cost=bin_cost) ->
     return where, at, [next(s for s in sizes if s >= u) for u in used]
 
 
-def best_fit(docs: DataFrame, sizes: Sequence[int] = SIZES, length: Column | None = None, group_pieces: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit(docs: DataFrame, sizes: Sequence[int] = SIZES, length: Column | None = None, group_pieces: int = 1_500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of a document: doc_id, piece, n_tokens, bin_id, bin_size, place.
 
     ``length`` is a document's number of tokens (its words by default). Pieces of
