@@ -1 +1,156 @@
-"""Queries."""
+"""Queries on catalogues, ids and ledgers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridloom.functions import scalar as S
+from gridloom.operators import catalogue as C
+from gridloom.registry import query
+
+
+@query("WITH l AS (SELECT o_orderkey AS n, 'VOL' || (o_orderkey % 7) AS volume, 'data/' || ctx_id || '.IMG' AS path, ctx_id AS product_id FROM {product_id}), d AS (SELECT *, n AS k FROM l UNION ALL SELECT n, volume || 'X', path, product_id, n + 100000000 FROM l WHERE n % 3 = 0) SELECT product_id, arg_max(volume, k) AS volume, arg_max(path, k) AS path FROM d GROUP BY product_id")
+def index_parse(v):
+    line = lambda mark: F.concat(F.lit('"VOL'), (F.col("o_orderkey") % 7).cast("string"), F.lit(mark), F.lit('", "data/'), "ctx_id", F.lit('.IMG"'))
+    first = v.product_id.select(line("").alias("line"), F.col("o_orderkey").alias("line_no"))
+    again = v.product_id.where("o_orderkey % 3 = 0").select(line("X").alias("line"), (F.col("o_orderkey") + 100000000).alias("line_no"))
+    return C.parse_index(first.union(again))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def catalog_flatten(v):
+    doc = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"files": ['), "props", F.lit("]}"))).otherwise(F.concat(F.lit('{"files": '), "props", F.lit("}")))
+    return C.flatten_catalogue(v.events.select("event_id", doc.alias("doc")), "doc", ["event_id"], "struct<k:bigint>", "$.files").where("k IS NOT NULL")
+
+
+_URL = "u AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, url FROM pages)"
+
+
+@query(f"WITH {_URL} SELECT host, url FROM (SELECT host, url, row_number() OVER (PARTITION BY host ORDER BY CASE WHEN length(url) % 3 = 0 THEN 0 WHEN length(url) % 3 = 1 THEN 1 ELSE 2 END, url, page_id) AS n FROM u WHERE url IS NOT NULL) q WHERE n = 1")
+def pick_priority(v):
+    u = v.pages.where("url IS NOT NULL").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), "url")
+    return C.pick_priority(u, ["host"], F.length("url") % 3, ["url", "page_id"]).select("host", "url")
+
+
+@query("SELECT doc_id, md5(text) AS md5, octet_length(encode(text)) / CAST(1048576 AS DOUBLE) AS mb FROM documents WHERE text IS NOT NULL")
+def content_md5(v):
+    return v.documents.where("text IS NOT NULL").select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), (F.octet_length("text") / F.lit(1048576.0)).alias("mb"))
+
+
+@query("SELECT o_orderkey, regexp_extract(ctx_id, '([0-9]+)([NS])([0-9]+)([EW])', 1)::DOUBLE * CASE WHEN regexp_extract(ctx_id, '([0-9]+)([NS])([0-9]+)([EW])', 2) = 'S' THEN -1 ELSE 1 END AS lat, 360 - regexp_extract(ctx_id, '([0-9]+)([NS])([0-9]+)([EW])', 3)::DOUBLE AS lon FROM {product_id}")
+def pid_latlon(v):
+    lat, lon = S.signed_position(F.col("ctx_id"))
+    return v.product_id.select("o_orderkey", lat.alias("lat"), lon.alias("lon"))
+
+
+@query("SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS sort_key FROM {product_id} WHERE o_orderkey % 3 <> 2 UNION ALL SELECT o_orderkey, '000001' FROM {product_id} WHERE o_orderkey % 3 = 2")
+def sort_key(v):
+    k = F.col("o_orderkey") % 3
+    path = F.when(k == 0, F.col("obs_id")).when(k == 1, F.concat(F.lit("x/"), "ctx_id")).otherwise(F.lit("composite_secondary"))
+    return v.product_id.select("o_orderkey", S.sort_key(path).alias("sort_key"))
+
+
+@query("SELECT o_orderkey, 2000 + o_orderkey % 30 AS year FROM orders")
+def parse_year(v):
+    return v.orders.select("o_orderkey", S.parse_year(F.concat(F.lit("scene_"), (F.col("o_orderkey") % 30 + 2000).cast("string"), F.lit("_x"))).alias("year"))
+
+
+@query("SELECT o_orderkey, make_date(2000 + o_orderkey % 30, 7, 1) AS mid FROM orders")
+def mid_year_ts(v):
+    return v.orders.select("o_orderkey", S.mid_year(F.concat(F.lit("scene_"), (F.col("o_orderkey") % 30 + 2000).cast("string"))).alias("mid"))
+
+
+@query("SELECT o_orderkey, 'ORB_' || lpad(CAST(o_orderkey // 100 * 100 AS VARCHAR), 6, '0') || '_' || lpad(CAST(o_orderkey // 100 * 100 + 99 AS VARCHAR), 6, '0') AS block FROM {product_id}")
+def orbit_block(v):
+    return v.product_id.select("o_orderkey", S.orbit_block(F.col("obs_id")).alias("block"))
+
+
+@query("WITH b AS (SELECT o_orderkey, obs_id, 'ORB_' || lpad(CAST(o_orderkey // 100 * 100 AS VARCHAR), 6, '0') || '_' || lpad(CAST(o_orderkey // 100 * 100 + 99 AS VARCHAR), 6, '0') AS block FROM {product_id}) SELECT o_orderkey, CAST(p AS BIGINT) AS priority, split_part(obs_id, '_', 1) || '/' || block || '/' || obs_id || '/' || obs_id || s AS url FROM b, (VALUES (0, '_RED.JP2'), (1, '_COLOR.JP2'), (2, '_RED.IMG')) t(p, s)")
+def product_urls(v):
+    obs = F.col("obs_id")
+    ends = F.array(*(F.lit(x) for x in ("_RED.JP2", "_COLOR.JP2", "_RED.IMG")))
+    return v.product_id.select("o_orderkey", obs, F.posexplode(ends).alias("p", "s")).select("o_orderkey", F.col("p").cast("long").alias("priority"), F.concat(F.split(obs, "_")[0], F.lit("/"), S.orbit_block(obs), F.lit("/"), obs, F.lit("/"), obs, "s").alias("url"))
+
+
+@query("SELECT site, lower(split_part(name, ' ', 1)) AS short FROM {sites}")
+def short_name(v):
+    return v.sites.select("site", S.short_name(F.col("name")).alias("short"))
+
+
+@query("SELECT p.o_orderkey, n.n_nationkey AS site FROM {product_id} p JOIN nation n ON contains(p.ctx_id, '_' || n.n_nationkey || 'S') OR contains(p.ctx_id, '_' || n.n_nationkey || 'N')")
+def site_codes(v):
+    codes = v.nation.select(F.col("n_nationkey").alias("site"), F.explode(F.array(*(F.concat(F.col("n_nationkey").cast("string"), F.lit(x)) for x in "SN"))).alias("code"))
+    have = v.product_id.select("o_orderkey", F.regexp_extract("ctx_id", "_([0-9]+[SN])", 1).alias("code"))
+    return have.join(codes, "code").select("o_orderkey", "site")
+
+
+@query("SELECT p.o_orderkey, s.name FROM {product_id} p JOIN {sites} s ON s.site = p.o_orderkey % 25")
+def site_lookup(v):
+    return v.product_id.select("o_orderkey", (F.col("o_orderkey") % 25).alias("site")).join(F.broadcast(v.sites.select(F.col("site").cast("long").alias("site"), "name")), "site").select("o_orderkey", "name")
+
+
+@query("SELECT s.obs_id AS stem, min(f.name) AS name FROM {product_id} s JOIN (SELECT obs_id || '_' || CAST(o_orderkey % 2 AS VARCHAR) || '_thr50.tif' AS name FROM {product_id}) f ON contains(f.name, s.obs_id) GROUP BY 1")
+def substring_match(v):
+    names = v.product_id.select(F.concat("obs_id", F.lit("_"), (F.col("o_orderkey") % 2).cast("string"), F.lit("_thr50.tif")).alias("name"))
+    stems = v.product_id.select(F.col("obs_id").alias("stem"))
+    return C.first_containing(names, stems, "name", "stem")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'index' WHEN o_orderkey % 3 = 0 THEN 'api' WHEN o_orderkey % 5 = 0 THEN 'atlas' END AS url, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 5 = 0 THEN 2 END AS BIGINT) AS source_no FROM orders")
+def resolve_fallback(v):
+    keys = v.orders.select("o_orderkey")
+    tables = [keys.where(F.col("o_orderkey") % n == 0).withColumn("url", F.lit(x)) for n, x in ((2, "index"), (3, "api"), (5, "atlas"))]
+    return C.resolve(keys, "o_orderkey", tables, "url")
+
+
+_HIT = "f.lon0 <= s.lon1 AND f.lon1 >= s.lon0 AND f.lat0 <= s.lat1 AND f.lat1 >= s.lat0"
+
+
+@query(f"SELECT s.site, f.id FROM {{footprint}} f JOIN {{sites}} s ON {_HIT}")
+def bbox_search(v):
+    return C.bbox_search(v.footprint, v.sites)
+
+
+@query(f"SELECT site, id FROM (SELECT s.site, f.id, row_number() OVER (PARTITION BY s.site ORDER BY f.id DESC) AS n FROM {{footprint}} f JOIN {{sites}} s ON {_HIT}) q WHERE n <= 6")
+def topk_per_site(v):
+    return C.top_k(C.bbox_search(v.footprint, v.sites), ["site"], [F.desc("id")], 6)
+
+
+_STATE = "st AS (SELECT step, key, arg_max(status, ts::VARCHAR || lpad(seq::VARCHAR, 12, '0')) AS status FROM {ledger} GROUP BY 1, 2)"
+
+
+@query(f"WITH {_STATE} SELECT * FROM st")
+def ledger_state(v):
+    return C.ledger_state(v.ledger)
+
+
+@query(f"WITH {_STATE} SELECT step, status, count(*) AS n FROM st GROUP BY 1, 2")
+def ledger_counts(v):
+    return C.ledger_state(v.ledger).groupBy("step", "status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_STATE} SELECT DISTINCT l.step, l.key FROM {{ledger}} l LEFT JOIN st ON st.step = l.step AND st.key = l.key AND st.status = 'done' WHERE st.step IS NULL")
+def pending_keys(v):
+    return C.pending(v.ledger.select("step", "key").distinct(), v.ledger)
+
+
+def _stems(v):
+    return v.product_id.where("o_orderkey % 2 = 0").select("obs_id"), v.product_id.where("o_orderkey % 3 = 0").select("obs_id")
+
+
+@query("SELECT obs_id FROM {product_id} WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 GROUP BY 1")
+def stems_union(v):
+    a, b = _stems(v)
+    return a.union(b).distinct()
+
+
+@query("SELECT obs_id FROM {product_id} WHERE o_orderkey % 2 = 0 INTERSECT SELECT obs_id FROM {product_id} WHERE o_orderkey % 3 = 0")
+def stems_intersect(v):
+    a, b = _stems(v)
+    return a.intersect(b)
+
+
+@query("SELECT obs_id FROM {product_id} WHERE o_orderkey % 2 = 0 EXCEPT SELECT obs_id FROM {product_id} WHERE o_orderkey % 3 = 0")
+def keys_except(v):
+    a, b = _stems(v)
+    return a.exceptAll(b)

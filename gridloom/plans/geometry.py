@@ -1 +1,241 @@
-"""Queries."""
+"""Queries on grids in space."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from gridloom.functions import scalar as S
+from gridloom.operators import geometry as G
+from gridloom.registry import query
+
+PI = math.pi
+
+
+@query("SELECT id, round(radians(lon0) * 3396190, 3) AS x, round(radians(lat0) * 3396190, 3) AS y FROM {footprint}")
+def lonlat_m(v):
+    return v.footprint.select("id", F.round(S.to_metres(F.col("lon0")), 3).alias("x"), F.round(S.to_metres(F.col("lat0")), 3).alias("y"))
+
+
+@query("SELECT id, round(degrees(id * 1000.0 / 3396190), 9) AS lon FROM {footprint}")
+def m_lonlat(v):
+    return v.footprint.select("id", F.round(S.to_degrees(F.col("id") * 1000.0), 9).alias("lon"))
+
+
+@query("SELECT id, round(CASE WHEN lon0 > 180 THEN lon0 - 360 ELSE lon0 END, 6) AS signed, round(lon1 - 360 * floor(lon1 / 360), 6) AS positive, round(360 - lon0, 6) AS east FROM {footprint}")
+def lon_wrap(v):
+    r = lambda c, n: F.round(c, 6).alias(n)
+    return v.footprint.select("id", r(S.wrap_180(F.col("lon0")), "signed"), r(S.wrap_360(F.col("lon1")), "positive"), r(S.west_to_east(F.col("lon0")), "east"))
+
+
+@query("SELECT site, scene, r, c, round(1000 + (c + 0.5) * 6, 3) AS x, round(5000 - (r + 0.5) * 6, 3) AS y FROM {px}")
+def pixel_to_map(v):
+    return v.px.select("site", "scene", "r", "c", F.round(S.pixel_to_map(F.lit(6.0), F.lit(1000.0), F.col("c")), 3).alias("x"), F.round(S.pixel_to_map(F.lit(-6.0), F.lit(5000.0), F.col("r")), 3).alias("y"))
+
+
+@query("SELECT id, CAST(floor((lon0 - 0) / 0.5) AS BIGINT) AS col, CAST(floor((lat0 - 90) / -0.5) AS BIGINT) AS row FROM {footprint}")
+def map_to_pixel(v):
+    return v.footprint.select("id", S.map_to_pixel(F.lit(0.5), F.lit(0.0), F.col("lon0")).alias("col"), S.map_to_pixel(F.lit(-0.5), F.lit(90.0), F.col("lat0")).alias("row"))
+
+
+@query("SELECT id, [[lon0, lat0], [lon1, lat0], [lon1, lat1], [lon0, lat1], [lon0, lat0]] AS ring FROM {footprint}")
+def footprint(v):
+    return v.footprint.select("id", S.ring(*map(F.col, ("lon0", "lat0", "lon1", "lat1"))).alias("ring"))
+
+
+@query("SELECT avg((lon0 + lon1) / 2) AS lon, avg((lat0 + lat1) / 2) AS lat, min(lon0) AS west, min(lat0) AS south, max(lon1) AS east, max(lat1) AS north FROM {sites}")
+def extent_union(v):
+    return v.sites.agg(F.avg((F.col("lon0") + F.col("lon1")) / 2).alias("lon"), F.avg((F.col("lat0") + F.col("lat1")) / 2).alias("lat"), F.min("lon0").alias("west"), F.min("lat0").alias("south"), F.max("lon1").alias("east"), F.max("lat1").alias("north"))
+
+
+_W = {
+    "hanning": "greatest((0.5 - 0.5 * cos(2 * pi() * i / 7)) * (0.5 - 0.5 * cos(2 * pi() * j / 7)), 1e-6)",
+    "linear": "greatest(1 - abs(i - 3.5) / 4, 1e-6) * greatest(1 - abs(j - 3.5) / 4, 1e-6)",
+    "gaussian": "greatest(exp(-0.5 * (power((i - 3.5) / (0.35 * 8), 2) + power((j - 3.5) / (0.35 * 8), 2))), 1e-6)",
+}
+for _m, _sql in _W.items():
+
+    @query(f"SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round({_sql} * n, 6) AS w FROM range(0, 8) a(i), range(0, 8) b(j), (SELECT least(count(*), 1) AS n FROM embeddings) s", name=f"weights_{_m}")
+    def _weights(v, m=_m):
+        one = v.embeddings.agg(F.least(F.count("*"), F.lit(1)).alias("n"))
+        return G.weights(v.spark, m, 8).crossJoin(one).select("i", "j", F.round(F.col("w") * F.col("n"), 6).alias("w"))
+
+
+_TILES = "t AS (SELECT r0, c0 FROM (SELECT DISTINCT least(i * 8, side - 16) AS r0 FROM {grid_side}, range(0, 1000) a(i) WHERE i * 8 <= side) x, (SELECT DISTINCT least(i * 8, side - 16) AS c0 FROM {grid_side}, range(0, 1000) a(i) WHERE i * 8 <= side) y)"
+
+
+@query(f"WITH {_TILES} SELECT CAST(r0 AS BIGINT) AS r0, CAST(c0 AS BIGINT) AS c0 FROM t")
+def tile_coords(v):
+    return G.tile_coords(v.spark, v.side, v.side, 16, 8)
+
+
+_EMB = "e AS (SELECT (vec_id // 25) * 4 AS r0, (vec_id % 25) * 4 AS c0, list_transform(embedding, lambda x: 1 / (1 + exp(-10 * CAST(x AS DOUBLE)))) AS d FROM embeddings), f AS (SELECT r0, c0, unnest(d) AS p, unnest(range(0, 64)) AS k FROM e), g AS (SELECT r0 + k // 8 AS r, c0 + k % 8 AS c, p, k // 8 AS i, k % 8 AS j FROM f)"
+
+
+@query(f"WITH {_EMB} SELECT r, c, round(least(greatest(sum(p * {_W['hanning']}) / sum({_W['hanning']}), 0), 1), 6) AS prob FROM g GROUP BY r, c")
+def blend_hanning(v):
+    e = v.embeddings.select((F.floor(F.col("vec_id") / 25) * 4).alias("r0"), (F.col("vec_id") % 25 * 4).alias("c0"), F.transform("embedding", lambda x: S.sigmoid(x.cast("double") * 10)).alias("data"))
+    return G.blend(e, [], 8).withColumn("prob", F.round("prob", 6))
+
+
+_BIL = """a AS (SELECT tr, tc, y, x, CAST(floor(y) AS BIGINT) AS y0, CAST(floor(x) AS BIGINT) AS x0 FROM t), b AS (SELECT tr, tc, y0 + i AS r, x0 + j AS c, (CASE WHEN i = 1 THEN y - y0 ELSE 1 - y + y0 END) * (CASE WHEN j = 1 THEN x - x0 ELSE 1 - x + x0 END) AS w FROM a, (VALUES (0), (1)) p(i), (VALUES (0), (1)) q(j)),
+  o AS (SELECT tr, tc, round(CASE WHEN count(*) = count(elev) THEN sum(w * elev) END, 4) AS elev FROM b LEFT JOIN {dem} d USING (r, c) WHERE w > 0 GROUP BY tr, tc)"""
+_DIM = "n AS (SELECT max(r) + 1 AS h, max(c) + 1 AS wd FROM {dem}), g0 AS (SELECT i AS tr, j AS tc FROM range(0, 20) a(i), range(0, 20) b(j))"
+
+
+def extent(v):
+    x = v.dem.agg(F.max("r"), F.max("c")).first()
+    return x[0] + 1, x[1] + 1
+
+
+@query(f"WITH {_DIM}, t AS (SELECT tr, tc, tr * (CAST(h - 1 AS DOUBLE) / 19) AS y, tc * (CAST(wd - 1 AS DOUBLE) / 19) AS x FROM g0, n), {_BIL} SELECT * FROM o")
+def resize_bilinear(v):
+    return G.bilinear(v.dem, [], "elev", G.zoom_targets(v.spark, extent(v), (20, 20))).withColumn("elev", F.round("elev", 4))
+
+
+@query(f"WITH {_DIM}, t AS (SELECT tr, tc, tr * (CAST(h - 1 AS DOUBLE) / 19) AS y, tc * (CAST(wd - 1 AS DOUBLE) / 19) AS x FROM g0, n) SELECT tr, tc, elev FROM t LEFT JOIN {{dem}} d ON d.r = floor(y + 0.5) AND d.c = floor(x + 0.5)")
+def resize_nearest(v):
+    return G.nearest(v.dem, [], "elev", G.zoom_targets(v.spark, extent(v), (20, 20)))
+
+
+@query(f"WITH {_DIM}, t AS (SELECT tr, tc, 0.5 * tr + 0.25 AS y, 0.5 * tc - 0.25 AS x FROM g0), {_BIL} SELECT * FROM o")
+def reproject_bilinear(v):
+    at = G.affine_targets(G.grid(v.spark, 20, 20), 0.5, 0.0, -0.25, 0.0, 0.5, 0.25)
+    return G.bilinear(v.dem, [], "elev", at).withColumn("elev", F.round("elev", 4))
+
+
+@query("SELECT p.site, p.scene, q.r, q.c, p.red FROM {px} p JOIN (SELECT site, scene, r, c FROM {px} WHERE scene = 1995) q ON p.site = q.site AND p.r = q.r AND p.c = q.c WHERE p.scene = 1996")
+def align_nearest(v):
+    at = v.px.where("scene = 1995").select("site", F.col("r").alias("tr"), F.col("c").alias("tc"), F.col("r").cast("double").alias("y"), F.col("c").cast("double").alias("x"))
+    out = G.nearest(v.px.where("scene = 1996"), ["site"], "red", at).where("red IS NOT NULL")
+    return out.select("site", F.lit(1996).cast("long").alias("scene"), F.col("tr").alias("r"), F.col("tc").alias("c"), "red")
+
+
+@query(f"WITH {_DIM} SELECT tr, tc, elev FROM g0 LEFT JOIN {{dem}} d ON d.r = tr + 2 AND d.c = tc + 3")
+def warp_affine(v):
+    return G.bilinear(v.dem, [], "elev", G.affine_targets(G.grid(v.spark, 20, 20), 1.0, 0.0, 3.0, 0.0, 1.0, 2.0))
+
+
+@query()
+def augment_affine(v):
+    t = math.radians(15)
+    return G.bilinear(v.dem, [], "elev", G.affine_targets(G.grid(v.spark, 12, 12), math.cos(t), math.sin(t), 1.0, -math.sin(t), math.cos(t), 4.0))
+
+
+@query("WITH n AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM {dem}), x AS (SELECT CAST(ceil(h / 16.0) * 16 AS BIGINT) AS ph, CAST(ceil(w / 16.0) * 16 AS BIGINT) AS pw, h, w FROM n) SELECT CAST(i AS BIGINT) AS r, CAST(j AS BIGINT) AS c, elev FROM x, range(0, 400) a(i), range(0, 400) b(j), {dem} d WHERE i < ph AND j < pw AND d.r = CASE WHEN i < h THEN i ELSE 2 * h - 2 - i END AND d.c = CASE WHEN j < w THEN j ELSE 2 * w - 2 - j END")
+def pad_multiple(v):
+    return G.pad(v.dem, [], extent(v), 16).select("r", "c", "elev")
+
+
+_PATCH = "m AS (SELECT site, scene, r, c FROM {px} WHERE prob >= 0.7), t2 AS (SELECT r0, c0 FROM t WHERE r0 % 16 = 0 AND c0 % 16 = 0), fg AS (SELECT site, scene, r0, c0, count(*) AS n FROM m JOIN t ON r >= r0 AND r < r0 + 16 AND c >= c0 AND c < c0 + 16 GROUP BY 1, 2, 3, 4)"
+
+
+def fg_patches(v):
+    m = v.px.where("prob >= 0.7").select("site", "scene", "r", "c")
+    return G.patches(m, ["site", "scene"], G.tile_coords(v.spark, v.side, v.side, 16, 8), 16)
+
+
+@query(f"WITH {_TILES}, {_PATCH} SELECT site, scene, CAST(r0 AS BIGINT) AS r0, CAST(c0 AS BIGINT) AS c0, n, n / CAST(256 AS DOUBLE) AS fraction FROM fg WHERE n / 256.0 >= 0.1")
+def patch_fg(v):
+    return fg_patches(v).where("fraction >= 0.1")
+
+
+@query(f"WITH {_TILES}, {_PATCH}, f AS (SELECT * FROM fg WHERE n / 256.0 >= 0.25), w AS (SELECT site, scene, greatest(count(*) // 3, 1) AS k FROM f GROUP BY 1, 2), e AS (SELECT s.site, s.scene, t2.r0, t2.c0, row_number() OVER (PARTITION BY s.site, s.scene ORDER BY t2.r0, t2.c0) AS n FROM (SELECT DISTINCT site, scene FROM {{px}}) s CROSS JOIN t2 LEFT JOIN f ON f.site = s.site AND f.scene = s.scene AND f.r0 = t2.r0 AND f.c0 = t2.c0 WHERE f.site IS NULL) SELECT site, scene, CAST(r0 AS BIGINT) AS r0, CAST(c0 AS BIGINT) AS c0 FROM e JOIN w USING (site, scene) WHERE n <= k")
+def patch_bg(v):
+    fg = fg_patches(v).where("fraction >= 0.25")
+    tiles = G.tile_coords(v.spark, v.side, v.side, 16, 8).where("r0 % 16 = 0 AND c0 % 16 = 0")
+    return G.background(tiles, fg, ["site", "scene"], v.px.select("site", "scene").distinct())
+
+
+@query()
+def patch_random(v):
+    at = v.px.select("site", "scene").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    at = at.select("site", "scene", *(F.floor(G.unit_hash(s, "site", "scene", "k") * (v.side - 7)).cast("long").alias(n) for s, n in ((1, "r0"), (2, "c0"))))
+    m = v.px.where("prob >= 0.5").select("site", "scene", "r", "c")
+    hit = m.join(at, ["site", "scene"]).where("r >= r0 AND r < r0 + 8 AND c >= c0 AND c < c0 + 8")
+    return hit.groupBy("site", "scene", "r0", "c0").count().where(F.col("count").between(8, 56))
+
+
+_DIH = " UNION ALL ".join(f"SELECT vec_id, CAST({k + 4 * f} AS BIGINT) AS variant, {a} AS r, {('7 - (' + b + ')') if f else b} AS c, p FROM g" for f in (0, 1) for k, (a, b) in enumerate([("i", "j"), ("7 - j", "i"), ("7 - i", "7 - j"), ("j", "7 - i")]))
+
+
+@query(f"WITH f AS (SELECT vec_id, unnest(embedding) AS p, unnest(range(0, 64)) AS k FROM embeddings), g AS (SELECT vec_id, p, k // 8 AS i, k % 8 AS j FROM f), u AS ({_DIH}) SELECT vec_id, variant, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, p FROM u")
+def augment_dihedral(v):
+    x = v.embeddings.select("vec_id", F.posexplode("embedding").alias("k", "p")).select("vec_id", "p", F.floor(F.col("k") / 8).alias("r"), (F.col("k") % 8).alias("c"))
+    return G.dihedral(x, 8)
+
+
+@query()
+def augment_bc(v):
+    return G.jitter(v.px.withColumn("patch", F.concat_ws("-", "site", "scene")), "patch", "prob", 0.2, 7).select("site", "scene", "r", "c", "prob")
+
+
+_NB = "greatest(side // 10, 1)"
+
+
+@query(f"SELECT site, scene, r, c, least(r // 10, {_NB} - 1) * {_NB} + least(c // 10, {_NB} - 1) AS block_id, (least(r // 10, {_NB} - 1) * {_NB} + least(c // 10, {_NB} - 1)) % 5 AS fold FROM {{px}}, {{grid_side}}")
+def fold_pixels(v):
+    return v.px.select("site", "scene", "r", "c").withColumns(G.block_fold(F.col("r"), F.col("c"), (v.side, v.side), 10, 5))
+
+
+@query(f"WITH {_TILES} SELECT CAST(r0 AS BIGINT) AS r0, CAST(c0 AS BIGINT) AS c0, CAST((least((r0 + 8) // 10, {_NB} - 1) * {_NB} + least((c0 + 8) // 10, {_NB} - 1)) % 5 AS BIGINT) AS fold FROM t, {{grid_side}}")
+def fold_patches(v):
+    t = G.tile_coords(v.spark, v.side, v.side, 16, 8)
+    return t.withColumn("fold", G.block_fold(F.col("r0") + 8, F.col("c0") + 8, (v.side, v.side), 10, 5)["fold"])
+
+
+@query("WITH p AS (SELECT site, scene, avg(CASE WHEN prob >= 0.7 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS f FROM {px} GROUP BY 1, 2), w AS (SELECT *, CASE WHEN f > 0.14 THEN CAST(1 AS DOUBLE) ELSE 0.3 END AS w FROM p) SELECT site, scene, round(w / sum(w) OVER (), 6) AS weight FROM w")
+def weights_fg(v):
+    p = v.px.groupBy("site", "scene").agg(F.avg(F.when(F.col("prob") >= 0.7, 1.0).otherwise(0.0)).alias("f")).withColumn("w", F.when(F.col("f") > 0.14, 1.0).otherwise(0.3))
+    return p.crossJoin(p.agg(F.sum("w").alias("s"))).select("site", "scene", F.round(F.col("w") / F.col("s"), 6).alias("weight"))  # the sum is one row
+
+
+@query()
+def weighted_sample(v):
+    w = v.scored.select("doc_id", F.when(F.col("target") > 0, 1.0).otherwise(0.3).alias("w"))
+    return G.weighted_draw(w, "doc_id", "w", 500, 11)
+
+
+@query()
+def split_random(v):
+    return G.random_split(v.scored.select("doc_id"), "doc_id", 0.2, 3)
+
+
+@query("SELECT site, scene, CASE WHEN scene BETWEEN 1992 AND 1995 THEN 'train' ELSE 'test' END AS split FROM (SELECT DISTINCT site, scene FROM {px}) s WHERE scene BETWEEN 1992 AND 1995 OR scene BETWEEN 1997 AND 1998")
+def split_temporal(v):
+    return G.temporal_split(v.px.select("site", "scene").distinct(), "scene", (1992, 1995), (1997, 1998))
+
+
+@query("WITH f AS (SELECT r, c, red AS f FROM {px} WHERE site = 'F' AND scene = 1993), m AS (SELECT r, c, red AS m FROM {px} WHERE site = 'F' AND scene = 1994), s AS (SELECT i AS d FROM range(-2, 3) a(i)) SELECT a.d AS dr, b.d AS dc, round(corr(f, m), 5) AS score FROM m, s a, s b, f WHERE f.r = m.r + a.d AND f.c = m.c + b.d GROUP BY 1, 2")
+def register_shift(v):
+    x = v.px.where("site = 'F'")
+    return G.register_shift(x.where("scene = 1993"), x.where("scene = 1994"), "red", 2).withColumn("score", F.round("score", 5))
+
+
+_SEED = "sd AS (SELECT p_partkey AS id, p_partkey % 30 AS r, p_partkey * 7 % 30 AS c, ((p_partkey % 3) - 1) * CAST(0.5 AS DOUBLE) + 0.25 AS dr, CAST(0.75 AS DOUBLE) AS dc, p_size % 8 AS length FROM part WHERE p_size <= 10)"
+
+
+def seeds(v):
+    return v.part.where("p_size <= 10").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 30).alias("r"), (F.col("p_partkey") * 7 % 30).alias("c"), ((F.col("p_partkey") % 3 - 1) * 0.5 + 0.25).alias("dr"), F.lit(0.75).alias("dc"), (F.col("p_size") % 8).alias("length"))
+
+
+@query(f"WITH {_SEED}, l AS (SELECT id, CAST(trunc(r + k * dr) AS BIGINT) AS r, CAST(trunc(c + k * dc) AS BIGINT) AS c FROM sd, range(0, 8) a(k) WHERE k < length), o(d) AS (VALUES (-2), (-1), (0), (1)) SELECT DISTINCT id, r + a.d AS r, c + b.d AS c FROM l, o a, o b WHERE r + a.d BETWEEN 0 AND 31 AND c + b.d BETWEEN 0 AND 31")
+def draw_channels(v):
+    return G.draw_channels(seeds(v), (32, 32), 3)
+
+
+@query(f"WITH {_SEED}, o(d) AS (VALUES (-2), (-1), (0), (1), (2)) SELECT DISTINCT id, r + a.d AS r, c + b.d AS c FROM sd, o a, o b WHERE a.d * a.d + b.d * b.d <= 4 AND r + a.d BETWEEN 0 AND 31 AND c + b.d BETWEEN 0 AND 31")
+def draw_discs(v):
+    return G.draw_discs(seeds(v), (32, 32), 2)
+
+
+@query("SELECT p.site, p.scene, p.r, p.c, p.red, p.prob, q.red AS red_before, d.elev FROM {px} p LEFT JOIN {px} q ON q.site = p.site AND q.scene = p.scene - 1 AND q.r = p.r AND q.c = p.c LEFT JOIN {dem} d ON d.r = p.r AND d.c = p.c WHERE p.scene >= 1994")
+def feature_stack(v):
+    before = v.px.select("site", (F.col("scene") + 1).alias("scene"), "r", "c", F.col("red").alias("red_before"))
+    return v.px.where("scene >= 1994").select("site", "scene", "r", "c", "red", "prob").join(before, ["site", "scene", "r", "c"], "left").join(v.dem, ["r", "c"], "left")
+
+
+@query("SELECT a.vec_id FROM embeddings a JOIN (SELECT vec_id FROM embeddings WHERE label % 2 = 0) b USING (vec_id)")
+def patch_match(v):
+    return v.embeddings.select("vec_id").join(v.embeddings.where("label % 2 = 0").select("vec_id"), "vec_id")
