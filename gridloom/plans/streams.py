@@ -1 +1,45 @@
-"""Queries."""
+"""Queries that run as streams over the tables until all rows are read, and return what was written."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from gridloom.plans.series import TRACKER
+from gridloom.registry import query
+from gridloom.sources.scratch import shared_dir
+from gridloom.streaming import series as S
+
+
+def _written(stream, v, label: str):
+    path = f"{shared_dir(v.spark)}/{label}-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).outputMode("append").start()
+    q.awaitTermination()
+    return v.spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def _stored(df, v, label: str) -> str:
+    path = f"{shared_dir(v.spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+@query(f"WITH {TRACKER} SELECT k, t, a, smoothed, velocity FROM sm", recursive=True)
+def stream_kalman(v):
+    source = v.spark.readStream.schema(v.series.schema).parquet(_stored(v.series, v, "series"))
+    return _written(S.stream_kalman(source), v, "kalman")
+
+
+@query("SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS start, round(sum(value), 4) AS area FROM events GROUP BY 1, 2")
+def window_area(v):
+    return S.window_area(v.events)
+
+
+@query()
+def stream_tracks(v):
+    m = v.px.where("prob >= 0.7").select("site", "scene", "r", "c")
+    source = v.spark.readStream.schema(m.schema).parquet(_stored(m.coalesce(1), v, "masks"))
+    path = f"{shared_dir(v.spark)}/tracks-{uuid.uuid4().hex}"
+    S.ingest_masks(source, path, ["site"], "scene", v.side, 0.3, f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.parquet(f"{path}/matches").drop("batch").select("site", "t0", "t1", "comp", "prev", F.round("iou", 6).alias("iou"))
