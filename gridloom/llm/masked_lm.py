@@ -251,7 +251,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             tokens = vocabulary(hashes)
             each = log_probabilities(weights, contexts(tokens, first, shape.size), tokens, shape.branch)
             n = np.diff(first)
-            total = np.bincount(owners(first), each, minlength=len(t))
+            total = np.bincount(owners(first), each, minlength=len(t)).astype(np.float64)
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
             yield pa.RecordBatch.from_arrays([t.batch.column("doc_id"), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_prob"])
 

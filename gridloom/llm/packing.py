@@ -99,7 +99,7 @@ def best_fit(docs: DataFrame, sizes: Sequence[int] = SIZES, length: Column | Non
     top = sizes[-1]
     length = word_count(F.col(text_col)) if length is None else F.coalesce(length.cast("long"), F.lit(0))
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(length, F.lit(0)).alias("__n"))
-    pieces = sized.select("doc_id", "__n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("__n") / top) - 1, F.lit(0)))).cast("int").alias("piece"))
+    pieces = sized.select("doc_id", "__n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("__n") / top) - 1, F.lit(0)).cast("int"))).alias("piece"))
     pieces = pieces.select("doc_id", "piece", F.least(F.lit(top), F.col("__n") - F.col("piece") * top).cast("int").alias("n_tokens"))
     groups = max(1, -(-docs.count() // group_pieces))
     pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
