@@ -136,15 +136,20 @@ def block_fold(r: Column, c: Column, shape: tuple[int, int], block: int, folds:
     return {"block_id": block_id, "fold": block_id % folds}
 
 
-def random_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
-    """``df`` with split: the rows with the smallest hashes are for validation, at least one.
+def random_split(df: DataFrame, key: str, share: float, seed: int, bins: int = 1024) -> DataFrame:
+    """``df`` with split: the rows with the smallest hashes are for validation, at least one, ties to the smaller key.
 
-    The cut is a rank in one small column; ranks are taken within hash ranges, so no task sorts all rows.
+    Counts of equal steps of the hash tell in which step the cut lies; only rows of that step are ranked.
     """
-    n_val = max(1, int(share * df.count()))
-    h = df.select(key).withColumn("h", F.xxhash64(F.lit(seed), key))
-    val = h.orderBy("h", key).limit(n_val).select(key, F.lit("val").alias("split"))
-    return df.join(val, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    h = df.withColumn("__u", unit_hash(seed, key)).withColumn("__b", F.floor(F.col("__u") * bins).cast("int"))
+    counts = dict(h.groupBy("__b").count().collect())
+    n_val, cut = max(1, int(share * sum(counts.values()))), 0
+    while cut < bins - 1 and counts.get(cut, 0) < n_val:
+        n_val -= counts.get(cut, 0)
+        cut += 1
+    edge = h.where(F.col("__b") == cut).select(key, "__u").withColumn("__n", F.row_number().over(Window.orderBy("__u", key))).where(F.col("__n") <= n_val).select(key, F.lit(True).alias("__in"))
+    out = h.join(edge, key, "left").withColumn("split", F.when((F.col("__b") < cut) | F.coalesce("__in", F.lit(False)), "val").otherwise("train"))
+    return out.drop("__u", "__b", "__in")
 
 
 def temporal_split(df: DataFrame, year: str, train: tuple[int, int], test: tuple[int, int]) -> DataFrame:

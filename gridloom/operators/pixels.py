@@ -38,10 +38,16 @@ def rescale(df: DataFrame, by: Sequence[str], col: str, low: float = 0.02, high:
 
 
 def minmax(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
-    """``col`` less the group's minimum, over its range; a range under 1e-9 gives zeros."""
-    w = Window.partitionBy(*by)
-    lo, hi = F.min(col).over(w), F.max(col).over(w)
-    return df.withColumn(col, F.when(hi - lo < 1e-9, 0.0).otherwise((F.col(col) - lo) / (hi - lo)))
+    """``col`` less the group's minimum, over its range; a range under 1e-9 gives zeros. No group meets in one task."""
+    edges = df.groupBy(*by).agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
+    lo, hi = F.col("__lo"), F.col("__hi")
+    return df.join(edges, list(by)).withColumn(col, F.when(hi - lo < 1e-9, 0.0).otherwise((F.col(col) - lo) / (hi - lo))).drop("__lo", "__hi")
+
+
+def max_normalise(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
+    """``col`` over the group's maximum, between 0 and 1."""
+    top = df.groupBy(*by).agg(F.max(col).alias("__hi"))
+    return df.join(top, list(by)).withColumn(col, clip(F.col(col) / F.col("__hi"))).drop("__hi")
 
 
 def median_composite(df: DataFrame, by: Sequence[str], bands: Sequence[str]) -> DataFrame:

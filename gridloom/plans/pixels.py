@@ -188,9 +188,7 @@ def distinct_ids(v):
 
 @query("SELECT site, scene, r, c, round(least(greatest(red / max(red) OVER (PARTITION BY site, scene), 0), 1), 6) AS red FROM {px}")
 def max_normalise(v):
-    from pyspark.sql import Window
-
-    return v.px.select("site", "scene", "r", "c", F.round(S.clip(F.col("red") / F.max("red").over(Window.partitionBy("site", "scene"))), 6).alias("red"))
+    return P.max_normalise(v.px, ["site", "scene"], "red").select("site", "scene", "r", "c", r6("red"))
 
 
 @query("SELECT site, scene, f AS factor, CAST(r // f AS BIGINT) AS r, CAST(c // f AS BIGINT) AS c, round(avg(red), 6) AS red FROM {px}, (VALUES (CAST(2 AS BIGINT)), (4), (8), (16)) t(f) GROUP BY 1, 2, 3, 4, 5")
