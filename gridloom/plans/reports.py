@@ -94,7 +94,7 @@ def read_tracks_json(v):
     doc = s.groupBy(F.col("k").alias("track_id")).agg(F.array_sort(F.collect_list(F.struct("t", "a", "smoothed"))).alias("p"))
     doc = doc.select("track_id", F.col("p.t").alias("dates"), F.col("p.a").alias("areas_ha"), F.col("p.smoothed").alias("smoothed_ha"))
     doc.write.json(path)
-    return read_tracks(v.spark, path)
+    return read_tracks(v.spark, path, whole_files=False)
 
 
 @query("SELECT site, scene, r, c, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS hit FROM (SELECT site, scene, r, c, 1 / (1 + exp(-(0.5 * (red - blue) / (red + blue + 1e-8) + prob - 0.5))) AS p FROM {px}) q")

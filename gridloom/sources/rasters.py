@@ -47,6 +47,6 @@ def discover(spark: SparkSession, path: str, priorities: Sequence[str], least_by
 TRACK_SCHEMA = "track_id long, dates array<double>, areas_ha array<double>, smoothed_ha array<double>"
 
 
-def read_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """Track documents with a fixed schema: fields that a file lacks are null."""
-    return spark.read.schema(TRACK_SCHEMA).option("multiLine", True).json(path)
+def read_tracks(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Track documents with a fixed schema, one array a file or one document a line: fields that a document lacks are null."""
+    return spark.read.schema(TRACK_SCHEMA).option("multiLine", whole_files).json(path)
