@@ -34,8 +34,9 @@ from gridloom.llm.text import mix, prefix_hash, slices, span_hash
 
 LENGTH = 400
 ANCHOR = 128
-#: Contexts of one anchor that one task takes together; anchors with more are counted window by window.
-CROWD = 4_000
+#: Contexts of one anchor, whole copies of documents aside, that one task takes together (about 120 MB with all arrays);
+#: anchors with more are counted window by window.
+CROWD = 8_000
 #: Bytes of contexts that are sorted together.
 BATCH = 1 << 20
 _KEY = ("k1 long", "k2 long")
@@ -231,10 +232,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> tuple[
 
     # Copies beyond the first take no part; a document is equal to its first copy in every window.
     found = stored(contexts(long, length), "contexts")
-    often = stored(found.groupBy("ahash").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    often = stored(found.groupBy("ahash").agg(F.count("*").alias("n")).where("n > 1").select("ahash"), "often")
     spare = copies.where("NOT rep").select("k1", "k2")
-    mine = found.join(often, "ahash").select("k1", "k2", F.struct("ahash", "pos", "first", "wins", (F.col("n") > crowd).alias("hot")).alias("c"))
-    per_doc = mine.groupBy("k1", "k2").agg(F.collect_list("c").alias("cs")).join(spare, ["k1", "k2"], "left_anti")
+    mine = stored(found.join(often, "ahash").join(spare, ["k1", "k2"], "left_anti"), "mine")
+    groups = stored(mine.groupBy("ahash").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    each = mine.join(groups, "ahash").select("k1", "k2", F.struct("ahash", "pos", "first", "wins", (F.col("n") > crowd).alias("hot")).alias("c"))
+    per_doc = each.groupBy("k1", "k2").agg(F.collect_list("c").alias("cs"))
     work = stored(long.select("k1", "k2", "text").join(stored(per_doc, "perdoc"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]), "work")
 
     def cut(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[pa.RecordBatch]:
