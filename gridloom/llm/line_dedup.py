@@ -3,8 +3,8 @@
 The lines of a document are hashed inside its row, so that what is shuffled is one
 16-byte hash for each different line of a document, counted with map-side
 aggregation. The frequent hashes then go back to the documents that hold them by a
-join on the hash (Spark splits a hot hash there, as the frequent side has one row a
-key and no aggregate stands on the join's own partitioning), and a document's text
+join on the hash (the frequent hashes are written once, so that both sides of the join
+have exchanges of their own and Spark can split a hot hash), and a document's text
 is moved once, to meet the set of its dropped hashes.
 """
 
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.store import stored
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -51,7 +53,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
     long_enough = F.filter(keys, lambda k: F.char_length(k) >= F.lit(max(0, min_chars)))
     held = docs.select(F.col(id_col).alias("__id"), F.explode(F.transform(long_enough, lambda k: line_hash(k))).alias("__h"))
     held = held.select("__id", F.col("__h.a").alias("__a"), F.col("__h.b").alias("__b"))
-    common = held.groupBy("__a", "__b").count().where(F.col("count") >= min_docs).select("__a", "__b")
+    common = stored(held.groupBy("__a", "__b").count().where(F.col("count") >= min_docs).select("__a", "__b"), "common")
     hits = held.where(F.col("__id").isNotNull()).join(common, ["__a", "__b"]).groupBy("__id").agg(F.collect_set(F.struct("__a", "__b")).alias("__hits"))
 
     numbered = docs.drop("n_lines", "n_dropped", "kept_text").join(hits, docs[id_col] == hits["__id"], "left")
