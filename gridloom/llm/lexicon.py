@@ -148,14 +148,17 @@ def choose_entries(toxic: Iterable[set[str]], other: Iterable[set[str]], min_doc
     ``min_docs`` of those that no other entry covers: words that are typical only of
     a family of copies don't become entries.
     """
-    toxic, other = list(toxic), list(other)
-    bad, good = Counter(), Counter()
+    toxic = list(toxic)
+    bad, good, ng = Counter(), Counter(), 1.0
     for x in toxic:
         bad.update(x)
+    nb = len(toxic) + 1.0
+    bad = Counter({e: n for e, n in bad.items() if n >= min_docs})
+    toxic = [x & bad.keys() for x in toxic]
     for x in other:
-        good.update(x)
-    nb, ng = len(toxic) + 1.0, len(other) + 1.0
-    odds = {e: float(np.log((n + 0.5) / nb) - np.log((good[e] + 0.5) / ng)) for e, n in bad.items() if n >= min_docs}
+        good.update(x & bad.keys())
+        ng += 1
+    odds = {e: float(np.log((n + 0.5) / nb) - np.log((good[e] + 0.5) / ng)) for e, n in bad.items()}
     precise = sorted((e for e, o in odds.items() if o >= min_odds and good[e] <= 0.02 * bad[e]), key=lambda e: (len(e.strip()), e))
     chosen: dict[str, float] = {}
 
@@ -181,8 +184,8 @@ def fit(rows: list[tuple[str, int]], min_docs: int = 3, min_odds: float = 2.5, e
     """A lexicon from (text, label) pairs; none toxic or all toxic gives an empty one."""
     fold = Folder()
     folded = [(fold(text or ""), int(label)) for text, label in rows]
-    sets = [(beginnings(t), y) for t, y in folded]
-    lexicon = Lexicon(choose_entries((s for s, y in sets if y), (s for s, y in sets if not y), min_docs, min_odds), exceptions)
+    toxic, other = ((beginnings(t) for t, y in folded if bool(y) == kind) for kind in (True, False))
+    lexicon = Lexicon(choose_entries(toxic, other, min_docs, min_odds), exceptions)
     x = np.log1p(np.array([lexicon.density(t) for t, _ in folded]))
     y = np.array([label for _, label in folded], float)
     if len(y) and 0 < y.sum() < len(y):
