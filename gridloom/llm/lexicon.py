@@ -184,7 +184,7 @@ def fit(rows: list[tuple[str, int]], min_docs: int = 3, min_odds: float = 2.5, e
     """A lexicon from (text, label) pairs; none toxic or all toxic gives an empty one."""
     fold = Folder()
     folded = [(fold(text or ""), int(label)) for text, label in rows]
-    toxic, other = ((beginnings(t) for t, y in folded if bool(y) == kind) for kind in (True, False))
+    toxic, other = (beginnings(t) for t, y in folded if y), (beginnings(t) for t, y in folded if not y)
     lexicon = Lexicon(choose_entries(toxic, other, min_docs, min_odds), exceptions)
     x = np.log1p(np.array([lexicon.density(t) for t, _ in folded]))
     y = np.array([label for _, label in folded], float)
