@@ -276,8 +276,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> tuple[
     return named, copies, rest
 
 
-def cleaned(rest: DataFrame) -> DataFrame:
-    """k1, k2, n_removed, n_spans, kept (bytes) of documents with their repeated spans."""
+def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone``, widened to all bytes of the UTF-8 characters that it touches."""
+    begin = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(begin):
+        return gone
+    return np.repeat(np.logical_or.reduceat(gone, begin), np.diff(np.append(begin, len(data))))
+
+
+def cleaned(rest: DataFrame, whole_characters: bool = False) -> DataFrame:
+    """k1, k2, n_removed, n_spans, kept (bytes) of documents with their repeated spans; ``kept`` may give up characters that are only partly left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slices(batches):
@@ -289,7 +297,8 @@ def cleaned(rest: DataFrame) -> DataFrame:
                 gone = np.cumsum(edge[:-1]) > 0
                 removed.append(int(gone.sum()))
                 runs.append(len(_runs(gone)[0]))
-                kept.append(t.data[t.offsets[i] : t.offsets[i + 1]][~gone].tobytes())
+                data = t.data[t.offsets[i] : t.offsets[i + 1]]
+                kept.append(data[~(_whole_characters(data, gone) if whole_characters else gone)].tobytes())
             yield pa.RecordBatch.from_arrays([t.batch.column("k1"), t.batch.column("k2"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["k1", "k2", "n_removed", "n_spans", "kept"])
 
     return rest.mapInArrow(run, "k1 long, k2 long, n_removed long, n_spans long, kept binary")
@@ -325,8 +334,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     A character of several bytes that loses some of them loses all of them, so that the text stays valid.
     """
     named, copies, rest = repeats(docs, length, crowd)
-    kept = F.decode(F.col("kept"), "UTF-8")
-    parts = cleaned(rest).select("k1", "k2", "n_removed", "n_spans", F.regexp_replace(kept, "�", "").alias("part"))
+    parts = cleaned(rest, whole_characters=True).select("k1", "k2", "n_removed", "n_spans", F.decode(F.col("kept"), "UTF-8").alias("part"))
     out = _joined(named, copies, stored(parts, "parts"))
     text = F.when(F.col("whole"), F.lit("")).when(F.col("n_removed") > 0, F.col("part")).otherwise(F.col("text"))
     return out.withColumn("text", text).select(docs.columns)

@@ -178,6 +178,16 @@ def test_removal_odd_tables(spark):
     assert [r.text for r in out] == ["", "", "short"] and out[0].note == "n"
 
 
+def test_removal_keeps_whole_characters(spark):
+    # The repeated bytes begin inside one character and end inside another.
+    same = "x" * 160
+    texts = ["é" + same + "à", "è" + same + "á", "tail"]
+    out = suffix_dedup.remove_repeats(docs(spark, texts), 150).orderBy("doc_id").collect()
+    assert [r.text for r in out] == ["é", "è", "tail"]
+    data = np.frombuffer("aéb".encode(), np.uint8)
+    assert suffix_dedup._whole_characters(data, np.array([False, False, True, False])).tolist() == [False, True, True, False]
+
+
 # BPE
 @pytest.fixture(scope="module")
 def tokenizers_file():
