@@ -13,7 +13,7 @@ BY = ["site", "scene"]
 
 def cells(v, eight: bool = True, threshold: float = 0.7):
     mask = v.px.where(F.col("prob") >= threshold).select("site", "scene", "r", "c")
-    return O.components(mask, BY, v.side, eight, tile=16)
+    return O.components(mask, BY, v.side, eight, tile=64)
 
 
 def _comp(near: str = "abs(n.r - w.r) <= 1 AND abs(n.c - w.c) <= 1") -> str:
@@ -118,4 +118,4 @@ def reshape_channels(v):
     shape = (v.side, v.side)
     m = v.px.where("prob >= 0.5").select("site", "scene", "r", "c")
     m = focal.dilate(focal.erode(m, BY, shape, 1, cross=True), BY, shape, 1)
-    return O.elongated(O.components(m, BY, v.side, True, 16), BY, 1.0, 10)
+    return O.elongated(O.components(m, BY, v.side, True, 64), BY, 1.0, 10)
