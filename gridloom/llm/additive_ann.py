@@ -96,7 +96,8 @@ def learn(x: np.ndarray, books: int = 16, words: int = 256, beam: int = 4, passe
         # A small pull towards the present codewords keeps unused ones in place.
         now = out.words.reshape(-1, x.shape[1]).astype(np.float64)
         pull = 1e-2 * len(x) / words
-        solved = np.linalg.solve(gram + pull * np.eye(len(gram)), side + pull * now)
+        gram.flat[:: len(gram) + 1] += pull
+        solved = np.linalg.solve(gram, side + pull * now)
         out = Codebooks(solved.reshape(out.words.shape).astype(np.float32), beam)
     return out
 
