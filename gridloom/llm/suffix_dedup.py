@@ -12,8 +12,11 @@ is removed wherever it starts. The corpus is never one text in one place:
     by Lyndon-prefix groups. Neighbours in that order tell how far contexts agree to the
     right of the anchor; hashes of the bytes before it tell the same to the left. Windows
     that agree with another on both sides are repeated.
-3.  Anchors with more contexts than one task should hold are split: their windows are
-    hashed one by one and counted by Spark.
+3.  Anchors with more contexts than one task should hold are split: half of what a window
+    has beside the anchor, on the side where it has more, joins the anchor's bytes, three
+    times over, equal contexts are counted, and only different ones that still agree
+    meet. If those are too many again,
+    their windows are hashed one by one and counted by Spark.
 
 Exact copies of a whole document are found by a hash of the text; one of them takes part.
 """
@@ -96,6 +99,40 @@ def contexts(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, ahash long, pos int, first int, wins int")
 
 
+def halvings(length: int = LENGTH, anchor: int = ANCHOR, levels: int = 3) -> np.ndarray:
+    """Runs of window offsets (bytes before the anchor) that grow the anchor alike: lowest, highest, bytes added on the left, on the right.
+
+    Equal windows have equal offsets, so they are in one run and agree in the grown anchor.
+    """
+    rows: list[list[int]] = []
+    for o in range(length - anchor + 1):
+        left = right = 0
+        for _ in range(levels):
+            half = -(-(length - anchor - left - right) // 2)
+            if length - anchor - o - right >= half:
+                right += half
+            else:
+                left += half
+        if rows and rows[-1][2:] == [left, right]:
+            rows[-1][1] = o
+        else:
+            rows.append([o, o, left, right])
+    return np.array(rows)
+
+
+def split_contexts(prefix: np.ndarray, begin: np.ndarray, pos: np.ndarray, first: np.ndarray, wins: np.ndarray, length: int, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """Contexts cut by the runs of their windows' offsets: the context each is from, hash of the grown anchor, first window, windows."""
+    runs = halvings(length, anchor)
+    high = np.minimum((pos - first)[:, None], runs[None, :, 1])
+    low = np.maximum((pos - first - wins + 1)[:, None], runs[None, :, 0])
+    of, run = np.nonzero(low <= high)
+    at = begin[of] + pos[of]
+    grown = span_hash(prefix, at - runs[run, 2], at + anchor + runs[run, 3], 47)
+    with np.errstate(over="ignore"):
+        grown = mix(grown + runs[run, 0].astype(np.uint64), 48)
+    return of, grown, pos[of] - high[of, run], (high - low + 1)[of, run]
+
+
 def repeated_windows(parts: list[bytes], group: np.ndarray, pos: np.ndarray, wins: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> list[np.ndarray]:
     """For contexts sorted by group: which of each one's windows equal a window of another context of its group.
 
@@ -235,43 +272,69 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> tuple[
     often = stored(found.groupBy("ahash").agg(F.count("*").alias("n")).where("n > 1").select("ahash"), "often")
     spare = copies.where("NOT rep").select("k1", "k2")
     mine = stored(found.join(often, "ahash").join(spare, ["k1", "k2"], "left_anti"), "mine")
-    groups = stored(mine.groupBy("ahash").agg(F.count("*").alias("n")).where("n > 1"), "groups")
-    each = mine.join(groups, "ahash").select("k1", "k2", F.struct("ahash", "pos", "first", "wins", (F.col("n") > crowd).alias("hot")).alias("c"))
-    per_doc = each.groupBy("k1", "k2").agg(F.collect_list("c").alias("cs"))
-    work = stored(long.select("k1", "k2", "text").join(stored(per_doc, "perdoc"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]), "work")
 
-    def cut(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[pa.RecordBatch]:
+    def per_document(rows: DataFrame) -> DataFrame:
+        """The contexts of each document whose anchor others have too, with whether it is crowded."""
+        groups = stored(rows.groupBy("ahash").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+        both = rows.join(groups, "ahash").select("k1", "k2", F.struct("ahash", "pos", "first", "wins", (F.col("n") > crowd).alias("hot")).alias("c"))
+        return both.groupBy("k1", "k2").agg(F.collect_list("c").alias("cs"))
+
+    work = stored(long.select("k1", "k2", "text").join(stored(per_document(mine), "perdoc"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]), "work")
+
+    def parts(t, hot: bool):
+        lists = t.batch.column("cs")
+        flat = lists.flatten()
+        doc = np.repeat(np.arange(len(t)), pc.list_value_length(lists).to_numpy())
+        found = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("ahash", "pos", "first", "wins", "hot")]
+        use = np.flatnonzero(found[-1] == hot)
+        return doc[use], *(x[use].astype(np.int64) for x in found[:-1])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slices(batches):
-            lists = t.batch.column("cs")
-            flat = lists.flatten()
-            doc = np.repeat(np.arange(len(t)), pc.list_value_length(lists).to_numpy())
-            ahash, pos, first, wins, hots = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("ahash", "pos", "first", "wins", "hot"))
-            use = np.flatnonzero(hots == hot)
-            begin = t.offsets[doc] + first
-            if hot:
-                prefix = prefix_hash(t.data)
-                row = np.repeat(use, wins[use])
-                step = np.arange(len(row)) - np.repeat(np.cumsum(wins[use]) - wins[use], wins[use])
-                s = begin[row] + step
-                who = pa.array(doc[row])
-                hashes = [pa.array(span_hash(prefix, s, s + length, seed).view(np.int64)) for seed in (45, 46)]
-                yield pa.RecordBatch.from_arrays([t.batch.column("k1").take(who), t.batch.column("k2").take(who), *hashes, pa.array((first[row] + step).astype(np.int32))], ["k1", "k2", "w1", "w2", "s"])
-            else:
-                who = pa.array(doc[use])
-                raw = t.data.tobytes()
-                body = [raw[x : x + w - 1 + length] for x, w in zip(begin[use].tolist(), wins[use].tolist(), strict=True)]
-                ints = [pa.array(x[use].astype(np.int32)) for x in (first, pos - first, wins)]
-                yield pa.RecordBatch.from_arrays([pa.array(ahash[use]), t.batch.column("k1").take(who), t.batch.column("k2").take(who), *ints, pa.array(body, pa.binary())], ["ahash", "k1", "k2", "first", "pos", "wins", "body"])
-
-    met = work.mapInArrow(lambda b: cut(b, False), "ahash long, k1 long, k2 long, first int, pos int, wins int, body binary")
-    met = met.repartition("ahash").sortWithinPartitions("ahash", "k1", "k2", "first")
+            doc, ahash, pos, first, wins = parts(t, False)
+            who, raw = pa.array(doc), t.data.tobytes()
+            body = [raw[x : x + w - 1 + length] for x, w in zip((t.offsets[doc] + first).tolist(), wins.tolist(), strict=True)]
+            ints = [pa.array(x.astype(np.int32)) for x in (first, pos - first, wins)]
+            yield pa.RecordBatch.from_arrays([pa.array(ahash), t.batch.column("k1").take(who), t.batch.column("k2").take(who), *ints, pa.array(body, pa.binary())], ["ahash", "k1", "k2", "first", "pos", "wins", "body"])
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in slices(batches):
+            doc, _, pos, first, wins = parts(t, True)
+            of, grown, start, count = split_contexts(prefix_hash(t.data), t.offsets[doc], pos, first, wins, length)
+            who, s = pa.array(doc[of]), t.offsets[doc[of]] + start
+            with np.errstate(over="ignore"):
+                whole = mix(span_hash(prefix_hash(t.data), s, s + count - 1 + length, 49) + (pos[of] - start).astype(np.uint64), 50)
+            yield pa.RecordBatch.from_arrays([t.batch.column("k1").take(who), t.batch.column("k2").take(who), pa.array(grown.view(np.int64)), pa.array(whole.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (pos[of], start, count))], ["k1", "k2", "ahash", "whole", "pos", "first", "wins"])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in slices(batches):
+            doc, _, _, first, wins = parts(t, True)
+            prefix = prefix_hash(t.data)
+            row = np.repeat(np.arange(len(doc)), wins)
+            start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(wins) - wins, wins)
+            s, who = t.offsets[doc[row]] + start, pa.array(doc[row])
+            hashes = [pa.array(span_hash(prefix, s, s + length, seed).view(np.int64)) for seed in (45, 46)]
+            yield pa.RecordBatch.from_arrays([t.batch.column("k1").take(who), t.batch.column("k2").take(who), *hashes, pa.array(start.astype(np.int32))], ["k1", "k2", "w1", "w2", "s"])
+
+    # Crowded anchors meet again by the bytes round them.
+    crowded = work.where(F.exists("cs", lambda c: c["hot"])).select("k1", "k2", "text", F.filter("cs", lambda c: c["hot"]).alias("cs"))
+    again = stored(crowded.mapInArrow(grow, "k1 long, k2 long, ahash long, whole long, pos int, first int, wins int"), "grown")
+    # Of contexts that are equal throughout one goes on; all their windows are repeated.
+    name = F.xxhash64("k1", "k2", "first")
+    twins = stored(again.groupBy("ahash", "whole").agg(F.count("*").alias("n"), F.min(name).alias("one")).where("n > 1").select("ahash", "whole", "one"), "twins")
+    paired = again.join(twins, ["ahash", "whole"], "left")
+    equal = paired.where("one IS NOT NULL").select("k1", "k2", F.col("first").alias("s"), (F.col("first") + F.col("wins") - 1 + F.lit(length)).alias("e"))
+    more = stored(per_document(paired.where(F.col("one").isNull() | (F.col("one") == name)).drop("whole", "one")), "perdoc")
+    close = stored(crowded.select("k1", "k2", "text").join(more, ["k1", "k2"]), "close")
+
+    shape = "ahash long, k1 long, k2 long, first int, pos int, wins int, body binary"
+    met = work.mapInArrow(cut, shape).union(close.mapInArrow(cut, shape)).repartition("ahash").sortWithinPartitions("ahash", "k1", "k2", "first")
     spans = met.mapInArrow(lambda b: resolve(b, length, BATCH), "k1 long, k2 long, s int, e int")
-    each = work.where(F.exists("cs", lambda c: c["hot"])).mapInArrow(lambda b: cut(b, True), "k1 long, k2 long, w1 long, w2 long, s int")
-    each = stored(each, "windows")
+    each = stored(close.where(F.exists("cs", lambda c: c["hot"])).mapInArrow(single, "k1 long, k2 long, w1 long, w2 long, s int"), "windows")
     # A whole copy that stayed out is one more place where its windows start.
     double = stored(each.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "double")
-    crowded = each.join(double, ["w1", "w2"], "left_semi").select("k1", "k2", "s", (F.col("s") + F.lit(length)).alias("e"))
-    spans = spans.union(crowded).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    lone = each.join(double, ["w1", "w2"], "left_semi").select("k1", "k2", "s", (F.col("s") + F.lit(length)).alias("e"))
+    spans = spans.union(lone).union(equal).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     rest = work.select("k1", "k2", "text").join(stored(spans, "spans"), ["k1", "k2"]).join(copies.select("k1", "k2"), ["k1", "k2"], "left_anti")
     return named, copies, rest
 
