@@ -4,8 +4,10 @@ A small network predicts a token from the two tokens on either side: their posit
 embeddings are summed, squashed, and read out by a softmax in two levels. It is trained
 in NumPy where the data is: in each round every task trains on its documents of that
 round, starting from the same weights, and Spark averages what the tasks have learned.
-The sum of the log-probabilities that the network gives each token of a document, seen
-from both sides, is the document's score.
+The sum of the log-probabilities of the words of a document, seen from both sides, is
+the document's score. The network gives that of a frequent word or of a bucket of all
+others; a word's share of its bucket comes from the counts of all words, which stay a
+Spark table.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.store import stored
 from gridloom.llm.text import mix, owners, slices, word_hashes
 
 SIDES = (-2, -1, 1, 2)
@@ -34,6 +37,13 @@ class Shape:
     width: int = 24
     branch: int = 32
 
+    @classmethod
+    def grown(cls, words: int) -> Shape:
+        """The shape for a corpus of so many words: its numbered tokens grow with their cube root."""
+        frequent = max(cls.frequent, round(3 * words ** (1 / 3)))
+        buckets = frequent // 3
+        return cls(frequent, buckets, branch=int(np.ceil(np.sqrt(frequent + buckets))))
+
     @property
     def size(self) -> int:
         return self.frequent + self.buckets
@@ -165,39 +175,72 @@ class Trainer:
 
 @dataclass(frozen=True)
 class Model:
+    """``inside`` (word, gain in whole units) has every counted word of the buckets: what it adds to ``unseen``, the log-share of the words of its bucket that were never counted."""
+
     frequent: np.ndarray
     weights: np.ndarray
     shape: Shape
-
-    def ready(self) -> tuple[Vocabulary, dict[str, np.ndarray]]:
-        return Vocabulary(self.frequent, self.shape), unpacked(self.weights, self.shape)
+    inside: DataFrame
+    unseen: np.ndarray
 
 
-def frequent_words(docs: DataFrame, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent words of all documents, ties to the smaller hash, and the share of all words of each token."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (its hash) and n of all words of all documents, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slices(batches):
             words, times = np.unique(word_hashes(t)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(times)], ["word", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = Observation("words")
-    rows = counted.observe(total, F.sum("n").alias("n")).orderBy(F.desc("n"), F.asc("word")).limit(shape.frequent).collect()
+    return stored(docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def frequent_words(counts: DataFrame, shape: Shape, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the most frequent words, ties to the smaller hash, and the share of all words of each token."""
+    rows = counts.orderBy(F.desc("n"), F.asc("word")).limit(shape.frequent).collect()
     share = np.ones(shape.size)
     share[: len(rows)] += [r["n"] for r in rows]
-    share[shape.frequent :] += max(0, (total.get["n"] or 0) - sum(r["n"] for r in rows)) / shape.buckets
+    share[shape.frequent :] += max(0, total - sum(r["n"] for r in rows)) / shape.buckets
     return np.array([r["word"] for r in rows], np.int64).view(np.uint64), share / share.sum()
 
 
-def trained(docs: DataFrame, shape: Shape = Shape(), rounds: int = 3, masked: float = 0.2, rate: float = 0.05, batch: int = 2048, seed: int = 5) -> Model:
+def within_buckets(counts: DataFrame, frequent: np.ndarray, shape: Shape) -> tuple[DataFrame, np.ndarray]:
+    """A word's share of its bucket: the ``inside`` and ``unseen`` of a model.
+
+    Of n words in a bucket, t different ones, a word that came c times has the share
+    c / (n + t), and all words that never came have t / (n + t) together.
+    """
+    sent = counts.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(sent.value, shape)
+        for batch in batches:
+            bucket = vocabulary(batch.column("word").to_numpy(zero_copy_only=False).view(np.uint64)) - shape.frequent
+            whole = pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket)], ["word", "n", "bucket"])
+            yield whole.filter(pa.array(bucket >= 0))
+
+    held = counts.select("word", "n").mapInArrow(run, "word long, n long, bucket int")
+    sums = held.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("t")).toPandas()
+    n, t = np.zeros(shape.buckets), np.zeros(shape.buckets)
+    n[sums["bucket"]], t[sums["bucket"]] = sums["n"], sums["t"]
+    kinds = F.broadcast(counts.sparkSession.createDataFrame([(k, float(x)) for k, x in enumerate(t)], "bucket int, t double"))
+    gain = F.round(F.log(F.col("n") / F.col("t")) / F.lit(_UNIT)).cast("long")
+    unseen = np.log(np.where(t > 0, t / np.maximum(n + t, 1), 1))
+    return stored(held.join(kinds, "bucket").select("word", gain.alias("gain")), "inside"), unseen
+
+
+def trained(docs: DataFrame, shape: Shape | None = None, rounds: int = 3, masked: float = 0.2, rate: float = 0.05, batch: int = 2048, seed: int = 5) -> Model:
     """A network trained on all documents.
 
     A document's hash says in which of the ``rounds`` it is trained on. Of its tokens a
     share of ``masked``, chosen by hash, are predicted. What reaches the driver after a
-    round is the average of the tasks' weights, weighted by the tokens they saw.
+    round is the average of the tasks' weights, weighted by the tokens they saw. Without
+    a ``shape`` it grows with the corpus.
     """
-    frequent, share = frequent_words(docs, shape)
+    counts = word_counts(docs)
+    words = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    shape = shape or Shape.grown(words)
+    frequent, share = frequent_words(counts, shape, words)
     flat = packed(fresh(shape, share, seed)).astype(np.float64)
     context = docs.sparkSession.sparkContext
     for r in range(rounds):
@@ -205,8 +248,8 @@ def trained(docs: DataFrame, shape: Shape = Shape(), rounds: int = 3, masked: fl
         lesson_rate = rate / (1 + r)
 
         def lesson(batches: Iterator[pa.RecordBatch], start=start, r=r, lesson_rate=lesson_rate) -> Iterator[pa.RecordBatch]:
-            words, begin = start.value
-            vocabulary = Vocabulary(words, shape)
+            numbered, begin = start.value
+            vocabulary = Vocabulary(numbered, shape)
             trainer = Trainer(unpacked(begin.copy(), shape), shape.branch, lesson_rate)
             for t in slices(batches):
                 hashes, first = word_hashes(t)
@@ -230,32 +273,52 @@ def trained(docs: DataFrame, shape: Shape = Shape(), rounds: int = 3, masked: fl
         total = np.zeros(len(flat) + 1)
         total[moved["at"].to_numpy()] = moved["sum"].to_numpy()
         flat = flat + total[:-1] / total[-1] * _UNIT
-    return Model(frequent, flat.astype(np.float32), shape)
+    return Model(frequent, flat.astype(np.float32), shape, *within_buckets(counts, frequent, shape))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum over all tokens) and mean_log_prob of every whole text.
 
-    Null, empty and wordless texts have 0 tokens, likelihood 0 and a null mean. Rows are
-    scored one by one; repeated rows score alike, other columns are left out.
+    A word outside the frequent ones has the probability of its bucket times its own share
+    of it, or times that of all uncounted words together. Null, empty and wordless texts
+    have 0 tokens, likelihood 0 and a null mean. Rows are scored one by one; repeated rows score alike, other columns are left out.
     """
-    kept = docs.select("doc_id", "text")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_tokens long, log_likelihood double, mean_log_prob double"
+    kept = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
+    shape = model.shape
+    sent = docs.sparkSession.sparkContext.broadcast((model.frequent, model.weights, model.unseen))
+    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n_tokens long, total double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weights = sent.value.ready()
-        shape = sent.value.shape
+        frequent, flat, unseen = sent.value
+        vocabulary, weights = Vocabulary(frequent, shape), unpacked(flat, shape)
+        beside = np.concatenate([np.zeros(shape.frequent), unseen])
         for t in slices(batches):
             hashes, first = word_hashes(t)
             tokens = vocabulary(hashes)
-            each = log_probabilities(weights, contexts(tokens, first, shape.size), tokens, shape.branch)
-            n = np.diff(first)
+            each = log_probabilities(weights, contexts(tokens, first, shape.size), tokens, shape.branch) + beside[tokens]
             total = np.bincount(owners(first), each, minlength=len(t)).astype(np.float64)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([t.batch.column("doc_id"), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_prob"])
+            yield pa.RecordBatch.from_arrays([*(t.batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(np.diff(first)), pa.array(total)], ["doc_id", "k1", "k2", "n_tokens", "total"])
 
-    return kept.mapInArrow(run, schema)
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(sent.value[0], shape)
+        for t in slices(batches):
+            hashes, first = word_hashes(t)
+            at = np.flatnonzero(vocabulary(hashes) >= shape.frequent)
+            hashes, owner = hashes[at], owners(first)[at]
+            order = np.lexsort((hashes, owner))
+            hashes, owner = hashes[order], owner[order]
+            new = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])[: len(hashes)])
+            times = np.diff(np.append(new, len(hashes)))
+            keys = t.batch.select(["k1", "k2"]).take(pa.array(owner[new]))
+            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(hashes[new].view(np.int64)), pa.array(times.astype(np.int32))], ["k1", "k2", "word", "times"])
+
+    facts = stored(kept.mapInArrow(run, schema), "facts")
+    pieces = kept.select("text", "k1", "k2").mapInArrow(rare, "k1 long, k2 long, word long, times int").join(model.inside, "word")
+    # Equal texts have one sum between them, and count how many share it.
+    sums = pieces.select("k1", "k2", (F.col("times") * F.col("gain")).alias("gain"), F.lit(0).alias("copies")).union(facts.select("k1", "k2", F.lit(0).cast("long"), F.lit(1)))
+    sums = stored(sums.groupBy("k1", "k2").agg((F.sum("gain") / F.sum("copies") * F.lit(_UNIT)).alias("gain")), "gains")
+    total = F.col("total") + F.col("gain")
+    return facts.join(sums, ["k1", "k2"]).select("doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def scored(docs: DataFrame) -> DataFrame:

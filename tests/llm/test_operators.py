@@ -379,6 +379,26 @@ def test_log_probabilities_sum_to_one():
     assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_words_of_a_bucket_are_told_apart(spark):
+    texts = ["the cat the dog the cat", "the cat the bird"] * 3 + ["the dog"]
+    shape = masked_lm.Shape(frequent=1, buckets=1, width=4, branch=2)
+    model = masked_lm.trained(docs(spark, texts), shape, rounds=1)
+    d = docs(spark, ["cat", "bird", "never", "cat", None, "bird cat bird"]).withColumn("doc_id", F.when(F.col("doc_id") != 3, F.col("doc_id")))
+    got = {r.doc_id: r for r in masked_lm.score(d, model).collect()}
+    weights = masked_lm.unpacked(model.weights, shape)
+    bucket = float(masked_lm.log_probabilities(weights, np.full((1, 4), shape.size, np.int32), np.array([1]), shape.branch)[0])
+    # Beside "the" came 9 cats, 7 dogs and birds: 16 words, 3 different ones.
+    share = {0: 9 / 19, 1: 3 / 19, 2: 3 / 19, None: 9 / 19}
+    for k, x in share.items():
+        assert got[k].log_likelihood == pytest.approx(bucket + np.log(x), abs=1e-5)
+    assert got[4].log_likelihood == 0 and got[4].mean_log_prob is None and got[5].n_tokens == 3
+
+
+def test_vocabulary_grows_with_the_corpus():
+    small, large = masked_lm.Shape.grown(10_000_000), masked_lm.Shape.grown(5_000_000_000)
+    assert small.frequent == 768 and large.frequent > 5 * small.frequent and large.buckets > 5 * small.buckets
+
+
 def test_training_on_nothing(spark):
     model = masked_lm.trained(docs(spark, []), masked_lm.Shape(4, 4, 4, 4), rounds=1)
     assert masked_lm.score(docs(spark, ["a b"]), model).first().n_tokens == 2
