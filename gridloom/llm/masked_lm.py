@@ -130,7 +130,7 @@ def log_probabilities(weights: dict[str, np.ndarray], around: np.ndarray, tokens
 
 
 class Trainer:
-    """Adagrad on the negative log-probability of masked tokens."""
+    """Adagrad on the negative log-probability of the tokens."""
 
     def __init__(self, weights: dict[str, np.ndarray], branch: int, rate: float):
         self.w, self.branch, self.rate, self.seen = weights, branch, rate, 0
@@ -175,13 +175,14 @@ class Trainer:
 
 @dataclass(frozen=True)
 class Model:
-    """``inside`` (word, gain in whole units) has every counted word of the buckets: what it adds to ``unseen``, the log-share of the words of its bucket that were never counted."""
+    """``inside`` (word, gain in whole units) has every counted word of the buckets: what it adds to ``unseen``, the log-share of the words of its bucket that were never counted. ``seen`` counts the targets it was trained on."""
 
     frequent: np.ndarray
     weights: np.ndarray
     shape: Shape
     inside: DataFrame
     unseen: np.ndarray
+    seen: int
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -229,11 +230,11 @@ def within_buckets(counts: DataFrame, frequent: np.ndarray, shape: Shape) -> tup
     return stored(held.join(kinds, "bucket").select("word", gain.alias("gain")), "inside"), unseen
 
 
-def trained(docs: DataFrame, shape: Shape | None = None, rounds: int = 3, masked: float = 0.2, rate: float = 0.05, batch: int = 2048, seed: int = 5) -> Model:
+def trained(docs: DataFrame, shape: Shape | None = None, rounds: int = 3, masked: float = 1.0, rate: float = 0.05, batch: int = 2048, seed: int = 5) -> Model:
     """A network trained on all documents.
 
-    A document's hash says in which of the ``rounds`` it is trained on. Of its tokens a
-    share of ``masked``, chosen by hash, are predicted. What reaches the driver after a
+    A document's hash says in which of the ``rounds`` it is trained on. All its tokens are
+    predicted once, in the order of a hash, or a share of ``masked`` below 1 of them. What reaches the driver after a
     round is the average of the tasks' weights, weighted by the tokens they saw. Without
     a ``shape`` it grows with the corpus.
     """
@@ -242,7 +243,7 @@ def trained(docs: DataFrame, shape: Shape | None = None, rounds: int = 3, masked
     shape = shape or Shape.grown(words)
     frequent, share = frequent_words(counts, shape, words)
     flat = packed(fresh(shape, share, seed)).astype(np.float64)
-    context = docs.sparkSession.sparkContext
+    context, seen = docs.sparkSession.sparkContext, 0
     for r in range(rounds):
         start = context.broadcast((frequent, flat.astype(np.float32)))
         lesson_rate = rate / (1 + r)
@@ -256,7 +257,7 @@ def trained(docs: DataFrame, shape: Shape | None = None, rounds: int = 3, masked
                 tokens = vocabulary(hashes)
                 around = contexts(tokens, first, shape.size)
                 draw = mix(np.arange(len(tokens), dtype=np.uint64) + hashes, 60 + r)
-                chosen = np.flatnonzero(draw < np.uint64(int(masked * 2**64)))
+                chosen = np.flatnonzero(draw < np.uint64(int(masked * 2**64))) if masked < 1 else np.arange(len(draw))
                 chosen = chosen[np.argsort(draw[chosen], kind="stable")]
                 for at in range(0, len(chosen), batch):
                     rows = chosen[at : at + batch]
@@ -272,8 +273,9 @@ def trained(docs: DataFrame, shape: Shape | None = None, rounds: int = 3, masked
             continue
         total = np.zeros(len(flat) + 1)
         total[moved["at"].to_numpy()] = moved["sum"].to_numpy()
+        seen += int(total[-1])
         flat = flat + total[:-1] / total[-1] * _UNIT
-    return Model(frequent, flat.astype(np.float32), shape, *within_buckets(counts, frequent, shape))
+    return Model(frequent, flat.astype(np.float32), shape, *within_buckets(counts, frequent, shape), seen)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -399,6 +399,12 @@ def test_vocabulary_grows_with_the_corpus():
     assert small.frequent == 768 and large.frequent > 5 * small.frequent and large.buckets > 5 * small.buckets
 
 
+def test_every_token_is_a_target_once(spark):
+    texts = [" ".join(f"w{(i * k) % 37}" for k in range(1 + i)) for i in range(60)] + ODD
+    model = masked_lm.trained(docs(spark, texts), masked_lm.Shape(8, 8, 4, 4))
+    assert model.seen == sum(len(WORD.findall(t or "")) for t in texts)
+
+
 def test_training_on_nothing(spark):
     model = masked_lm.trained(docs(spark, []), masked_lm.Shape(4, 4, 4, 4), rounds=1)
     assert masked_lm.score(docs(spark, ["a b"]), model).first().n_tokens == 2
