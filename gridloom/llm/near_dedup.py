@@ -325,6 +325,22 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the near-duplicates: of each class the row with the class's own id stays, with all its columns."""
-    kept = near_duplicates(docs, similarity).where("doc_id <=> class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """``docs`` without the near-duplicates: of each class one row with the class's own id stays, with all its columns.
+
+    Of rows with equal words the one with the smallest id stays, and any one of those if
+    it is repeated; of rows without an id one for each text that no row with an id has.
+    Rows without words stay, those that share an id as one. Rows that share an id but
+    not their words have one class, so they stay or go together, unless another id has
+    the words.
+    """
+    kept = near_duplicates(docs, similarity).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    marked = docs.withColumns({"__a": F.xxhash64(words), "__b": F.xxhash64(F.lit(7), words), "__blank": words == "", "__id": F.coalesce("doc_id", F.lit(0)), "__null": F.isnull("doc_id")})
+    key = ["__a", "__b", "__id", "__null"]
+
+    firsts = marked.groupBy("__a", "__b", F.when(F.col("__blank"), F.col("doc_id")).alias("__own")).agg(F.min("doc_id").alias("__rep"))
+    stay = firsts.join(kept, firsts["__rep"] == kept["__kept"], "left").where("__rep IS NULL OR __kept IS NOT NULL")
+    stay = stored(stay.select("__a", "__b", F.coalesce("__rep", F.lit(0)).alias("__id"), F.isnull("__rep").alias("__null")), "stay")
+    nameless = F.col("__blank") & F.col("__null")
+    one = marked.where(~nameless).join(stay, key, "left_semi").dropDuplicates(key)
+    return one.unionByName(marked.where(nameless)).select(docs.columns)

@@ -360,6 +360,22 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_one_copy_of_repeated_rows_stays(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(150)) for k in "abcd")
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b + " "), (4, c), (4, d), (None, d), (None, a), (None, b + "\n"), (None, c + " end"), (None, c + " end"), (5, a), (5, "five"), (None, ""), (None, None), (6, ""), (6, ""), (7, None)]
+    df = spark.createDataFrame([(i, t, "x", len(t or "")) for i, t in rows], "doc_id long, text string, source string, n_chars long")
+    out = near_dedup.one_of_each(df)
+    assert out.columns == df.columns
+    got = Counter((r.doc_id, (r.text or "").strip()) for r in out.collect())
+    assert got == Counter({(1, a): 1, (3, b): 1, (4, c): 1, (4, d): 1, (None, c + " end"): 1, (5, "five"): 1, (None, ""): 2, (6, ""): 1, (7, ""): 1})
+    assert near_dedup.one_of_each(df.limit(0)).count() == 0
+    few = df.where("doc_id IN (1, 2, 3)")
+    left = corpus_pipeline.suffix_stage(spark, corpus_pipeline.near_stage(spark, few, SF), SF)
+    assert sorted((r.text or "").strip() for r in left.collect()) == [a, b]
+
+
 # Language model
 def test_pseudo_likelihood_learns(spark):
     rng = random.Random(9)
