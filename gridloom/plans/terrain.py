@@ -126,7 +126,7 @@ def texture_map(v):
 
 @query()
 def texture_multiscale(v):
-    return O.multiscale_texture(_latest(v), ["site", "scene"], "prob", (v.side, v.side))
+    return O.multiscale_texture(v.px, ["site", "scene"], "prob", (v.side, v.side))
 
 
 @query("""WITH h AS (SELECT r AS hr, c AS hc FROM {dem} WHERE (r * 7 + c) % 11 = 0), g AS (SELECT * FROM {dem} WHERE (r * 7 + c) % 11 <> 0),

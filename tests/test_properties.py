@@ -160,3 +160,10 @@ def test_discover(spark, tmp_path):
     for n in ("a_RED.JP2", "a_COLOR.tif", "a_RED.tif"):
         (tmp_path / "o1" / n).write_bytes(b"x" * (1 if n.endswith("RED.tif") else 50))
     assert discover(spark, str(tmp_path), ["RED.tif", "RED.JP2", "COLOR.tif"], 10).first()["path"].endswith("a_RED.JP2")
+
+
+def test_multiscale_texture_takes_all_scenes(spark):
+    from gridloom import registry
+
+    scenes = lambda name: {(r.site, r.scene) for r in registry.queries()[name](spark, "/root/testdata/sf0.001").select("site", "scene").distinct().collect()}
+    assert scenes("texture_multiscale") == scenes("pixel_to_map") and len(scenes("pixel_to_map")) > 2
