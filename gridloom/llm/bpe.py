@@ -2,8 +2,9 @@
 
 For every prefix of a word there is exactly one token that can end its encoding: the
 one that, following the last token of the prefix before it, no merge would have joined
-otherwise. All tokens that end at each place are found by a suffix automaton of the
-vocabulary; a pair test decides which of them fits; following the stored tokens back
+otherwise. All tokens that end at each place are found by an Aho-Corasick automaton of
+the tokens, in place of a suffix automaton: only whole tokens are asked for, and its
+output links list just those that end at a place. A pair test decides which of them fits; following the stored tokens back
 from the end of the word gives the ids, in time linear in the word for a vocabulary.
 """
 
