@@ -42,6 +42,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame) -> DataFrame:
+    """doc_id, text and, as one struct ``row``, all columns but ``text``: no name of a user's column can meet one that an operator adds."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+
+
+def restored(rows: DataFrame, columns: list[str], **replaced) -> DataFrame:
+    """``rows`` that went aside with their ``columns`` again; those in ``replaced`` and ``text`` have the new values."""
+    replaced = {"text": F.col("text")} | replaced
+    return rows.select(*((replaced[c] if c in replaced else F.col(f"row.`{c}`")).alias(c) for c in columns))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, where=None) -> DataFrame:
     """Up to ``bound`` labelled documents: doc_id, text, label.
 

@@ -3,8 +3,8 @@
 A string of ``length`` bytes that starts anywhere else, in the same or another document,
 is removed wherever it starts. The corpus is never one text in one place:
 
-1.  Every window of ``length`` bytes is represented by an anchor in it, the ``ANCHOR``
-    bytes with the smallest hash. Equal windows have equal anchors at equal places, so
+1.  Every window of ``length`` bytes is represented by an anchor in it, the (about a third
+    as many) bytes with the smallest hash. Equal windows have equal anchors at equal places, so
     only anchors that occur twice can stand for repeated windows. Windows that share an
     anchor in one document are one context.
 2.  Contexts of one anchor meet by a shuffle. Their texts after the anchor are parsed
@@ -31,18 +31,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.store import stored
+from gridloom.llm.store import aside, restored, stored
 from gridloom.llm.suffix_array import suffix_array
-from gridloom.llm.text import mix, prefix_hash, slices, span_hash
+from gridloom.llm.text import mix, prefix_hash, slices, span_hash, spans_hash
 
 LENGTH = 400
-ANCHOR = 128
-#: Contexts of one anchor, whole copies of documents aside, that one task takes together (about 120 MB with all arrays);
-#: anchors with more are counted window by window.
-CROWD = 8_000
+#: Contexts of one anchor, whole copies of documents aside, that one task takes together; anchors with more are split.
+CROWD = 500
 #: Bytes of contexts that are sorted together.
-BATCH = 1 << 20
-_KEY = ("k1 long", "k2 long")
+BATCH = 1 << 19
+#: Windows whose anchors are found together (about 20 arrays of 8 bytes each), also inside one long document.
+BLOCK = 1 << 17
+
+
+def anchor_size(length: int) -> int:
+    """Bytes of the anchor of windows of ``length`` bytes."""
+    return length * 8 // 25
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -55,32 +59,46 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The contexts of all documents: document, hash of the anchor, its place, first window, number of windows.
 
     Places are counted from the beginning of ``data``. Documents of fewer than ``length`` bytes have none.
+    Windows are taken ``block`` at a time; the result does not depend on that.
     """
-    none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return none, none.astype(np.uint64), none, none, none
-    at = np.arange(len(data) - anchor + 1)
-    hashes = span_hash(prefix, at, at + anchor, 40)
-    bits = np.uint64(max(1, int(len(at)).bit_length()))
-    ranked = ((hashes >> bits) << bits) | at.astype(np.uint64)
-    chosen = (sliding_least(ranked, length - anchor + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    window = np.arange(len(chosen))
-    doc = np.searchsorted(offsets, window, "right") - 1
-    fine = window + length <= offsets[np.minimum(doc + 1, len(offsets) - 1)]
-    window, doc, chosen = window[fine], doc[fine], chosen[fine]
-    if not len(window):
-        return none, none.astype(np.uint64), none, none, none
-    new = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])]))
-    count = np.diff(np.append(new, len(window)))
-    return doc[new], hashes[chosen[new]], chosen[new], window[new], count
+    size = anchor_size(length)
+    bits = np.uint64((block + length).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    docs, hashes, places, firsts = ([np.zeros(0, t)] for t in (np.int64, np.uint64, np.int64, np.int64))
+    counts = [np.zeros(0, np.int64)]
+    for begin in range(0, len(data) - length + 1, block):
+        end = min(begin + block, len(data) - length + 1)
+        piece = data[begin : end + length - 1]
+        at = np.arange(len(piece) - size + 1)
+        each = span_hash(prefix_hash(piece), at, at + size, 40)
+        ranked = ((each >> bits) << bits) | at.astype(np.uint64)
+        chosen = (sliding_least(ranked, length - size + 1) & low).astype(np.int64)
+        window = np.arange(begin, end)
+        doc = np.searchsorted(offsets, window, "right") - 1
+        fine = window + length <= offsets[np.minimum(doc + 1, len(offsets) - 1)]
+        window, doc, chosen = window[fine], doc[fine], chosen[fine]
+        if not len(window):
+            continue
+        new = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])]))
+        docs.append(doc[new])
+        hashes.append(each[chosen[new]])
+        places.append(chosen[new] + begin)
+        firsts.append(window[new])
+        counts.append(np.diff(np.append(new, len(window))))
+    doc, ahash, place, first, count = (np.concatenate(x) for x in (docs, hashes, places, firsts, counts))
+    if not len(doc):
+        return doc, ahash, place, first, count
+    # A context that two blocks share is one.
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
+    return doc[new], ahash[new], place[new], first[new], np.add.reduceat(count, new)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Two hashes of text and id name a row; rows that share both are equal."""
+    """Two hashes of text and id name a row; rows that share both are equal in these."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(7), text, "doc_id"), "n_bytes": F.octet_length(text).cast("long"), "h2": F.xxhash64(F.lit(9), text)})
 
@@ -90,7 +108,7 @@ def contexts(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slices(batches):
-            doc, ahash, pos, first, wins = anchors(t.data, t.offsets, prefix_hash(t.data), length)
+            doc, ahash, pos, first, wins = anchors(t.data, t.offsets, length)
             at = pa.array(doc)
             begin = t.offsets[doc]
             ints = [pa.array((x).astype(np.int32)) for x in (pos - begin, first - begin, wins)]
@@ -99,12 +117,13 @@ def contexts(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, ahash long, pos int, first int, wins int")
 
 
-def halvings(length: int = LENGTH, anchor: int = ANCHOR, levels: int = 3) -> np.ndarray:
+def halvings(length: int = LENGTH, levels: int = 3) -> np.ndarray:
     """Runs of window offsets (bytes before the anchor) that grow the anchor alike: lowest, highest, bytes added on the left, on the right.
 
     Equal windows have equal offsets, so they are in one run and agree in the grown anchor.
     """
     rows: list[list[int]] = []
+    anchor = anchor_size(length)
     for o in range(length - anchor + 1):
         left = right = 0
         for _ in range(levels):
@@ -120,25 +139,25 @@ def halvings(length: int = LENGTH, anchor: int = ANCHOR, levels: int = 3) -> np.
     return np.array(rows)
 
 
-def split_contexts(prefix: np.ndarray, begin: np.ndarray, pos: np.ndarray, first: np.ndarray, wins: np.ndarray, length: int, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+def split_contexts(data: np.ndarray, begin: np.ndarray, pos: np.ndarray, first: np.ndarray, wins: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Contexts cut by the runs of their windows' offsets: the context each is from, hash of the grown anchor, first window, windows."""
-    runs = halvings(length, anchor)
+    runs = halvings(length)
     high = np.minimum((pos - first)[:, None], runs[None, :, 1])
     low = np.maximum((pos - first - wins + 1)[:, None], runs[None, :, 0])
     of, run = np.nonzero(low <= high)
     at = begin[of] + pos[of]
-    grown = span_hash(prefix, at - runs[run, 2], at + anchor + runs[run, 3], 47)
+    grown = spans_hash(data, at - runs[run, 2], at + anchor_size(length) + runs[run, 3], 47)
     with np.errstate(over="ignore"):
         grown = mix(grown + runs[run, 0].astype(np.uint64), 48)
     return of, grown, pos[of] - high[of, run], (high - low + 1)[of, run]
 
 
-def repeated_windows(parts: list[bytes], group: np.ndarray, pos: np.ndarray, wins: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> list[np.ndarray]:
+def repeated_windows(parts: list[bytes], group: np.ndarray, pos: np.ndarray, wins: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For contexts sorted by group: which of each one's windows equal a window of another context of its group.
 
     A context's bytes begin at its first window; ``pos`` is the anchor's place in them.
     """
-    n = len(parts)
+    n, anchor = len(parts), anchor_size(length)
     out = [np.zeros(w, bool) for w in wins.tolist()]
     # Contexts that are equal throughout stand for each other.
     seen: dict[tuple, list[int]] = {}
@@ -260,8 +279,8 @@ def resolve(batches: Iterator[pa.RecordBatch], length: int, batch: int) -> Itera
 
 def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What the corpus repeats: the named rows, the keys of whole copies, and (k1, k2, text, spans) of other documents with repeats."""
-    if length < ANCHOR + 8:
-        raise ValueError(f"length must be at least {ANCHOR + 8} bytes")
+    if length < 100:
+        raise ValueError("length must be at least 100 bytes")
     named = keyed(docs)
     long = named.where(F.col("n_bytes") >= length)
     twice = stored(long.groupBy("k1", "h2").agg(F.count("*").alias("n"), F.min("k2").alias("rep")).where("n > 1").select("k1", "h2", "rep"), "twice")
@@ -292,28 +311,27 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> tuple[
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slices(batches):
             doc, ahash, pos, first, wins = parts(t, False)
-            who, raw = pa.array(doc), t.data.tobytes()
-            body = [raw[x : x + w - 1 + length] for x, w in zip((t.offsets[doc] + first).tolist(), wins.tolist(), strict=True)]
+            who, raw = pa.array(doc), memoryview(t.data)
+            body = [bytes(raw[x : x + w - 1 + length]) for x, w in zip((t.offsets[doc] + first).tolist(), wins.tolist(), strict=True)]
             ints = [pa.array(x.astype(np.int32)) for x in (first, pos - first, wins)]
             yield pa.RecordBatch.from_arrays([pa.array(ahash), t.batch.column("k1").take(who), t.batch.column("k2").take(who), *ints, pa.array(body, pa.binary())], ["ahash", "k1", "k2", "first", "pos", "wins", "body"])
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slices(batches):
             doc, _, pos, first, wins = parts(t, True)
-            of, grown, start, count = split_contexts(prefix_hash(t.data), t.offsets[doc], pos, first, wins, length)
+            of, grown, start, count = split_contexts(t.data, t.offsets[doc], pos, first, wins, length)
             who, s = pa.array(doc[of]), t.offsets[doc[of]] + start
             with np.errstate(over="ignore"):
-                whole = mix(span_hash(prefix_hash(t.data), s, s + count - 1 + length, 49) + (pos[of] - start).astype(np.uint64), 50)
+                whole = mix(spans_hash(t.data, s, s + count - 1 + length, 49) + (pos[of] - start).astype(np.uint64), 50)
             yield pa.RecordBatch.from_arrays([t.batch.column("k1").take(who), t.batch.column("k2").take(who), pa.array(grown.view(np.int64)), pa.array(whole.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (pos[of], start, count))], ["k1", "k2", "ahash", "whole", "pos", "first", "wins"])
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slices(batches):
             doc, _, _, first, wins = parts(t, True)
-            prefix = prefix_hash(t.data)
             row = np.repeat(np.arange(len(doc)), wins)
             start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(wins) - wins, wins)
             s, who = t.offsets[doc[row]] + start, pa.array(doc[row])
-            hashes = [pa.array(span_hash(prefix, s, s + length, seed).view(np.int64)) for seed in (45, 46)]
+            hashes = [pa.array(spans_hash(t.data, s, s + length, seed).view(np.int64)) for seed in (45, 46)]
             yield pa.RecordBatch.from_arrays([t.batch.column("k1").take(who), t.batch.column("k2").take(who), *hashes, pa.array(start.astype(np.int32))], ["k1", "k2", "w1", "w2", "s"])
 
     # Crowded anchors meet again by the bytes round them.
@@ -339,29 +357,40 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> tuple[
     return named, copies, rest
 
 
-def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
-    """``gone``, widened to all bytes of the UTF-8 characters that it touches."""
-    begin = np.flatnonzero((data & 0xC0) != 0x80)
-    if not len(begin):
-        return gone
-    return np.repeat(np.logical_or.reduceat(gone, begin), np.diff(np.append(begin, len(data))))
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that overlapping or touching spans cover."""
+    order = np.argsort(start, kind="stable")
+    start, far = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > far[:-1]]))
+    return start[new], far[np.append(new[1:] - 1, len(far) - 1)]
+
+
+def whole_characters(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs widened to all bytes of the UTF-8 characters that they touch."""
+    start, end = start.copy(), end.copy()
+    for _ in range(3):
+        start -= (start > 0) & ((data[np.minimum(start, len(data) - 1)] & 0xC0) == 0x80)
+        end += (end < len(data)) & ((data[np.minimum(end, len(data) - 1)] & 0xC0) == 0x80)
+    return merged(start, end)
 
 
-def cleaned(rest: DataFrame, whole_characters: bool = False) -> DataFrame:
-    """k1, k2, n_removed, n_spans, kept (bytes) of documents with their repeated spans; ``kept`` may give up characters that are only partly left."""
+def cleaned(rest: DataFrame, characters: bool = False) -> DataFrame:
+    """k1, k2, n_removed, n_spans, kept (bytes) of documents with their repeated spans; with ``characters`` those that are only partly left go, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slices(batches):
             removed, runs, kept = [], [], []
-            for i, spans in enumerate(t.batch.column("spans").to_pylist()):
-                edge = np.zeros(int(t.sizes[i]) + 1, np.int32)
-                np.add.at(edge, [x["s"] for x in spans], 1)
-                np.add.at(edge, [x["e"] for x in spans], -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                removed.append(int(gone.sum()))
-                runs.append(len(_runs(gone)[0]))
+            lists = t.batch.column("spans")
+            cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+            s, e = (lists.flatten().field(c).to_numpy().astype(np.int64) for c in ("s", "e"))
+            for i in range(len(t)):
+                start, end = merged(s[cuts[i] : cuts[i + 1]], e[cuts[i] : cuts[i + 1]])
+                removed.append(int((end - start).sum()))
+                runs.append(len(start))
                 data = t.data[t.offsets[i] : t.offsets[i + 1]]
-                kept.append(data[~(_whole_characters(data, gone) if whole_characters else gone)].tobytes())
+                if characters:
+                    start, end = whole_characters(data, start, end)
+                kept.append(b"".join(data[x:y].tobytes() for x, y in zip([0, *end.tolist()], [*start.tolist(), len(data)], strict=True)))
             yield pa.RecordBatch.from_arrays([t.batch.column("k1"), t.batch.column("k2"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["k1", "k2", "n_removed", "n_spans", "kept"])
 
     return rest.mapInArrow(run, "k1 long, k2 long, n_removed long, n_spans long, kept binary")
@@ -392,12 +421,14 @@ def digest(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFra
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """``docs`` with ``text`` less its repeated bytes, every other column as it was.
+    """``docs`` with ``text`` less its repeated bytes, every other column as it was, whatever its name.
 
-    A character of several bytes that loses some of them loses all of them, so that the text stays valid.
+    A character of several bytes that loses some of them loses all of them, so that the
+    text stays valid. Null texts stay null; short ones, empty tables, null ids and
+    repeated rows are treated as in ``digest``.
     """
-    named, copies, rest = repeats(docs, length, crowd)
-    parts = cleaned(rest, whole_characters=True).select("k1", "k2", "n_removed", "n_spans", F.decode(F.col("kept"), "UTF-8").alias("part"))
+    named, copies, rest = repeats(aside(docs), length, crowd)
+    parts = cleaned(rest, characters=True).select("k1", "k2", "n_removed", "n_spans", F.decode(F.col("kept"), "UTF-8").alias("part"))
     out = _joined(named, copies, stored(parts, "parts"))
     text = F.when(F.col("whole"), F.lit("")).when(F.col("n_removed") > 0, F.col("part")).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(docs.columns)
+    return restored(out, docs.columns, text=text)

@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that one NumPy pass holds; a single longer document is still taken whole.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that one NumPy pass holds; a longer document is one slice, whose hashes are taken piece by piece.
+SLICE_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -30,14 +30,18 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the hash base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 64)
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_BASE, _BASE_INVERSE)):
-                step = np.full(size, base, np.uint64)
-                step[0] = 1
-                _powers[k] = np.multiply.accumulate(step)
-    return _powers[0][:n], _powers[1][:n]
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    size = max(n, SLICE_BYTES + 4096)
+    made = []
+    with np.errstate(over="ignore"):
+        for base in (_BASE, _BASE_INVERSE):
+            step = np.full(size, base, np.uint64)
+            step[0] = 1
+            made.append(np.multiply.accumulate(step))
+    if size <= 4 * SLICE_BYTES:
+        _powers[:] = made  # those of a span much longer than a slice are not kept
+    return made[0][:n], made[1][:n]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
@@ -56,6 +60,26 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
         return mix((prefix[end] - prefix[start]) * down[start], seed)
 
 
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0, limit: int = SLICE_BYTES) -> np.ndarray:
+    """The same as ``span_hash`` without running sums of all of ``data``: spans that begin within ``limit`` bytes are hashed together."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    order = None if len(start) < 2 or (start[1:] >= start[:-1]).all() else np.argsort(start, kind="stable")
+    s, e = (start, end) if order is None else (start[order], end[order])
+    out = np.empty(len(s), np.uint64)
+    i = 0
+    while i < len(s):
+        low = int(s[i])
+        j = max(i + 1, int(np.searchsorted(s, low + limit)))
+        out[i:j] = span_hash(prefix_hash(data[low : int(e[i:j].max())]), s[i:j] - low, e[i:j] - low, seed)
+        i = j
+    if order is None:
+        return out
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 class Texts:
     """Some documents: their bytes in one array, and where each begins."""
 
@@ -122,7 +146,7 @@ def owners(first: np.ndarray) -> np.ndarray:
 def word_hashes(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word in order, and for each document the number of its first word."""
     starts, ends, first = words(t)
-    return span_hash(prefix_hash(t.data), starts, ends), first
+    return spans_hash(t.data, starts, ends), first
 
 
 def window_hashes(items: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

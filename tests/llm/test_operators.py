@@ -29,6 +29,20 @@ def docs(spark, texts, start=0):
 ODD = [None, "", " ", "\n", "a", "one two\nONE two\none two", "x" * 5000, "é " * 700, "\n\n\n", "a\tb\x0bc\x0cd\re", None, ""]
 
 
+#: Names that operators use themselves, as columns of a user's table.
+NAMES = """row k1 k2 h2 n_bytes n_removed n_spans whole part kept kept_text n_lines n_dropped n_words word_chars n_symbols n_dup_lines n_repeat_words
+base_failed lines pos key id rep class_id grp piece words score a b __a __b __id __null __rep __kept __lines __pos __row""".split()
+
+
+def clashing(df):
+    """``df`` with a column under every one of those names."""
+    return df.withColumns({n: F.lit(f"my {n}") for n in NAMES if n not in df.columns})
+
+
+def assert_untouched(rows):
+    assert all(r[n] == f"my {n}" for r in rows for n in NAMES)
+
+
 # Line dedup
 def lines_by_hand(texts, least):
     key = lambda s: "".join(c.lower() if "A" <= c <= "Z" else c for c in s.strip(" \t\n\x0b\x0c\r"))
@@ -173,9 +187,9 @@ def test_removal_odd_tables(spark):
     long = " ".join(f"w{i}" for i in range(200))
     same = spark.createDataFrame([(1, long), (1, long), (None, long + "x")], DOCS)
     assert sorted((r.n_bytes - r.n_removed) for r in suffix_dedup.digest(same, 150).collect()) == [0, 0, 1]
-    extra = docs(spark, [long, long, "short"]).withColumns({"k1": F.lit("mine"), "n_bytes": F.lit(5)})
-    out = suffix_dedup.remove_repeats(extra.drop("k1", "n_bytes").withColumn("note", F.lit("n")), 150).orderBy("doc_id").collect()
-    assert [r.text for r in out] == ["", "", "short"] and out[0].note == "n"
+    out = suffix_dedup.remove_repeats(clashing(docs(spark, [long, long, "short"])), 150).orderBy("doc_id").collect()
+    assert [r.text for r in out] == ["", "", "short"]
+    assert_untouched(out)
 
 
 def test_removal_keeps_whole_characters(spark):
@@ -185,7 +199,28 @@ def test_removal_keeps_whole_characters(spark):
     out = suffix_dedup.remove_repeats(docs(spark, texts), 150).orderBy("doc_id").collect()
     assert [r.text for r in out] == ["é", "è", "tail"]
     data = np.frombuffer("aéb".encode(), np.uint8)
-    assert suffix_dedup._whole_characters(data, np.array([False, False, True, False])).tolist() == [False, True, True, False]
+    start, end = suffix_dedup.whole_characters(data, np.array([2]), np.array([3]))
+    assert (start.tolist(), end.tolist()) == ([1], [3])
+
+
+def test_anchors_do_not_depend_on_blocks():
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 101, 5000).astype(np.uint8)
+    offsets = np.array([0, 10, 10, 900, 4200, 5000])
+    whole = suffix_dedup.anchors(data, offsets, 150, 1 << 16)
+    for block in (1, 97, 1000):
+        for a, b in zip(whole, suffix_dedup.anchors(data, offsets, 150, block), strict=True):
+            assert a.tolist() == b.tolist()
+
+
+def test_spans_are_hashed_piece_by_piece():
+    from gridloom.llm.text import prefix_hash, span_hash, spans_hash
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 3000).astype(np.uint8)
+    start = rng.integers(0, 2900, 200)
+    end = start + rng.integers(0, 100, 200)
+    assert (spans_hash(data, start, end, 4, limit=150) == span_hash(prefix_hash(data), start, end, 4)).all()
 
 
 # BPE
