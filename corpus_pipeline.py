@@ -6,47 +6,63 @@ All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import line_dedup, near_dedup, packing, quality_rules, suffix_dedup
-from gridloom.llm.store import stored, table
+from gridloom.llm.store import aside, restored, stored, table
 
 #: SQL has no learned rules, sketches or packing; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of documents, with n_chars counted anew."""
+#: Bytes from which a repeated string goes: under 4 for each word of a passage of over 50 words.
+PASSAGE_BYTES = 200
+
+
+def _with_text(rows: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """The columns of documents with a new text, and n_chars (if there is one) counted anew."""
+    replaced = {"text": text}
     if "n_chars" in columns:
-        docs = docs.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
-    return docs.select(columns)
+        replaced["n_chars"] = F.coalesce(F.char_length(text), F.lit(0)).cast("long")
+    return restored(rows, columns, **replaced)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned list reject."""
+    """Documents that neither the base rules nor the learned list reject.
+
+    Null, empty and short texts fail the base rules and go. Repeated rows go or stay together; null ids
+    change nothing. All columns stay as they are, whatever their names; an empty table stays empty.
+    """
     rules = quality_rules.fit_rules(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.apply_rules(docs, rules).where("kept").select(docs.columns)
+    return restored(quality_rules.apply_rules(aside(docs), rules).where("kept"), docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them share; one that loses all its text stays as an empty one."""
-    out = line_dedup.drop_common_lines(docs)
-    return _with_text(out.withColumn("text", F.col("kept_text")), docs.columns)
+    """Documents without the lines that ten or more of them share.
+
+    One that loses all its text stays as an empty one, and a null text becomes empty. Repeated rows of one
+    id count as one document and lose the same lines. Other columns stay as they are, but for n_chars.
+    """
+    return _with_text(line_dedup.drop_common_lines(aside(docs)), docs.columns, F.col("kept_text"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates, with all its columns; see ``near_dedup.one_of_each`` for repeated rows and null ids."""
     return near_dedup.one_of_each(docs)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that start anywhere else."""
-    return _with_text(suffix_dedup.remove_repeats(docs), docs.columns)
+    """Documents without the strings of PASSAGE_BYTES that start anywhere else.
+
+    No row goes; one that is repeated throughout keeps an empty text. Other columns stay as they are, but for n_chars.
+    """
+    out = suffix_dedup.remove_repeats(docs, PASSAGE_BYTES)
+    return _with_text(aside(out), docs.columns, F.col("text"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of a document stands in the training sequences."""
+    """Where each piece of a document stands in the training sequences; documents without words have a row with a null bin."""
     return packing.best_fit(docs)
 
 
