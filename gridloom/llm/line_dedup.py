@@ -1,11 +1,11 @@
 """Removal of lines that many documents share, in DataFrame functions only.
 
-The lines of a document are hashed inside its row, so that what is shuffled is one
-16-byte hash for each different line of a document, counted with map-side
-aggregation. The frequent hashes then go back to the documents that hold them by a
-join on the hash (the frequent hashes are written once, so that both sides of the join
-have exchanges of their own and Spark can split a hot hash), and a document's text
-is moved once, to meet the set of its dropped hashes.
+The lines of a document are hashed inside its row. Distinct pairs of document and hash,
+then documents for each hash, are counted with map-side aggregation at both levels, so
+a line that every document has is no hot task. The frequent hashes (written once, so
+that both sides of the join have exchanges of their own and Spark can split a hot hash)
+meet the places of the lines, and the lines of a document move once, to meet the set of
+its dropped places.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from gridloom.llm.store import stored
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
+NEW = ("n_lines", "n_dropped", "kept_text")
 
 
 def lines_of(text: Column) -> Column:
@@ -43,35 +44,33 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
     all its lines in every document. The other lines stay as they were, in order,
     joined by \\n.
 
-    Each row is one document; rows that share an id are told apart by their
-    text only for the count of lines, and lose the same lines. Null or empty text:
-    one empty line, which stays for ``min_chars`` of 1 or more. Null ids take part in
-    the counts; their lines stay. An empty table gives an empty table. Columns named
-    as the three new ones are replaced; all others are kept.
+    Rows that share an id are one document in the count, and all lose the frequent lines.
+    Rows without an id lose them, too; those with equal texts are one document, different
+    ones are different documents. Null or empty text: one empty line, which stays for
+    ``min_chars`` of 1 or more. An empty table gives an empty table. Columns named as the
+    three new ones are replaced; all others are kept.
     """
-    keys = F.array_distinct(F.transform(lines_of(F.col(text_col)), lambda x: line_key(x)))
-    long_enough = F.filter(keys, lambda k: F.char_length(k) >= F.lit(max(0, min_chars)))
-    held = docs.select(F.col(id_col).alias("__id"), F.explode(F.transform(long_enough, lambda k: line_hash(k))).alias("__h"))
-    held = held.select("__id", F.col("__h.a").alias("__a"), F.col("__h.b").alias("__b"))
-    common = stored(held.groupBy("__a", "__b").count().where(F.col("count") >= min_docs).select("__a", "__b"), "common")
-    hits = held.where(F.col("__id").isNotNull()).join(common, ["__a", "__b"]).groupBy("__id").agg(F.collect_set(F.struct("__a", "__b")).alias("__hits"))
-
-    numbered = docs.drop("n_lines", "n_dropped", "kept_text").join(hits, docs[id_col] == hits["__id"], "left")
     lines = lines_of(F.col(text_col))
-
-    def stays(line: Column) -> Column:
-        h = line_hash(line_key(line))
-        return ~F.exists(F.col("__hits"), lambda x: (x["__a"] == h["a"]) & (x["__b"] == h["b"]))
-
-    kept = F.when(F.col("__hits").isNull(), F.col("__lines")).otherwise(F.filter("__lines", stays))
-    return (
-        numbered.withColumn("__lines", lines)
-        .withColumn("__kept", kept)
-        .withColumn("n_lines", F.size("__lines").cast("long"))
-        .withColumn("n_dropped", (F.size("__lines") - F.size("__kept")).cast("long"))
-        .withColumn("kept_text", F.array_join("__kept", "\n"))
-        .drop("__id", "__hits", "__lines", "__kept")
-    )
+    # A row is named by its id and a hash of its text: rows that share both have the same lines.
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in NEW)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), lines.alias("lines"))
+
+    def hashed(line: Column) -> Column:
+        key = line_key(line)
+        return F.when(F.char_length(key) >= F.lit(max(0, min_chars)), line_hash(key))
+
+    hashes = named.select("id", "t", F.transform("lines", lambda x: hashed(x)).alias("hs"))
+    whose = F.when(F.col("id").isNull(), F.col("t")).otherwise(F.lit(0)).alias("t")
+    held = hashes.select("id", whose, F.explode(F.array_distinct("hs")).alias("h")).where("h IS NOT NULL").select("id", "t", "h.a", "h.b").distinct()
+    common = stored(held.groupBy("a", "b").count().where(F.col("count") >= min_docs).select("a", "b"), "common")
+    placed = hashes.select("id", "t", F.posexplode("hs").alias("pos", "h")).where("h IS NOT NULL").select("id", "t", "pos", "h.a", "h.b")
+    hits = placed.join(common, ["a", "b"]).groupBy("id", "t").agg(F.collect_set("pos").alias("drop"))
+    hits = hits.select(F.col("id").alias("hit_id"), F.col("t").alias("hit_t"), "drop")
+
+    met = named.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("t") == F.col("hit_t")), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get(F.col("lines"), i)))
+    new = (F.size("lines").cast("long"), F.coalesce(F.size("drop"), F.lit(0)).cast("long"), F.array_join(kept, "\n"))
+    return met.select("row", *(v.alias(k) for k, v in zip(NEW, new, strict=True))).select("row.*", *NEW)
 
 
 def digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:

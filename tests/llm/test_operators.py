@@ -64,12 +64,21 @@ def test_lines_by_hand(spark):
 
 
 def test_lines_keep_other_columns(spark):
-    df = docs(spark, ["a\nb"]).withColumns({"n_lines": F.lit("old"), "count": F.lit(3), "kept_text": F.lit(1)})
-    out = line_dedup.drop_common_lines(df)
-    assert out.first()["count"] == 3 and out.first()["n_lines"] == 2
+    df = clashing(docs(spark, ["a\nb"])).withColumn("count", F.lit(3))
+    out = line_dedup.drop_common_lines(df).first()
+    assert out["count"] == 3 and out["n_lines"] == 2 and out["kept_text"] == "a\nb"
+    assert all(out[n] == f"my {n}" for n in NAMES if n not in line_dedup.NEW)
     assert line_dedup.digest(docs(spark, [])).count() == 0
 
 
+def test_lines_of_repeated_and_nameless_rows(spark):
+    # Ten copies under one id are one document; ten ids are ten; rows without an id are told apart by their text.
+    rows = [(1, "often\nalone")] * 10 + [(i, "shared\nx%d" % i) for i in range(2, 10)] + [(1, "shared\nmore"), (None, "shared"), (None, "shared"), (None, None), (None, "")]
+    got = Counter(tuple(r) for r in line_dedup.drop_common_lines(spark.createDataFrame(rows, DOCS)).select("doc_id", "n_lines", "n_dropped", "kept_text").collect())
+    want = Counter({(1, 2, 0, "often\nalone"): 10, (1, 2, 1, "more"): 1, (None, 1, 1, ""): 2, (None, 1, 0, ""): 2} | {(i, 2, 1, f"x{i}"): 1 for i in range(2, 10)})
+    assert got == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     assert differences(queries.QUERIES[name](spark, SF), database(SF), queries.ORACLES[name]) == ""
