@@ -80,37 +80,51 @@ def score(docs: DataFrame, ratio: np.ndarray, temperature: float) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
+def kth(rows: DataFrame, column: str, k: int, bins: int = 4096) -> tuple[float | int, int]:
+    """The ``k``-th smallest value of a column without nulls (k from 1, at most the number of rows), and how many rows are below it.
+
+    Rows are counted in ``bins`` equal steps between the bounds that are left, which are
+    then those of the step with the k-th row. Steps never go down where values go up,
+    so no rounding can put a row on the wrong side. Only counts reach the driver.
+    """
+    x = F.col(column)
+    low, high = rows.agg(F.min(x), F.max(x)).first()
+    below = 0
+    while low < high:
+        width = (float(high) - float(low)) / bins
+        step = F.least(F.floor((x.cast("double") - F.lit(float(low))) / F.lit(width)), F.lit(bins - 1)) if width > 0 else (x > F.lit(low)).cast("long")
+        counted = rows.where(x.between(F.lit(low), F.lit(high))).groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+        for r in sorted(counted.collect()):
+            if below + r["n"] >= k:
+                low, high = r["low"], r["high"]
+                break
+            below += r["n"]
+    return low, below
+
+
 def top_k(scored: DataFrame, k: int, key: str = "key", bins: int = 4096) -> DataFrame:
-    """``scored`` with ``kept``: true for exactly the ``k`` rows of largest ``key``, ties to the smaller doc_id.
+    """``scored`` with ``kept``: true for exactly ``k`` rows (all, if fewer have a key), those of largest ``key``.
 
-    The k-th key is found by counting rows in ``bins`` equal steps between the bounds
-    that are left, each time inside the step that holds it; only rows of one last step,
-    or equal keys, are ranked. Nothing but ``bins`` counts reaches the driver.
+    Ties go to the smaller doc_id, null first, then to any of the rows that share key and
+    id. The three bounds are found by counting (see ``kth``), so no task ranks all rows.
+    Every row comes back once with its columns; a column named ``kept`` is replaced.
     """
-    low, high = scored.agg(F.min(key), F.max(key)).first()
-    if low is None or k <= 0:
-        return scored.withColumn("kept", F.lit(False))
-    above, inside = 0, None
-    for _ in range(12):
-        width = (high - low) / bins
-        if width <= 0 or low + width == low:
-            break
-        step = F.least(F.floor((F.col(key) - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-        counts = dict(scored.where(F.col(key).between(low, high)).groupBy(step.alias("s")).count().collect())
-        s = bins - 1
-        while s > 0 and above + counts.get(s, 0) < k:
-            above += counts.get(s, 0)
-            s -= 1
-        inside = counts.get(s, 0)
-        # One part in a million on either side, as the bounds are rounded; ranks below set this right.
-        low, high = low + width * s - width * 1e-6, min(high, low + width * (s + 1) + width * 1e-6)
-        above = scored.where(F.col(key) > high).count()
-        if inside <= 1000:
-            break
-    edge = scored.where(F.col(key).between(low, high)).select("doc_id", F.col(key).alias("__k"))
-    chosen = edge.orderBy(F.desc("__k"), F.asc("doc_id")).limit(max(0, k - above)).select(F.col("doc_id").alias("__id"), F.lit(True).alias("__in"))
-    out = scored.join(chosen, scored["doc_id"].eqNullSafe(chosen["__id"]), "left")
-    return out.withColumn("kept", (F.col(key) > F.lit(high)) | (F.col(key).between(low, high) & F.coalesce("__in", F.lit(False)))).drop("__id", "__in")
+    columns = [c for c in scored.columns if c != "kept"]
+    place = F.coalesce(F.col("doc_id").try_cast("long"), F.lit(-(1 << 63)))
+    rows = stored(scored.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), (-F.col(key)).alias("key"), place.alias("id"), F.monotonically_increasing_id().alias("n")), "ranked")
+    ties = rows.where("key IS NOT NULL")
+    left = min(k, ties.count())
+    if left <= 0:
+        return rows.select("row.*", F.lit(False).alias("kept"))
+    bound = []
+    for column in ("key", "id", "n"):
+        value, below = kth(ties, column, left, bins)
+        bound.append(F.lit(value))
+        left -= below
+        ties = ties.where(F.col(column) == F.lit(value))
+    v, i, n = bound
+    inside = (F.col("key") < v) | ((F.col("key") == v) & ((F.col("id") < i) | ((F.col("id") == i) & (F.col("n") <= n))))
+    return rows.withColumn("in", F.coalesce(inside, F.lit(False))).select("row.*", F.col("in").alias("kept"))
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, size: int = 1 << 17, bound: int = 20_000, temperature: float = 0.05, seed: int = 17) -> DataFrame:
@@ -118,15 +132,15 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, siz
 
     The raw model counts all documents. The target model counts at most ``bound``
     documents with quality 1. ``share`` of all rows is drawn; by default the share of
-    good ones among all labels. Null ids and texts are scored as empty text; repeated
-    rows with one id get one key and are drawn together or cut by rank.
+    good ones among all labels. Null texts are scored as empty ones. Repeated rows
+    with one id get one key, and any of them are drawn where the limit falls between them;
+    every row of ``docs`` comes back once. Without labels all rows are drawn; an empty table stays empty.
     """
     target = labelled_sample(docs, labels.where("quality = 1"), "quality", bound)
     ratio = log_ratio(bucket_counts(target, size), bucket_counts(docs, size))
     scored = score(docs, ratio, temperature).withColumn("key", F.col("log_weight") + gumbel("doc_id", seed))
-    scored = stored(scored, "resample")
     if share is None:
         share = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    n = scored.count()
+    n = docs.count()
     k = min(n, math.ceil(n * (1.0 if share is None else share)))
     return top_k(scored, k)

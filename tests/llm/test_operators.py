@@ -141,6 +141,65 @@ def test_top_k_is_exact(spark):
         assert got == set(sorted(range(len(keys)), key=lambda i: (-keys[i], i))[:k])
 
 
+def test_top_k_of_repeated_rows(spark):
+    rows = [(1, 0.5), (1, 0.5), (2, 0.5), (3, 0.1), (None, 0.5), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, key double").withColumns({"row": F.lit("my row"), "id": F.lit(1), "n": F.lit(2)})
+    for k in range(8):
+        out = resample.top_k(df, k, bins=4).collect()
+        assert Counter((r.doc_id, r.key) for r in out) == Counter(rows) and sum(r.kept for r in out) == min(k, 5)
+        assert [r.doc_id for r in out if r.kept] .count(None) == min(k, 1) and all(r.row == "my row" and r.id == 1 and r.n == 2 for r in out)
+    wide = spark.createDataFrame([(i, x) for i, x in enumerate([1e300, -1e300, 1e-300, 0.0, -0.0, 5e-324, float(2**60), 1.0, 1.0 + 2**-52])], "doc_id long, key double")
+    for k in range(1, 9):
+        got = {r.doc_id for r in resample.top_k(wide, k, bins=4).where("kept").collect()}
+        assert got == set(sorted(range(9), key=lambda i: (-wide.collect()[i].key, i))[:k])
+
+
+def model_by_hand(texts, size):
+    """How often each bucket of words and word pairs occurs, one text at a time."""
+    import pyarrow as pa
+
+    from gridloom.llm.text import _BASE, mix, slices, word_hashes
+
+    counts, own = Counter(), []
+    for t in texts:
+        hashes = next(slices([pa.RecordBatch.from_pydict({"text": pa.array([t], pa.string())})]))
+        one = [int(h) for h in word_hashes(hashes)[0]]
+        pair = []
+        for a, b in zip(one, one[1:]):
+            with np.errstate(over="ignore"):
+                x = mix(np.array([a], np.uint64))
+                pair.append(int(mix(x * _BASE + np.uint64(b))[0]))
+        own.append([h % size for h in one + pair])
+        counts.update(own[-1])
+    return counts, own
+
+
+def test_importance_by_hand(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 12))) for _ in range(40)] + [None, "", "  "]
+    size = 64
+    labels = spark.createDataFrame([(i, i % 3 == 0) for i in range(30)], "doc_id long, good boolean").selectExpr("doc_id", "int(good) AS quality")
+    raw, own = model_by_hand(texts, size)
+    target, _ = model_by_hand([texts[i] for i in range(0, 30, 3)], size)
+    total, wanted = sum(raw.values()), sum(target.values())
+    prior = [(raw[b] + 1) / (total + size) for b in range(size)]
+    pseudo = 0.01 * max(1.0, wanted)
+    ratio = [np.log((target[b] + pseudo * prior[b]) / (wanted + pseudo) / prior[b]) for b in range(size)]
+    for r in resample.resample(docs(spark, texts), labels, size=size).collect():
+        assert r.n_grams == len(own[r.doc_id])
+        assert r.log_weight == pytest.approx(sum(ratio[b] for b in own[r.doc_id]) / max(1, len(own[r.doc_id])) / 0.05, abs=1e-9)
+
+
+def test_resampling_odd_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert resample.resample(docs(spark, []), none, size=64).count() == 0
+    rows = [(1, "a b")] * 3 + [(None, "c"), (None, None), (2, "")]
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    out = resample.resample(clashing(spark.createDataFrame(rows, DOCS)), labels, size=64)
+    assert out.columns == ["doc_id", "n_grams", "log_weight", "key", "kept"]
+    assert Counter(r.doc_id for r in out.collect()) == Counter(r[0] for r in rows) and out.where("kept").count() == 5
+
+
 def test_resampling_prefers_the_target(spark):
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(0, 60)], "doc_id long, quality int")
     texts = ["good calm words here again" if i % 2 == 0 else "junk!!! noise$$$ %%% zzz" for i in range(120)]
