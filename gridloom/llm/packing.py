@@ -5,17 +5,22 @@ pieces are dealt into groups of bounded size by a hash of their document, and ea
 group is packed by best-fit decreasing: a piece goes to the open bin that it leaves
 least room in; where none has room, a bin is opened with the permitted length that is
 cheapest for each token it can be expected to hold. At the end every bin takes the
-smallest permitted length that holds its contents.
+smallest permitted length that holds its contents. The lengths are optimised jointly: a
+group is packed with every choice of lengths that bins may be opened with, and the
+packing of least cost is kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.store import stored
+
 #: Permitted sequence lengths.
 SIZES = (256, 512, 1024, 2048)
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -82,6 +87,21 @@ def pack(lengths: Sequence[int], sizes: Sequence[int] = SIZES, cost=bin_cost) ->
     return where, at, [next(s for s in sizes if s >= u) for u in used]
 
 
+def pack_jointly(lengths: Sequence[int], sizes: Sequence[int] = SIZES, cost=bin_cost) -> tuple[list[int], list[int], list[int]]:
+    """The cheapest of the packings that open bins with some of the sizes only; the largest is always among them."""
+    *smaller, top = sorted(sizes)
+    choices = [(*some, top) for n in range(len(smaller), -1, -1) for some in combinations(smaller, n)]
+
+    def packed(choice: Sequence[int]) -> tuple[list[int], list[int], list[int]]:
+        where, at, _ = pack(lengths, choice, cost)
+        used = [0] * (max(where, default=-1) + 1)
+        for w, n in zip(where, lengths, strict=True):
+            used[w] += n
+        return where, at, [next(s for s in sorted(sizes) if s >= u) for u in used]
+
+    return min(map(packed, choices), key=lambda p: sum(map(cost, p[2])))
+
+
 def best_fit(docs: DataFrame, sizes: Sequence[int] = SIZES, length: Column | None = None, group_pieces: int = 1_500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of a document: doc_id, piece, n_tokens, bin_id, bin_size, place.
 
@@ -92,23 +112,31 @@ def best_fit(docs: DataFrame, sizes: Sequence[int] = SIZES, length: Column | Non
     a long document or a source with many documents is spread over all of them.
 
     Documents without tokens (null or empty text, negative or null length) have one row
-    with null bin. Repeated rows are packed each for itself. Ties of length go
-    to the smaller id, null ids first. Only ids and lengths are shuffled.
+    with null bin. Repeated rows are packed each for itself, and are spread over the groups
+    by their place in the table, as rows without an id are. Ties of length go to the
+    smaller id, null ids first. Only ids and lengths are shuffled. Other columns are left
+    out; an empty table gives an empty one.
     """
     sizes = sorted(sizes)
     top = sizes[-1]
     length = word_count(F.col(text_col)) if length is None else F.coalesce(length.cast("long"), F.lit(0))
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(length, F.lit(0)).alias("__n"))
-    pieces = sized.select("doc_id", "__n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("__n") / top) - 1, F.lit(0)).cast("int"))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", F.least(F.lit(top), F.col("__n") - F.col("piece") * top).cast("int").alias("n_tokens"))
-    groups = max(1, -(-docs.count() // group_pieces))
-    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(length, F.lit(0)).alias("n"), F.monotonically_increasing_id().alias("row"))
+    last = F.greatest(F.ceil(F.col("n") / top) - 1, F.lit(0))
+    sized = stored(sized.withColumn("last", last.cast("int")), "sized")
+    total = sized.agg(F.sum(F.col("last") + 1)).first()[0] or 0
+    groups = max(1, -(-total // group_pieces))
+    again = sized.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").withColumnRenamed("doc_id", "same")
+    sized = sized.join(again, F.col("doc_id").eqNullSafe(F.col("same")), "left")
+    salt = F.when(F.col("count").isNotNull(), F.col("row")).otherwise(F.lit(0))
+    pieces = sized.select("doc_id", "n", salt.alias("salt"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("piece"))
+    grp = F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(groups)).cast("int")
+    pieces = pieces.select("doc_id", "piece", F.least(F.lit(top), F.col("n") - F.col("piece") * top).cast("int").alias("n_tokens"), grp.alias("grp"))
     schema = "doc_id long, piece int, n_tokens int, bin_id string, bin_size int, place int"
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], na_position="first", kind="stable")
         full = group[group["n_tokens"] > 0]
-        where, place, final = pack(full["n_tokens"].tolist(), sizes)
+        where, place, final = pack_jointly(full["n_tokens"].tolist(), sizes)
         out = group[["doc_id", "piece", "n_tokens"]].astype({"doc_id": "Int64"})
         name = f"{group['grp'].iloc[0]}-"
         spare = [None] * (len(group) - len(full))
