@@ -209,13 +209,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int =
     return float(max(a, 0.0)), float(b)
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, bound: int = 4_000, where=None, **options) -> Lexicon:
+def fit_lexicon(docs: DataFrame, labels: DataFrame, bound: int = 4_000, where=None, max_bytes: int = 1 << 15, **options) -> Lexicon:
     """The lexicon learned from at most ``bound`` labelled documents, chosen by a hash of their id.
 
-    ``where`` limits the labelled rows to learn from. With no labelled document, or one
-    class only, the lexicon has no entry.
+    Only texts of up to ``max_bytes`` teach, so what the driver takes is bounded in rows and
+    bytes. ``where`` limits the labelled rows to learn from. With no labelled document, or
+    one class only, the lexicon has no entry. Null texts are empty; an id teaches once.
     """
-    rows = labelled_sample(docs, labels, "toxic", bound, where).select("doc_id", "text", "label").orderBy("doc_id").collect()
+    rows = labelled_sample(docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes), labels, "toxic", bound, where).orderBy("doc_id").collect()
     return fit([(r["text"], r["label"]) for r in rows], **options)
 
 
@@ -250,7 +251,11 @@ TRAIN = "crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1"
 
 
 def held_out_report(docs: DataFrame, labels: DataFrame, bound: int = 4_000, threshold: float = 0.7) -> DataFrame:
-    """Every document scored by a lexicon learned only from rows whose crc32(doc_id) mod 3 is not 1."""
+    """doc_id, held_out, score and predicted of every row, by a lexicon learned only from rows whose crc32(doc_id) mod 3 is not 1.
+
+    A row without an id is not held out. Repeated rows score alike, null and empty texts like
+    text without any entry; other columns are left out; an empty table gives an empty one.
+    """
     lexicon = fit_lexicon(docs, labels, bound, where=TRAIN)
     out = score_toxicity(docs, lexicon, threshold)
-    return out.select("doc_id", F.expr(f"NOT ({TRAIN})").alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(F.expr(f"NOT ({TRAIN})"), F.lit(False)).alias("held_out"), "score", "predicted")
