@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.store import stored
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, root: for each end of a link the smallest node of its component.
 
     Each round joins every node to the smallest node it knows of (large-star, then
@@ -22,7 +22,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("x"), F.col("m").alias("y"))

@@ -18,13 +18,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     A cluster names it in ``spark.checkpoint.dir``; a local folder is made only
-    where that is unset, as in tests on one machine.
+    where that is unset and Spark runs on this machine alone, as in tests.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     folder = spark.conf.get("spark.gridloom.scratch", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.gridloom.scratch", folder)
     return folder
@@ -59,10 +61,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     ``bound`` is the documented limit on rows that a classifier is fitted on. The
     rows are those with the smallest hash of doc_id, so the choice is the same on
     every run and does not depend on partitioning. Because of the limit their ids
-    (16 bytes each) may be broadcast.
+    (16 bytes each) may be broadcast. An id with several labels has the smallest one; of
+    several texts under one id the one with the smallest hash is taken.
     """
-    chosen = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna().dropDuplicates(["doc_id"])
+    chosen = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
     if where is not None:
         chosen = chosen.where(where)
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("label").alias("label"))

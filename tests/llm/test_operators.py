@@ -332,6 +332,58 @@ def test_packing_holds_everything(lengths):
     assert all(used[b] <= s and s == min(x for x in (16, 32, 64) if x >= used[b]) for b, s in enumerate(final))
 
 
+@given(st.lists(st.integers(1, 64), max_size=30))
+@settings(deadline=None, max_examples=100)
+def test_packing_is_best_fit_decreasing(lengths):
+    lengths = sorted(lengths, reverse=True)
+    for sizes in ((64,), (16, 32, 64)):
+        room, where, rest = [], [], sum(lengths)
+        for n in lengths:
+            rest -= n
+            fits = [b for b in range(len(room)) if room[b] >= n]
+            if fits:
+                least = min(room[b] for b in fits)
+                where.append([b for b in fits if room[b] == least])
+            else:
+                room.append(packing.cheapest(n, rest, sizes))
+                where.append([len(room) - 1])
+            got = packing.pack(lengths, sizes)[0][len(where) - 1]
+            assert got in where[-1]
+            room[got] -= n
+
+
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=6))
+@settings(deadline=None, max_examples=100)
+def test_packing_is_near_the_optimum(lengths):
+    sizes = (16, 32, 64)
+    lengths = sorted(lengths, reverse=True)
+
+    def cost(used):
+        return sum(packing.bin_cost(next(s for s in sizes if s >= u)) for u in used)
+
+    def best(k, used):
+        if k == len(lengths):
+            return cost(used)
+        n, tries = lengths[k], [best(k + 1, [*used, lengths[k]])]
+        tries += [best(k + 1, [*used[:b], u + n, *used[b + 1 :]]) for b, u in enumerate(used) if u + n <= sizes[-1]]
+        return min(tries)
+
+    one = sum(map(packing.bin_cost, packing.pack(lengths, sizes)[2]))
+    joint = sum(map(packing.bin_cost, packing.pack_jointly(lengths, sizes)[2]))
+    optimum = best(0, [])
+    assert optimum - 1e-9 <= joint <= one and joint <= 1.35 * optimum
+
+
+def test_packing_of_odd_rows(spark):
+    rows = [(1, "a b c")] * 40 + [(None, "d e")] * 40 + [(None, None), (2, "")]
+    df = clashing(spark.createDataFrame(rows, DOCS))
+    out = packing.best_fit(df, sizes=(4, 8), group_pieces=10)
+    got = out.collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows) and sum(r.bin_id is None for r in got) == 2
+    assert out.where("bin_id IS NOT NULL").groupBy(F.substring_index("bin_id", "-", 1)).count().agg(F.max("count")).first()[0] < 40
+    assert packing.bins(out).where("n_tokens > bin_size").count() == 0
+
+
 def test_best_fit_is_best(spark):
     b = packing.OpenBins()
     for room, number in ((5, 0), (3, 1), (9, 2), (3, 3)):
@@ -372,6 +424,28 @@ def test_toxicity_held_out(spark):
     assert sum(p == t for p, t in tested) / len(tested) > 0.95
 
 
+@given(st.text(alphabet="tras hcnid ot", max_size=60))
+@settings(deadline=None, max_examples=200)
+def test_density_by_hand(text):
+    lex = lexicon.Lexicon({" tras": 3.0, " trash ": 5.0, " idiot ": 2.0}, ("trash can",))
+    folded = lexicon.Folder()(text)
+    total = 0.0
+    for i in range(len(folded)):
+        spared = any(folded.startswith(" trash can ", k) and k <= i < k + len(" trash can ") - 0 for k in range(max(0, i - 10), i + 1))
+        hit = [w for e, w in lex.weights.items() if folded.startswith(e, i)]
+        total += 0 if spared or not hit else max(hit)
+    assert lex.density(folded) == pytest.approx(100 * total / max(1, len(folded.split())))
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(1, "you idiot"), (1, "you idiot"), (2, "fine"), (None, "you idiot"), (None, None), (3, ""), (4, "idiot " * 20000), (5, "day")]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (4, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    out = lexicon.held_out_report(clashing(spark.createDataFrame(rows, DOCS)), labels).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
+    assert lexicon.held_out_report(docs(spark, []), labels).count() == 0
+
+
 def test_toxicity_odd(spark):
     lex = lexicon.fit([("you idiot", 1), ("fine day", 0)] * 5)
     out = lexicon.score_toxicity(docs(spark, ODD), lex).collect()
