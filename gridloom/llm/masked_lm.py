@@ -111,6 +111,17 @@ def _softmax_log(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _by_value(x: np.ndarray) -> np.ndarray:
+    """A stable order of small whole numbers."""
+    return np.argsort(x.astype(np.int16) if len(x) and int(x.max()) < 1 << 15 else x, kind="stable")
+
+
 def log_probabilities(weights: dict[str, np.ndarray], around: np.ndarray, tokens: np.ndarray, branch: int, block: int = 1 << 15) -> np.ndarray:
     """log p(token | both sides) of every token."""
     out = np.empty(len(tokens), np.float32)
@@ -119,7 +130,7 @@ def log_probabilities(weights: dict[str, np.ndarray], around: np.ndarray, tokens
         h = np.tanh(sum(weights["embed"][k][x[:, k]] for k in range(x.shape[1])) + weights["bias"])
         top, leaf = t % branch, t // branch
         p = _softmax_log(h @ weights["up"] + weights["up0"])[np.arange(len(t)), top]
-        order = np.argsort(top, kind="stable")
+        order = _by_value(top)
         cut = np.searchsorted(top[order], np.arange(branch + 1))
         for c in range(branch):
             rows = order[cut[c] : cut[c + 1]]
@@ -144,18 +155,18 @@ class Trainer:
         w, n = self.w, len(tokens)
         h = np.tanh(sum(w["embed"][k][around[:, k]] for k in range(around.shape[1])) + w["bias"])
         top, leaf = tokens % self.branch, tokens // self.branch
-        d = np.exp(_softmax_log(h @ w["up"] + w["up0"]))
+        d = _softmax(h @ w["up"] + w["up0"])
         d[np.arange(n), top] -= 1
         d /= n
         dh = d @ w["up"].T
-        order = np.argsort(top, kind="stable")
+        order = _by_value(top)
         cut = np.searchsorted(top[order], np.arange(self.branch + 1))
         for c in range(self.branch):
             rows = order[cut[c] : cut[c + 1]]
             if not len(rows):
                 continue
             hr = h[rows]
-            e = np.exp(_softmax_log(hr @ w["low"][c] + w["low0"][c]))
+            e = _softmax(hr @ w["low"][c] + w["low0"][c])
             e[np.arange(len(rows)), leaf[rows]] -= 1
             e /= n
             dh[rows] += e @ w["low"][c].T
@@ -166,7 +177,7 @@ class Trainer:
         dz = dh * (1 - h * h)
         self._move("bias", ..., dz.sum(axis=0))
         for k in range(around.shape[1]):
-            by = np.argsort(around[:, k], kind="stable")
+            by = _by_value(around[:, k])
             ids = around[by, k]
             begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             self._move("embed", (k, ids[begin]), np.add.reduceat(dz[by], begin, axis=0))
@@ -230,11 +241,12 @@ def within_buckets(counts: DataFrame, frequent: np.ndarray, shape: Shape) -> tup
     return stored(held.join(kinds, "bucket").select("word", gain.alias("gain")), "inside"), unseen
 
 
-def trained(docs: DataFrame, shape: Shape | None = None, rounds: int = 3, masked: float = 1.0, rate: float = 0.05, batch: int = 2048, seed: int = 5) -> Model:
+def trained(docs: DataFrame, shape: Shape | None = None, rounds: int = 3, masked: float = 1.0, rate: float = 0.2, batch: int = 8192, seed: int = 5) -> Model:
     """A network trained on all documents.
 
     A document's hash says in which of the ``rounds`` it is trained on. All its tokens are
-    predicted once, in the order of a hash, or a share of ``masked`` below 1 of them. What reaches the driver after a
+    predicted once, in the order of a hash, or a share of ``masked`` below 1 of them, chosen
+    by word and place in the document. What reaches the driver after a
     round is the average of the tasks' weights, weighted by the tokens they saw. Without
     a ``shape`` it grows with the corpus.
     """
@@ -256,7 +268,9 @@ def trained(docs: DataFrame, shape: Shape | None = None, rounds: int = 3, masked
                 hashes, first = word_hashes(t)
                 tokens = vocabulary(hashes)
                 around = contexts(tokens, first, shape.size)
-                draw = mix(np.arange(len(tokens), dtype=np.uint64) + hashes, 60 + r)
+                place = (np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    draw = mix(hashes + place * np.uint64(0xD1342543DE82EF95), 60 + r)
                 chosen = np.flatnonzero(draw < np.uint64(int(masked * 2**64))) if masked < 1 else np.arange(len(draw))
                 chosen = chosen[np.argsort(draw[chosen], kind="stable")]
                 for at in range(0, len(chosen), batch):
@@ -279,7 +293,7 @@ def trained(docs: DataFrame, shape: Shape | None = None, rounds: int = 3, masked
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (sum over all tokens) and mean_log_prob of every whole text.
+    """doc_id, n_tokens, log_likelihood (sum over all tokens) and score (its mean) of every whole text.
 
     A word outside the frequent ones has the probability of its bucket times its own share
     of it, or times that of all uncounted words together. Null, empty and wordless texts
@@ -320,8 +334,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sums = pieces.select("k1", "k2", (F.col("times") * F.col("gain")).alias("gain"), F.lit(0).alias("copies")).union(facts.select("k1", "k2", F.lit(0).cast("long"), F.lit(1)))
     sums = stored(sums.groupBy("k1", "k2").agg((F.sum("gain") / F.sum("copies") * F.lit(_UNIT)).alias("gain")), "gains")
     total = F.col("total") + F.col("gain")
-    return facts.join(sums, ["k1", "k2"]).select("doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
+    return facts.join(sums, ["k1", "k2"]).select("doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("score"))
 
 
 def scored(docs: DataFrame) -> DataFrame:
+    """Every document scored by a network trained on all of them; see ``trained`` and ``score``. An empty table gives an empty one."""
     return score(docs, trained(docs))

@@ -560,8 +560,8 @@ def test_pseudo_likelihood_learns(spark):
     shape = masked_lm.Shape(frequent=16, buckets=16, width=8, branch=8)
     model = masked_lm.trained(docs(spark, texts), shape, rounds=2, masked=0.5, batch=128, rate=0.3)
     good, bad, *rest = masked_lm.score(docs(spark, ["red blue up down left right", "blue right red down down up", *ODD]), model).orderBy("doc_id").collect()
-    assert good.mean_log_prob > bad.mean_log_prob and rest[0].n_tokens == 0 and rest[0].mean_log_prob is None
-    assert good.log_likelihood == pytest.approx(good.mean_log_prob * good.n_tokens)
+    assert good.score > bad.score and rest[0].n_tokens == 0 and rest[0].score is None
+    assert good.log_likelihood == pytest.approx(good.score * good.n_tokens)
 
 
 def test_log_probabilities_sum_to_one():
@@ -584,7 +584,7 @@ def test_words_of_a_bucket_are_told_apart(spark):
     share = {0: 9 / 19, 1: 3 / 19, 2: 3 / 19, None: 9 / 19}
     for k, x in share.items():
         assert got[k].log_likelihood == pytest.approx(bucket + np.log(x), abs=1e-5)
-    assert got[4].log_likelihood == 0 and got[4].mean_log_prob is None and got[5].n_tokens == 3
+    assert got[4].log_likelihood == 0 and got[4].score is None and got[5].n_tokens == 3
 
 
 def test_vocabulary_grows_with_the_corpus():
@@ -598,6 +598,65 @@ def test_every_token_is_a_target_once(spark):
     assert model.seen == sum(len(WORD.findall(t or "")) for t in texts)
 
 
+def test_pseudo_likelihood_by_hand(spark):
+    """Every conditional probability from one full softmax, one token at a time."""
+    texts = ["a b a c", "c b a a b", "b", None, "", "a b a c"]
+    shape = masked_lm.Shape(frequent=3, buckets=2, width=3, branch=2)
+    model = masked_lm.trained(docs(spark, texts), shape, rounds=2, batch=4)
+    w = masked_lm.unpacked(model.weights, shape)
+    import pyarrow as pa
+
+    from gridloom.llm.text import slices, word_hashes
+
+    number = {}
+    for x in "abc":
+        h = word_hashes(next(slices([pa.RecordBatch.from_pydict({"text": [x]})])))[0]
+        number[x] = int(masked_lm.Vocabulary(model.frequent, shape)(h)[0])
+    assert set(number.values()) == {0, 1, 2}
+
+    def p(around, token):
+        h = np.tanh(sum(w["embed"][k][x].astype(float) for k, x in enumerate(around)) + w["bias"])
+        softmax = lambda z: np.exp(z) / np.exp(z).sum()
+        top = softmax(h @ w["up"] + w["up0"])
+        return top[token % 2] * softmax(h @ w["low"][token % 2] + w["low0"][token % 2])[token // 2]
+
+    for r in masked_lm.score(docs(spark, texts), model).collect():
+        tokens = [number[x] for x in (texts[r.doc_id] or "").split()]
+        at = lambda i: tokens[i] if 0 <= i < len(tokens) else shape.size
+        want = sum(np.log(p([at(i + s) for s in masked_lm.SIDES], x)) for i, x in enumerate(tokens))
+        assert r.log_likelihood == pytest.approx(want, abs=1e-4)
+
+
+def test_steps_follow_the_gradient():
+    """One step against differences of the summed loss: every weight moves by the rate times its gradient over the root of its square."""
+    shape = masked_lm.Shape(3, 3, 3, 2)
+    rng = np.random.default_rng(1)
+    around, tokens = rng.integers(0, 7, (12, 4)).astype(np.int32), rng.integers(0, 6, 12)
+    w = {k: (v + rng.normal(0, 0.1, v.shape)).astype(np.float64) for k, v in masked_lm.fresh(shape, np.full(6, 1 / 6)).items()}
+
+    def loss(weights):
+        return -masked_lm.log_probabilities(weights, around, tokens, shape.branch).astype(np.float64).mean()
+
+    trainer = masked_lm.Trainer({k: v.copy() for k, v in w.items()}, shape.branch, 0.1)
+    trainer.step(around, tokens)
+    for name, old in w.items():
+        for at in np.ndindex(old.shape):
+            e = 1e-3
+            up, down = ({k: v.copy() for k, v in w.items()} for _ in range(2))
+            up[name][at] += e
+            down[name][at] -= e
+            g = (loss(up) - loss(down)) / (2 * e)
+            assert trainer.w[name][at] - old[at] == pytest.approx(-0.1 * g / np.sqrt(0.01 + g * g), abs=2e-3)
+
+
+def test_language_model_of_odd_rows(spark):
+    rows = [(1, "a b c")] * 3 + [(None, "a b c"), (None, None), (2, ""), (1, "other words")]
+    out = masked_lm.scored(clashing(spark.createDataFrame(rows, DOCS))).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in out) == Counter({(1, 3): 3, (None, 3): 1, (None, 0): 1, (2, 0): 1, (1, 2): 1})
+    assert len({round(r.log_likelihood, 4) for r in out if r.n_tokens == 3}) == 1
+    assert masked_lm.scored(docs(spark, [])).count() == 0
+
+
 def test_training_on_nothing(spark):
     model = masked_lm.trained(docs(spark, []), masked_lm.Shape(4, 4, 4, 4), rounds=1)
     assert masked_lm.score(docs(spark, ["a b"]), model).first().n_tokens == 2
