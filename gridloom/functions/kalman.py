@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Process noise of value and velocity, measurement noise, and the least step in time.
 Q_VALUE, Q_SPEED, R_NOISE, MIN_DT = 0.01, 0.005, 0.1, 0.01
@@ -51,7 +55,47 @@ def smooth(points: Column, update_first: bool) -> Column:
 
 
 def smooth_series(df: DataFrame, key: list[str], t: str = "t", a: str = "area", update_first: bool = True, order: list[str] | None = None) -> DataFrame:
-    """key, t, a, smoothed, velocity for each observation of each key, in order of time."""
+    """key, t, a, smoothed, velocity for each observation of each key, in order of time.
+
+    A key's observations are one array in one task, and each step copies the points before
+    it; for series of more than a few thousand points see ``smooth_long``.
+    """
     points = F.array_sort(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), *(F.col(o) for o in order or []), F.col(a).cast("double").alias("a"))))
     out = df.groupBy(*key).agg(points.alias("p")).select(*key, F.explode(smooth(F.col("p"), update_first)).alias("s"))
     return out.select(*key, "s.t", "s.a", F.round("s.smoothed", 6).alias("smoothed"), F.round("s.velocity", 6).alias("velocity"))
+
+
+def advance(state: tuple | None, t: float, a: float, update_first: bool = False) -> tuple:
+    """The state (t, x, v, p00, p01, p10, p11) after one more observation."""
+    if state is None:
+        if not update_first:
+            return (t, a, 0.0, 1.0, 0.0, 0.0, 1.0)
+        return (t, a, 0.0, 1.0 - 1.0 / (1.0 + R_NOISE), 0.0, 0.0, 1.0)
+    t0, x, v, p00, p01, p10, p11 = state
+    dt = max(t - t0, MIN_DT)
+    x = x + dt * v
+    p00, p01, p10, p11 = p00 + dt * p10 + dt * (p01 + dt * p11) + Q_VALUE, p01 + dt * p11, p10 + dt * p11, p11 + Q_SPEED
+    return (t, *_updated(x, v, p00, p01, p10, p11, a))
+
+
+def smooth_long(df: DataFrame, key: list[str], t: str = "t", a: str = "area", update_first: bool = True) -> DataFrame:
+    """The same as ``smooth_series`` for keys of any number of observations.
+
+    Rows are dealt by key and sorted by Spark, which spills; they go through Python batch
+    by batch with the state of one key, so nothing grows with a series.
+    """
+    rows = df.select(*key, F.col(t).cast("double").alias("t"), F.col(a).cast("double").alias("a")).repartition(*key).sortWithinPartitions(*key, "t", "a")
+    schema = T.StructType([*(rows.schema[k] for k in key), *(T.StructField(n, T.DoubleType()) for n in ("t", "a", "smoothed", "velocity"))])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = own = None
+        for p in parts:
+            out = []
+            for *k, at, value in p.itertuples(index=False):
+                if k != own:
+                    state, own = None, k
+                state = advance(state, at, value, update_first)
+                out.append((round(state[1], 6), round(state[2], 6)))
+            yield p.assign(smoothed=[x for x, _ in out], velocity=[v for _, v in out])
+
+    return rows.mapInPandas(run, schema)

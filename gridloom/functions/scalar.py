@@ -50,6 +50,27 @@ INDICES = IndexTable(
 )
 
 
+# The bands of a sensor in order; a band may have a second name.
+SENSOR_BANDS = {"hirise": (("red",), ("blue", "green"), ("nir",)), "generic": (("red",), ("green",), ("blue",), ("nir",))}
+
+
+def name_bands(df: DataFrame, sensor: str, bands: Sequence[str]) -> DataFrame:
+    """``df`` with the columns ``bands`` (in the sensor's order, as many as there are) under their names; an unknown sensor is ``generic``."""
+    names = SENSOR_BANDS.get(sensor, SENSOR_BANDS["generic"])
+    return df.withColumns({n: F.col(b) for b, own in zip(bands, names, strict=False) for n in own}).drop(*(b for b in bands if not any(b in own for own in names)))
+
+
+def affine_from_position(lat: Column, lon: Column, width: Column, height: Column, cell: float = 6.0) -> dict[str, Column]:
+    """The corner x0, y0 and the steps a, e of a raster whose middle is at a place in degrees."""
+    return {"x0": to_metres(lon) - width / 2 * cell, "y0": to_metres(lat) + height / 2 * cell, "a": F.lit(cell), "e": F.lit(-cell)}
+
+
+def affine_from_bounds(west: Column, south: Column, east: Column, north: Column, width: Column, height: Column) -> dict[str, Column]:
+    """The corner x0, y0 and the steps a, e of a raster between bounds in degrees."""
+    x0, x1, y0, y1 = to_metres(west), to_metres(east), to_metres(south), to_metres(north)
+    return {"x0": x0, "y0": y1, "a": (x1 - x0) / width, "e": (y0 - y1) / height}
+
+
 def scrub(x: Column) -> Column:
     """NaN and null to 0, +inf to 1, -inf to 0."""
     return F.when(x.isNull() | F.isnan(x) | (x == F.lit(float("-inf"))), 0.0).when(x == F.lit(float("inf")), 1.0).otherwise(x)

@@ -35,10 +35,25 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) ->
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__n") <= k).drop("__n")
 
 
-def first_containing(names: DataFrame, stems: DataFrame, name: str, stem: str, key: str = "([0-9]{6})") -> DataFrame:
-    """Each stem with the first name, by order, that contains it. Both meet by the number that ``key`` finds in them, not all with all."""
-    parts = names.select(name, F.regexp_extract(name, key, 1).alias("__p"))
-    return stems.select(stem, F.regexp_extract(stem, key, 1).alias("__p")).join(parts, "__p").where(F.contains(F.col(name), F.col(stem))).groupBy(stem).agg(F.min(name).alias(name))
+def first_containing(names: DataFrame, stems: DataFrame, name: str, stem: str) -> DataFrame:
+    """Each stem with the first name, by order, that contains it; stems that no name contains, and empty ones, have no row.
+
+    A name is spread over its parts of the lengths that stems have (a few numbers, at
+    most as many as the longest name has letters), and both meet by equal text: any stem
+    is found, and no common key brings all together.
+    """
+    stems = stems.select(stem).where(F.length(stem) > 0).distinct()
+    lengths = sorted(r["n"] for r in stems.select(F.length(stem).alias("n")).distinct().collect())
+    if not lengths:
+        return stems.withColumn(name, F.lit(None).cast("string")).limit(0)
+    size = F.length(name)
+
+    def parts(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substr(F.col(name), i, F.lit(n)))
+        return F.when(size >= n, found).otherwise(F.array().cast("array<string>"))
+
+    spread = names.select(name, F.explode(F.array_distinct(F.concat(*map(parts, lengths)))).alias(stem))
+    return spread.join(stems, stem).groupBy(stem).agg(F.min(name).alias(name))
 
 
 def resolve(keys: DataFrame, key: str, sources: Sequence[DataFrame], value: str) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.sources.scratch import stored
+
 Kernel = Callable[[np.ndarray], Mapping[str, np.ndarray]]
 
 
@@ -136,12 +138,21 @@ def gaussian(sigma: float) -> Kernel:
 
 
 def morphometrics(df: DataFrame, by: Sequence[str], col: str, shape: tuple[int, int], cell: float, features: Sequence[str] = ("slope", "aspect", "plan", "profile", "roughness"), tile: int = 256) -> DataFrame:
-    """The chosen terrain features in one pass."""
+    """The chosen terrain features in one pass: curvature after smoothing by one cell, the others as the ground is.
+
+    Cells without a number get that of the nearest one first. Borders reflect: one cell
+    deep that is the same as repeating the edge, before and after smoothing.
+    """
+    empty = F.col(col).isNull() | F.isnan(col) | (F.abs(F.col(col)) == F.lit(float("inf")))
+    fine = df.where(~empty).select(*by, "r", "c", col)
+    whole = fine.unionByName(fill_nearest(fine, by, df.where(empty).select(*by, "r", "c"), col, 3, widen=max(shape)).select(*by, "r", "c", col))
+    border = len(gaussian_taps(1.0)) // 2
 
     def run(z: np.ndarray) -> dict[str, np.ndarray]:
-        return slope_aspect(cell)(z) | curvature(cell)(z) | roughness()(z)
+        bare = z[border:-border, border:-border]
+        return slope_aspect(cell)(bare) | curvature(cell)(gaussian(1.0)(z)["smooth"]) | roughness()(bare)
 
-    return focal(df, by, col, shape, 1, run, features, "clamp", tile)
+    return focal(whole, by, col, shape, border + 1, run, features, "reflect", tile)
 
 
 SQUARE = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
@@ -153,6 +164,10 @@ def _offsets(n: int, cross: bool) -> list[tuple[int, int]]:
     return [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1) if not cross or abs(i) + abs(j) <= n]
 
 
+def _lines(n: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    return [(i, 0) for i in range(-n, n + 1)], [(0, j) for j in range(-n, n + 1)]
+
+
 def _spread(mask: DataFrame, by: Sequence[str], offsets) -> DataFrame:
     shift = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets)))
     return mask.select(*by, "r", "c", shift.alias("o")).select(*by, (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"))
@@ -163,12 +178,19 @@ def inside(mask: DataFrame, shape: tuple[int, int]) -> DataFrame:
 
 
 def dilate(mask: DataFrame, by: Sequence[str], shape: tuple[int, int], n: int = 1, cross: bool = False) -> DataFrame:
-    """The cells within reach of a foreground cell."""
+    """The cells within reach of a foreground cell; a square's reach is taken along rows, then columns."""
+    if n > 1 and not cross:
+        rows, cols = _lines(n)
+        return inside(_spread(_spread(mask, by, rows).distinct(), by, cols), shape).distinct()
     return inside(_spread(mask, by, _offsets(n, cross)), shape).distinct()
 
 
 def erode(mask: DataFrame, by: Sequence[str], shape: tuple[int, int], n: int = 1, cross: bool = False) -> DataFrame:
     """The cells whose whole neighbourhood is foreground; outside the image counts as background."""
+    if n > 1 and not cross:
+        for line in _lines(n):
+            mask = _spread(mask, by, line).groupBy(*by, "r", "c").count().where(F.col("count") == len(line)).drop("count")
+        return inside(mask, shape)
     offsets = _offsets(n, cross)
     return inside(_spread(mask, by, offsets).groupBy(*by, "r", "c").count().where(F.col("count") == len(offsets)).drop("count"), shape)
 
@@ -181,28 +203,30 @@ def close(mask: DataFrame, by: Sequence[str], shape: tuple[int, int], n: int = 2
 TEXTURES = ("contrast", "dissimilarity", "homogeneity", "energy", "correlation", "entropy")
 
 
-def cooccurrence(levels: np.ndarray, n: int) -> dict[str, float]:
-    """Texture measures of right-hand neighbours, counted both ways."""
-    pairs = np.zeros((n, n))
-    np.add.at(pairs, (levels[:, :-1].ravel(), levels[:, 1:].ravel()), 1)
-    p = pairs + pairs.T
-    p /= max(p.sum(), 1)
-    i, j = np.indices(p.shape)
-    mi, mj = (i * p).sum(), (j * p).sum()
-    si, sj = np.sqrt(((i - mi) ** 2 * p).sum()), np.sqrt(((j - mj) ** 2 * p).sum())
-    some = p[p > 0]
+def cooccurrence(windows: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """Texture measures of right-hand neighbours, counted both ways, of many windows of levels at once: (windows, rows, columns)."""
+    count = len(windows)
+    code = (windows[:, :, :-1] * n + windows[:, :, 1:]).reshape(count, -1) + np.arange(count)[:, None] * (n * n)
+    pairs = np.bincount(code.ravel(), minlength=count * n * n).reshape(count, n, n).astype(float)
+    p = pairs + pairs.transpose(0, 2, 1)
+    p /= np.maximum(p.sum(axis=(1, 2), keepdims=True), 1)
+    i, j = np.indices((n, n))
+    total = lambda x: x.sum(axis=(1, 2))
+    mi, mj = (total(k * p)[:, None, None] for k in (i, j))
+    si, sj = np.sqrt(total((i - mi) ** 2 * p)), np.sqrt(total((j - mj) ** 2 * p))
+    flat = (si < 1e-15) | (sj < 1e-15)
     return {
-        "contrast": ((i - j) ** 2 * p).sum(),
-        "dissimilarity": (np.abs(i - j) * p).sum(),
-        "homogeneity": (p / (1 + (i - j) ** 2)).sum(),
-        "energy": np.sqrt((p * p).sum()),
-        "correlation": 1.0 if si < 1e-15 or sj < 1e-15 else ((i - mi) * (j - mj) * p).sum() / (si * sj),
-        "entropy": -(some * np.log2(some + 1e-10)).sum(),
+        "contrast": total((i - j) ** 2 * p),
+        "dissimilarity": total(np.abs(i - j) * p),
+        "homogeneity": total(p / (1 + (i - j) ** 2)),
+        "energy": np.sqrt(total(p * p)),
+        "correlation": np.where(flat, 1.0, total((i - mi) * (j - mj) * p) / np.where(flat, 1.0, si * sj)),
+        "entropy": -total(p * np.log2(p + 1e-10)),
     }
 
 
 def texture(df: DataFrame, by: Sequence[str], col: str, shape: tuple[int, int], window: int = 5, levels: int = 16, stride: int = 4, features: Sequence[str] = ("entropy", "contrast", "homogeneity", "dissimilarity"), tile: int = 128) -> DataFrame:
-    """Texture of a moving window at every ``stride``-th cell, copied to the block of cells that it stands for. Holes count as 0."""
+    """Texture of a moving window at every ``stride``-th cell, copied to the block of cells that it stands for. Holes count as 0. A stride under 4 is taken as 4, as results are stored at that step."""
     stride = max(4, stride)
     if tile % stride:
         raise ValueError("the tile must be a multiple of the stride")
@@ -211,13 +235,11 @@ def texture(df: DataFrame, by: Sequence[str], col: str, shape: tuple[int, int],
     def run(z: np.ndarray) -> dict[str, np.ndarray]:
         q = np.floor(np.clip(np.nan_to_num(z), 0, 1) * (levels - 1)).astype(int)
         h, w = z.shape[0] - 2 * pad, z.shape[1] - 2 * pad
-        out = {f: np.zeros((h, w)) for f in features}
-        for i in range(0, h, stride):
-            for j in range(0, w, stride):
-                found = cooccurrence(q[i : i + window, j : j + window], levels)
-                for f in features:
-                    out[f][i : i + stride, j : j + stride] = found[f]
-        return out
+        seen = np.lib.stride_tricks.sliding_window_view(q, (window, window))[::stride, ::stride]
+        rows, cols = seen.shape[:2]
+        found = cooccurrence(seen.reshape(-1, window, window), levels)
+        wide = lambda x: np.repeat(np.repeat(x.reshape(rows, cols), stride, axis=0), stride, axis=1)[:h, :w]
+        return {f: wide(found[f]) for f in features}
 
     return focal(df, by, col, shape, pad, run, features, "mirror", tile)
 
@@ -232,10 +254,21 @@ def multiscale_texture(df: DataFrame, by: Sequence[str], col: str, shape: tuple[
     return out
 
 
-def fill_nearest(df: DataFrame, by: Sequence[str], holes: DataFrame, col: str, reach: int) -> DataFrame:
-    """Values for the holes: that of the nearest cell within ``reach``, ties to the smaller row and column. Only holes are spread."""
+def fill_nearest(df: DataFrame, by: Sequence[str], holes: DataFrame, col: str, reach: int, widen: int = 0) -> DataFrame:
+    """Values for the holes (by, r, c): that of the nearest cell within ``reach``, ties to the smaller row and column. Only holes are spread.
+
+    With ``widen`` holes that found nothing look twice as far each time, up to that
+    distance; so only wide gaps cost more.
+    """
     near = [(i, j) for i, j in _offsets(reach, False) if i * i + j * j <= reach * reach]
     at = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(i * i + j * j).alias("d")) for i, j in near)))
     asked = holes.select(*by, F.col("r").alias("hr"), F.col("c").alias("hc"), at.alias("o")).select(*by, "hr", "hc", "o.d", (F.col("hr") + F.col("o.i")).alias("r"), (F.col("hc") + F.col("o.j")).alias("c"))
     found = asked.join(df.select(*by, "r", "c", col), [*by, "r", "c"]).groupBy(*by, "hr", "hc").agg(F.min_by(col, F.struct("d", "r", "c")).alias(col))
-    return found.withColumnRenamed("hr", "r").withColumnRenamed("hc", "c")
+    found = found.withColumnRenamed("hr", "r").withColumnRenamed("hc", "c")
+    if reach >= 1.5 * widen:
+        return found
+    found = stored(found, "filled")
+    left = stored(holes.join(found, [*by, "r", "c"], "left_anti"), "holes")
+    if not left.limit(1).count():
+        return found
+    return found.unionByName(fill_nearest(df, by, left, col, 2 * reach, widen))

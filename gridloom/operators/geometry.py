@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import blend_weight, clip
+from gridloom.operators.ordering import numbered, running_share
 
 
 def starts(n: int, size: int, stride: int) -> list[int]:
@@ -15,10 +16,30 @@ def starts(n: int, size: int, stride: int) -> list[int]:
     return sorted({*range(0, max(1, n - size + 1), stride), max(0, n - size)})
 
 
+def axis_starts(n: Column, size: int, stride: int) -> Column:
+    """The starts of tiles on an axis of ``n`` cells, the last one flush with the edge."""
+    last = F.greatest(n - size, F.lit(0)).cast("long")
+    return F.array_union(F.sequence(F.lit(0).cast("long"), last, F.lit(stride).cast("long")), F.array(last))
+
+
+def starts_over(x: Column, n: int, size: int, stride: int) -> Column:
+    """The starts of the tiles that hold cell ``x`` of an axis of ``n`` cells, from the stride alone."""
+    last = max(0, n - size)
+    low, high = F.greatest(F.ceil((x - size + 1) / stride), F.lit(0)), F.least(F.floor(x / stride), F.lit(last // stride))
+    even = F.transform(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")), lambda k: k * stride)
+    flush = F.array(F.lit(last).cast("long")) if last % stride else F.array().cast("array<bigint>")
+    return F.concat(even, F.when(x >= last, flush).otherwise(F.array().cast("array<bigint>")))
+
+
+def tile_places(grids: DataFrame, by: Sequence[str], size: int, stride: int) -> DataFrame:
+    """by, r0, c0 of every tile of each grid (by, height, width)."""
+    rows = grids.select(*by, "width", F.explode(axis_starts(F.col("height"), size, stride)).alias("r0"))
+    return rows.select(*by, "r0", F.explode(axis_starts(F.col("width"), size, stride)).alias("c0"))
+
+
 def tile_coords(spark: SparkSession, height: int, width: int, size: int, stride: int) -> DataFrame:
     """r0, c0 of every tile."""
-    axis = lambda n: F.array_sort(F.array_union(F.sequence(F.lit(0), F.lit(max(0, n - size)), F.lit(stride)), F.array(F.lit(max(0, n - size)))))
-    return spark.range(1).select(F.explode(axis(height).cast("array<bigint>")).alias("r0"), F.lit(0).alias("z")).select("r0", F.explode(axis(width).cast("array<bigint>")).alias("c0"))
+    return tile_places(spark.range(1).select(F.lit(height).alias("height"), F.lit(width).alias("width")), [], size, stride)
 
 
 def weights(spark: SparkSession, method: str, size: int) -> DataFrame:
@@ -87,21 +108,19 @@ def pad(df: DataFrame, by: Sequence[str], shape: tuple[int, int], multiple: int,
     return df.withColumn("r", F.explode(copies("r", shape[0], h))).withColumn("c", F.explode(copies("c", shape[1], w)))
 
 
-def patches(mask: DataFrame, by: Sequence[str], tiles: DataFrame, size: int) -> DataFrame:
+def patches(mask: DataFrame, by: Sequence[str], shape: tuple[int, int], size: int, stride: int) -> DataFrame:
     """by, r0, c0, n, fraction: the foreground of every tile that has any.
 
-    ``tiles`` is a small table of places; each cell finds its tiles by the places' own
-    stride, as a range of rows and columns.
+    Each cell names the few tiles that hold it from the stride; nothing is joined.
     """
-    t = F.broadcast(tiles)
-    hit = (F.col("r") >= F.col("r0")) & (F.col("r") < F.col("r0") + size) & (F.col("c") >= F.col("c0")) & (F.col("c") < F.col("c0") + size)
-    return mask.join(t, hit).groupBy(*by, "r0", "c0").agg(F.count("*").alias("n")).withColumn("fraction", F.col("n") / F.lit(float(size * size)))
+    hit = mask.select(*by, F.explode(starts_over(F.col("r"), shape[0], size, stride)).alias("r0"), "c").select(*by, "r0", F.explode(starts_over(F.col("c"), shape[1], size, stride)).alias("c0"))
+    return hit.groupBy(*by, "r0", "c0").agg(F.count("*").alias("n")).withColumn("fraction", F.col("n") / F.lit(float(size * size)))
 
 
-def background(tiles: DataFrame, fg: DataFrame, by: Sequence[str], groups: DataFrame) -> DataFrame:
-    """Tiles without foreground, at most a third as many as have some and at least one in each group, in reading order."""
+def background(tiles: DataFrame, fg: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Tiles (by, r0, c0) without foreground, at most a third as many as have some and at least one in each group, in reading order."""
     wanted = fg.groupBy(*by).agg(F.greatest(F.floor(F.count("*") / 3), F.lit(1)).alias("k"))
-    empty = groups.crossJoin(F.broadcast(tiles)).join(fg.select(*by, "r0", "c0"), [*by, "r0", "c0"], "left_anti")  # groups x places: the tiles there are
+    empty = tiles.join(fg.select(*by, "r0", "c0"), [*by, "r0", "c0"], "left_anti")
     w = Window.partitionBy(*by).orderBy("r0", "c0")
     return empty.withColumn("n", F.row_number().over(w)).join(wanted, list(by)).where("n <= k").select(*by, "r0", "c0")
 
@@ -117,8 +136,9 @@ def dihedral(df: DataFrame, size: int) -> DataFrame:
 
 
 def unit_hash(seed: int, *cols: str) -> Column:
-    """A number in [0, 1) that depends on the columns and the seed alone."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
+    """A number in [0, 1) from the first 13 hexadecimal digits of the MD5 of the seed and the columns, joined by |: any engine can repeat it."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def jitter(df: DataFrame, key: str, col: str, amount: float, seed: int) -> DataFrame:
@@ -136,54 +156,80 @@ def block_fold(r: Column, c: Column, shape: tuple[int, int], block: int, folds:
     return {"block_id": block_id, "fold": block_id % folds}
 
 
-def random_split(df: DataFrame, key: str, share: float, seed: int, bins: int = 1024) -> DataFrame:
-    """``df`` with split: the rows with the smallest hashes are for validation, at least one, ties to the smaller key.
+def random_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
+    """``df`` with split: a ``share`` of the keys, at least one, is for validation: those with the smallest hashes, ties to the smaller key.
+
+    Rows that share a key stay together, so nothing validated was trained on. Rows without a key are for training.
+    """
+    keys = numbered(df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__u", unit_hash(seed, key)), [], ["__u", key], "__n")
+    n_val = F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("__n_total")))
+    held = keys.where(F.col("__n") < n_val).select(key, F.lit("val").alias("split"))
+    return df.join(held, key, "left").select(*df.columns, F.coalesce("split", F.lit("train")).alias("split"))
+
+
+def temporal_split(df: DataFrame, year: str, train: tuple[int, int], test: tuple[int, int], order: Sequence[str] = (), fallback: float = 0.6) -> DataFrame:
+    """``df`` with split: years in either range; a year between them is dropped, an unknown one is for training.
 
-    Counts of equal steps of the hash tell in which step the cut lies; only rows of that step are ranked.
+    If no row has a year in either range, the first ``fallback`` of all rows in ``order``
+    are for training and the rest for testing.
     """
-    h = df.withColumn("__u", unit_hash(seed, key)).withColumn("__b", F.floor(F.col("__u") * bins).cast("int"))
-    counts = dict(h.groupBy("__b").count().collect())
-    n_val, cut = max(1, int(share * sum(counts.values()))), 0
-    while cut < bins - 1 and counts.get(cut, 0) < n_val:
-        n_val -= counts.get(cut, 0)
-        cut += 1
-    edge = h.where(F.col("__b") == cut).select(key, "__u").withColumn("__n", F.row_number().over(Window.orderBy("__u", key))).where(F.col("__n") <= n_val).select(key, F.lit(True).alias("__in"))
-    out = h.join(edge, key, "left").withColumn("split", F.when((F.col("__b") < cut) | F.coalesce("__in", F.lit(False)), "val").otherwise("train"))
-    return out.drop("__u", "__b", "__in")
-
-
-def temporal_split(df: DataFrame, year: str, train: tuple[int, int], test: tuple[int, int]) -> DataFrame:
-    """``df`` with split: years in either range; a year between them is dropped, an unknown one is for training."""
     y = F.col(year)
-    split = F.when(y.isNull(), "train").when(y.between(*train), "train").when(y.between(*test), "test")
-    return df.withColumn("split", split).where(F.col("split").isNotNull())
+    if df.where(y.between(*train) | y.between(*test)).limit(1).count():
+        split = F.when(y.isNull(), "train").when(y.between(*train), "train").when(y.between(*test), "test")
+        return df.withColumn("split", split).where(F.col("split").isNotNull())
+    rows = numbered(df, [], list(order) or df.columns, "__n")
+    return rows.withColumn("split", F.when(F.col("__n") < F.floor(F.col("__n_total") * F.lit(fallback)), "train").otherwise("test")).drop("__n", "__n_total")
 
 
 def weighted_draw(df: DataFrame, key: str, weight: str, n: int, seed: int) -> DataFrame:
-    """draw, key: ``n`` draws with replacement in proportion to weight. Running weights within hash buckets keep the sort distributed."""
-    buckets = 64
-    b = df.select(key, weight, F.pmod(F.xxhash64(key), F.lit(buckets)).alias("b"))
-    totals = {r["b"]: r["w"] for r in b.groupBy("b").agg(F.sum(weight).alias("w")).collect()}
-    begin, at = {}, 0.0
-    for k in sorted(totals):
-        begin[k], at = at, at + totals[k]
-    if not at:
+    """draw, key: ``n`` draws with replacement in proportion to weight (rows of weight 0 or less are never drawn).
+
+    Rows take pieces of [0, 1) in order of key. A draw goes to the part that its number
+    falls in, and meets its row there by one sort: the last piece that begins before it.
+    """
+    pieces, begin = running_share(df, key, weight)
+    if not begin:
         return df.sparkSession.createDataFrame([], f"draw long, {key} {df.schema[key].dataType.simpleString()}")
-    offset = F.create_map(*(x for k in begin for x in (F.lit(k), F.lit(begin[k] / at))))
-    w = Window.partitionBy("b").orderBy(key)
-    upto = b.withColumn("hi", offset[F.col("b")] + F.sum(weight).over(w) / at).withColumn("lo", F.col("hi") - F.col(weight) / at)
-    edges = F.array(*(F.lit(begin[k] / at) for k in sorted(begin)))
-    names = F.array(*(F.lit(k) for k in sorted(begin)))
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), unit_hash(seed, "id").alias("u"))
-    draws = draws.withColumn("b", F.element_at(names, F.size(F.filter(edges, lambda e: e <= F.col("u")))))
-    return draws.join(upto, "b").where("u >= lo AND u < hi").select("draw", key)
-
-
-def register_shift(fixed: DataFrame, moving: DataFrame, col: str, reach: int) -> DataFrame:
-    """dr, dc, score for every shift of ``moving`` within ``reach`` that overlaps: the correlation over shared cells."""
+    edges, names = (F.array(*(F.lit(x[i]) for x in begin)) for i in (1, 0))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), unit_hash(seed, "id").alias("at"))
+    draws = draws.withColumn("part", F.element_at(names, F.size(F.filter(edges, lambda e: e <= F.col("at")))))
+    both = pieces.select("part", F.col("low").alias("at"), F.lit(None).cast("long").alias("draw"), key).unionByName(draws.withColumn(key, F.lit(None).cast(df.schema[key].dataType)))
+    w = Window.partitionBy("part").orderBy("at", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    first = Window.partitionBy("part").orderBy("at", F.col("draw").asc_nulls_first()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    met = F.coalesce(F.last(key, ignorenulls=True).over(w), F.first(key, ignorenulls=True).over(first))  # rounding may put a part's first piece just behind its edge
+    return both.withColumn(key, met).where("draw IS NOT NULL").select("draw", key)
+
+
+def register_shift(fixed: DataFrame, moving: DataFrame, col: str, reach: int, by: Sequence[str] = ()) -> DataFrame:
+    """by, dr, dc, score for every shift of ``moving`` within ``reach`` that overlaps: the correlation over shared cells."""
     steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1))))
-    moved = moving.select("r", "c", F.col(col).alias("m"), steps.alias("o")).select((F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"), F.col("o.i").cast("long").alias("dr"), F.col("o.j").cast("long").alias("dc"), "m")
-    return moved.join(fixed.select("r", "c", F.col(col).alias("f")), ["r", "c"]).groupBy("dr", "dc").agg(F.corr("f", "m").alias("score"))
+    moved = moving.select(*by, "r", "c", F.col(col).alias("m"), steps.alias("o")).select(*by, (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"), F.col("o.i").cast("long").alias("dr"), F.col("o.j").cast("long").alias("dc"), "m")
+    return moved.join(fixed.select(*by, "r", "c", F.col(col).alias("f")), [*by, "r", "c"]).groupBy(*by, "dr", "dc").agg(F.corr("f", "m").alias("score"))
+
+
+def best_shift(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, dr, dc: the shift of the best score, ties (in six digits) to the shortest, then the smaller one; scores that aren't numbers take no part."""
+    fine = scores.where(F.col("score").isNotNull() & ~F.isnan("score"))
+    rank = F.struct(-F.round("score", 6), F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc"), F.col("dr"), F.col("dc"))
+    return fine.groupBy(*by).agg(F.min_by(F.struct("dr", "dc"), rank).alias("b")).select(*by, "b.dr", "b.dc")
+
+
+def stack(base: DataFrame, by: Sequence[str], shape: tuple[int, int], layers: Sequence[tuple[DataFrame | None, Sequence[str], str, tuple[int, int]]]) -> DataFrame:
+    """``base`` (by, r, c, ...) with the columns of other layers, cell by cell.
+
+    A layer is (table, its own keys, column, its grid's shape): one on another grid gives
+    each cell the nearest of its own, one without a table is left out. Cells that a layer
+    lacks are null. Each layer is met by equal cells; nothing of ``base`` is copied.
+    """
+    out = base
+    for table, keys, col, own in layers:
+        if table is None:
+            continue
+        at = lambda x, n, m: F.floor(F.col(x) * F.lit((m - 1) / max(1, n - 1)) + 0.5).cast("long")
+        placed = out.withColumns({"__lr": at("r", shape[0], own[0]), "__lc": at("c", shape[1], own[1])})
+        part = table.select(*keys, F.col("r").alias("__lr"), F.col("c").alias("__lc"), col)
+        out = placed.join(part, [*keys, "__lr", "__lc"], "left").drop("__lr", "__lc")
+    return out.select(*base.columns, *(c for t, _, c, _ in layers if t is not None))
 
 
 def draw_channels(seeds: DataFrame, shape: tuple[int, int], width: int = 3) -> DataFrame:

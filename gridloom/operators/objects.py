@@ -10,24 +10,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.operators.ordering import numbered
 from gridloom.sources.scratch import stored
 
 
 def _label(cells: np.ndarray, ids: np.ndarray, eight: bool) -> np.ndarray:
-    """For foreground cells of a tile the smallest id of the cells each is connected with."""
-    r, c = cells[:, 0] - cells[:, 0].min() + 1, cells[:, 1] - cells[:, 1].min() + 1
-    far = np.iinfo(np.int64).max
-    grid = np.full((r.max() + 2, c.max() + 2), far)
-    grid[r, c] = ids
-    on = grid != far
-    steps = [(0, 1), (1, 0), (1, 1), (1, -1)] if eight else [(0, 1), (1, 0)]
+    """For foreground cells of a tile the smallest id of the cells each is connected with.
+
+    Trees of cells are hung under the smallest neighbouring tree and flattened, all at
+    once, so the rounds follow the logarithm of the longest way and not its length.
+    """
+    order = np.argsort(ids)
+    r, c = (cells[order, k] - cells[:, k].min() + 1 for k in (0, 1))
+    grid = np.full((r.max() + 2, c.max() + 2), -1)
+    grid[r, c] = np.arange(len(order))
+    ends = []
+    for i, j in [(0, 1), (1, 0), (1, 1), (1, -1)] if eight else [(0, 1), (1, 0)]:
+        near = grid[r + i, c + j]
+        have = np.flatnonzero(near >= 0)
+        ends.append((have, near[have]))
+    a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+    top = np.arange(len(order))
     while True:
-        new = grid
-        for i, j in [*steps, *((-i, -j) for i, j in steps)]:
-            new = np.where(on, np.minimum(new, np.roll(new, (i, j), (0, 1))), far)
-        if (new == grid).all():
-            return new[r, c]
-        grid = new
+        low, high = np.minimum(top[a], top[b]), np.maximum(top[a], top[b])
+        apart = low < high
+        if not apart.any():
+            break
+        np.minimum.at(top, high[apart], low[apart])
+        while (top[top] != top).any():
+            top = top[top]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.asarray(ids)[order][top]
+    return out
 
 
 def components(mask: DataFrame, by: Sequence[str], width: int, eight: bool = True, tile: int = 256) -> DataFrame:
@@ -126,8 +140,7 @@ def tracks(nodes: DataFrame, matches: DataFrame, by: Sequence[str], order: str)
         at = out.drop("moved")
         if not again:
             break
-    w = Window.partitionBy(*by).orderBy("fs", "fc") if by else Window.orderBy("fs", "fc")
-    number = at.select(*by, "fs", "fc").distinct().withColumn("track", (F.row_number().over(w) - 1).cast("long"))
+    number = numbered(at.select(*by, "fs", "fc").distinct(), by, ["fs", "fc"], "track").drop("track_total")
     return at.join(number, [*by, "fs", "fc"]).select(*by, order, "comp", F.col("fs").alias("first_scene"), F.col("fc").alias("first_comp"), "track")
 
 

@@ -7,14 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalar import clip
+from gridloom.functions.scalar import clip, to_metres
+from gridloom.operators.ordering import numbered
+from gridloom.sources.scratch import stored
 
 
 def percentiles(df: DataFrame, by: Sequence[str], col: str, shares: Sequence[float], exact: bool = True) -> DataFrame:
-    """by, p: the percentiles of ``col`` in each group; ``exact=False`` bounds the memory a group takes."""
-    at = F.array(*map(F.lit, shares))
-    p = F.percentile(col, at) if exact else F.percentile_approx(col, list(shares), 10_000)
-    return df.groupBy(*by).agg(p.alias("p"))
+    """by, p: the percentiles of ``col`` in each group, between two values in proportion; nulls are left out.
+
+    Exact ones are read from the numbers of the different values in order (equal values
+    are counted first), so that no task holds a group; ``exact=False`` takes Spark's
+    bounded sketch, without a sort.
+    """
+    if not exact:
+        return df.groupBy(*by).agg(F.percentile_approx(col, list(shares), 10_000).alias("p"))
+    values = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("__x")).agg(F.count("*").alias("__k"))
+    rows = numbered(values, by, ["__x"], "__n", "__k")
+    at = [F.lit(s) * (F.col("__n_total") - 1) for s in shares]
+    holds = lambda n: (F.col("__n") <= n) & (n < F.col("__n") + F.col("__k"))
+    pick = lambda n: F.max(F.when(holds(n), F.col("__x")))
+    found = rows.groupBy(*by).agg(*(c for k, x in enumerate(at) for c in (pick(F.floor(x)).alias(f"__l{k}"), pick(F.ceil(x)).alias(f"__h{k}"), F.max(x - F.floor(x)).alias(f"__f{k}"))))
+    return found.select(*by, F.array(*(F.col(f"__l{k}") * (1 - F.col(f"__f{k}")) + F.col(f"__h{k}") * F.col(f"__f{k}") for k in range(len(shares)))).alias("p"))
 
 
 def rescale(df: DataFrame, by: Sequence[str], col: str, low: float = 0.02, high: float = 0.98, eps: float = 0.0, positive: bool = False, nodata: float | None = None, on_null: float | None = 0.0, exact: bool = True) -> Column | DataFrame:
@@ -56,8 +69,8 @@ def median_composite(df: DataFrame, by: Sequence[str], bands: Sequence[str]) ->
 
 
 def statistics(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
-    p = F.percentile(col, F.array(F.lit(0.02), F.lit(0.98)))
-    out = df.groupBy(*by).agg(F.min(col).alias("low"), F.max(col).alias("high"), F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"), p.alias("p"))
+    """Extremes, mean, deviation and the 2nd and 98th percentile of each group."""
+    out = df.groupBy(*by).agg(F.min(col).alias("low"), F.max(col).alias("high"), F.avg(col).alias("mean"), F.stddev_pop(col).alias("std")).join(percentiles(df, by, col, (0.02, 0.98)), list(by))
     return out.select(*by, "low", "high", "mean", "std", F.col("p")[0].alias("p2"), F.col("p")[1].alias("p98"))
 
 
@@ -84,13 +97,14 @@ def scene_pairs(scenes: DataFrame, by: Sequence[str], order: str) -> DataFrame:
 def change(mask: DataFrame, pairs: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """by, t0, t1, r, c, gain, loss, stable: the cells in either mask of a pair.
 
-    ``mask`` is sparse. Each foreground cell is marked for the pair that it ends and the
-    pair that it begins, and the two marks meet by a sum on the cell: one shuffle, with
-    map-side aggregation, does the work of a full outer join.
+    ``mask`` is sparse and is read once: a scene's cells are marked for the pair that it
+    ends and the pair that it begins, and the two marks meet by the cell: one shuffle, with
+    map-side aggregation, does the work of a full outer join. The pairs are written
+    first, so that Spark knows their size and sends them to all tasks only if they are small.
     """
-    a = mask.join(pairs.withColumn(order, F.col("t0")), [*by, order]).select(*by, "t0", "t1", "r", "c", F.lit(1).alias("m0"), F.lit(0).alias("m1"))
-    b = mask.join(pairs.withColumn(order, F.col("t1")), [*by, order]).select(*by, "t0", "t1", "r", "c", F.lit(0).alias("m0"), F.lit(1).alias("m1"))
-    both = a.union(b).groupBy(*by, "t0", "t1", "r", "c").agg(F.max("m0").alias("m0"), F.max("m1").alias("m1"))
+    pairs = stored(pairs, "pairs")
+    roles = pairs.select(*by, F.col("t0").alias(order), "t0", "t1", F.lit(1).alias("m0"), F.lit(0).alias("m1")).union(pairs.select(*by, F.col("t1").alias(order), "t0", "t1", F.lit(0), F.lit(1)))
+    both = mask.join(roles, [*by, order]).groupBy(*by, "t0", "t1", "r", "c").agg(F.max("m0").alias("m0"), F.max("m1").alias("m1"))
     m0, m1 = F.col("m0"), F.col("m1")
     return both.select(*by, "t0", "t1", "r", "c", (m1 * (1 - m0)).cast("long").alias("gain"), (m0 * (1 - m1)).cast("long").alias("loss"), (m0 * m1).cast("long").alias("stable"))
 
@@ -114,6 +128,29 @@ def overviews(df: DataFrame, by: Sequence[str], col: str, factors: Sequence[int]
     return levels.groupBy(*by, "factor", F.floor(F.col("r") / F.col("factor")).alias("r"), F.floor(F.col("c") / F.col("factor")).alias("c")).agg(F.avg(col).alias(col))
 
 
+def degree_window(bounds: Sequence[Column], origin: tuple[float, float], cell: tuple[float, float], shape: tuple[int, int]) -> dict[str, Column]:
+    """Rows r0 <= r < r1 and columns c0 <= c < c1 of a raster in metres for a box of degrees (west, south, east, north), and the new origin x0, y0.
+
+    Places are cut towards 0, kept inside the raster, and at least one cell wide and high.
+    """
+    west, south, east, north = map(to_metres, bounds)
+    whole = lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long")
+
+    def ends(low: Column, high: Column, n: int) -> tuple[Column, Column]:
+        first = F.greatest(F.lit(0), F.least(whole(low), F.lit(n - 1))).cast("long")
+        return first, F.greatest(first + 1, F.least(whole(high) + 1, F.lit(n))).cast("long")
+
+    c0, c1 = ends((west - origin[0]) / cell[0], (east - origin[0]) / cell[0], shape[1])
+    r0, r1 = ends((F.lit(origin[1]) - north) / cell[1], (F.lit(origin[1]) - south) / cell[1], shape[0])
+    return {"r0": r0, "r1": r1, "c0": c0, "c1": c1, "x0": F.lit(origin[0]) + c0 * F.lit(cell[0]), "y0": F.lit(origin[1]) - r0 * F.lit(cell[1])}
+
+
+def read_windows(df: DataFrame, windows: DataFrame, key: str) -> DataFrame:
+    """key, r, c (in the window) and the other columns of ``df`` for the cells of each window. Windows are spread over their cells and meet by equal cell."""
+    cells = windows.select(key, "r0", "c0", F.explode(F.sequence("r0", F.col("r1") - 1)).alias("r"), "c1").select(key, "r0", "c0", "r", F.explode(F.sequence("c0", F.col("c1") - 1)).alias("c"))
+    return df.join(cells, ["r", "c"]).select(key, (F.col("r") - F.col("r0")).alias("r"), (F.col("c") - F.col("c0")).alias("c"), *(x for x in df.columns if x not in ("r", "c")))
+
+
 def downsample(df: DataFrame, by: Sequence[str], col: str, side: int, longest: int) -> DataFrame:
     """Reduced resolution: at most ``longest`` cells a side by area average, at least 64 where the source has them."""
     out = min(side, max(64, int(side * min(1.0, longest / side)))) if side > longest else side

@@ -12,6 +12,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.sources.scratch import stored
+
 
 def score_tiles(tiles: DataFrame, model: Callable[[np.ndarray], np.ndarray], id_col: str = "vec_id", data_col: str = "embedding") -> DataFrame:
     """id and prob for every tile: the model gets a batch of tiles (rows) and returns a probability for each."""
@@ -23,7 +25,8 @@ def score_tiles(tiles: DataFrame, model: Callable[[np.ndarray], np.ndarray], id_
 
 
 def fit_classifier(pixels: DataFrame, features: Sequence[str], target: str) -> PipelineModel:
-    """A logistic model of the target, with classes weighted to count alike."""
+    """A logistic model of the target, with classes weighted to count alike. The features are written once, as the fit reads them in every round."""
+    pixels = stored(pixels.select(*features, target), "features")
     share = pixels.agg(F.avg(F.col(target).cast("double"))).first()[0] or 0.0
     weight = F.when(F.col(target) > 0, 0.5 / max(share, 1e-6)).otherwise(0.5 / max(1 - share, 1e-6))
     stages = [VectorAssembler(inputCols=list(features), outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="features"), LogisticRegression(labelCol=target, weightCol="__w", maxIter=20)]

@@ -43,6 +43,25 @@ def pid_latlon(v):
     return v.product_id.select("o_orderkey", lat.alias("lat"), lon.alias("lon"))
 
 
+_POSITION = "([0-9]+)([NS])([0-9]+)([EW])"
+
+
+@query(f"""WITH p AS (SELECT o_orderkey, regexp_extract(ctx_id, '{_POSITION}', 1)::DOUBLE * CASE WHEN regexp_extract(ctx_id, '{_POSITION}', 2) = 'S' THEN -1 ELSE 1 END AS lat, 360 - regexp_extract(ctx_id, '{_POSITION}', 3)::DOUBLE AS lon, 5000 + o_orderkey % 7 AS w, 3000 + o_orderkey % 5 AS h FROM {{product_id}})
+  SELECT o_orderkey, round(radians(lon) * 3396190 - w / 2 * 6.0, 3) AS x0, round(radians(lat) * 3396190 + h / 2 * 6.0, 3) AS y0, CAST(6 AS DOUBLE) AS a, CAST(-6 AS DOUBLE) AS e FROM p""")
+def pid_geotransform(v):
+    """The affine of scenes that have none, from the place in their ids, their size and 6 m cells."""
+    lat, lon = S.signed_position(F.col("ctx_id"))
+    affine = S.affine_from_position(lat, lon, 5000 + F.col("o_orderkey") % 7, 3000 + F.col("o_orderkey") % 5)
+    return v.product_id.select("o_orderkey", *(F.round(c, 3).alias(k) for k, c in affine.items()))
+
+
+@query("SELECT id, round(radians(lon0) * 3396190, 3) AS x0, round(radians(lat1) * 3396190, 3) AS y0, round((radians(lon1) * 3396190 - radians(lon0) * 3396190) / (4096 + id % 9), 6) AS a, round((radians(lat0) * 3396190 - radians(lat1) * 3396190) / (3276 + id % 4), 6) AS e FROM {footprint}")
+def bounds_geotransform(v):
+    """The affine of scenes between known bounds."""
+    affine = S.affine_from_bounds(*map(F.col, ("lon0", "lat0", "lon1", "lat1")), 4096 + F.col("id") % 9, 3276 + F.col("id") % 4)
+    return v.footprint.select("id", *(F.round(c, 3 if k in ("x0", "y0") else 6).alias(k) for k, c in affine.items()))
+
+
 @query("SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS sort_key FROM {product_id} WHERE o_orderkey % 3 <> 2 UNION ALL SELECT o_orderkey, '000001' FROM {product_id} WHERE o_orderkey % 3 = 2")
 def sort_key(v):
     k = F.col("o_orderkey") % 3

@@ -157,21 +157,24 @@ def target_check(v):
     return m.join(F.broadcast(goals), "metric").select("metric", "goal", F.round("mean", 6).alias("mean"), (F.col("mean") >= F.col("goal")).alias("reached"))
 
 
-@query("SELECT vec_id, round(1 / (1 + exp(-(list_sum(list_transform(list_zip(embedding, range(64)), lambda p: CAST(p[1] AS DOUBLE) * (CAST(p[2] AS DOUBLE) / 64 - 0.5)))))), 6) AS prob FROM embeddings")
+_LINEAR = "SELECT vec_id, round(1 / (1 + exp(-(list_sum(list_transform(list_zip(embedding, range(64)), lambda p: CAST(p[1] AS DOUBLE) * (CAST(p[2] AS DOUBLE) / 64 - 0.5)))))), 6) AS prob FROM embeddings"
+
+
+@query(_LINEAR)
 def score_linear(v):
     w = F.array(*(F.lit(i / 64 - 0.5) for i in range(64)))
     dot = F.aggregate(F.zip_with(F.col("embedding"), w, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     return v.embeddings.select("vec_id", F.round(F.lit(1.0) / (1 + F.exp(-dot)), 6).alias("prob"))
 
 
-@query()
+@query(_LINEAR)
 def score_tiles(v):
     """The same score by a model that works on batches of tiles."""
     import numpy as np
 
     from gridloom.operators.scoring import score_tiles as run
 
-    return run(v.embeddings, lambda x: 1 / (1 + np.exp(-(x @ (np.arange(64) / 64 - 0.5)))))
+    return run(v.embeddings, lambda x: 1 / (1 + np.exp(-(x @ (np.arange(64) / 64 - 0.5))))).withColumn("prob", F.round("prob", 6))
 
 
 @query()

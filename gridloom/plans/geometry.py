@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalar as S
 from gridloom.operators import geometry as G
+from gridloom.operators.pixels import scene_pairs
 from gridloom.registry import query
 
 PI = math.pi
@@ -56,18 +57,26 @@ _W = {
 }
 for _m, _sql in _W.items():
 
-    @query(f"SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round({_sql} * n, 6) AS w FROM range(0, 8) a(i), range(0, 8) b(j), (SELECT least(count(*), 1) AS n FROM embeddings) s", name=f"weights_{_m}")
+    @query(f"SELECT vec_id, k // 8 AS i, k % 8 AS j, round({_sql}, 6) AS w, round(p * ({_sql}), 6) AS weighted FROM (SELECT vec_id, CAST(p AS DOUBLE) AS p, k, k // 8 AS i, k % 8 AS j FROM (SELECT vec_id, unnest(embedding) AS p, unnest(range(0, 64)) AS k FROM embeddings) e) f", name=f"weights_{_m}")
     def _weights(v, m=_m):
-        one = v.embeddings.agg(F.least(F.count("*"), F.lit(1)).alias("n"))
-        return G.weights(v.spark, m, 8).crossJoin(one).select("i", "j", F.round(F.col("w") * F.col("n"), 6).alias("w"))
+        cells = v.embeddings.select("vec_id", F.posexplode("embedding").alias("k", "p")).select("vec_id", F.col("p").cast("double").alias("p"), F.floor(F.col("k") / 8).alias("i"), (F.col("k") % 8).cast("long").alias("j"))
+        w = S.blend_weight(m, F.col("i"), F.col("j"), 8)
+        return cells.select("vec_id", "i", "j", F.round(w, 6).alias("w"), F.round(F.col("p") * w, 6).alias("weighted"))
 
 
 _TILES = "t AS (SELECT r0, c0 FROM (SELECT DISTINCT least(i * 8, side - 16) AS r0 FROM {grid_side}, range(0, 1000) a(i) WHERE i * 8 <= side) x, (SELECT DISTINCT least(i * 8, side - 16) AS c0 FROM {grid_side}, range(0, 1000) a(i) WHERE i * 8 <= side) y)"
+_PLACES = """gr AS (SELECT site, scene, max(r) + 1 AS h, max(c) + 1 AS wd, greatest(max(r) - 15, 0) AS lr, greatest(max(c) - 15, 0) AS lc FROM {px} GROUP BY 1, 2),
+  tp AS (SELECT DISTINCT site, scene, h, wd, least(i * 8, lr) AS r0, least(j * 8, lc) AS c0 FROM (SELECT *, unnest(range(0, lc // 8 + 2)) AS j FROM (SELECT *, unnest(range(0, lr // 8 + 2)) AS i FROM gr) a) b)"""
 
 
-@query(f"WITH {_TILES} SELECT CAST(r0 AS BIGINT) AS r0, CAST(c0 AS BIGINT) AS c0 FROM t")
+def places(v):
+    grids = v.px.groupBy("site", "scene").agg((F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width"))
+    return G.tile_places(grids, ["site", "scene"], 16, 8)
+
+
+@query(f"WITH {_PLACES} SELECT site, scene, r0, c0 FROM tp")
 def tile_coords(v):
-    return G.tile_coords(v.spark, v.side, v.side, 16, 8)
+    return places(v)
 
 
 _EMB = "e AS (SELECT (vec_id // 25) * 4 AS r0, (vec_id % 25) * 4 AS c0, list_transform(embedding, lambda x: 1 / (1 + exp(-10 * CAST(x AS DOUBLE)))) AS d FROM embeddings), f AS (SELECT r0, c0, unnest(d) AS p, unnest(range(0, 64)) AS k FROM e), g AS (SELECT r0 + k // 8 AS r, c0 + k % 8 AS c, p, k // 8 AS i, k % 8 AS j FROM f)"
@@ -81,7 +90,13 @@ def blend_hanning(v):
 
 _BIL = """a AS (SELECT tr, tc, y, x, CAST(floor(y) AS BIGINT) AS y0, CAST(floor(x) AS BIGINT) AS x0 FROM t), b AS (SELECT tr, tc, y0 + i AS r, x0 + j AS c, (CASE WHEN i = 1 THEN y - y0 ELSE 1 - y + y0 END) * (CASE WHEN j = 1 THEN x - x0 ELSE 1 - x + x0 END) AS w FROM a, (VALUES (0), (1)) p(i), (VALUES (0), (1)) q(j)),
   o AS (SELECT tr, tc, round(CASE WHEN count(*) = count(elev) THEN sum(w * elev) END, 4) AS elev FROM b LEFT JOIN {dem} d USING (r, c) WHERE w > 0 GROUP BY tr, tc)"""
-_DIM = "n AS (SELECT max(r) + 1 AS h, max(c) + 1 AS wd FROM {dem}), g0 AS (SELECT i AS tr, j AS tc FROM range(0, 20) a(i), range(0, 20) b(j))"
+
+
+def _dim(height: str = "h", width: str = "wd") -> str:
+    return f"n AS (SELECT max(r) + 1 AS h, max(c) + 1 AS wd FROM {{dem}}), g0 AS (SELECT *, unnest(range(0, tw)) AS tc FROM (SELECT *, unnest(range(0, th)) AS tr FROM (SELECT h, wd, {height} AS th, {width} AS tw FROM n) a) b)"
+
+
+_ZOOM = "t AS (SELECT tr, tc, tr * (CAST(h - 1 AS DOUBLE) / (th - 1)) AS y, tc * (CAST(wd - 1 AS DOUBLE) / (tw - 1)) AS x FROM g0)"
 
 
 def extent(v):
@@ -89,38 +104,57 @@ def extent(v):
     return x[0] + 1, x[1] + 1
 
 
-@query(f"WITH {_DIM}, t AS (SELECT tr, tc, tr * (CAST(h - 1 AS DOUBLE) / 19) AS y, tc * (CAST(wd - 1 AS DOUBLE) / 19) AS x FROM g0, n), {_BIL} SELECT * FROM o")
+def finer(v) -> tuple[tuple[int, int], tuple[int, int]]:
+    """The raster's size and half as much again on each side."""
+    h, w = extent(v)
+    return (h, w), (h * 3 // 2, w * 3 // 2)
+
+
+@query(f"WITH {_dim('h * 3 // 2', 'wd * 3 // 2')}, {_ZOOM}, {_BIL} SELECT * FROM o")
 def resize_bilinear(v):
-    return G.bilinear(v.dem, [], "elev", G.zoom_targets(v.spark, extent(v), (20, 20))).withColumn("elev", F.round("elev", 4))
+    return G.bilinear(v.dem, [], "elev", G.zoom_targets(v.spark, *finer(v))).withColumn("elev", F.round("elev", 4))
 
 
-@query(f"WITH {_DIM}, t AS (SELECT tr, tc, tr * (CAST(h - 1 AS DOUBLE) / 19) AS y, tc * (CAST(wd - 1 AS DOUBLE) / 19) AS x FROM g0, n) SELECT tr, tc, elev FROM t LEFT JOIN {{dem}} d ON d.r = floor(y + 0.5) AND d.c = floor(x + 0.5)")
+@query(f"WITH {_dim('h * 3 // 2', 'wd * 3 // 2')}, {_ZOOM} SELECT tr, tc, elev FROM t LEFT JOIN {{dem}} d ON d.r = floor(y + 0.5) AND d.c = floor(x + 0.5)")
 def resize_nearest(v):
-    return G.nearest(v.dem, [], "elev", G.zoom_targets(v.spark, extent(v), (20, 20)))
+    return G.nearest(v.dem, [], "elev", G.zoom_targets(v.spark, *finer(v)))
 
 
-@query(f"WITH {_DIM}, t AS (SELECT tr, tc, 0.5 * tr + 0.25 AS y, 0.5 * tc - 0.25 AS x FROM g0), {_BIL} SELECT * FROM o")
+@query(f"WITH {_dim('2 * h', '2 * wd')}, t AS (SELECT tr, tc, 0.5 * tr + 0.25 AS y, 0.5 * tc - 0.25 AS x FROM g0), {_BIL} SELECT * FROM o")
 def reproject_bilinear(v):
-    at = G.affine_targets(G.grid(v.spark, 20, 20), 0.5, 0.0, -0.25, 0.0, 0.5, 0.25)
+    h, w = extent(v)
+    at = G.affine_targets(G.grid(v.spark, 2 * h, 2 * w), 0.5, 0.0, -0.25, 0.0, 0.5, 0.25)
     return G.bilinear(v.dem, [], "elev", at).withColumn("elev", F.round("elev", 4))
 
 
-@query("SELECT p.site, p.scene, q.r, q.c, p.red FROM {px} p JOIN (SELECT site, scene, r, c FROM {px} WHERE scene = 1995) q ON p.site = q.site AND p.r = q.r AND p.c = q.c WHERE p.scene = 1996")
+_PAIRS = "p AS (SELECT * FROM (SELECT site, scene AS t0, lead(scene) OVER (PARTITION BY site ORDER BY scene) AS t1 FROM (SELECT DISTINCT site, scene FROM {px}) s) u WHERE t1 IS NOT NULL)"
+
+
+def paired(v, which: str):
+    """The pixels of the earlier (t0) or later (t1) scene of every pair of scenes."""
+    pairs = scene_pairs(v.px.select("site", "scene").distinct(), ["site"], "scene")
+    return v.px.join(pairs.withColumn("scene", F.col(which)), ["site", "scene"]).select("site", "t0", "t1", "r", "c", "red")
+
+
+@query(f"WITH {_PAIRS} SELECT p.site, p.t0, p.t1, a.r, a.c, b.red FROM p JOIN {{px}} a ON a.site = p.site AND a.scene = t0 JOIN {{px}} b ON b.site = p.site AND b.scene = t1 AND b.r = a.r AND b.c = a.c")
 def align_nearest(v):
-    at = v.px.where("scene = 1995").select("site", F.col("r").alias("tr"), F.col("c").alias("tc"), F.col("r").cast("double").alias("y"), F.col("c").cast("double").alias("x"))
-    out = G.nearest(v.px.where("scene = 1996"), ["site"], "red", at).where("red IS NOT NULL")
-    return out.select("site", F.lit(1996).cast("long").alias("scene"), F.col("tr").alias("r"), F.col("tc").alias("c"), "red")
+    """Each later scene on the cells of the one before it."""
+    keys = ["site", "t0", "t1"]
+    at = paired(v, "t0").select(*keys, F.col("r").alias("tr"), F.col("c").alias("tc"), F.col("r").cast("double").alias("y"), F.col("c").cast("double").alias("x"))
+    out = G.nearest(paired(v, "t1"), keys, "red", at).where("red IS NOT NULL")
+    return out.select(*keys, F.col("tr").alias("r"), F.col("tc").alias("c"), "red")
 
 
-@query(f"WITH {_DIM} SELECT tr, tc, elev FROM g0 LEFT JOIN {{dem}} d ON d.r = tr + 2 AND d.c = tc + 3")
+@query(f"WITH {_dim()} SELECT tr, tc, elev FROM g0 LEFT JOIN {{dem}} d ON d.r = tr + 2 AND d.c = tc + 3")
 def warp_affine(v):
-    return G.bilinear(v.dem, [], "elev", G.affine_targets(G.grid(v.spark, 20, 20), 1.0, 0.0, 3.0, 0.0, 1.0, 2.0))
+    return G.bilinear(v.dem, [], "elev", G.affine_targets(G.grid(v.spark, *extent(v)), 1.0, 0.0, 3.0, 0.0, 1.0, 2.0))
 
 
-@query()
+@query(f"WITH {_dim()}, t AS (SELECT tr, tc, cos(radians(15)) * tr - sin(radians(15)) * tc + 4 AS y, cos(radians(15)) * tc + sin(radians(15)) * tr + 1 AS x FROM g0), {_BIL} SELECT * FROM o")
 def augment_affine(v):
     t = math.radians(15)
-    return G.bilinear(v.dem, [], "elev", G.affine_targets(G.grid(v.spark, 12, 12), math.cos(t), math.sin(t), 1.0, -math.sin(t), math.cos(t), 4.0))
+    at = G.affine_targets(G.grid(v.spark, *extent(v)), math.cos(t), math.sin(t), 1.0, -math.sin(t), math.cos(t), 4.0)
+    return G.bilinear(v.dem, [], "elev", at).withColumn("elev", F.round("elev", 4))
 
 
 @query("WITH n AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM {dem}), x AS (SELECT CAST(ceil(h / 16.0) * 16 AS BIGINT) AS ph, CAST(ceil(w / 16.0) * 16 AS BIGINT) AS pw, h, w FROM n) SELECT CAST(i AS BIGINT) AS r, CAST(j AS BIGINT) AS c, elev FROM x, range(0, 400) a(i), range(0, 400) b(j), {dem} d WHERE i < ph AND j < pw AND d.r = CASE WHEN i < h THEN i ELSE 2 * h - 2 - i END AND d.c = CASE WHEN j < w THEN j ELSE 2 * w - 2 - j END")
@@ -133,7 +167,7 @@ _PATCH = "m AS (SELECT site, scene, r, c FROM {px} WHERE prob >= 0.7), t2 AS (SE
 
 def fg_patches(v):
     m = v.px.where("prob >= 0.7").select("site", "scene", "r", "c")
-    return G.patches(m, ["site", "scene"], G.tile_coords(v.spark, v.side, v.side, 16, 8), 16)
+    return G.patches(m, ["site", "scene"], (v.side, v.side), 16, 8)
 
 
 @query(f"WITH {_TILES}, {_PATCH} SELECT site, scene, CAST(r0 AS BIGINT) AS r0, CAST(c0 AS BIGINT) AS c0, n, n / CAST(256 AS DOUBLE) AS fraction FROM fg WHERE n / 256.0 >= 0.1")
@@ -144,11 +178,17 @@ def patch_fg(v):
 @query(f"WITH {_TILES}, {_PATCH}, f AS (SELECT * FROM fg WHERE n / 256.0 >= 0.25), w AS (SELECT site, scene, greatest(count(*) // 3, 1) AS k FROM f GROUP BY 1, 2), e AS (SELECT s.site, s.scene, t2.r0, t2.c0, row_number() OVER (PARTITION BY s.site, s.scene ORDER BY t2.r0, t2.c0) AS n FROM (SELECT DISTINCT site, scene FROM {{px}}) s CROSS JOIN t2 LEFT JOIN f ON f.site = s.site AND f.scene = s.scene AND f.r0 = t2.r0 AND f.c0 = t2.c0 WHERE f.site IS NULL) SELECT site, scene, CAST(r0 AS BIGINT) AS r0, CAST(c0 AS BIGINT) AS c0 FROM e JOIN w USING (site, scene) WHERE n <= k")
 def patch_bg(v):
     fg = fg_patches(v).where("fraction >= 0.25")
-    tiles = G.tile_coords(v.spark, v.side, v.side, 16, 8).where("r0 % 16 = 0 AND c0 % 16 = 0")
-    return G.background(tiles, fg, ["site", "scene"], v.px.select("site", "scene").distinct())
+    grids = v.px.select("site", "scene").distinct().withColumns({"height": F.lit(v.side), "width": F.lit(v.side)})
+    return G.background(G.tile_places(grids, ["site", "scene"], 16, 8).where("r0 % 16 = 0 AND c0 % 16 = 0"), fg, ["site", "scene"])
 
 
-@query()
+def _unit(text: str) -> str:
+    """The SQL of ``unit_hash`` for the text that is hashed."""
+    return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / CAST({1 << 52} AS DOUBLE))"
+
+
+@query(f"""WITH a AS (SELECT site, scene, CAST(floor({_unit("'1|' || site || '|' || scene || '|' || k")} * (side - 7)) AS BIGINT) AS r0, CAST(floor({_unit("'2|' || site || '|' || scene || '|' || k")} * (side - 7)) AS BIGINT) AS c0 FROM (SELECT DISTINCT site, scene FROM {{px}}) s, {{grid_side}}, range(0, 10) q(k))
+  SELECT site, scene, r0, c0, count(*) AS count FROM a JOIN {{px}} p USING (site, scene) WHERE prob >= 0.5 AND r >= r0 AND r < r0 + 8 AND c >= c0 AND c < c0 + 8 GROUP BY 1, 2, 3, 4 HAVING count(*) BETWEEN 8 AND 56""")
 def patch_random(v):
     at = v.px.select("site", "scene").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
     at = at.select("site", "scene", *(F.floor(G.unit_hash(s, "site", "scene", "k") * (v.side - 7)).cast("long").alias(n) for s, n in ((1, "r0"), (2, "c0"))))
@@ -166,9 +206,10 @@ def augment_dihedral(v):
     return G.dihedral(x, 8)
 
 
-@query()
+@query(f"""SELECT site, scene, r, c, round(prob * (1 + ({_unit("'7|' || site || '-' || scene")} * 2 - 1) * 0.2) + ({_unit("'8|' || site || '-' || scene")} * 2 - 1) * 0.2, 6) AS prob FROM {{px}}""")
 def augment_bc(v):
-    return G.jitter(v.px.withColumn("patch", F.concat_ws("-", "site", "scene")), "patch", "prob", 0.2, 7).select("site", "scene", "r", "c", "prob")
+    out = G.jitter(v.px.withColumn("patch", F.concat_ws("-", "site", "scene")), "patch", "prob", 0.2, 7)
+    return out.select("site", "scene", "r", "c", F.round("prob", 6).alias("prob"))
 
 
 _NB = "greatest(side // 10, 1)"
@@ -179,10 +220,9 @@ def fold_pixels(v):
     return v.px.select("site", "scene", "r", "c").withColumns(G.block_fold(F.col("r"), F.col("c"), (v.side, v.side), 10, 5))
 
 
-@query(f"WITH {_TILES} SELECT CAST(r0 AS BIGINT) AS r0, CAST(c0 AS BIGINT) AS c0, CAST((least((r0 + 8) // 10, {_NB} - 1) * {_NB} + least((c0 + 8) // 10, {_NB} - 1)) % 5 AS BIGINT) AS fold FROM t, {{grid_side}}")
+@query(f"WITH {_PLACES} SELECT site, scene, r0, c0, CAST((least((r0 + 8) // 10, {_NB} - 1) * {_NB} + least((c0 + 8) // 10, {_NB} - 1)) % 5 AS BIGINT) AS fold FROM tp, {{grid_side}}")
 def fold_patches(v):
-    t = G.tile_coords(v.spark, v.side, v.side, 16, 8)
-    return t.withColumn("fold", G.block_fold(F.col("r0") + 8, F.col("c0") + 8, (v.side, v.side), 10, 5)["fold"])
+    return places(v).withColumn("fold", G.block_fold(F.col("r0") + 8, F.col("c0") + 8, (v.side, v.side), 10, 5)["fold"])
 
 
 @query("WITH p AS (SELECT site, scene, avg(CASE WHEN prob >= 0.7 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS f FROM {px} GROUP BY 1, 2), w AS (SELECT *, CASE WHEN f > 0.14 THEN CAST(1 AS DOUBLE) ELSE 0.3 END AS w FROM p) SELECT site, scene, round(w / sum(w) OVER (), 6) AS weight FROM w")
@@ -191,13 +231,14 @@ def weights_fg(v):
     return p.crossJoin(p.agg(F.sum("w").alias("s"))).select("site", "scene", F.round(F.col("w") / F.col("s"), 6).alias("weight"))  # the sum is one row
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id, CASE WHEN target > 0 THEN CAST(1 AS DOUBLE) ELSE 0.3 END AS w FROM {{scored}}), c AS (SELECT doc_id, (sum(w) OVER (ORDER BY doc_id) - w) / sum(w) OVER () AS low, sum(w) OVER (ORDER BY doc_id) / sum(w) OVER () AS high FROM w),
+  d AS (SELECT k AS draw, {_unit("'11|' || k")} AS u FROM range(0, 500) q(k)) SELECT draw, doc_id FROM d JOIN c ON u >= low AND u < high""")
 def weighted_sample(v):
     w = v.scored.select("doc_id", F.when(F.col("target") > 0, 1.0).otherwise(0.3).alias("w"))
     return G.weighted_draw(w, "doc_id", "w", 500, 11)
 
 
-@query()
+@query(f"""WITH u AS (SELECT doc_id, row_number() OVER (ORDER BY {_unit("'3|' || doc_id")}, doc_id) AS n, count(*) OVER () AS total FROM (SELECT DISTINCT doc_id FROM {{scored}}) d) SELECT doc_id, CASE WHEN n <= greatest(1, floor(0.2 * total)) THEN 'val' ELSE 'train' END AS split FROM u""")
 def split_random(v):
     return G.random_split(v.scored.select("doc_id"), "doc_id", 0.2, 3)
 
@@ -207,17 +248,24 @@ def split_temporal(v):
     return G.temporal_split(v.px.select("site", "scene").distinct(), "scene", (1992, 1995), (1997, 1998))
 
 
-@query("WITH f AS (SELECT r, c, red AS f FROM {px} WHERE site = 'F' AND scene = 1993), m AS (SELECT r, c, red AS m FROM {px} WHERE site = 'F' AND scene = 1994), s AS (SELECT i AS d FROM range(-2, 3) a(i)) SELECT a.d AS dr, b.d AS dc, round(corr(f, m), 5) AS score FROM m, s a, s b, f WHERE f.r = m.r + a.d AND f.c = m.c + b.d GROUP BY 1, 2")
+@query("SELECT site, scene, CASE WHEN n <= floor(total * CAST(0.6 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM (SELECT site, scene, row_number() OVER (ORDER BY site, scene) AS n, count(*) OVER () AS total FROM (SELECT DISTINCT site, scene FROM {px}) s) u")
+def split_by_place(v):
+    """No year is in either range: the first 60 % by place are for training."""
+    return G.temporal_split(v.px.select("site", "scene").distinct(), "scene", (2005, 2010), (2015, 2020), ["site", "scene"])
+
+
+@query(f"WITH {_PAIRS}, o AS (SELECT i AS d FROM range(-2, 3) a(i)), m AS (SELECT p.site, t0, t1, r + a.d AS r, c + b.d AS c, a.d AS dr, b.d AS dc, red AS m FROM p JOIN {{px}} x ON x.site = p.site AND x.scene = t1, o a, o b) SELECT m.site, t0, t1, dr, dc, round(CASE WHEN isnan(corr(red, m)) THEN NULL ELSE corr(red, m) END, 5) AS score FROM m JOIN {{px}} f ON f.site = m.site AND f.scene = t0 AND f.r = m.r AND f.c = m.c GROUP BY 1, 2, 3, 4, 5")
 def register_shift(v):
-    x = v.px.where("site = 'F'")
-    return G.register_shift(x.where("scene = 1993"), x.where("scene = 1994"), "red", 2).withColumn("score", F.round("score", 5))
+    """Every later scene against the one before it."""
+    out = G.register_shift(paired(v, "t0"), paired(v, "t1"), "red", 2, ["site", "t0", "t1"])
+    return out.withColumn("score", F.round(F.nanvl("score", F.lit(None).cast("double")), 5))
 
 
-_SEED = "sd AS (SELECT p_partkey AS id, p_partkey % 30 AS r, p_partkey * 7 % 30 AS c, ((p_partkey % 3) - 1) * CAST(0.5 AS DOUBLE) + 0.25 AS dr, CAST(0.75 AS DOUBLE) AS dc, p_size % 8 AS length FROM part WHERE p_size <= 10)"
+_SEED = "sd AS (SELECT p_partkey AS id, p_partkey % 30 AS r, p_partkey * 7 % 30 AS c, ((p_partkey % 3) - 1) * CAST(0.5 AS DOUBLE) + 0.25 AS dr, CAST(0.75 AS DOUBLE) AS dc, p_size % 8 AS length FROM part)"
 
 
 def seeds(v):
-    return v.part.where("p_size <= 10").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 30).alias("r"), (F.col("p_partkey") * 7 % 30).alias("c"), ((F.col("p_partkey") % 3 - 1) * 0.5 + 0.25).alias("dr"), F.lit(0.75).alias("dc"), (F.col("p_size") % 8).alias("length"))
+    return v.part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 30).alias("r"), (F.col("p_partkey") * 7 % 30).alias("c"), ((F.col("p_partkey") % 3 - 1) * 0.5 + 0.25).alias("dr"), F.lit(0.75).alias("dc"), (F.col("p_size") % 8).alias("length"))
 
 
 @query(f"WITH {_SEED}, l AS (SELECT id, CAST(trunc(r + k * dr) AS BIGINT) AS r, CAST(trunc(c + k * dc) AS BIGINT) AS c FROM sd, range(0, 8) a(k) WHERE k < length), o(d) AS (VALUES (-2), (-1), (0), (1)) SELECT DISTINCT id, r + a.d AS r, c + b.d AS c FROM l, o a, o b WHERE r + a.d BETWEEN 0 AND 31 AND c + b.d BETWEEN 0 AND 31")
@@ -230,10 +278,10 @@ def draw_discs(v):
     return G.draw_discs(seeds(v), (32, 32), 2)
 
 
-@query("SELECT p.site, p.scene, p.r, p.c, p.red, p.prob, q.red AS red_before, d.elev FROM {px} p LEFT JOIN {px} q ON q.site = p.site AND q.scene = p.scene - 1 AND q.r = p.r AND q.c = p.c LEFT JOIN {dem} d ON d.r = p.r AND d.c = p.c WHERE p.scene >= 1994")
+@query("SELECT p.site, p.scene, p.r, p.c, p.red, p.prob, q.red AS red_before, d.elev FROM {px} p LEFT JOIN {px} q ON q.site = p.site AND q.scene = p.scene - 1 AND q.r = p.r AND q.c = p.c LEFT JOIN {dem} d ON d.r = p.r AND d.c = p.c")
 def feature_stack(v):
     before = v.px.select("site", (F.col("scene") + 1).alias("scene"), "r", "c", F.col("red").alias("red_before"))
-    return v.px.where("scene >= 1994").select("site", "scene", "r", "c", "red", "prob").join(before, ["site", "scene", "r", "c"], "left").join(v.dem, ["r", "c"], "left")
+    return v.px.select("site", "scene", "r", "c", "red", "prob").join(before, ["site", "scene", "r", "c"], "left").join(v.dem, ["r", "c"], "left")
 
 
 @query("SELECT a.vec_id FROM embeddings a JOIN (SELECT vec_id FROM embeddings WHERE label % 2 = 0) b USING (vec_id)")

@@ -34,6 +34,36 @@ def downsample_avg(v):
     return P.block_average(v.px, ["site", "scene"], "red", 2).withColumn("red", F.round("red", 6))
 
 
+@query("SELECT site, scene, r * o // side AS r, c * o // side AS c, round(avg(red), 6) AS red FROM {px}, (SELECT side, least(side, greatest(64, CAST(floor(side * (CAST(side * 2 // 3 AS DOUBLE) / side)) AS BIGINT))) AS o FROM {grid_side}) g GROUP BY 1, 2, 3, 4")
+def downsample_longest(v):
+    """At most two thirds of the cells a side, at least 64 where there are as many."""
+    return P.downsample(v.px, ["site", "scene"], "red", v.side, v.side * 2 // 3).withColumn("red", F.round("red", 6))
+
+
+_ORIGIN, _SPAN = (0.0, 5335046.0), 21344000.0
+_CUT = "CAST(trunc({x}) AS BIGINT)"
+
+
+@query(f"""WITH n AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM {{dem}}), m AS (SELECT site, h, w, CAST({_SPAN} AS DOUBLE) / w AS px, CAST({_SPAN} AS DOUBLE) / 2 / h AS py, radians(lon0) * 3396190.0 AS x0, radians(lon1) * 3396190.0 AS x1, radians(lat0) * 3396190.0 AS y0, radians(lat1) * 3396190.0 AS y1 FROM {{sites}}, n),
+  a AS (SELECT *, greatest(0, least({_CUT.format(x='(5335046.0 - y1) / py')}, h - 1)) AS r0, {_CUT.format(x='(5335046.0 - y0) / py')} + 1 AS rr, greatest(0, least({_CUT.format(x='x0 / px')}, w - 1)) AS c0, {_CUT.format(x='x1 / px')} + 1 AS cc FROM m),
+  b AS (SELECT *, greatest(r0 + 1, least(rr, h)) AS r1, greatest(c0 + 1, least(cc, w)) AS c1 FROM a)
+  SELECT site, d.r - r0 AS r, d.c - c0 AS c, elev, round(c0 * px, 3) AS x0, round(5335046.0 - r0 * py, 3) AS y0 FROM b JOIN {{dem}} d ON d.r >= r0 AND d.r < r1 AND d.c >= c0 AND d.c < c1""")
+def bbox_degrees(v):
+    """The cells of the terrain in the box of degrees of every site, and where each window begins."""
+    h, w = (x + 1 for x in v.dem.agg(F.max("r"), F.max("c")).first())
+    box = P.degree_window([F.col(x) for x in ("lon0", "lat0", "lon1", "lat1")], _ORIGIN, (_SPAN / w, _SPAN / 2 / h), (h, w))
+    windows = v.sites.select("site", *(c.alias(k) for k, c in box.items()))
+    cells = P.read_windows(v.dem, windows, "site")
+    return cells.join(windows.select("site", F.round("x0", 3).alias("x0"), F.round("y0", 3).alias("y0")), "site")
+
+
+@query("SELECT site, scene, r, c, round((blue - red) / (blue + red + 1e-8), 6) AS ndsi, round((nir - red) / (nir + red + 1e-8), 6) AS dci FROM {px}")
+def sensor_bands(v):
+    """Indices of bands that a sensor names by their order; its blue band stands for green, too."""
+    bands = v.px.select("site", "scene", "r", "c", F.col("red").alias("b0"), F.col("blue").alias("b1"), F.col("nir").alias("b2"))
+    return S.INDICES.apply(S.name_bands(bands, "hirise", ["b0", "b1", "b2"]), ["ndsi", "dci"]).select("site", "scene", "r", "c", r6("ndsi"), r6("dci"))
+
+
 _INDEX = {
     "idx_rsi": ("rsi", "(red - blue) / (red + blue + 1e-8)"),
     "idx_dci": ("dci", "(nir - red) / (nir + red + 1e-8)"),

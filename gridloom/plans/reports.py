@@ -10,6 +10,7 @@ from gridloom.operators import reports as R
 from gridloom.operators import series as SE
 from gridloom.plans.objects import BY, C8, _MATCH, _STATS, _TRACK, cells, tracked
 from gridloom.plans.pixels import _MASK, PIXEL_HA, changed
+from gridloom.plans.series import TRACKER
 from gridloom.registry import query
 from gridloom.sources.scratch import shared_dir
 
@@ -82,7 +83,7 @@ def stac_items(v):
     return items.select("id", F.concat(F.col("scene").cast("string"), F.lit("-07-01T00:00:00Z")).alias("datetime"), F.size("assets").cast("long").alias("n_assets"), F.col("assets")["thumb"].alias("thumb"))
 
 
-@query()
+@query(f"WITH {TRACKER} SELECT k AS track_id, list(t ORDER BY t) AS dates, list(a ORDER BY t) AS areas_ha, list(smoothed ORDER BY t) AS smoothed_ha FROM sm GROUP BY k", recursive=True)
 def read_tracks_json(v):
     """Track documents written as JSON and read with a fixed schema."""
     import uuid

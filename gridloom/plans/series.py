@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.functions.kalman import smooth_series
+from gridloom.functions.kalman import smooth_long, smooth_series
 from gridloom.operators import series as O
 from gridloom.registry import query
 
@@ -27,6 +27,12 @@ def kalman_series(v):
     return smooth_series(v.series, ["k"])
 
 
+@query(f"WITH {SERIES} SELECT k, t, a, smoothed, velocity FROM sm", recursive=True)
+def kalman_long(v):
+    """The same for series too long for one array."""
+    return smooth_long(v.series, ["k"])
+
+
 @query(f"WITH {TRACKER} SELECT k, t, a, smoothed, velocity FROM sm", recursive=True)
 def kalman_tracker(v):
     return smooth_series(v.series, ["k"], update_first=False)

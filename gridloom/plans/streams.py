@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from gridloom.plans.objects import C8, _MATCH, _STATS
 from gridloom.plans.series import TRACKER
 from gridloom.registry import query
 from gridloom.sources.scratch import shared_dir
@@ -36,10 +37,15 @@ def window_area(v):
     return S.window_area(v.events)
 
 
-@query()
+@query(f"WITH {C8}, {_STATS}, {_MATCH} SELECT site, t0, t1, comp, prev, round(iou, 6) AS iou FROM mt", recursive=True)
 def stream_tracks(v):
-    m = v.px.where("prob >= 0.7").select("site", "scene", "r", "c")
-    source = v.spark.readStream.schema(m.schema).parquet(_stored(m.coalesce(1), v, "masks"))
+    """Dates arrive one after another, each a micro-batch; their masks lie in a table."""
     path = f"{shared_dir(v.spark)}/tracks-{uuid.uuid4().hex}"
-    S.ingest_masks(source, path, ["site"], "scene", v.side, 0.3, f"{path}/log").trigger(availableNow=True).start().awaitTermination()
-    return v.spark.read.parquet(f"{path}/matches").drop("batch").select("site", "t0", "t1", "comp", "prev", F.round("iou", 6).alias("iou"))
+    v.px.where("prob >= 0.7").select("site", "scene", "r", "c").repartition("site", "scene").write.partitionBy("scene").parquet(f"{path}/masks")
+    dates = v.px.select("site", "scene").distinct().cache()
+    for scene in sorted(r["scene"] for r in dates.select("scene").distinct().collect()):  # one file a date, in the order of arrival
+        dates.where(F.col("scene") == scene).coalesce(1).write.mode("append").parquet(f"{path}/arrivals")
+    arrivals = v.spark.readStream.schema(dates.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arrivals")
+    S.ingest_masks(arrivals, f"{path}/masks", path, ["site"], "scene", v.side, 0.3, f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    dates.unpersist()
+    return v.spark.read.parquet(f"{path}/matches").select("site", "t0", "t1", "comp", "prev", F.round("iou", 6).alias("iou"))

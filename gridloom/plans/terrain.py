@@ -10,12 +10,13 @@ from gridloom.registry import query
 CELL = 463.0
 
 
-def _ring(modes: str = "least(greatest({x} + {d}, 0), {n} - 1)") -> str:
-    at = lambda x, d, n: modes.format(x=x, d=d, n=n)
+def _ring(table: str = "{dem}", tag: str = "") -> str:
+    """CTEs nb (r, c, dr, dc, z: neighbours, the edge repeated) and k (a column for each of nine) of a grid, names ending in ``tag``."""
     cells = ", ".join(f"max(CASE WHEN dr = {i} AND dc = {j} THEN z END) AS z{i + 1}{j + 1}" for i in (-1, 0, 1) for j in (-1, 0, 1))
-    return f"""e AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM {{dem}}), o AS (SELECT a.d AS dr, b.d AS dc FROM (VALUES (-1), (0), (1)) a(d), (VALUES (-1), (0), (1)) b(d)),
-      nb AS (SELECT d.r, d.c, dr, dc, n.elev AS z FROM {{dem}} d CROSS JOIN o CROSS JOIN e JOIN {{dem}} n ON n.r = {at('d.r', 'dr', 'h')} AND n.c = {at('d.c', 'dc', 'w')}),
-      k AS (SELECT r, c, {cells} FROM nb GROUP BY r, c)"""
+    at = "least(greatest(d.{x} + d{x}, 0), {n} - 1)"
+    return f"""e{tag} AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM {table}), o{tag} AS (SELECT a.d AS dr, b.d AS dc FROM (VALUES (-1), (0), (1)) a(d), (VALUES (-1), (0), (1)) b(d)),
+      nb{tag} AS (SELECT d.r, d.c, dr, dc, n.elev AS z FROM {table} d CROSS JOIN o{tag} CROSS JOIN e{tag} JOIN {table} n ON n.r = {at.format(x='r', n='h')} AND n.c = {at.format(x='c', n='w')}),
+      k{tag} AS (SELECT r, c, {cells} FROM nb{tag} GROUP BY r, c)"""
 
 
 _SLOPE = f"""g AS (SELECT r, c, ((z02 + 2 * z12 + z22) - (z00 + 2 * z10 + z20)) / (8 * 463.0) AS dx, ((z20 + 2 * z21 + z22) - (z00 + 2 * z01 + z02)) / (8 * 463.0) AS dy FROM k),
@@ -64,16 +65,29 @@ def roughness(v):
 _TAPS = ", ".join(f"({k - 4}, CAST({float(w)!r} AS DOUBLE))" for k, w in enumerate(O.gaussian_taps(1.0)))
 
 
-@query(f"""WITH e AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM {{dem}}), t(d, wt) AS (VALUES {_TAPS}),
-  a AS (SELECT x.r, x.c, sum(n.elev * wt) AS z FROM {{dem}} x CROSS JOIN t CROSS JOIN e JOIN {{dem}} n ON n.c = x.c AND n.r = CASE WHEN x.r + d < 0 THEN -1 - x.r - d WHEN x.r + d >= h THEN 2 * h - 1 - x.r - d ELSE x.r + d END GROUP BY 1, 2)
-  SELECT x.r, x.c, round(sum(n.z * wt), 5) AS smooth FROM a x CROSS JOIN t CROSS JOIN e JOIN a n ON n.r = x.r AND n.c = CASE WHEN x.c + d < 0 THEN -1 - x.c - d WHEN x.c + d >= w THEN 2 * w - 1 - x.c - d ELSE x.c + d END GROUP BY 1, 2""")
+_GAUSS = f"""eg AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM {{table}}), tg(d, wt) AS (VALUES {_TAPS}),
+  ag AS (SELECT x.r, x.c, sum(n.elev * wt) AS z FROM {{table}} x CROSS JOIN tg CROSS JOIN eg JOIN {{table}} n ON n.c = x.c AND n.r = CASE WHEN x.r + d < 0 THEN -1 - x.r - d WHEN x.r + d >= h THEN 2 * h - 1 - x.r - d ELSE x.r + d END GROUP BY 1, 2),
+  sm AS (SELECT x.r, x.c, sum(n.z * wt) AS elev FROM ag x CROSS JOIN tg CROSS JOIN eg JOIN ag n ON n.r = x.r AND n.c = CASE WHEN x.c + d < 0 THEN -1 - x.c - d WHEN x.c + d >= w THEN 2 * w - 1 - x.c - d ELSE x.c + d END GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_GAUSS.format(table='{dem}')} SELECT r, c, round(elev, 5) AS smooth FROM sm")
 def gaussian_smooth(v):
     return _terrain(v, O.gaussian(1.0), ["smooth"], 4, "reflect").withColumn("smooth", F.round("smooth", 5))
 
 
-@query()
+_FILLED = """hl AS (SELECT r AS hr, c AS hc FROM {dem} WHERE (r * 7 + c) % 11 = 0), gd AS (SELECT * FROM {dem} WHERE (r * 7 + c) % 11 <> 0),
+  fd AS (SELECT hr AS r, hc AS c, elev FROM (SELECT hr, hc, elev, row_number() OVER (PARTITION BY hr, hc ORDER BY (r - hr) * (r - hr) + (c - hc) * (c - hc), r, c) AS n FROM hl JOIN gd ON abs(r - hr) <= 3 AND abs(c - hc) <= 3 AND (r - hr) * (r - hr) + (c - hc) * (c - hc) <= 9) q WHERE n = 1),
+  al AS (SELECT r, c, elev FROM gd UNION ALL SELECT r, c, elev FROM fd)"""
+_BENT = "round(1e6 * CASE WHEN g * g + h1 * h1 > 1e-10 THEN -2 * ({top}) / ((g * g + h1 * h1) * sqrt(g * g + h1 * h1 + 1)) ELSE 0 END, 4)"
+
+
+@query(f"""WITH {_FILLED}, {_ring('al')}, {_SLOPE}, s AS (SELECT r, c, avg(z) AS m, avg(z * z) AS m2 FROM nb GROUP BY r, c), {_GAUSS.format(table='al')}, {_ring('sm', '2')}, {_CURVE.replace('FROM k)', 'FROM k2)')}
+  SELECT r, c, round(slope, 6) AS slope, round(aspect, 6) AS aspect, {_BENT.format(top='d * h1 * h1 - f * g * h1 + e1 * g * g')} AS plan, {_BENT.format(top='d * g * g + f * g * h1 + e1 * h1 * h1')} AS profile, round(sqrt(greatest(m2 - m * m, 0)), 4) AS roughness FROM t JOIN s USING (r, c) JOIN q USING (r, c)""")
 def morphometrics(v):
-    return O.morphometrics(v.dem, [], "elev", extent(v), CELL)
+    """All features, after cells without a number were filled."""
+    dem = v.dem.withColumn("elev", F.when((F.col("r") * 7 + F.col("c")) % 11 != 0, F.col("elev")))
+    out = O.morphometrics(dem, [], "elev", extent(v), CELL, tile=32)
+    return out.select("r", "c", *(F.round(x, 6).alias(x) for x in ("slope", "aspect")), *(F.round(F.col(x) * 1e6, 4).alias(x) for x in ("plan", "profile")), F.round("roughness", 4).alias("roughness"))
 
 
 def mask(v, threshold: float = 0.7):
@@ -99,34 +113,41 @@ def morph_close(v):
     return O.close(mask(v), ["site", "scene"], (v.side, v.side), 2)
 
 
-def _latest(v):
-    return v.px.where("scene = 1995")
-
+def _windows(size: int, tag: str = "") -> str:
+    """CTE tx: the texture of every window of that size at each fourth cell."""
+    reach = ", ".join(f"({d})" for d in range(-(size // 2), size // 2 + 1))
+    same = "x.site = y.site AND x.scene = y.scene AND x.wr = y.wr AND x.wc = y.wc AND x.dr = y.dr AND y.dc = x.dc + 1"
+    return f"""ow{tag}(d) AS (VALUES {reach}), wn{tag} AS (SELECT site, scene, side AS n, CAST(i * 4 AS BIGINT) AS wr, CAST(j * 4 AS BIGINT) AS wc FROM (SELECT DISTINCT site, scene FROM {{px}}) s, {{grid_side}}, range(0, 100) a(i), range(0, 100) b(j) WHERE i * 4 < side AND j * 4 < side),
+  f{tag} AS (SELECT site, scene, wr, wc, a.d AS dr, b.d AS dc, CASE WHEN wr + a.d < 0 THEN -(wr + a.d) WHEN wr + a.d >= n THEN 2 * n - 2 - wr - a.d ELSE wr + a.d END AS r, CASE WHEN wc + b.d < 0 THEN -(wc + b.d) WHEN wc + b.d >= n THEN 2 * n - 2 - wc - b.d ELSE wc + b.d END AS c FROM wn{tag}, ow{tag} a, ow{tag} b),
+  z{tag} AS (SELECT f.site, f.scene, wr, wc, dr, dc, CAST(floor(coalesce(least(greatest(p.prob, 0), 1), 0) * 15) AS BIGINT) AS q FROM f{tag} f LEFT JOIN {{px}} p ON p.site = f.site AND p.scene = f.scene AND p.r = f.r AND p.c = f.c),
+  pr{tag} AS (SELECT x.site, x.scene, x.wr, x.wc, x.q AS i, y.q AS j FROM z{tag} x JOIN z{tag} y ON {same}),
+  g{tag} AS (SELECT site, scene, wr, wc, i, j, count(*) / CAST({2 * size * (size - 1)} AS DOUBLE) AS p FROM (SELECT * FROM pr{tag} UNION ALL SELECT site, scene, wr, wc, j, i FROM pr{tag}) u GROUP BY 1, 2, 3, 4, 5, 6),
+  tx{tag} AS (SELECT site, scene, wr, wc, sum(p * (i - j) * (i - j)) AS contrast, sum(p * abs(i - j)) AS dissimilarity, sum(p / (1 + (i - j) * (i - j))) AS homogeneity, sqrt(sum(p * p)) AS energy, -sum(p * log2(p + 1e-10)) AS entropy FROM g{tag} GROUP BY 1, 2, 3, 4)"""
 
-_WINDOWS = """e AS (SELECT side AS n FROM {grid_side}), wn AS (SELECT site, scene, CAST(i * 4 AS BIGINT) AS wr, CAST(j * 4 AS BIGINT) AS wc FROM (SELECT DISTINCT site, scene FROM {px} WHERE scene = 1995) s, e, range(0, 100) a(i), range(0, 100) b(j) WHERE i * 4 < n AND j * 4 < n),
-  f AS (SELECT site, scene, wr, wc, a.d AS dr, b.d AS dc, CASE WHEN wr + a.d < 0 THEN -(wr + a.d) WHEN wr + a.d >= n THEN 2 * n - 2 - wr - a.d ELSE wr + a.d END AS r, CASE WHEN wc + b.d < 0 THEN -(wc + b.d) WHEN wc + b.d >= n THEN 2 * n - 2 - wc - b.d ELSE wc + b.d END AS c FROM wn, e, o5 a, o5 b),
-  z AS (SELECT f.site, f.scene, wr, wc, dr, dc, CAST(floor(coalesce(least(greatest(p.prob, 0), 1), 0) * 15) AS BIGINT) AS q FROM f LEFT JOIN {px} p ON p.site = f.site AND p.scene = f.scene AND p.r = f.r AND p.c = f.c),
-  pr AS (SELECT x.site, x.scene, x.wr, x.wc, x.q AS i, y.q AS j FROM z x JOIN z y ON x.site = y.site AND x.scene = y.scene AND x.wr = y.wr AND x.wc = y.wc AND x.dr = y.dr AND y.dc = x.dc + 1),
-  g AS (SELECT site, scene, wr, wc, i, j, count(*) / CAST(40 AS DOUBLE) AS p FROM (SELECT * FROM pr UNION ALL SELECT site, scene, wr, wc, j, i FROM pr) u GROUP BY 1, 2, 3, 4, 5, 6),
-  tx AS (SELECT site, scene, wr, wc, sum(p * (i - j) * (i - j)) AS contrast, sum(p * abs(i - j)) AS dissimilarity, sum(p / (1 + (i - j) * (i - j))) AS homogeneity, sqrt(sum(p * p)) AS energy, -sum(p * log2(p + 1e-10)) AS entropy FROM g GROUP BY 1, 2, 3, 4)"""
 
-
-@query(f"WITH {_M}, {_WINDOWS} SELECT site, scene, wr AS r, wc AS c, round(contrast, 5) AS contrast, round(dissimilarity, 5) AS dissimilarity, round(homogeneity, 5) AS homogeneity, round(energy, 5) AS energy, round(entropy, 5) AS entropy FROM tx JOIN {{px}} p USING (site, scene) WHERE p.r = wr AND p.c = wc")
+@query(f"WITH {_windows(5)} SELECT site, scene, wr AS r, wc AS c, round(contrast, 5) AS contrast, round(dissimilarity, 5) AS dissimilarity, round(homogeneity, 5) AS homogeneity, round(energy, 5) AS energy, round(entropy, 5) AS entropy FROM tx JOIN {{px}} p USING (site, scene) WHERE p.r = wr AND p.c = wc")
 def glcm_patch(v):
     names = ["contrast", "dissimilarity", "homogeneity", "energy", "entropy"]
-    out = O.texture(_latest(v), ["site", "scene"], "prob", (v.side, v.side), 5, 16, 4, names)
+    out = O.texture(v.px, ["site", "scene"], "prob", (v.side, v.side), 5, 16, 4, names)
     return out.where("r % 4 = 0 AND c % 4 = 0").select("site", "scene", "r", "c", *(F.round(n, 5).alias(n) for n in names))
 
 
-@query(f"WITH {_M}, {_WINDOWS} SELECT p.site, p.scene, p.r, p.c, round(contrast, 5) AS contrast, round(entropy, 5) AS entropy FROM {{px}} p JOIN tx ON tx.site = p.site AND tx.scene = p.scene AND wr = p.r - p.r % 4 AND wc = p.c - p.c % 4")
+_AT = "ON {t}.site = p.site AND {t}.scene = p.scene AND {t}.wr = p.r - p.r % 4 AND {t}.wc = p.c - p.c % 4"
+
+
+@query(f"WITH {_windows(5)} SELECT p.site, p.scene, p.r, p.c, round(contrast, 5) AS contrast, round(entropy, 5) AS entropy FROM {{px}} p JOIN tx {_AT.format(t='tx')}")
 def texture_map(v):
-    out = O.texture(_latest(v), ["site", "scene"], "prob", (v.side, v.side), 5, 16, 4, ["contrast", "entropy"], tile=16)
+    out = O.texture(v.px, ["site", "scene"], "prob", (v.side, v.side), 5, 16, 4, ["contrast", "entropy"], tile=16)
     return out.select("site", "scene", "r", "c", F.round("contrast", 5).alias("contrast"), F.round("entropy", 5).alias("entropy"))
 
 
-@query()
+_SIZES = (3, 5, 7)
+
+
+@query(f"WITH {', '.join(_windows(n, str(n)) for n in _SIZES)} SELECT p.site, p.scene, p.r, p.c, {', '.join(f'round(tx{n}.{x}, 5) AS {x}_w{n}' for n in _SIZES for x in ('entropy', 'contrast'))} FROM {{px}} p {' '.join(f'JOIN tx{n} ' + _AT.format(t=f'tx{n}') for n in _SIZES)}")
 def texture_multiscale(v):
-    return O.multiscale_texture(v.px, ["site", "scene"], "prob", (v.side, v.side))
+    out = O.multiscale_texture(v.px, ["site", "scene"], "prob", (v.side, v.side))
+    return out.select("site", "scene", "r", "c", *(F.round(x, 5).alias(x) for x in out.columns[4:]))
 
 
 @query("""WITH h AS (SELECT r AS hr, c AS hc FROM {dem} WHERE (r * 7 + c) % 11 = 0), g AS (SELECT * FROM {dem} WHERE (r * 7 + c) % 11 <> 0),

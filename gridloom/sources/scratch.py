@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the cluster names it; a local folder only where that is unset."""
+    """``spark.checkpoint.dir`` as the cluster names it; a local folder only where that is unset and Spark runs on this machine alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.gridloom.scratch", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.gridloom.scratch", folder)
     return folder

@@ -9,26 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gridloom.functions.kalman import MIN_DT, Q_SPEED, Q_VALUE, R_NOISE
+from gridloom.functions.kalman import advance
 from gridloom.operators import objects
+from gridloom.operators.pixels import scene_pairs
 
 STATE = "t double, x double, v double, p00 double, p01 double, p10 double, p11 double"
 OUT = "k long, t double, a double, smoothed double, velocity double"
 
 
-def advance(state: tuple | None, t: float, a: float) -> tuple:
-    """The tracker's state after one more observation."""
-    if state is None:
-        return (t, a, 0.0, 1.0, 0.0, 0.0, 1.0)
-    t0, x, v, p00, p01, p10, p11 = state
-    dt = max(t - t0, MIN_DT)
-    x = x + dt * v
-    p00, p01, p10, p11 = p00 + dt * p10 + dt * (p01 + dt * p11) + Q_VALUE, p01 + dt * p11, p10 + dt * p11, p11 + Q_SPEED
-    k0, k1 = p00 / (p00 + R_NOISE), p10 / (p00 + R_NOISE)
-    left = a - x
-    return (t, x + k0 * left, v + k1 * left, (1 - k0) * p00, (1 - k0) * p01, p10 - k1 * p00, p11 - k1 * p01)
-
-
 def stream_kalman(series: DataFrame) -> DataFrame:
     """One row for each observation (k, t, area) of a stream, smoothed with its key's state.
 
@@ -54,23 +42,29 @@ def window_area(events: DataFrame, lateness: str = "1 day", width: str = "1 day"
     return x.groupBy("user_id", F.window("ts", width).alias("w")).agg(F.round(F.sum("value"), 4).alias("area")).select("user_id", F.col("w.start").alias("start"), "area")
 
 
-def ingest_masks(masks: DataFrame, path: str, by: list[str], order: str, width: int, threshold: float, checkpoint: str):
-    """Track components of arriving masks: a micro-batch holds whole dates, in order.
+def ingest_masks(arrivals: DataFrame, masks: str, path: str, by: list[str], order: str, width: int, threshold: float, checkpoint: str):
+    """Track components of dates as they arrive: ``arrivals`` is a stream of dates (by, order), whose masks lie in the table at ``masks``.
 
-    A batch writes its components and matches under its own number, so that a batch that
-    runs again overwrites what it wrote before and nothing is counted twice. Matching
-    reads the last date that earlier batches have stored.
+    A micro-batch takes whole dates, later ones than all before. It writes its components,
+    its dates and its matches under its own number, so that a batch that runs again
+    overwrites what it wrote before and nothing is counted twice. Of earlier batches it
+    reads the dates, and the components of each group's last date only.
     """
+    keys = [*by, order]
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        cells = objects.components(batch, [*by, order], width)
+        dates = batch.select(*keys).distinct()
+        dates.write.mode("overwrite").parquet(f"{path}/dates/batch={number}")
+        dates = spark.read.parquet(f"{path}/dates/batch={number}")
+        cells = objects.components(spark.read.parquet(masks).join(dates, keys, "left_semi"), keys, width)
         cells.write.mode("overwrite").parquet(f"{path}/cells/batch={number}")
-        known = spark.read.parquet(f"{path}/cells").where(F.col("batch") <= number).drop("batch")
-        dates = known.select(*by, order).distinct()
-        from gridloom.operators.pixels import scene_pairs
+        cells = spark.read.parquet(f"{path}/cells/batch={number}").select(*keys, "r", "c", "comp")
 
-        pairs = scene_pairs(dates, by, order).join(batch.select(*by, F.col(order).alias("t1")).distinct(), [*by, "t1"], "left_semi")
-        objects.match(known, pairs, by, order, threshold).write.mode("overwrite").parquet(f"{path}/matches/batch={number}")
+        before = spark.read.parquet(f"{path}/dates").where(F.col("batch") < number)
+        last = before.join(dates.select(*by).distinct(), by, "left_semi").groupBy(*by).agg(F.max(F.struct(order, "batch")).alias("l")).select(*by, f"l.{order}", "l.batch")
+        known = spark.read.parquet(f"{path}/cells").join(last, ["batch", *keys], "left_semi").select(*keys, "r", "c", "comp")
+        pairs = scene_pairs(dates.union(last.select(*keys)), by, order).join(dates.withColumnRenamed(order, "t1"), [*by, "t1"], "left_semi")
+        objects.match(known.union(cells), pairs, by, order, threshold).write.mode("overwrite").parquet(f"{path}/matches/batch={number}")
 
-    return masks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
