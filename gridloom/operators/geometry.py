@@ -200,11 +200,11 @@ def weighted_draw(df: DataFrame, key: str, weight: str, n: int, seed: int) -> Da
     return both.withColumn(key, met).where("draw IS NOT NULL").select("draw", key)
 
 
-def register_shift(fixed: DataFrame, moving: DataFrame, col: str, reach: int, by: Sequence[str] = ()) -> DataFrame:
-    """by, dr, dc, score for every shift of ``moving`` within ``reach`` that overlaps: the correlation over shared cells."""
+def register_shift(fixed: DataFrame, moving: DataFrame, col: str, reach: int, by: Sequence[str] = (), each: Sequence[str] = ()) -> DataFrame:
+    """by, each, dr, dc, score for every shift of ``moving`` within ``reach`` that overlaps: the correlation over shared cells. ``each`` names the scenes of ``moving`` that share one fixed scene."""
     steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1))))
-    moved = moving.select(*by, "r", "c", F.col(col).alias("m"), steps.alias("o")).select(*by, (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"), F.col("o.i").cast("long").alias("dr"), F.col("o.j").cast("long").alias("dc"), "m")
-    return moved.join(fixed.select(*by, "r", "c", F.col(col).alias("f")), [*by, "r", "c"]).groupBy(*by, "dr", "dc").agg(F.corr("f", "m").alias("score"))
+    moved = moving.select(*by, *each, "r", "c", F.col(col).alias("m"), steps.alias("o")).select(*by, *each, (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"), F.col("o.i").cast("long").alias("dr"), F.col("o.j").cast("long").alias("dc"), "m")
+    return moved.join(fixed.select(*by, "r", "c", F.col(col).alias("f")), [*by, "r", "c"]).groupBy(*by, *each, "dr", "dc").agg(F.corr("f", "m").alias("score"))
 
 
 def best_shift(scores: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -37,6 +37,11 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """One object a line; nulls are left out."""
+    df.write.mode("overwrite").json(path)
+
+
 def write_lines(df: DataFrame, column: str, path: str) -> None:
     """One document a line."""
     df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridloom.operators import evaluation as E
 from gridloom.registry import query
+from gridloom.sources.scratch import shared_dir
 
 D = "CAST({} AS DOUBLE)".format
 
@@ -23,6 +26,17 @@ def pixel_metrics(v):
     return rounded(E.metrics(E.confusion(v.scored, ["fold"], "prob", "target", 0.5)), "fold")
 
 
+@query(f"WITH k AS (SELECT fold, {_COUNTS.format(t=0.5)} FROM {{scored}} GROUP BY fold) SELECT fold, tp, fp, fn, tn, {_RATES}, tp + fn AS support FROM k")
+def metrics_json(v):
+    """The same as JSON documents that were written and read again."""
+    from gridloom.operators.reports import write_json
+
+    m = E.metrics(E.confusion(v.scored, ["fold"], "prob", "target", 0.5))
+    path = f"{shared_dir(v.spark)}/metrics-{uuid.uuid4().hex}"
+    write_json(m, path)
+    return rounded(v.spark.read.schema(m.schema).json(path), "fold")
+
+
 @query(f"SELECT {_COUNTS.format(t=0.5)} FROM {{scored}}")
 def confusion_matrix(v):
     return E.confusion(v.scored, [], "prob", "target", 0.5)

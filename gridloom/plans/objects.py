@@ -16,8 +16,8 @@ def cells(v, eight: bool = True, threshold: float = 0.7):
     return O.components(mask, BY, v.side, eight, tile=64)
 
 
-def _comp(near: str = "abs(n.r - w.r) <= 1 AND abs(n.c - w.c) <= 1") -> str:
-    return f"""m AS (SELECT site, scene, r, c, r * side + c AS id FROM {{px}}, {{grid_side}} WHERE prob >= 0.7),
+def _comp(near: str = "abs(n.r - w.r) <= 1 AND abs(n.c - w.c) <= 1", cells: str = "{px}", least: str = "0.7") -> str:
+    return f"""m AS (SELECT site, scene, r, c, r * side + c AS id FROM {cells}, {{grid_side}} WHERE prob >= {least}),
       w AS (SELECT site, scene, r, c, id AS root FROM m UNION SELECT n.site, n.scene, n.r, n.c, w.root FROM w JOIN m n ON n.site = w.site AND n.scene = w.scene AND {near} AND n.id > w.root),
       cp AS (SELECT site, scene, r, c, min(root) AS comp FROM w GROUP BY 1, 2, 3, 4)"""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.sources.views import Views, with_views
 
-MODULES = ("pixels", "terrain", "objects", "evaluation", "geometry", "series", "catalogue", "reports", "streams")
+MODULES = ("pixels", "terrain", "objects", "evaluation", "geometry", "series", "catalogue", "reports", "streams", "workflow")
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
 
