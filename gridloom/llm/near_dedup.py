@@ -241,17 +241,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def within_groups(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, block: int = 256) -> DataFrame:
     """Links between documents that share a sketch and are in different components so far.
 
-    Groups with the same members are looked at once. A group is cut into blocks by a
-    hash, and each pair of blocks is one piece of work of at most twice ``block``
-    documents: their shingles in common are counted by matrix products, and only pairs
-    that could reach the similarity and that nothing connects yet are aligned. No pair is
-    ever a row, and of a block's links only a spanning forest comes back.
+    Groups with the same members are looked at once. Members of a group's largest component
+    need no comparison with each other, so a group of copies that are linked already costs
+    what its few others cost. Both sides are cut into blocks by a hash, and each pair of
+    blocks is one piece of work of about twice ``block`` documents: their shingles in
+    common are counted by matrix products, and only pairs that could reach the similarity
+    and that nothing connects yet are aligned. No pair is ever a row, and of a block's
+    links only a spanning forest comes back.
     """
     placed = stored(members.join(roots, members["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "placed")
-    facts = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x0"), F.bit_xor(F.xxhash64(F.lit(3), "rep")).alias("x1"))
-    mixed = stored(facts.where("r0 < r1").groupBy("size", "x0", "x1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / block).alias("blocks")), "mixed")
-    left = placed.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    spread = left.select("key", "rep", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x0"), F.bit_xor(F.xxhash64(F.lit(3), "rep")).alias("x1"))
+    facts = parts.groupBy("key").agg(F.count("*").alias("components"), F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
+    mixed = facts.where("components > 1").groupBy("size", "x0", "x1").agg(F.min_by(F.struct("key", "most"), "key").alias("one"))
+    mixed = stored(mixed.select("one.key", F.col("one.most.root").alias("big"), F.ceil((F.col("size") - F.col("one.most.n")) / block).alias("few"), F.ceil(F.col("one.most.n") / block).alias("many")), "mixed")
+    # Blocks of the largest component have the numbers below 0.
+    inside, name = F.col("root") == F.col("big"), F.xxhash64("rep")
+    own = F.when(inside, -1 - F.pmod(name, F.col("many"))).otherwise(F.pmod(name, F.col("few")))
+    others = F.when(inside, F.sequence(F.lit(0).cast("long"), F.col("few") - 1)).otherwise(F.sequence(-F.col("many"), F.col("few") - 1))
+    spread = placed.join(mixed, "key").select("key", "rep", "root", own.alias("own"), F.explode(others).alias("other"))
     spread = stored(spread.select("key", "rep", "root", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj")), "spread")
 
     def run(group: pa.Table) -> pa.Table:
