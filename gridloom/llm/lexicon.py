@@ -4,7 +4,8 @@ Folding undoes the usual disguises: letters of other scripts that look Latin, fu
 width forms, accents of Latin letters that stand for plain ones, and digits or signs
 written for letters. The lexicon is learned from labelled documents: word beginnings
 and whole words that toxic documents use and others do not, each weighted by its
-smoothed log-odds. Phrases in which an entry is harmless are exceptions. A document's
+smoothed log-odds. Phrases in which an entry is harmless are exceptions: a few given
+ones, and those that only clean labelled documents use. A document's
 score is a calibrated function of the weight it gathers for each hundred words.
 """
 
@@ -31,7 +32,7 @@ LOOKALIKES = {
 }
 # Digits and signs written for letters.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i"}
-#: Phrases in which an English entry is harmless.
+#: Phrases in which an English entry is harmless; more are learned with the entries.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "moron test")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = ".,;:?!\"'()[]{}<>#*%&-_/\\…«»“”‘’¡¿"
@@ -180,12 +181,29 @@ def choose_entries(toxic: Iterable[set[str]], other: Iterable[set[str]], min_doc
     return chosen
 
 
+def choose_exceptions(lexicon: Lexicon, toxic: Iterable[str], other: Iterable[str], min_docs: int) -> tuple[str, ...]:
+    """Two-word phrases of at least ``min_docs`` clean documents, and of no toxic one, in which an entry would match."""
+    suspect = Suspects(lexicon).__getitem__
+
+    def phrases(folded: str) -> set[str]:
+        words = folded.split()
+        return {f"{a} {b}" for a, b in zip(words, words[1:]) if suspect(a) or suspect(b)}
+
+    clean = Counter(p for t in other for p in phrases(t))
+    found = {p for p, n in clean.items() if n >= min_docs}
+    for t in toxic:
+        found -= phrases(t)
+    return tuple(sorted(found))
+
+
 def fit(rows: list[tuple[str, int]], min_docs: int = 3, min_odds: float = 2.5, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon from (text, label) pairs; none toxic or all toxic gives an empty one."""
     fold = Folder()
     folded = [(fold(text or ""), int(label)) for text, label in rows]
     toxic, other = (beginnings(t) for t, y in folded if y), (beginnings(t) for t, y in folded if not y)
     lexicon = Lexicon(choose_entries(toxic, other, min_docs, min_odds), exceptions)
+    learned = choose_exceptions(lexicon, (t for t, y in folded if y), (t for t, y in folded if not y), min_docs)
+    lexicon = Lexicon(lexicon.weights, tuple(dict.fromkeys((*exceptions, *learned))))
     x = np.log1p(np.array([lexicon.density(t) for t, _ in folded]))
     y = np.array([label for _, label in folded], float)
     if len(y) and 0 < y.sum() < len(y):

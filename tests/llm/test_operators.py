@@ -416,6 +416,14 @@ def test_exceptions_spare():
     assert lex.density(fold("the trash can is full")) == 0 and lex.density(fold("what trash this is")) > 0
 
 
+def test_exceptions_are_learned():
+    rows = [(f"you utter idiot number{i}", 1) for i in range(100)] + [(f"the idiot board of page{i}", 0) for i in range(3)] + [(f"calm words here{i}", 0) for i in range(400)]
+    lex = lexicon.fit(rows, min_docs=3, min_odds=1.0)
+    fold = lexicon.Folder()
+    assert {"idiot board", "the idiot"} <= set(lex.exceptions) and "utter idiot" not in lex.exceptions
+    assert lex.density(fold("see the idiot board now")) == 0 and lex.density(fold("you utter idiot")) > 0
+
+
 def test_toxicity_held_out(spark):
     rows = queries.op7_toxicity(spark, "/root/testdata/sf0.01").collect()
     truth = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
@@ -497,6 +505,16 @@ def test_near_by_hand(spark):
     assert got == classes_by_hand(texts)
 
 
+def test_large_component_meets_the_others_only(spark):
+    """Forty linked copies and three strangers in one group: the strangers' links are found, copies among themselves aren't compared."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[:50], f"x{i}", *base[50:]]) for i in range(40)] + [" ".join([*base[:40], "new", *base[40:]]), " ".join(base), "another text of more than five words here"]
+    members = spark.createDataFrame([(1, 0, i) for i in range(43)], "key long, pivot long, rep long")
+    roots = spark.createDataFrame([(i, 0) for i in range(40)], "node long, root long")
+    links = near_dedup.within_groups(members, roots, docs(spark, texts), 0.8, block=8).collect()
+    assert {x for r in links for x in (r.a, r.b) if x >= 40} == {40, 41} and all(max(r.a, r.b) >= 40 for r in links)
+
+
 def test_blocks_split_a_group(spark):
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join([*base[: i % 50], f"x{i}", *base[i % 50 :]]) for i in range(40)]
