@@ -1,6 +1,6 @@
 """Removal of lines that many documents share, in DataFrame functions only.
 
-The lines of a document are hashed inside its row. Distinct pairs of document and hash,
+The lines of a document are hashed inside its row, once, and the hashes written. Distinct pairs of document and hash,
 then documents for each hash, are counted with map-side aggregation at both levels, so
 a line that every document has is no hot task. The frequent hashes (written once, so
 that both sides of the join have exchanges of their own and Spark can split a hot hash)
@@ -54,13 +54,11 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
     # A row is named by its id and a hash of its text: rows that share both have the same lines.
     named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in NEW)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), lines.alias("lines"))
 
-    def hashed(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(F.char_length(key) >= F.lit(max(0, min_chars)), line_hash(key))
-
-    hashes = named.select("id", "t", F.transform("lines", lambda x: hashed(x)).alias("hs"))
+    keys = F.transform("lines", lambda x: line_key(x))
+    long_enough = F.lit(max(0, min_chars))
+    hashes = stored(named.select("id", "t", F.transform(keys, lambda k: F.when(F.char_length(k) >= long_enough, line_hash(k))).alias("hs")), "hashes")
     whose = F.when(F.col("id").isNull(), F.col("t")).otherwise(F.lit(0)).alias("t")
-    held = hashes.select("id", whose, F.explode(F.array_distinct("hs")).alias("h")).where("h IS NOT NULL").select("id", "t", "h.a", "h.b").distinct()
+    held = hashes.select("id", whose, F.explode("hs").alias("h")).where("h IS NOT NULL").select("id", "t", "h.a", "h.b").distinct()
     common = stored(held.groupBy("a", "b").count().where(F.col("count") >= min_docs).select("a", "b"), "common")
     placed = hashes.select("id", "t", F.posexplode("hs").alias("pos", "h")).where("h IS NOT NULL").select("id", "t", "pos", "h.a", "h.b")
     hits = placed.join(common, ["a", "b"]).groupBy("id", "t").agg(F.collect_set("pos").alias("drop"))
