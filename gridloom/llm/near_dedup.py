@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.store import stored
+from gridloom.llm.store import aside, restored, stored
 from gridloom.llm.text import Texts, mix, owners, slices, window_hashes, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -338,11 +338,11 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     it is repeated; of rows without an id one for each text that no row with an id has.
     Rows without words stay, those that share an id as one. Rows that share an id but
     not their words have one class, so they stay or go together, unless another id has
-    the words.
+    the words. Other columns stay as they are, whatever their names; an empty table stays empty.
     """
     kept = near_duplicates(docs, similarity).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    marked = docs.withColumns({"__a": F.xxhash64(words), "__b": F.xxhash64(F.lit(7), words), "__blank": words == "", "__id": F.coalesce("doc_id", F.lit(0)), "__null": F.isnull("doc_id")})
+    marked = aside(docs).withColumns({"__a": F.xxhash64(words), "__b": F.xxhash64(F.lit(7), words), "__blank": words == "", "__id": F.coalesce("doc_id", F.lit(0)), "__null": F.isnull("doc_id")})
     key = ["__a", "__b", "__id", "__null"]
 
     firsts = marked.groupBy("__a", "__b", F.when(F.col("__blank"), F.col("doc_id")).alias("__own")).agg(F.min("doc_id").alias("__rep"))
@@ -350,4 +350,4 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     stay = stored(stay.select("__a", "__b", F.coalesce("__rep", F.lit(0)).alias("__id"), F.isnull("__rep").alias("__null")), "stay")
     nameless = F.col("__blank") & F.col("__null")
     one = marked.where(~nameless).join(stay, key, "left_semi").dropDuplicates(key)
-    return one.unionByName(marked.where(nameless)).select(docs.columns)
+    return restored(one.unionByName(marked.where(nameless)), docs.columns)
