@@ -134,7 +134,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, candidates: int = 3
     encoded. Codes are scored in blocks, every block of queries against every block of
     codes; of each query's ``candidates`` best codes the original vectors are compared.
     Vectors are dealt over blocks by hash, so a block gives each query its share of the
-    candidates and four standard deviations more.
+    candidates and four standard deviations more, and says how good the next one is. A
+    query for which that was among the best candidates is asked again in full.
 
     Equal vectors are one code, so a frequent vector takes one place among the
     candidates; its k + 1 smallest ids stand for it, which is all that ``k`` places can
@@ -178,9 +179,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, candidates: int = 3
 
     codes = reps.mapInArrow(encoded, "grp int, ids binary, codes binary, lengths binary")
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("qid"), "v").distinct()
-    questions = queries.mapInArrow(asked, "qids binary, qs binary").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBatch]:
         model = books_sent.value
         for b in batches:
             for r in b.to_pylist():
@@ -193,13 +193,29 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, candidates: int = 3
                     score += tables[m][code[m]]
                 score /= lengths[:, None]
                 share = candidates * len(ids) / total
-                keep = min(candidates, len(ids), int(share + 4 * share**0.5) + k + 1)
+                keep = min(candidates, len(ids)) if full else min(candidates, len(ids), int(share + 4 * share**0.5) + k + 1)
                 top = np.argpartition(-score, keep - 1, axis=0)[:keep]
                 yield pa.RecordBatch.from_pydict({"qid": np.tile(qids, keep), "rep": ids[top].ravel(), "near": np.take_along_axis(score, top, 0).ravel()})
-
-    scanned = codes.join(questions.hint("shuffle_hash"), "grp").select("ids", "codes", "lengths", "qids", "qs").mapInArrow(scan, "qid long, rep long, near float")
-    best = Window.partitionBy("qid").orderBy(F.desc("near"), F.asc("rep"))
-    found = scanned.withColumn("n", F.row_number().over(best)).where(F.col("n") <= candidates).select("qid", "rep")
+                if keep < min(candidates, len(ids)):
+                    np.put_along_axis(score, top, -np.inf, 0)
+                    yield pa.RecordBatch.from_pydict({"qid": qids, "rep": pa.nulls(len(qids), pa.int64()), "near": score.max(axis=0)})
+
+    def best_codes(asking: DataFrame, full: bool) -> tuple[DataFrame, DataFrame]:
+        """The best candidates of each query (qid, rep, near), and the queries that may have lost some."""
+        questions = asking.mapInArrow(asked, "qids binary, qs binary").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        scanned = codes.join(questions.hint("shuffle_hash"), "grp").select("ids", "codes", "lengths", "qids", "qs").mapInArrow(lambda b: scan(b, full), "qid long, rep long, near float")
+        scanned = stored(scanned, "scanned")
+        best = Window.partitionBy("qid").orderBy(F.desc("near"), F.asc("rep"))
+        found = scanned.where("rep IS NOT NULL").withColumn("n", F.row_number().over(best)).where(F.col("n") <= candidates)
+        last = found.groupBy("qid").agg(F.min("near").alias("last"), F.count("*").alias("have"))
+        cut = scanned.where("rep IS NULL").join(last, "qid").where((F.col("near") > F.col("last")) | (F.col("have") < candidates))
+        return found.select("qid", "rep"), cut.select("qid").distinct()
+
+    found, lost = best_codes(queries, False)
+    lost = stored(lost, "lost")
+    if lost.limit(1).count():
+        again, _ = best_codes(queries.join(lost, "qid"), True)
+        found = found.join(lost, "qid", "left_anti").union(again)
     exact = found.join(queries.withColumnRenamed("v", "qv"), "qid").join(reps, "rep").select("qid", "rep", cosine(F.col("qv"), F.col("v")).alias("score"))
     front = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("rep"))
     exact = exact.withColumn("n", F.row_number().over(front)).where(F.col("n") <= k + 1).drop("n")

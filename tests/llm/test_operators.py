@@ -417,7 +417,7 @@ def test_exceptions_spare():
 
 
 def test_exceptions_are_learned():
-    rows = [(f"you utter idiot number{i}", 1) for i in range(100)] + [(f"the idiot board of page{i}", 0) for i in range(3)] + [(f"calm words here{i}", 0) for i in range(400)]
+    rows = [(f"you utter idiot number{i}", 1) for i in range(200)] + [(f"the idiot board of page{i}", 0) for i in range(3)] + [(f"calm words here{i}", 0) for i in range(400)]
     lex = lexicon.fit(rows, min_docs=3, min_odds=1.0)
     fold = lexicon.Folder()
     assert {"idiot board", "the idiot"} <= set(lex.exceptions) and "utter idiot" not in lex.exceptions
@@ -701,6 +701,20 @@ def test_neighbours_odd_rows(spark):
     assert hit / total >= 0.9
 
 
+def test_crowded_block_loses_no_candidate(spark):
+    """All neighbours of a query in one block, more than its share: they are found all the same."""
+    rng = np.random.default_rng(3)
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = [(i * groups * 1000, (np.eye(1, 6, 0)[0] + rng.normal(0, 0.01, 6)).tolist()) for i in range(30)]
+    far = [(50 * i + 1, rng.normal(size=6).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(near + far, "vec_id long, embedding array<float>")
+    got = {r.rank: r.vec_id for r in additive_ann.nearest(df, books=4, candidates=20).where("query_id = 0").collect()}
+    v = {i: np.float32(x).astype(float) for i, x in near + far}
+    cos = {i: x @ v[0] / np.linalg.norm(x) / np.linalg.norm(v[0]) for i, x in v.items() if i}
+    best = sorted(cos, key=lambda i: -cos[i])[:20]
+    assert len(got) == 5 and set(got.values()) <= set(best) | {i for i, _ in near}
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in additive_ann.nearest(df).collect()] == [(0, 1, 1)]
@@ -721,3 +735,111 @@ def test_pipeline_stages(spark):
             assert d.where("n_chars <> char_length(text)").count() == 0
     assert names == ["quality_rules", "line_dedup", "near_dedup", "suffix_dedup", "best_fit_packing"]
     assert d.count() > 0
+
+
+ROWS = [(1, "a b c d e f\nshared line"), (1, "a b c d e f\nshared line"), (1, "other"), (None, "a b c d e f\nshared line"), (None, None), (None, ""), (2, None), (3, "w " * 30000), (4, "x" * 40000)]
+
+
+def test_stages_on_odd_rows(spark):
+    """No stage loses a column, changes a user's column or fails on nulls, repeats, long texts and clashing names."""
+    import corpus_pipeline
+
+    rows = clashing(spark.createDataFrame(ROWS, DOCS))
+    kept = {"quality_rules": 0, "line_dedup": 9, "suffix_dedup": 9}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for df in (rows, rows.limit(0)):
+            out = stage(spark, df, SF)
+            assert out.columns == df.columns
+            got = out.collect()
+            assert_untouched(got)
+            assert len(got) <= df.count()
+        assert name not in kept or stage(spark, rows, SF).count() == kept[name]
+    assert corpus_pipeline.packing_stage(spark, rows, SF).select("doc_id").distinct().count() == 5
+    assert corpus_pipeline.packing_stage(spark, rows.limit(0), SF).count() == 0
+
+
+def test_pipeline_by_hand(spark):
+    """Every stage but the first and last against brute force, each on what the one before kept."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    make = lambda n: " ".join(rng.choices(words, k=n))
+    passage, common = make(60), make(6)
+    texts = []
+    for i in range(30):
+        lines = [make(rng.randint(20, 40)) for _ in range(3)]
+        if i % 2:
+            lines.insert(1, common)
+        if i % 5 == 0:
+            lines[0] += " " + passage
+        texts.append("\n".join(lines))
+    texts += [texts[3], texts[4] + " more", texts[7].replace(" ", "  "), "short"]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+
+    lined = corpus_pipeline.line_stage(spark, df, SF)
+    keys = Counter(k for t in texts for k in set(t.split("\n")))
+    want = {i: "\n".join(x for x in t.split("\n") if keys[x] < 10) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in lined.collect()} == want and lined.where("n_chars <> char_length(text)").count() == 0
+
+    near = corpus_pipeline.near_stage(spark, lined, SF)
+    classes = classes_by_hand([want[i] for i in range(len(texts))])
+    want = {i: want[i] for i in range(len(texts)) if classes[i] == i}
+    assert {r.doc_id: r.text for r in near.collect()} == want
+
+    cut = corpus_pipeline.suffix_stage(spark, near, SF)
+    starts = Counter(t[k : k + 200] for t in want.values() for k in range(len(t) - 199))
+    for r in cut.collect():
+        t = want[r.doc_id]
+        gone = set()
+        for k in range(len(t) - 199):
+            if starts[t[k : k + 200]] > 1:
+                gone |= set(range(k, k + 200))
+        assert r.text == "".join(c for k, c in enumerate(t) if k not in gone)
+    assert not any(passage[:150] in r.text for r in cut.collect())
+
+
+def test_rules_of_odd_rows(spark):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (None, 0), (2, None)], "doc_id long, quality int")
+    out = quality_rules.report(clashing(spark.createDataFrame(ROWS, DOCS)), labels)
+    assert Counter(r.doc_id for r in out.collect()) == Counter(r[0] for r in ROWS)
+    for r in out.where("doc_id = 3").collect():
+        assert r.n_words == 30000 and r.base_failed and not r.kept
+    assert quality_rules.report(docs(spark, []), labels).count() == 0
+
+
+def test_bpe_of_odd_rows(spark, tokenizers_file):
+    out = bpe.encoded_digest(clashing(spark.createDataFrame(ROWS, DOCS)), tokenizers_file).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in ROWS) and sum(r.n_tokens == 0 for r in out) == 3
+    assert bpe.encoded_digest(docs(spark, []), tokenizers_file).count() == 0
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    out = near_dedup.near_duplicates(clashing(spark.createDataFrame(ROWS, DOCS))).collect()
+    assert Counter((r.doc_id, r.class_id) for r in out) == Counter({(1, 1): 3, (None, 1): 1, (None, None): 2, (2, 2): 1, (3, 3): 1, (4, 4): 1})
+    assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_a_very_long_text(spark):
+    """Three million bytes in one row: removed spans are those of brute force on its only repeat."""
+    rng = np.random.default_rng(5)
+    long = "".join(map(chr, rng.integers(97, 123, 3_000_000)))
+    texts = [long[:1_500_000] + "\n" + long[1_500_000:], "q" * 50 + long[2_000_000:2_000_700] + "q" * 50]
+    got = {r.doc_id: r for r in suffix_dedup.digest(docs(spark, texts), 400).collect()}
+    assert [(got[i].n_removed, got[i].n_spans) for i in (0, 1)] == [(700, 1), (700, 1)]
+    assert got[0].kept_sha256 == hashlib.sha256(texts[0].replace(long[2_000_000:2_000_700], "").encode()).hexdigest()
+
+
+def test_no_local_folder_on_a_cluster():
+    from gridloom.llm import store
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        store.shared_dir(Session)
