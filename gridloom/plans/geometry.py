@@ -175,9 +175,9 @@ def patch_fg(v):
     return fg_patches(v).where("fraction >= 0.1")
 
 
-@query(f"WITH {_TILES}, {_PATCH}, f AS (SELECT * FROM fg WHERE n / 256.0 >= 0.25), w AS (SELECT site, scene, greatest(count(*) // 3, 1) AS k FROM f GROUP BY 1, 2), e AS (SELECT s.site, s.scene, t2.r0, t2.c0, row_number() OVER (PARTITION BY s.site, s.scene ORDER BY t2.r0, t2.c0) AS n FROM (SELECT DISTINCT site, scene FROM {{px}}) s CROSS JOIN t2 LEFT JOIN f ON f.site = s.site AND f.scene = s.scene AND f.r0 = t2.r0 AND f.c0 = t2.c0 WHERE f.site IS NULL) SELECT site, scene, CAST(r0 AS BIGINT) AS r0, CAST(c0 AS BIGINT) AS c0 FROM e JOIN w USING (site, scene) WHERE n <= k")
+@query(f"WITH {_TILES}, {_PATCH}, f AS (SELECT * FROM fg WHERE n / 256.0 >= 0.1), w AS (SELECT site, scene, greatest(count(*) // 3, 1) AS k FROM f GROUP BY 1, 2), e AS (SELECT s.site, s.scene, t2.r0, t2.c0, row_number() OVER (PARTITION BY s.site, s.scene ORDER BY t2.r0, t2.c0) AS n FROM (SELECT DISTINCT site, scene FROM {{px}}) s CROSS JOIN t2 LEFT JOIN f ON f.site = s.site AND f.scene = s.scene AND f.r0 = t2.r0 AND f.c0 = t2.c0 WHERE f.site IS NULL) SELECT site, scene, CAST(r0 AS BIGINT) AS r0, CAST(c0 AS BIGINT) AS c0 FROM e JOIN w USING (site, scene) WHERE n <= k")
 def patch_bg(v):
-    fg = fg_patches(v).where("fraction >= 0.25")
+    fg = fg_patches(v).where("fraction >= 0.1")
     grids = v.px.select("site", "scene").distinct().withColumns({"height": F.lit(v.side), "width": F.lit(v.side)})
     return G.background(G.tile_places(grids, ["site", "scene"], 16, 8).where("r0 % 16 = 0 AND c0 % 16 = 0"), fg, ["site", "scene"])
 
