@@ -2,10 +2,9 @@
 
 For every prefix of a word there is exactly one token that can end its encoding: the
 one that, following the last token of the prefix before it, no merge would have joined
-otherwise. All tokens that end at each place are found by an Aho-Corasick automaton of
-the tokens, in place of a suffix automaton: only whole tokens are asked for, and its
-output links list just those that end at a place. A pair test decides which of them fits; following the stored tokens back
-from the end of the word gives the ids, in time linear in the word for a vocabulary.
+otherwise. A suffix automaton of the vocabulary finds all tokens that end at each place.
+A pair test decides which of them fits; following the stored tokens back from the end of
+the word gives the ids, in time linear in the word for a vocabulary.
 """
 
 from __future__ import annotations
@@ -17,11 +16,11 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from gridloom.llm.suffix_automaton import SuffixAutomaton
 from gridloom.llm.text import slices
 
 CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,11 +102,7 @@ class Tokenizer:
                         break
                     until, at = made[at][0], made[at][side]
                 edges[t] = tuple(reversed(chain))
-        self.machine = ahocorasick.Automaton()
-        for token, i in self.tokens.items():
-            body = self.packed(token)
-            self.machine.add_word(body, (len(body), i))
-        self.machine.make_automaton()
+        self.machine = SuffixAutomaton({self.packed(token): i for token, i in self.tokens.items()})
         self.chars = byte_characters()
         self.whole: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
@@ -175,27 +170,25 @@ class Tokenizer:
         last = [-1] * (n + 1)
         length = [0] * (n + 1)
         pairs, size = self.pairs, self.size
-        done = 0
-        for end, (k, token) in self.machine.iter(text):
-            end += 1
-            if end <= done:
-                continue
-            before = end - k
-            if before:
-                ahead = last[before]
-                if ahead < 0:
+        for end, longest, tokens in self.machine.endings(text):
+            for k, token in tokens:
+                if k > longest:
                     continue
-                key = ahead * size + token
-                good = pairs.get(key)
-                if good is None:
-                    if len(pairs) >= 600_000:
-                        pairs.clear()
-                    good = pairs[key] = self.fits(ahead, token)
-            else:
-                good = self.stands(token)
-            if good:
-                last[end], length[end] = token, k
-                done = end
+                if k == end:
+                    good = self.stands(token)
+                else:
+                    ahead = last[end - k]
+                    if ahead < 0:
+                        continue
+                    key = ahead * size + token
+                    good = pairs.get(key)
+                    if good is None:
+                        if len(pairs) >= 600_000:
+                            pairs.clear()
+                        good = pairs[key] = self.fits(ahead, token)
+                if good:
+                    last[end], length[end] = token, k
+                    break
         out, at = [], n
         while at > 0:
             if last[at] < 0:
@@ -278,7 +271,11 @@ def _encoder(broadcast) -> Encoder:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the ids of every whole text. Null and empty texts have no ids."""
+    """doc_id and the ids of every whole text.
+
+    Null and empty texts have no ids; rows are encoded one by one, so repeated rows and null
+    ids change nothing; other columns are left out; an empty table gives an empty one.
+    """
     return _mapped(docs, path, id_col, text_col, "ids array<int>", lambda e, x: (e.encode(x),), [pa.list_(pa.int32())])
 
 

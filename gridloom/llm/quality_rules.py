@@ -266,5 +266,12 @@ def apply_rules(docs: DataFrame, rules: DecisionList) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame, bound: int = 12_000) -> DataFrame:
+    """doc_id, the base counts, base_failed and kept of every row.
+
+    Null and empty texts have zero counts and fail the base rules. Rows are judged one by
+    one: repeated ones alike, null ids like any other. Ties of a threshold count as met.
+    Other columns are left out; an empty table gives an empty one; without labels of both
+    classes the base rules alone decide.
+    """
     rules = fit_rules(docs, labels, bound)
     return apply_rules(docs.select("doc_id", "text"), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

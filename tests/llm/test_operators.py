@@ -311,6 +311,17 @@ def test_bpe_is_the_library(tokenizers_file):
         assert own.digest(s) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(lib.decode(want, skip_special_tokens=False).encode()).hexdigest())
 
 
+@given(st.sets(st.text(alphabet="abc", min_size=1, max_size=6), min_size=1, max_size=12), st.text(alphabet="abcd", max_size=30))
+@settings(deadline=None, max_examples=400)
+def test_suffix_automaton_finds_all_words(words, text):
+    from gridloom.llm.suffix_automaton import SuffixAutomaton
+
+    words = {w: i for i, w in enumerate(sorted(words))}
+    got = [(end, k, v) for end, longest, found in SuffixAutomaton(words).endings(text) for k, v in found if k <= longest]
+    want = [(end, len(w), i) for end in range(1, len(text) + 1) for w, i in sorted(words.items(), key=lambda x: -len(x[0])) if text[:end].endswith(w)]
+    assert got == want
+
+
 def test_bpe_tables(spark, tokenizers_file):
     df = docs(spark, ODD).withColumn("ids", F.lit("clash"))
     out = bpe.encoded_digest(df, tokenizers_file).orderBy("doc_id").collect()
