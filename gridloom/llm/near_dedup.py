@@ -243,7 +243,7 @@ def within_groups(members: DataFrame, roots: DataFrame, texts: DataFrame, simila
 
     Groups with the same members are looked at once. Members of a group's largest component
     need no comparison with each other, so a group of copies that are linked already costs
-    what its few others cost. Both sides are cut into blocks by a hash, and each pair of
+    what its few others cost. If a group has more than ``block`` members, both sides are cut into blocks by a hash, and each pair of
     blocks is one piece of work of about twice ``block`` documents: their shingles in
     common are counted by matrix products, and only pairs that could reach the similarity
     and that nothing connects yet are aligned. No pair is ever a row, and of a block's
@@ -253,8 +253,10 @@ def within_groups(members: DataFrame, roots: DataFrame, texts: DataFrame, simila
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x0"), F.bit_xor(F.xxhash64(F.lit(3), "rep")).alias("x1"))
     facts = parts.groupBy("key").agg(F.count("*").alias("components"), F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
     mixed = facts.where("components > 1").groupBy("size", "x0", "x1").agg(F.min_by(F.struct("key", "most"), "key").alias("one"))
-    mixed = stored(mixed.select("one.key", F.col("one.most.root").alias("big"), F.ceil((F.col("size") - F.col("one.most.n")) / block).alias("few"), F.ceil(F.col("one.most.n") / block).alias("many")), "mixed")
-    # Blocks of the largest component have the numbers below 0.
+    rest, wide = F.col("size") - F.col("one.most.n"), F.col("size") > block
+    shape = (F.when(wide, F.col("one.most.root")).alias("big"), F.when(wide, F.ceil(rest / block)).otherwise(1).alias("few"), F.when(wide, F.ceil(F.col("one.most.n") / block)).otherwise(0).alias("many"))
+    mixed = stored(mixed.select("one.key", *shape), "mixed")
+    # Blocks of the largest component have the numbers below 0; a group that fits one block is one piece of work.
     inside, name = F.col("root") == F.col("big"), F.xxhash64("rep")
     own = F.when(inside, -1 - F.pmod(name, F.col("many"))).otherwise(F.pmod(name, F.col("few")))
     others = F.when(inside, F.sequence(F.lit(0).cast("long"), F.col("few") - 1)).otherwise(F.sequence(-F.col("many"), F.col("few") - 1))
