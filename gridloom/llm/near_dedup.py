@@ -229,10 +229,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     roots = stored(components(links), "roots")
     others = stored(apart(stars.join(firsts, ["a", "b"], "left_anti"), roots), "others")
     more = stored(verified(others, texts, similarity), "links")
-    links = links.union(more)
-    roots = stored(components(links), "roots")
-    links = links.union(stored(within_groups(members, roots, texts, similarity), "links"))
-    roots = components(links)
+    # What is connected so far is a link of each node with its root.
+    roots = stored(components(known(roots).union(more)), "roots")
+    roots = components(known(roots).union(stored(within_groups(members, roots, texts, similarity), "links")))
 
     named = stored(exact.join(roots, exact["rep"] == roots["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("class_id")), "named")
     return found.select("doc_id", "d1", "d2").join(named, ["d1", "d2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -326,6 +325,10 @@ def block_links(sequences: list[np.ndarray], labels: list[np.ndarray], root: np.
     return out
 
 
+def known(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+
+
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components so far."""
     ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
