@@ -156,3 +156,13 @@ def test_late_events_are_dropped(spark, tmp_path):
     run()
     got = {str(r.start)[:10]: r.area for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {"2024-01-01": 5.0, "2024-01-05": 5.0}
+
+
+def test_classifier_learns(spark):
+    from gridloom.operators.scoring import fit_classifier
+
+    rng = np.random.default_rng(6)
+    rows = [(float(a), float(b), int(a + b > 1.4)) for a, b in rng.random((400, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, t int")
+    out = fit_classifier(df, ["a", "b"], "t").transform(df)
+    assert out.where("prediction = t").count() > 0.95 * len(rows)
