@@ -33,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("x"), F.col("m").alias("y"))
-        large = large.union(low.select(F.col("a").alias("x"), F.col("m").alias("y"))).distinct()
+        large = large.union(low.select(F.col("a").alias("x"), F.col("m").alias("y")))
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).union(least.select("x", F.col("m").alias("y")))
         links = stored(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
