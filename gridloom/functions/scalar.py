@@ -51,7 +51,7 @@ INDICES = IndexTable(
 
 
 # The bands of a sensor in order; a band may have a second name.
-SENSOR_BANDS = {"hirise": (("red",), ("blue", "green"), ("nir",)), "generic": (("red",), ("green",), ("blue",), ("nir",))}
+SENSOR_BANDS = {"red_blue_infrared": (("red",), ("blue", "green"), ("nir",)), "generic": (("red",), ("green",), ("blue",), ("nir",))}
 
 
 def name_bands(df: DataFrame, sensor: str, bands: Sequence[str]) -> DataFrame:

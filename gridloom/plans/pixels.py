@@ -61,7 +61,7 @@ def bbox_degrees(v):
 def sensor_bands(v):
     """Indices of bands that a sensor names by their order; its blue band stands for green, too."""
     bands = v.px.select("site", "scene", "r", "c", F.col("red").alias("b0"), F.col("blue").alias("b1"), F.col("nir").alias("b2"))
-    return S.INDICES.apply(S.name_bands(bands, "hirise", ["b0", "b1", "b2"]), ["ndsi", "dci"]).select("site", "scene", "r", "c", r6("ndsi"), r6("dci"))
+    return S.INDICES.apply(S.name_bands(bands, "red_blue_infrared", ["b0", "b1", "b2"]), ["ndsi", "dci"]).select("site", "scene", "r", "c", r6("ndsi"), r6("dci"))
 
 
 _INDEX = {
