@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import additive_ann, bpe, lexicon, line_dedup, masked_lm, near_dedup, packing, quality_rules, resample, suffix_dedup
+from gridloom.llm import additive_ann, bpe, byte_bpe, lexicon, line_dedup, masked_lm, near_dedup, packing, quality_rules, resample, suffix_dedup
 from gridloom.llm.store import table
 
 
@@ -62,5 +62,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_additive_ann, op2_importance_resampling, op3_quality_rules, op4_suffix_dedup, op5_bpe, op6_best_fit_packing, op7_toxicity, op8_line_dedup, op9_near_dedup, op10_masked_lm)}
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.encoded_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_additive_ann, op2_importance_resampling, op3_quality_rules, op4_suffix_dedup, op5_bpe, op6_best_fit_packing, op7_toxicity, op8_line_dedup, op9_near_dedup, op10_masked_lm, op11_byte_bpe)}
 ORACLES = {"op1_additive_ann": additive_ann.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
