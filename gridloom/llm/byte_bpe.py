@@ -27,7 +27,7 @@ from gridloom.llm.text import slices
 
 _NEVER = 1 << 60
 #: Characters of a text that are split at a time, pieces kept by a worker, and the longest that is kept.
-SPAN, KEPT, KEPT_CHARS = 1 << 20, 300_000, 64
+SPAN, KEPT, KEPT_CHARS = 1 << 20, 200_000, 64
 
 
 def library_classes() -> Classes:
@@ -70,10 +70,13 @@ class Ranks:
             self.machine.add_word(t[::-1].decode("latin-1"), i)
         self.machine.make_automaton()
         self.usual, self.exact = self.classes.usual(self.pattern), self.classes.exact(self.pattern)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.size = max(self.tokens, default=0) + 1
+        self.pairs: dict[int, bool] = {}
         self.made: dict[int, tuple[int, int] | None] = {}
         self.edges: tuple[dict[int, list[tuple[int, int]]], ...] = ({}, {})
-        self.prefix: dict[int, int] = {}
+        #: The longest token that each token begins with, other than itself, or -1.
+        self.shorter = {i: next((self.ranks[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ranks), -1) for i, t in self.tokens.items()}
+        self.lengths = {i: len(t) for i, t in self.tokens.items()}
         self._ready = True
 
     def parts(self, token: int) -> tuple[int, int] | None:
@@ -123,13 +126,12 @@ class Ranks:
             else:
                 j += 1
 
-    def shorter(self, token: int) -> int:
-        """The longest token that a token begins with, other than itself; -1 if there is none."""
-        known = self.prefix.get(token)
-        if known is None:
-            body = self.tokens[token]
-            known = self.prefix[token] = next((self.ranks[body[:k]] for k in range(len(body) - 1, 0, -1) if body[:k] in self.ranks), -1)
-        return known
+    def may_follow(self, before: int, token: int) -> bool:
+        """Whether a token may stand behind another one, or with -1 at the beginning; remembered under before * size + token."""
+        if len(self.pairs) >= 600_000:
+            self.pairs.clear()
+        good = self.pairs[before * self.size + token] = self.stands(token) and (before < 0 or self.fits(before, token))
+        return good
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one match of the pattern."""
@@ -141,33 +143,30 @@ class Ranks:
         for end, token in self.machine.iter(piece[::-1].decode("latin-1")):
             if end != at:  # the first match that ends here is the longest
                 longest[n - 1 - end], at = token, end
-        tokens, pairs = self.tokens, self.pairs
+        shorter, lengths, known, size = self.shorter, self.lengths, self.pairs.get, self.size
         out, dead = array("i"), bytearray(n + 1)
-        pos, token = 0, longest[0]
+        pos, token, before = 0, longest[0], -1
         while pos < n:
-            if token >= 0:
-                end = pos + len(tokens[token])
-                good = not dead[end] and self.stands(token)
-                if good and out:
-                    key = (out[-1], token)
-                    good = pairs.get(key)
+            while token >= 0:
+                end = pos + lengths[token]
+                if not dead[end]:
+                    good = known(before * size + token)
                     if good is None:
-                        if len(pairs) >= 600_000:
-                            pairs.clear()
-                        good = pairs[key] = self.fits(*key)
-                if good:
-                    out.append(token)
-                    pos = end
-                    token = longest[pos] if pos < n else -1
-                else:
-                    token = self.shorter(token)
+                        good = self.may_follow(before, token)
+                    if good:
+                        break
+                token = shorter[token]
+            else:
+                dead[pos] = 1
+                if not out:
+                    raise ValueError(f"no tokens for {piece[:40]!r}")
+                last = out.pop()
+                pos -= lengths[last]
+                token, before = shorter[last], out[-1] if out else -1
                 continue
-            dead[pos] = 1
-            if not out:
-                raise ValueError(f"no tokens for {piece[:40]!r}")
-            last = out.pop()
-            pos -= len(tokens[last])
-            token = self.shorter(last)
+            out.append(token)
+            pos, before = end, token
+            token = longest[pos] if pos < n else -1
         return out.tolist()
 
 
@@ -177,12 +176,18 @@ class Encoder(dict):
     def __init__(self, ranks: Ranks):
         ranks.prepare()
         self.ranks = ranks
+        self.names = {i: f" {i}" for i in ranks.tokens}
+        self.earlier: dict[str, tuple[str, bytes, int]] = {}
 
     def __missing__(self, piece: str) -> tuple[str, bytes, int]:
-        ids = self.ranks.encode_piece(piece.encode("utf-8", "surrogatepass"))
-        found = "".join([f" {i}" for i in ids]), b"".join([self.ranks.tokens[i] for i in ids]), len(ids)
+        found = self.earlier.get(piece)
+        if found is None:
+            names, tokens = self.names, self.ranks.tokens
+            ids = self.ranks.encode_piece(piece.encode("utf-8", "surrogatepass"))
+            found = "".join([names[i] for i in ids]), b"".join([tokens[i] for i in ids]), len(ids)
         if len(piece) <= KEPT_CHARS:
-            if len(self) >= KEPT:
+            if len(self) >= KEPT:  # those not met again since the last time are forgotten
+                self.earlier = dict(self)
                 self.clear()
             self[piece] = found
         return found
