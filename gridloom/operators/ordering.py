@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.sources.scratch import stored
 
@@ -49,3 +52,50 @@ def running_share(df: DataFrame, key: str, weight: str) -> tuple[DataFrame, list
     offset = F.element_at(F.create_map(*(F.lit(x) for p in begin for x in p)), F.col("part"))
     high = offset + F.sum("w").over(Window.partitionBy("part").orderBy(key, "id").rowsBetween(Window.unboundedPreceding, 0)) / total
     return ranged.withColumn("high", high).select("part", key, (F.col("high") - F.col("w") / total).alias("low"), "high"), begin
+
+
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+    """``df`` with running sums over each group in order, the row itself included; values are whole numbers, none negative or null.
+
+    Rows are sorted by range and summed where they lie, so they move once and a group may
+    hold any share of them. A group goes on from an earlier range at most once a range: what
+    such groups had before is a table of at most one row a range, and is broadcast. Rows that
+    are equal in ``order`` come in any order; null keys are a group. Columns may not begin with two underscores.
+    """
+    by, names = list(by), list(sums)
+    schema = T.StructType([*df.schema, *(T.StructField(n, T.LongType()) for n in names), T.StructField("__part", T.IntegerType())])
+    wide = df.withColumns({n: e.cast("long") for n, e in sums.items()})
+    ranged = wide.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, dict.fromkeys(names, 0)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            for k in by:
+                own = b.column(k)
+                own = own.to_pandas(integer_object_nulls=True) if own.null_count else own.to_pandas()
+                new[1:] |= (own.iloc[1:].to_numpy() != own.iloc[:-1].to_numpy()) & ~(own.isna().to_numpy()[1:] & own.isna().to_numpy()[:-1])
+            new[0] = last is None or last != [b.column(k)[0].as_py() for k in by]
+            starts = np.flatnonzero(new)
+            counts = np.diff(np.concatenate([starts, [b.num_rows]]))
+            columns = dict(zip(b.schema.names, b.columns, strict=True))
+            for n in names:
+                x = b.column(n).to_numpy()
+                y = np.cumsum(x) + (0 if new[0] else carried[n])
+                if len(starts):
+                    y[starts[0] :] -= np.repeat(y[starts] - x[starts], counts)
+                columns[n], carried[n] = pa.array(y), int(y[-1])
+            last = [b.column(k)[b.num_rows - 1].as_py() for k in by]
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    local = stored(ranged.mapInArrow(run, schema), "running")
+    parts = local.groupBy(*by, "__part").agg(*(F.max(n).alias(n) for n in names))
+    earlier = Window.partitionBy(*by or [F.lit(0)]).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(*(F.col(k).alias(f"__{k}") for k in by), F.col("__part").alias("__own"), *(F.sum(n).over(earlier).alias(f"__before_{n}") for n in names)).where(F.col(f"__before_{names[0]}").isNotNull())
+    met = local["__part"] == F.col("__own")
+    for k in by:
+        met = met & local[k].eqNullSafe(F.col(f"__{k}"))
+    out = local.join(F.broadcast(before), met, "left")
+    return out.select(*df.columns, *((F.col(n) + F.coalesce(f"__before_{n}", F.lit(0))).alias(n) for n in names))
