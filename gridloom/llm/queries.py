@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import additive_ann, bpe, byte_bpe, lexicon, line_dedup, masked_lm, near_dedup, packing, prefix_trie, quality_rules, resample, suffix_dedup
+from gridloom.llm import additive_ann, bpe, byte_bpe, lexicon, line_dedup, masked_lm, near_dedup, packing, prefix_trie, quality_rules, resample, structure_repair, suffix_dedup
 from gridloom.llm.store import table
 
 
@@ -72,5 +72,9 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_additive_ann, op2_importance_resampling, op3_quality_rules, op4_suffix_dedup, op5_bpe, op6_best_fit_packing, op7_toxicity, op8_line_dedup, op9_near_dedup, op10_masked_lm, op11_byte_bpe, op12_prefix_trie)}
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_additive_ann, op2_importance_resampling, op3_quality_rules, op4_suffix_dedup, op5_bpe, op6_best_fit_packing, op7_toxicity, op8_line_dedup, op9_near_dedup, op10_masked_lm, op11_byte_bpe, op12_prefix_trie, op13_structure_repair)}
 ORACLES = {"op1_additive_ann": additive_ann.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
