@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.operators.ordering import numbered
+from gridloom.operators.ordering import numbered, running
+from gridloom.operators.ranking import ring_places
 from gridloom.sources.scratch import stored
 
 
@@ -155,29 +156,30 @@ def polygon_edges(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     return asked.join(own, [*by, "comp", "nr", "nc"], "left_anti").select(*by, "comp", "x0", "y0", "x1", "y1")
 
 
+def ring_points(edges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, comp, ring, place, x, y: the corners of each component's closed rings in order, without the first one again at the end.
+
+    A ring begins at its first corner (smallest y, then x); a component's rings are numbered by
+    that, from 0. Where two corners touch, a ring turns right and stays with the same
+    cell. Every edge names the next one and rings are ranked as linked lists, so
+    a ring of any length is spread over tasks.
+    """
+    by = [*by, "comp"]
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    numbers = running(edges, [], [*by, "y0", "x0", "y1", "x1"], {"id": F.lit(1)})
+    outs = F.collect_list(F.struct("id", dx.alias("dx"), dy.alias("dy")))  # of a corner: two at most
+    corners = numbers.groupBy(*by, F.col("x0").alias("x1"), F.col("y0").alias("y1")).agg(outs.alias("outs"))
+    right = F.filter("outs", lambda o: (o["dx"] == -dy) & (o["dy"] == dx))
+    items = stored(numbers.join(corners, [*by, "x1", "y1"]).select("id", F.coalesce(F.get(right, F.lit(0)), F.get("outs", F.lit(0)))["id"].alias("next")), "next")
+    found = stored(ring_places(items), "places")
+    named = stored(numbers.join(found, "id").select(*by, "leader", "left", F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("id") == F.col("leader")).alias("first")), "named")
+    rings = running(named.where("first").select(*by, "leader", F.col("left").alias("size")), by, ["leader"], {"nth": F.lit(1)})
+    rings = rings.select("leader", "size", (F.col("nth") - 1).cast("int").alias("ring"))
+    return named.join(rings, "leader").select(*by, "ring", (F.col("size") - F.col("left")).alias("place"), "x", "y")
+
+
 def polygon_rings(edges: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Closed rings of each component's edges: by, comp, ring (0: the one with the first corner), points."""
-    by = list(by)
-    schema = T.StructType([*(edges.schema[b] for b in by), edges.schema["comp"], T.StructField("ring", T.IntegerType()), T.StructField("points", T.ArrayType(T.ArrayType(T.LongType())))])
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        ways: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for x0, y0, x1, y1 in sorted(zip(part["x0"], part["y0"], part["x1"], part["y1"], strict=True), reverse=True):
-            ways.setdefault((x0, y0), []).append((x1, y1))
-        rings = []
-        for start in sorted(ways, key=lambda p: (p[1], p[0])):
-            while ways.get(start):
-                path, at = [start], ways[start].pop()
-                while at != start:
-                    before = path[-1]
-                    path.append(at)
-                    out = ways[at]
-                    # Where two corners touch, turn right and stay with the same cell.
-                    turn = (before[1] - at[1], at[0] - before[0])
-                    k = next((i for i, p in enumerate(out) if (p[0] - at[0], p[1] - at[1]) == turn), len(out) - 1)
-                    at = out.pop(k)
-                rings.append([list(map(int, p)) for p in [*path, start]])
-        head = {b: part[b].iloc[0] for b in [*by, "comp"]}
-        return pd.DataFrame([{**head, "ring": i, "points": p} for i, p in enumerate(rings)])
-
-    return edges.groupBy(*by, "comp").applyInPandas(run, schema)
+    """Closed rings of each component's edges as one row each: by, comp, ring, points (x, y; the first again at the end); see ``ring_points``."""
+    corners = F.array_sort(F.collect_list(F.struct("place", F.array("x", "y").alias("p"))))
+    rings = ring_points(edges, by).groupBy(*by, "comp", "ring").agg(F.transform(corners, lambda c: c["p"]).alias("points"))
+    return rings.withColumn("points", F.concat("points", F.slice("points", 1, 1)))

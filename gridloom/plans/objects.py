@@ -103,9 +103,26 @@ def polygon_edges(v):
     return O.polygon_edges(cells(v, eight=False), BY)
 
 
-@query()
+#: Edges with the next one of each (to the right where there are two), walks from every edge over later ones, and those that come back: a ring's first edge.
+_RINGS = f"""{C4}, sd(dr, dc, x0, y0, x1, y1) AS (VALUES (-1, 0, 0, 0, 1, 0), (0, 1, 1, 0, 1, 1), (1, 0, 1, 1, 0, 1), (0, -1, 0, 1, 0, 0)),
+  e0 AS (SELECT a.site, a.scene, a.comp, a.c + sd.x0 AS x0, a.r + sd.y0 AS y0, a.c + sd.x1 AS x1, a.r + sd.y1 AS y1 FROM cp a CROSS JOIN sd LEFT JOIN cp n ON n.site = a.site AND n.scene = a.scene AND n.comp = a.comp AND n.r = a.r + dr AND n.c = a.c + dc WHERE n.site IS NULL),
+  e AS (SELECT *, row_number() OVER (ORDER BY site, scene, comp, y0, x0, y1, x1) AS id FROM e0),
+  nx AS (SELECT a.id, arg_min(b.id, CASE WHEN b.x1 - b.x0 = a.y0 - a.y1 AND b.y1 - b.y0 = a.x1 - a.x0 THEN 0 ELSE 1 END) AS nxt FROM e a JOIN e b ON b.site = a.site AND b.scene = a.scene AND b.comp = a.comp AND b.x0 = a.x1 AND b.y0 = a.y1 GROUP BY a.id),
+  wk(start, here, place) AS (SELECT id, id, CAST(0 AS BIGINT) FROM nx UNION ALL SELECT start, nxt, place + 1 FROM wk JOIN nx ON nx.id = wk.here WHERE nxt > start),
+  fs AS (SELECT DISTINCT start FROM wk JOIN nx ON nx.id = wk.here AND nxt = start),
+  rg AS (SELECT site, scene, comp, id AS start, row_number() OVER (PARTITION BY site, scene, comp ORDER BY id) - 1 AS ring FROM e JOIN fs ON fs.start = e.id),
+  rp AS (SELECT rg.site, rg.scene, rg.comp, ring, place, e.x0 AS x, e.y0 AS y FROM rg JOIN wk USING (start) JOIN e ON e.id = wk.here)"""
+
+
+@query(f"WITH {_RINGS} SELECT site, scene, comp, ring, place, x, y FROM rp", recursive=True)
+def ring_points(v):
+    return O.ring_points(O.polygon_edges(cells(v, eight=False), BY), BY)
+
+
+@query(f"WITH {_RINGS}, pt AS (SELECT site, scene, comp, ring, place, x, y FROM rp UNION ALL SELECT site, scene, comp, ring, (SELECT max(place) FROM rp) + 1, x, y FROM rp WHERE place = 0) SELECT site, scene, comp, ring, flatten(list([x, y] ORDER BY place)) AS points FROM pt GROUP BY 1, 2, 3, 4", recursive=True)
 def polygon_rings(v):
-    return O.polygon_rings(O.polygon_edges(cells(v, eight=False), BY), BY)
+    """A ring as x and y of its corners in turn, the first again at the end."""
+    return O.polygon_rings(O.polygon_edges(cells(v, eight=False), BY), BY).withColumn("points", F.flatten("points"))
 
 
 @query("""WITH m0 AS (SELECT site, scene, r, c FROM {px} WHERE prob >= 0.5), o3(d) AS (VALUES (-1), (0), (1)),

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import ranking
+from gridloom.operators import objects, ranking
 from gridloom.operators.ordering import running
 
 
@@ -69,3 +69,48 @@ def test_running_sums(spark):
     assert {r["i"]: (r["s"], r["n"]) for r in running(df, ["g"], ["i"], {"s": F.col("v"), "n": F.lit(1)}).collect()} == want
     assert {r["i"]: r["n"] for r in running(df, [], ["i"], {"n": F.lit(1)}).collect()} == {i: i + 1 for i in range(400)}
     assert running(df.limit(0), ["g"], ["i"], {"s": F.col("v")}).count() == 0
+
+
+def rings_by_hand(edges):
+    """Rings of one component, walked edge by edge."""
+    ways: dict = {}
+    for x0, y0, x1, y1 in sorted(edges, reverse=True):
+        ways.setdefault((x0, y0), []).append((x1, y1))
+    rings = []
+    for start in sorted(ways, key=lambda p: (p[1], p[0])):
+        while ways[start]:
+            path, at = [start], ways[start].pop()
+            while at != start:
+                before, outs = path[-1], ways[at]
+                path.append(at)
+                turn = (before[1] - at[1], at[0] - before[0])
+                at = outs.pop(next((i for i, p in enumerate(outs) if (p[0] - at[0], p[1] - at[1]) == turn), len(outs) - 1))
+            rings.append([list(p) for p in [*path, start]])
+    return rings
+
+
+@pytest.mark.parametrize("one_task", [1 << 16, 4])
+def test_rings_of_ragged_masks(spark, monkeypatch, one_task):
+    monkeypatch.setattr(ranking, "ONE_TASK", one_task)
+    rng = random.Random(7)
+    cells = [("s", r, c, r * 14 + c) for r in range(14) for c in range(14) if rng.random() < 0.62]
+    mask = spark.createDataFrame(cells, "s string, r long, c long, id long").drop("id")
+    edges = objects.polygon_edges(objects.components(mask, ["s"], 14, False, tile=5), ["s"])
+    want = {}
+    for comp in {e["comp"] for e in edges.collect()}:
+        for k, ring in enumerate(rings_by_hand([(e["x0"], e["y0"], e["x1"], e["y1"]) for e in edges.where(F.col("comp") == comp).collect()])):
+            want[comp, k] = ring
+    got = {(r["comp"], r["ring"]): r["points"] for r in objects.polygon_rings(edges, ["s"]).collect()}
+    assert got == want and len(want) > 5
+    assert objects.ring_points(edges.limit(0), ["s"]).count() == 0
+
+
+def test_one_ring_over_many_tasks(spark):
+    """A comb of 200 teeth is one ring; no range holds it and no row is the whole of it."""
+    cells = [("s", 0, c) for c in range(399)] + [("s", r, c) for c in range(0, 399, 2) for r in range(1, 40)]
+    mask = spark.createDataFrame(cells, "s string, r long, c long")
+    edges = objects.polygon_edges(mask.withColumn("comp", F.lit(0).cast("long")), ["s"])
+    got = objects.ring_points(edges, ["s"]).orderBy("place").collect()
+    n = edges.count()
+    assert [r["place"] for r in got] == list(range(n)) and {r["ring"] for r in got} == {0}
+    assert all(abs(a["x"] - b["x"]) + abs(a["y"] - b["y"]) == 1 for a, b in zip(got, got[1:] + got[:1]))
