@@ -151,7 +151,7 @@ def polygon_edges(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     sides = [(-1, 0, 0, 0, 1, 0), (0, 1, 1, 0, 1, 1), (1, 0, 1, 1, 0, 1), (0, -1, 0, 1, 0, 0)]
     names = ("dr", "dc", "x0", "y0", "x1", "y1")
     each = F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(s, names, strict=True))) for s in sides)))
-    asked = cells.select(*by, "comp", "r", "c", each.alias("s")).select(*by, "comp", (F.col("r") + F.col("s.dr")).alias("nr"), (F.col("c") + F.col("s.dc")).alias("nc"), *((F.col(a) + F.col(f"s.{n}")).alias(n) for a, n in (("c", "x0"), ("r", "y0"), ("c", "x1"), ("r", "y1"))))
+    asked = cells.select(*by, "comp", "r", "c", each.alias("__s")).select(*by, "comp", (F.col("r") + F.col("__s.dr")).alias("nr"), (F.col("c") + F.col("__s.dc")).alias("nc"), *((F.col(a) + F.col(f"__s.{n}")).alias(n) for a, n in (("c", "x0"), ("r", "y0"), ("c", "x1"), ("r", "y1"))))
     own = cells.select(*by, "comp", F.col("r").alias("nr"), F.col("c").alias("nc"))
     return asked.join(own, [*by, "comp", "nr", "nc"], "left_anti").select(*by, "comp", "x0", "y0", "x1", "y1")
 
