@@ -54,6 +54,13 @@ def running_share(df: DataFrame, key: str, weight: str) -> tuple[DataFrame, list
     return ranged.withColumn("high", high).select("part", key, (F.col("high") - F.col("w") / total).alias("low"), "high"), begin
 
 
+def changes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Where a value differs from the one before it, from the second on; nulls are equal."""
+    x = column.to_pandas(integer_object_nulls=True) if column.null_count else column.to_pandas()
+    void, x = x.isna().to_numpy(), x.to_numpy()
+    return (x[1:] != x[:-1]) & ~(void[1:] & void[:-1])
+
+
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
     """``df`` with running sums over each group in order, the row itself included; values are whole numbers, none negative or null.
 
@@ -74,9 +81,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mappin
                 continue
             new = np.zeros(b.num_rows, bool)
             for k in by:
-                own = b.column(k)
-                own = own.to_pandas(integer_object_nulls=True) if own.null_count else own.to_pandas()
-                new[1:] |= (own.iloc[1:].to_numpy() != own.iloc[:-1].to_numpy()) & ~(own.isna().to_numpy()[1:] & own.isna().to_numpy()[:-1])
+                new[1:] |= changes(b.column(k))
             new[0] = last is None or last != [b.column(k)[0].as_py() for k in by]
             starts = np.flatnonzero(new)
             counts = np.diff(np.concatenate([starts, [b.num_rows]]))

@@ -13,7 +13,7 @@ from gridloom.functions.kalman import advance
 from gridloom.operators import objects
 from gridloom.operators.pixels import scene_pairs
 
-STATE = "t double, x double, v double, p00 double, p01 double, p10 double, p11 double"
+STATE = "t double, x double, v double, p double, q double, r double"
 OUT = "k long, t double, a double, smoothed double, velocity double"
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import tables
-from gridloom.functions.kalman import smooth_long, smooth_series
+from gridloom.functions.kalman import advance, elements, smooth_long, smooth_series, state_after
 from gridloom.operators import catalogue, focal, geometry, objects, ordering, pixels
 from gridloom.streaming.series import ingest_masks, window_area
 
@@ -77,12 +77,53 @@ def test_names_contain_stems(spark):
     assert got == {s: min(n for n in names if s in n) for s in ("alpha", "beta", "a")}
 
 
-def test_long_series_equal_the_fold(spark):
+def filtered_by_hand(points, update_first):
+    """The textbook filter with matrices, point by point."""
+    out, x, p, before = [], None, None, None
+    for t, a in points:
+        if x is None:
+            x, p = np.array([a, 0.0]), np.eye(2)
+            if update_first:
+                p[0, 0] -= 1 / 1.1
+        else:
+            f = np.array([[1.0, max(t - before, 0.01)], [0.0, 1.0]])
+            x, p = f @ x, f @ p @ f.T + np.diag([0.01, 0.005])
+            k = p[:, 0] / (p[0, 0] + 0.1)
+            x, p = x + k * (a - x[0]), p - np.outer(k, p[0])
+        before = t
+        out.append((t, a, *x))
+    return out
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_series_over_many_ranges(spark, first):
+    """One key holds nearly all rows; others, a null one too, lie between."""
     rng = np.random.default_rng(3)
-    df = spark.createDataFrame([(int(k), float(t), float(a)) for k in range(3) for t, a in zip(np.cumsum(rng.random(40)), rng.normal(5, 1, 40))], "k long, t double, area double")
-    for first in (True, False):
-        a, b = (sorted(map(tuple, f(df, ["k"], update_first=first).collect())) for f in (smooth_series, smooth_long))
-        assert np.allclose(a, b, atol=2e-6)
+    rows = [(k, float(t), float(a)) for k, n in ((1, 5000), (0, 40), (None, 30), (2, 1), (3, 2)) for t, a in zip(np.cumsum(rng.random(n) * 0.05), rng.normal(5, 1, n))]
+    rows += [(4, 1.0, 2.0), (4, 1.0, 2.0), (4, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k long, t double, area double").repartition(6)
+    want = {k: filtered_by_hand(sorted((t, a) for j, t, a in rows if j == k), first) for k in {r[0] for r in rows}}
+    for f in (smooth_series, smooth_long):
+        got = f(df, ["k"], update_first=first).collect()
+        assert len(got) == len(rows)
+        for k, points in want.items():
+            assert np.allclose(sorted(tuple(r)[1:] for r in got if r["k"] == k), sorted(points), atol=2e-6)
+    assert smooth_long(df.limit(0), ["k"]).count() == 0
+
+
+def test_elements_are_associative():
+    """A series cut anywhere gives the same states as the whole one."""
+    rng = np.random.default_rng(5)
+    t, a = np.cumsum(rng.random(40)), rng.normal(size=40)
+    whole = state = None
+    for x, y in zip(t, a):
+        whole = advance(whole, x, y)
+    for cut in (1, 7, 39):
+        state = None
+        for x, y in zip(t[:cut], a[:cut]):
+            state = advance(state, x, y)
+        state = advance(state, t[cut], a[cut])
+        assert state_after(elements(t[cut:], a[cut:])[-1], state, t[-1]) == pytest.approx(whole, abs=1e-9)
 
 
 def test_winding_components(spark):
