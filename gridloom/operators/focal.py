@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.sources.scratch import stored
+from gridloom.operators.distance import nearest_cell
 
 Kernel = Callable[[np.ndarray], Mapping[str, np.ndarray]]
 
@@ -145,7 +145,7 @@ def morphometrics(df: DataFrame, by: Sequence[str], col: str, shape: tuple[int,
     """
     empty = F.col(col).isNull() | F.isnan(col) | (F.abs(F.col(col)) == F.lit(float("inf")))
     fine = df.where(~empty).select(*by, "r", "c", col)
-    whole = fine.unionByName(fill_nearest(fine, by, df.where(empty).select(*by, "r", "c"), col, 3, widen=max(shape)).select(*by, "r", "c", col))
+    whole = fine.unionByName(fill_nearest(fine, by, df.where(empty).select(*by, "r", "c"), col).select(*by, "r", "c", col))
     border = len(gaussian_taps(1.0)) // 2
 
     def run(z: np.ndarray) -> dict[str, np.ndarray]:
@@ -254,21 +254,12 @@ def multiscale_texture(df: DataFrame, by: Sequence[str], col: str, shape: tuple[
     return out
 
 
-def fill_nearest(df: DataFrame, by: Sequence[str], holes: DataFrame, col: str, reach: int, widen: int = 0) -> DataFrame:
-    """Values for the holes (by, r, c): that of the nearest cell within ``reach``, ties to the smaller row and column. Only holes are spread.
+def fill_nearest(df: DataFrame, by: Sequence[str], holes: DataFrame, col: str, reach: int | None = None, widen: int = 0) -> DataFrame:
+    """Values (doubles) for the holes (by, r, c): that of the nearest cell, ties to the smaller row and column.
 
-    With ``widen`` holes that found nothing look twice as far each time, up to that
-    distance; so only wide gaps cost more.
+    Within ``reach`` only, unless it is null or ``widen`` is given; the cost does not depend on it.
     """
-    near = [(i, j) for i, j in _offsets(reach, False) if i * i + j * j <= reach * reach]
-    at = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(i * i + j * j).alias("d")) for i, j in near)))
-    asked = holes.select(*by, F.col("r").alias("hr"), F.col("c").alias("hc"), at.alias("o")).select(*by, "hr", "hc", "o.d", (F.col("hr") + F.col("o.i")).alias("r"), (F.col("hc") + F.col("o.j")).alias("c"))
-    found = asked.join(df.select(*by, "r", "c", col), [*by, "r", "c"]).groupBy(*by, "hr", "hc").agg(F.min_by(col, F.struct("d", "r", "c")).alias(col))
-    found = found.withColumnRenamed("hr", "r").withColumnRenamed("hc", "c")
-    if reach >= 1.5 * widen:
-        return found
-    found = stored(found, "filled")
-    left = stored(holes.join(found, [*by, "r", "c"], "left_anti"), "holes")
-    if not left.limit(1).count():
-        return found
-    return found.unionByName(fill_nearest(df, by, left, col, 2 * reach, widen))
+    found = nearest_cell(df, by, holes, col)
+    if reach is not None and not widen:
+        found = found.where(F.col("d2") <= reach * reach)
+    return found.select(*by, "r", "c", F.col("near_value").alias(col))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gridloom.operators import evaluation as E
+from gridloom.operators.distance import class_distance
 from gridloom.registry import query
 from gridloom.sources.scratch import shared_dir
 
@@ -141,12 +142,11 @@ def loss_combined(v):
   ed AS (SELECT DISTINCT a.site, a.scene, a.r, a.c FROM lg a, o3 i, o3 j, lg b WHERE b.site = a.site AND b.scene = a.scene AND b.r = a.r + i.d AND b.c = a.c + j.d AND b.t <> a.t)
   SELECT round(sum(CASE WHEN ed.r IS NULL THEN 1 ELSE 2 END * b) / count(*), 6) AS boundary FROM ce LEFT JOIN ed USING (site, scene, r, c)""")
 def loss_boundary(v):
-    x = logits(v)
-    shift = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    near = x.select("site", "scene", "t", "r", "c", shift.alias("o")).select("site", "scene", F.col("t").alias("u"), (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"))
-    edge = near.groupBy("site", "scene", "r", "c").agg(F.min("u").alias("lo"), F.max("u").alias("hi"))
-    w = F.when((F.col("lo") != F.col("t")) | (F.col("hi") != F.col("t")), 2.0).otherwise(1.0)
-    return x.join(edge, ["site", "scene", "r", "c"]).agg(F.round(F.sum(w * E.bce(F.col("x"), F.col("t"))) / F.count("*"), 6).alias("boundary"))
+    """Pixels that touch one of the other class count twice."""
+    near = class_distance(logits(v).select("site", "scene", "r", "c", "t"), ["site", "scene"], "t").where("d2 <= 2")
+    x = logits(v).join(near.select("site", "scene", "r", "c", "d2"), ["site", "scene", "r", "c"], "left")
+    w = F.when(F.col("d2").isNotNull(), 2.0).otherwise(1.0)
+    return x.agg(F.round(F.sum(w * E.bce(F.col("x"), F.col("t"))) / F.count("*"), 6).alias("boundary"))
 
 
 @query(f"WITH k AS (SELECT fold, {_COUNTS.format(t=0.5)} FROM {{scored}} GROUP BY fold), {_CUM.replace('SELECT k, threshold, count', 'SELECT fold, k, threshold, count').replace('GROUP BY 1, 2)', 'GROUP BY 1, 2, 3)')}, a AS (SELECT fold, (fpr - lag(fpr) OVER (PARTITION BY fold ORDER BY k DESC)) * (tpr + lag(tpr) OVER (PARTITION BY fold ORDER BY k DESC)) / 2 AS x FROM rc), b AS (SELECT fold, round(abs(sum(x)), 6) AS auc FROM a GROUP BY fold) SELECT fold, tp, fp, fn, tn, {_RATES}, auc FROM k JOIN b USING (fold)".replace("th(k, threshold)", "th(k, threshold)").replace(", q AS (SELECT fold, k,", ", q AS (SELECT fold, th.k,"))

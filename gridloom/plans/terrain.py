@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import focal as O
+from gridloom.operators.distance import class_distance, nearest_cell
 from gridloom.registry import query
 
 CELL = 463.0
@@ -156,3 +157,21 @@ def texture_multiscale(v):
 def fill_nearest(v):
     gone = (F.col("r") * 7 + F.col("c")) % 11 == 0
     return O.fill_nearest(v.dem.where(~gone), [], v.dem.where(gone).select("r", "c"), "elev", 3).withColumn("elev", F.round("elev", 6))
+
+
+@query("""WITH ex AS (SELECT max(r) AS h, max(c) AS w FROM {dem}), x AS (SELECT d.*, (r * 7 + c) % 11 = 0 OR (4 * r BETWEEN h AND 3 * h AND 8 * c BETWEEN w AND 7 * w) AS gone FROM {dem} d, ex),
+  n AS (SELECT a.r, a.c, b.r AS near_r, b.c AS near_c, (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) AS d2, b.elev, row_number() OVER (PARTITION BY a.r, a.c ORDER BY (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c), b.r, b.c) AS n FROM x a JOIN x b ON a.gone AND NOT b.gone)
+  SELECT r, c, near_r, near_c, d2, round(elev, 6) AS elev FROM n WHERE n = 1""")
+def fill_nearest_far(v):
+    """The middle of the ground is gone: the nearest cell left, however far."""
+    h, w = (x - 1 for x in extent(v))
+    gone = ((F.col("r") * 7 + F.col("c")) % 11 == 0) | ((4 * F.col("r")).between(h, 3 * h) & (8 * F.col("c")).between(w, 7 * w))
+    out = nearest_cell(v.dem.where(~gone), [], v.dem.where(gone).select("r", "c"), "elev")
+    return out.select("r", "c", "near_r", "near_c", "d2", F.round("near_value", 6).alias("elev"))
+
+
+@query("""WITH n AS (SELECT a.site, a.scene, a.r, a.c, a.target, min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) AS d2 FROM {px} a JOIN {px} b ON b.site = a.site AND b.scene = a.scene AND b.target <> a.target GROUP BY 1, 2, 3, 4, 5)
+  SELECT site, scene, r, c, target, d2 FROM n""")
+def boundary_distance(v):
+    """The squared distance of every pixel from the nearest one of the other class."""
+    return class_distance(v.px.select("site", "scene", "r", "c", "target"), ["site", "scene"], "target").select("site", "scene", "r", "c", "target", "d2")
