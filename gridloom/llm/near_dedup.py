@@ -14,6 +14,7 @@ comparison a member.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,6 +32,8 @@ WORDS, SIMILARITY = 5, 0.8
 TAKEN, SKETCHES = 5, 32
 #: Texts of fewer shingles meet exactly: by every subsequence with up to a fifth of the shingles left out.
 SHORT = 15
+#: Matches for each shingle up to which they are listed, and shingles of a block of texts that are compared at once.
+MATCHES, BLOCK_SHINGLES = 16, 1 << 22
 _MULTIPLIERS = mix(np.arange(SKETCHES, dtype=np.uint64), 91) | np.uint64(1)
 _SHIFTS = mix(np.arange(SKETCHES, dtype=np.uint64), 92)
 
@@ -132,9 +135,11 @@ def signatures(docs: DataFrame) -> DataFrame:
 def aligned(a: np.ndarray, b: np.ndarray, least: int, band: int) -> int:
     """The longest common subsequence of two shingle sequences inside a diagonal band, or less than ``least`` if it is shorter.
 
-    The alignment runs row by row with one bit for each column. A pair that shares
-    ``least`` shingles in order leaves at most ``band`` unmatched, so its alignment stays
-    that near the diagonal and no match outside the band is looked at.
+    A pair that shares ``least`` shingles in order leaves at most ``band`` unmatched, so its
+    alignment stays that near the diagonal and no match outside the band is looked at.
+    Where matches are few, as in most texts, the longest rising sequence of their columns is the
+    alignment; else it runs row by row with one bit for each column of the band. Memory
+    follows the lengths in the one case and, with few different shingles, the band in the other.
     """
     n = min(len(a), len(b))
     if n < least:
@@ -154,19 +159,59 @@ def aligned(a: np.ndarray, b: np.ndarray, least: int, band: int) -> int:
     _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
     if common + int(np.minimum(ca[ia], cb[ib]).sum()) < least:
         return 0
-    places: dict[int, int] = {}
+    order = np.argsort(b, kind="stable")
+    ranked = b[order]
+    first, times = np.searchsorted(ranked, a), np.searchsorted(ranked, a, side="right")
+    times -= first
+    if int(times.sum()) > MATCHES * (len(a) + len(b)):
+        return common + _banded(a, b, band)
+    # Matches inside the band by row, each row's from right to left: rising columns are an alignment.
+    i = np.repeat(np.arange(len(a)), times)
+    last = np.cumsum(times)
+    j = order[np.repeat(first + last, times) - 1 - np.arange(len(i))]
+    tails: list[int] = []
+    for x in j[np.abs(i - j) <= band].tolist():
+        k = bisect_left(tails, x)
+        if k == len(tails):
+            tails.append(x)
+        else:
+            tails[k] = x
+    return common + len(tails)
+
+
+def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """The same for sequences that repeat themselves, row by row with one bit for each column of the band."""
+    places: dict[int, list[int]] = {}
     for j, x in enumerate(b.tolist()):
-        places[x] = places.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    window = (1 << (2 * band + 1)) - 1
-    row = full
+        places.setdefault(x, []).append(j)
+    used = dict.fromkeys(places, 0)
+    masks: dict[int, tuple[int, int]] = {}  # of items seen: their columns from some column on
+    low, high = 0, min(band + 1, len(b))
+    row, common = (1 << high) - 1, 0
     for i, x in enumerate(a.tolist()):
-        hit = places.get(x, 0)
-        if hit:
-            hit &= window << (i - band) if i >= band else window >> (band - i)
-            up = row & hit
-            row = ((row + up) | (row - up)) & full
-    return common + len(b) - row.bit_count()
+        if i > band and low < len(b):
+            common += 1 - (row & 1)
+            row >>= 1
+            low += 1
+        if i and high < len(b):
+            row |= 1 << (high - low)
+            high += 1
+        own = places.get(x)
+        if not own:
+            continue
+        mask, since = masks.get(x, (0, low))
+        mask >>= low - since
+        at = used[x]
+        while at < len(own) and own[at] < high:
+            if own[at] >= low:
+                mask |= 1 << (own[at] - low)
+            at += 1
+        used[x] = at
+        masks[x] = (mask, low)
+        if mask:
+            up = row & mask
+            row = ((row + up) | (row - up)) & ((1 << (high - low)) - 1)
+    return common + (high - low) - row.bit_count()
 
 
 def least_common(na: int, nb: int, similarity: float = SIMILARITY) -> int:
@@ -215,8 +260,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     linked to each other. Other columns are left out; an empty table gives an empty one.
     """
     found = stored(signatures(docs), "signatures")
-    exact = stored(found.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "exact")
-    keyed = exact.where("rep IS NOT NULL").select("rep", F.explode("keys").alias("key"))
+    exact = stored(found.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("keys").alias("keys")), "exact")
+    keyed = exact.where("rep IS NOT NULL").select("rep", F.col("n").cast("long").alias("n"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot")
     members = stored(keyed.join(stored(shared, "shared"), "key"), "members")
 
@@ -240,20 +285,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def within_groups(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, block: int = 256) -> DataFrame:
     """Links between documents that share a sketch and are in different components so far.
 
+    ``members``: key, rep and n (its shingles; counted as none where it is missing).
+
     Groups with the same members are looked at once. Members of a group's largest component
     need no comparison with each other, so a group of copies that are linked already costs
-    what its few others cost. If a group has more than ``block`` members, both sides are cut into blocks by a hash, and each pair of
-    blocks is one piece of work of about twice ``block`` documents: their shingles in
+    what its few others cost. If a group has more than ``block`` members, or more than BLOCK_SHINGLES shingles, both sides are cut
+    into blocks by a hash, and each pair of blocks is one piece of work of about twice as much: their shingles in
     common are counted by matrix products, and only pairs that could reach the similarity
     and that nothing connects yet are aligned. No pair is ever a row, and of a block's
     links only a spanning forest comes back.
     """
-    placed = stored(members.join(roots, members["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "placed")
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x0"), F.bit_xor(F.xxhash64(F.lit(3), "rep")).alias("x1"))
-    facts = parts.groupBy("key").agg(F.count("*").alias("components"), F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
-    mixed = facts.where("components > 1").groupBy("size", "x0", "x1").agg(F.min_by(F.struct("key", "most"), "key").alias("one"))
-    rest, wide = F.col("size") - F.col("one.most.n"), F.col("size") > block
-    shape = (F.when(wide, F.col("one.most.root")).alias("big"), F.when(wide, F.ceil(rest / block)).otherwise(1).alias("few"), F.when(wide, F.ceil(F.col("one.most.n") / block)).otherwise(0).alias("many"))
+    if "n" not in members.columns:
+        members = members.withColumn("n", F.lit(0).cast("long"))
+    placed = stored(members.join(roots, members["rep"] == roots["node"], "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root")), "placed")
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("n").alias("long"), F.bit_xor(F.xxhash64("rep")).alias("x0"), F.bit_xor(F.xxhash64(F.lit(3), "rep")).alias("x1"))
+    facts = parts.groupBy("key").agg(F.count("*").alias("components"), F.max(F.struct("n", "root", "long")).alias("most"), F.sum("n").alias("size"), F.sum("long").alias("long"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
+    mixed = facts.where("components > 1").groupBy("size", "x0", "x1").agg(F.min_by(F.struct("key", "most", "long"), "key").alias("one"))
+    rest, long_rest = F.col("size") - F.col("one.most.n"), F.col("one.long") - F.col("one.most.long")
+    wide = (F.col("size") > block) | (F.col("one.long") > BLOCK_SHINGLES)
+    blocks = lambda n, long: F.ceil(F.greatest(n / block, long / BLOCK_SHINGLES))
+    shape = (F.when(wide, F.col("one.most.root")).alias("big"), F.when(wide, blocks(rest, long_rest)).otherwise(1).alias("few"), F.when(wide, blocks(F.col("one.most.n"), F.col("one.most.long"))).otherwise(0).alias("many"))
     mixed = stored(mixed.select("one.key", *shape), "mixed")
     # Blocks of the largest component have the numbers below 0; a group that fits one block is one piece of work.
     inside, name = F.col("root") == F.col("big"), F.xxhash64("rep")
