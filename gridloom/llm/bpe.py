@@ -15,11 +15,12 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
+from gridloom.llm.characters import EVERY, Classes
 from gridloom.llm.suffix_automaton import SuffixAutomaton
 from gridloom.llm.text import slices
 
@@ -46,6 +47,27 @@ def lower(text: str) -> str:
     return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
 
+def library_tables() -> tuple[Classes, dict[str, str]]:
+    """Character classes as the tokenizers library finds them, and the characters that it puts in lower case otherwise than Python."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    def members(name: str) -> str:
+        return "".join(x for x, _ in pre_tokenizers.Split(Regex(f"{name}+"), "removed", invert=True).pre_tokenize_str(EVERY))
+
+    single = EVERY.replace("\n", "")
+    lowered = normalizers.Lowercase().normalize_str("\n".join(single)).split("\n")
+    return Classes.asked(members), {c: x for c, x in zip(single, lowered, strict=True) if c.lower() != x}
+
+
+def composed(text: str) -> str:
+    """NFC; of characters that Python's tables don't have, as the tokenizers library does it."""
+    if "Cn" not in map(unicodedata.category, text):
+        return unicodedata.normalize("NFC", text)
+    from tokenizers import normalizers
+
+    return normalizers.NFC().normalize_str(text)
+
+
 @dataclass
 class Tokenizer:
     """A BPE model with an end-of-word mark, read from a tokenizers file."""
@@ -55,6 +77,8 @@ class Tokenizer:
     suffix: str
     pattern: str
     specials: dict[str, int]
+    classes: Classes
+    lowers: dict[str, str]
     _ready: bool = field(default=False, repr=False)
 
     @classmethod
@@ -64,10 +88,10 @@ class Tokenizer:
         model = spec["model"]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        return cls(model["vocab"], merges, model["end_of_word_suffix"], split["pattern"]["Regex"], {t["content"]: t["id"] for t in spec["added_tokens"]})
+        return cls(model["vocab"], merges, model["end_of_word_suffix"], split["pattern"]["Regex"], {t["content"]: t["id"] for t in spec["added_tokens"]}, *library_tables())
 
     def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("tokens", "merges", "suffix", "pattern", "specials")} | {"_ready": False}
+        return {k: self.__dict__[k] for k in ("tokens", "merges", "suffix", "pattern", "specials", "classes", "lowers")} | {"_ready": False}
 
     def packed(self, token: str) -> str:
         """A token with one character for each byte; a final byte's character carries the end of the word."""
@@ -107,7 +131,8 @@ class Tokenizer:
         self.whole: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
         self.made = made
-        self.splitter = regex.compile(self.pattern.replace(r"\s", r"\p{White_Space}"))
+        self.splitter, self.exact = self.classes.usual(self.pattern), self.classes.exact(self.pattern)
+        self.lower_first = str.maketrans(self.lowers)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self._ready = True
 
@@ -205,9 +230,11 @@ class Tokenizer:
                 yield self.specials[part]
             elif part:
                 if not part.isascii():
-                    part = unicodedata.normalize("NFC", part)
+                    part = composed(part).translate(self.lower_first)
                 part = lower(part)
-                if part.isalpha():
+                if not self.classes.plain(part):
+                    yield from self.exact.findall(part)
+                elif part.isalpha():
                     yield part
                 else:
                     yield from self.splitter.findall(part)
@@ -270,6 +297,11 @@ def _encoder(broadcast) -> Encoder:
     return _encoders["is"]
 
 
+@lru_cache(1)
+def _loaded(path: str) -> Tokenizer:
+    return Tokenizer.load(path)
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the ids of every whole text.
 
@@ -290,7 +322,7 @@ def encoded_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, fields: str, of, types: list[pa.DataType]) -> DataFrame:
-    model = docs.sparkSession.sparkContext.broadcast(Tokenizer.load(path))
+    model = docs.sparkSession.sparkContext.broadcast(_loaded(path))
     kept = docs.select(id_col, text_col)
     names = [id_col, *(x.split()[0] for x in fields.split(", "))]
 
@@ -305,7 +337,7 @@ def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, fields: str,
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id and the text of a column of ids, specials included; null ids give null text, unknown ids nothing."""
-    model = encoded.sparkSession.sparkContext.broadcast(Tokenizer.load(path))
+    model = encoded.sparkSession.sparkContext.broadcast(_loaded(path))
     kept = encoded.select(id_col, ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
