@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import blend_weight, clip
 from gridloom.operators.ordering import numbered, running_share
+from gridloom.sources.scratch import stored
 
 
 def starts(n: int, size: int, stride: int) -> list[int]:
@@ -214,6 +216,44 @@ def best_shift(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     return fine.groupBy(*by).agg(F.min_by(F.struct("dr", "dc"), rank).alias("b")).select(*by, "b.dr", "b.dc")
 
 
+def _reduced(df: DataFrame, keys: Sequence[str], col: str, factor: int) -> DataFrame:
+    if factor == 1:
+        return df.select(*keys, "r", "c", col)
+    return df.groupBy(*keys, F.floor(F.col("r") / factor).alias("r"), F.floor(F.col("c") / factor).alias("c")).agg(F.avg(col).alias(col))
+
+
+def register_pyramid(fixed: DataFrame, moving: DataFrame, col: str, reach: int, by: Sequence[str] = (), each: Sequence[str] = (), kept: int = 3, least: int = 4) -> DataFrame:
+    """by, each, dr, dc, score: the shift of ``moving`` that correlates best, searched from coarse cells to fine ones.
+
+    Cells are averaged by powers of two until ``reach`` is at most ``least`` of them; there every
+    shift is tried. Each finer level tries the cells round twice the ``kept`` best shifts of the one before. So a
+    pixel is copied some 12 * ``kept`` times whatever the reach, where all shifts would
+    copy it (2 reach + 1)**2 times; with a reach of ``least`` or less it is the exhaustive search. Ties are as in
+    ``best_shift``; scenes without a score have no row.
+    """
+    keys = [*by, *each]
+    levels = max(0, math.ceil(math.log2(max(1, reach) / least)))
+    fixed, moving = stored(fixed.select(*by, "r", "c", col), "fixed"), stored(moving.select(*keys, "r", "c", col), "moving")
+    found = None
+    for level in range(levels, -1, -1):
+        factor = 1 << level
+        still, loose = _reduced(fixed, by, col, factor), _reduced(moving, keys, col, factor)
+        if found is None:
+            scores = register_shift(still, loose, col, math.ceil(reach / factor), by, each)
+        else:
+            near = F.explode(F.array(*(F.struct((2 * F.col("dr") + i).alias("dr"), (2 * F.col("dc") + j).alias("dc")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+            shifts = found.select(*keys, near.alias("__o")).select(*keys, "__o.dr", "__o.dc").where((F.abs("dr") <= math.ceil(reach / factor)) & (F.abs("dc") <= math.ceil(reach / factor))).distinct()
+            steps = shifts.groupBy(*keys).agg(F.collect_list(F.struct("dr", "dc")).alias("steps"))  # a row for each scene, of 9 * kept at most
+            moved = (loose.join(steps, keys) if keys else loose.crossJoin(steps)).select(*keys, "r", "c", F.col(col).alias("m"), F.explode("steps").alias("__o"))
+            moved = moved.select(*keys, (F.col("r") + F.col("__o.dr")).alias("r"), (F.col("c") + F.col("__o.dc")).alias("c"), F.col("__o.dr").alias("dr"), F.col("__o.dc").alias("dc"), "m")
+            scores = moved.join(still.select(*by, "r", "c", F.col(col).alias("f")), [*by, "r", "c"]).groupBy(*keys, "dr", "dc").agg(F.corr("f", "m").alias("score"))
+        fine = scores.where(F.col("score").isNotNull() & ~F.isnan("score"))
+        rank = F.struct((-F.round("score", 6)).alias("a"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("b"), "dr", "dc", "score")
+        best = F.slice(F.array_sort(F.collect_list(rank)), 1, kept if level else 1)
+        found = stored(fine.groupBy(*keys).agg(best.alias("best")).select(*keys, F.explode("best").alias("__s")).select(*keys, "__s.dr", "__s.dc", "__s.score"), "shifts")
+    return found
+
+
 def stack(base: DataFrame, by: Sequence[str], shape: tuple[int, int], layers: Sequence[tuple[DataFrame | None, Sequence[str], str, tuple[int, int]]]) -> DataFrame:
     """``base`` (by, r, c, ...) with the columns of other layers, cell by cell.
 

@@ -261,6 +261,23 @@ def register_shift(v):
     return out.withColumn("score", F.round(F.nanvl("score", F.lit(None).cast("double")), 5))
 
 
+@query(f"""WITH {_PAIRS}, o AS (SELECT i AS d FROM range(-3, 4) a(i)), n AS (SELECT i AS d FROM range(-1, 2) a(i)), h AS (SELECT site, scene, r // 2 AS r, c // 2 AS c, avg(red) AS red FROM {{px}} GROUP BY 1, 2, 3, 4),
+  sh AS (SELECT p.site, t0, t1, a.d AS dr, b.d AS dc, corr(f.red, m.red) AS s FROM p, o a, o b JOIN h m ON m.site = p.site AND m.scene = t1 JOIN h f ON f.site = p.site AND f.scene = t0 AND f.r = m.r + a.d AND f.c = m.c + b.d GROUP BY 1, 2, 3, 4, 5),
+  k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, t0, t1 ORDER BY round(s, 6) DESC, dr * dr + dc * dc, dr, dc) AS n FROM sh WHERE s IS NOT NULL AND NOT isnan(s)) q WHERE n <= 3),
+  cd AS (SELECT DISTINCT site, t0, t1, 2 * dr + a.d AS dr, 2 * dc + b.d AS dc FROM k, n a, n b WHERE abs(2 * dr + a.d) <= 6 AND abs(2 * dc + b.d) <= 6),
+  sc AS (SELECT cd.site, t0, t1, dr, dc, corr(f.red, m.red) AS s FROM cd JOIN {{px}} m ON m.site = cd.site AND m.scene = t1 JOIN {{px}} f ON f.site = cd.site AND f.scene = t0 AND f.r = m.r + dr AND f.c = m.c + dc GROUP BY 1, 2, 3, 4, 5)
+  SELECT site, t0, t1, dr, dc, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY site, t0, t1 ORDER BY round(s, 6) DESC, dr * dr + dc * dc, dr, dc) AS n FROM sc WHERE s IS NOT NULL AND NOT isnan(s)) q WHERE n = 1""")
+def register_pyramid(v):
+    """Every later scene against the one before it, by halves of the resolution first."""
+    return G.register_pyramid(paired(v, "t0"), paired(v, "t1"), "red", 6, ["site", "t0", "t1"]).withColumn("score", F.round("score", 5))
+
+
+@query(f"WITH {_PAIRS}, o AS (SELECT i AS d FROM range(-2, 3) a(i)), sc AS (SELECT p.site, t0, t1, a.d AS dr, b.d AS dc, corr(f.red, m.red) AS s FROM p, o a, o b JOIN {{px}} m ON m.site = p.site AND m.scene = t1 JOIN {{px}} f ON f.site = p.site AND f.scene = t0 AND f.r = m.r + a.d AND f.c = m.c + b.d GROUP BY 1, 2, 3, 4, 5) SELECT site, t0, t1, dr, dc FROM (SELECT *, row_number() OVER (PARTITION BY site, t0, t1 ORDER BY round(s, 6) DESC, dr * dr + dc * dc, dr, dc) AS n FROM sc WHERE s IS NOT NULL AND NOT isnan(s)) q WHERE n = 1")
+def register_best(v):
+    """The best of all shifts within two cells, as the pyramid finds it at that reach."""
+    return G.register_pyramid(paired(v, "t0"), paired(v, "t1"), "red", 2, ["site", "t0", "t1"]).drop("score")
+
+
 _SEED = "sd AS (SELECT p_partkey AS id, p_partkey % 30 AS r, p_partkey * 7 % 30 AS c, ((p_partkey % 3) - 1) * CAST(0.5 AS DOUBLE) + 0.25 AS dr, CAST(0.75 AS DOUBLE) AS dc, p_size % 8 AS length FROM part)"
 
 
