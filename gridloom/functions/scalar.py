@@ -189,3 +189,15 @@ def blend_weight(method: str, i: Column, j: Column, size: int) -> Column:
         one = lambda k: (k.cast("double") - middle) / F.lit(0.35 * size)
         return F.greatest(F.exp(F.lit(-0.5) * (one(i) * one(i) + one(j) * one(j))), F.lit(1e-6))
     raise ValueError(f"no blend weight is named {method}")
+
+
+def interleaved(r: Column, c: Column) -> Column:
+    """The Z-order of a cell: the bits of its row and column (from 0, under 2**31) in turn."""
+
+    def spread(x: Column) -> Column:
+        x = x.cast("long")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        return x
+
+    return F.shiftleft(spread(r), 1).bitwiseOR(spread(c))

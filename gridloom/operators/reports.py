@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.scalar import interleaved
+
 
 def site_summary(scenes: DataFrame, parts: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
     """Scenes with the columns of every part, 0 where a part has no row."""
@@ -28,9 +30,19 @@ def catalogue_items(scenes: DataFrame, assets: DataFrame, key: str) -> DataFrame
     return scenes.join(m, key, "left")
 
 
-def write_pixels(df: DataFrame, path: str, by: Sequence[str] = ("site", "scene")) -> None:
-    """Pixels in folders of their scenes, rows near each other in space stored together."""
-    df.repartition(*by).sortWithinPartitions(*by, F.floor(F.col("r") / 256), F.floor(F.col("c") / 256), "r", "c").write.mode("append").partitionBy(*by).parquet(path)
+def write_pixels(df: DataFrame, path: str, by: Sequence[str] = ("site", "scene"), rows_per_file: int = 1 << 20) -> None:
+    """Pixels in folders of their scenes, in Z-order: cells near each other lie in the same files and row groups, which Parquet skips by their least and greatest r and c.
+
+    Scenes that are written replace what their folders held; other scenes stay.
+    """
+    placed = df.withColumn("__z", interleaved(F.col("r"), F.col("c")))
+    ranged = placed.repartitionByRange(*by, "__z").sortWithinPartitions(*by, "__z").drop("__z")
+    ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).option("parquet.block.size", 1 << 22).partitionBy(*by).parquet(path)
+
+
+def read_pixels(spark: SparkSession, path: str, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
+    """The cells of a window (first and last row and column, both included) of all scenes at ``path``; files and row groups elsewhere are skipped."""
+    return spark.read.parquet(path).where(F.col("r").between(*rows) & F.col("c").between(*cols))
 
 
 def write_report(df: DataFrame, path: str) -> None:

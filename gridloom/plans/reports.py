@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridloom.functions.kalman import smooth_series
@@ -11,6 +13,7 @@ from gridloom.operators import series as SE
 from gridloom.plans.objects import BY, C8, _MATCH, _STATS, _TRACK, cells, tracked
 from gridloom.plans.pixels import _MASK, PIXEL_HA, changed
 from gridloom.plans.series import TRACKER
+from gridloom.plans.terrain import extent
 from gridloom.registry import query
 from gridloom.sources.scratch import shared_dir
 
@@ -106,3 +109,22 @@ def pipeline_score(v):
     x = S.INDICES.apply(v.px, ["rsi"])
     p = S.sigmoid(0.5 * F.col("rsi") + F.col("prob") - 0.5)
     return x.select(*BY, "r", "c", F.when(p >= 0.5, 1).otherwise(0).alias("hit"))
+
+
+@query("SELECT site, CAST(scene AS BIGINT) AS scene, r, c, red, prob FROM {px}, {grid_side} WHERE r BETWEEN side // 4 AND side // 2 AND c BETWEEN side // 3 AND side - 3")
+def zorder_window(v):
+    """A window of all scenes from pixels that were written in Z-order, twice: the second time replaces the first."""
+    path = f"{shared_dir(v.spark)}/pixels-{uuid.uuid4().hex}"
+    for _ in range(2):
+        R.write_pixels(v.px.select(*BY, "r", "c", "red", "prob"), path, BY, 1 << 16)
+    return R.read_pixels(v.spark, path, (v.side // 4, v.side // 2), (v.side // 3, v.side - 3)).select("site", F.col("scene").cast("long").alias("scene"), "r", "c", "red", "prob")
+
+
+@query("SELECT 'dem' AS scene_id, r, c, floor(elev) AS z FROM {dem}")
+def grid_roundtrip(v):
+    """The ground as 16-bit grids in stripes of rows, read again."""
+    from gridloom.sources.grids import registered, write_grids
+
+    path = f"{shared_dir(v.spark)}/grids-{uuid.uuid4().hex}"
+    write_grids(v.dem.select(F.lit("dem").alias("scene_id"), "r", "c", F.floor("elev").alias("z")), path, extent(v)[1], stripe=16)
+    return registered(v.spark).read.format("grid16").option("path", path).load()

@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TILE_SCHEMA = "scene_id string, tr int, tc int, h int, w int, data array<float>"
-
+from gridloom.sources.grids import registered
 
 def read_grids(spark: SparkSession, path: str, rows: int, cols: int, nodata: int = -32768, tile: int = 256) -> DataFrame:
-    """Big-endian 16-bit grids as tiles (scene_id, tr, tc, h, w, data); nodata is NaN. A file of another size is an error."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for name, content in zip(p["path"], p["content"], strict=True):
-                if len(content) != 2 * rows * cols:
-                    raise ValueError(f"{name} has {len(content)} bytes, not {2 * rows * cols}")
-                grid = np.frombuffer(content, ">i2").reshape(rows, cols).astype(np.float32)
-                grid[grid == nodata] = np.nan
-                out = [(name.rsplit("/", 1)[-1], r // tile, c // tile, *(b := grid[r : r + tile, c : c + tile]).shape, b.ravel()) for r in range(0, rows, tile) for c in range(0, cols, tile)]
-                yield pd.DataFrame(out, columns=["scene_id", "tr", "tc", "h", "w", "data"])
-
-    return files.mapInPandas(run, TILE_SCHEMA)
+    """Big-endian 16-bit grids as tiles (scene_id, tr, tc, h, w, data); nodata is NaN. A file of another size is an error. A task reads the rows of one row of tiles."""
+    source = registered(spark).read.format("grid16").option("path", path).option("layout", "tiles")
+    return source.option("rows", rows).option("cols", cols).option("nodata", nodata).option("tile", tile).load()
 
 
 def tiles_to_pixels(tiles: DataFrame, tile: int = 256) -> DataFrame:
