@@ -16,6 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -127,7 +128,7 @@ class Tokenizer:
                     until, at = made[at][0], made[at][side]
                 edges[t] = tuple(reversed(chain))
         self.machine = SuffixAutomaton({self.packed(token): i for token, i in self.tokens.items()})
-        self.chars = byte_characters()
+        self.chars = dict(enumerate(byte_characters()))
         self.whole: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
         self.made = made
@@ -186,31 +187,43 @@ class Tokenizer:
 
     def word(self, piece: str) -> list[int]:
         """The ids of one pre-tokenised piece of text."""
-        chars = self.chars
-        text = "".join([chars[b] for b in piece.encode("utf-8", "surrogatepass")])
+        text = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.chars)
         if not text:
             return []
         text = text[:-1] + chr(_LAST + ord(text[-1]))
         n = len(text)
         last = [-1] * (n + 1)
         length = [0] * (n + 1)
-        pairs, size = self.pairs, self.size
-        for end, longest, tokens in self.machine.endings(text):
-            for k, token in tokens:
-                if k > longest:
+        known, whole, size = self.pairs.get, self.whole.get, self.size
+        machine = self.machine
+        nxt, link, span, words = machine.next, machine.link, machine.length, machine.words
+        state = run = end = 0
+        for c in text:  # as ``machine.endings`` goes through a text
+            end += 1
+            to = nxt[state].get(c)
+            while to is None and state:
+                state = link[state]
+                run = span[state]
+                to = nxt[state].get(c)
+            if to is None:
+                run = 0
+                continue
+            state = to
+            run += 1
+            for k, token in words[state]:
+                if k > run:
                     continue
                 if k == end:
-                    good = self.stands(token)
+                    good = whole(token)
+                    if good is None:
+                        good = self.stands(token)
                 else:
                     ahead = last[end - k]
                     if ahead < 0:
                         continue
-                    key = ahead * size + token
-                    good = pairs.get(key)
+                    good = known(ahead * size + token)
                     if good is None:
-                        if len(pairs) >= 600_000:
-                            pairs.clear()
-                        good = pairs[key] = self.fits(ahead, token)
+                        good = self.may_follow(ahead, token)
                 if good:
                     last[end], length[end] = token, k
                     break
@@ -223,6 +236,13 @@ class Tokenizer:
         out.reverse()
         return out
 
+    def may_follow(self, ahead: int, token: int) -> bool:
+        """``fits``, remembered under ahead * size + token."""
+        if len(self.pairs) >= 600_000:
+            self.pairs.clear()
+        good = self.pairs[ahead * self.size + token] = self.fits(ahead, token)
+        return good
+
     def pieces(self, chunk: str) -> Iterator[str | int]:
         """The parts of text without white space that are encoded by themselves; specials as ids."""
         for k, part in enumerate(self.special.split(chunk) if self.special and "<" in chunk else [chunk]):
@@ -244,36 +264,49 @@ class Tokenizer:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
-class Encoder(dict):
+class Kept(dict):
+    """Things seen lately: when it is full, those that were not met again since the last time are forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.earlier = size, {}
+
+    def put(self, key: str, value) -> None:
+        if len(self) >= self.size:
+            self.earlier = dict(self)
+            self.clear()
+        self[key] = value
+
+
+class Encoder(Kept):
     """Encodings of chunks, keeping those seen lately: number of ids, ids and decoded text as strings."""
 
-    def __init__(self, tokenizer: Tokenizer, size: int = 300_000):
+    def __init__(self, tokenizer: Tokenizer, size: int = 200_000):
+        super().__init__(size)
         tokenizer.prepare()
-        self.tokenizer, self.size, self.words = tokenizer, size, {}
+        self.tokenizer, self.words = tokenizer, Kept(size)
 
     def ids(self, chunk: str) -> list[int]:
         out: list[int] = []
+        words = self.words
         for piece in self.tokenizer.pieces(chunk):
             if isinstance(piece, int):
                 out.append(piece)
                 continue
-            known = self.words.get(piece)
+            known = words.get(piece)
             if known is None:
-                known = self.tokenizer.word(piece)
+                known = words.earlier.get(piece) or self.tokenizer.word(piece)
                 if len(piece) <= 40:
-                    if len(self.words) >= self.size:
-                        self.words.clear()
-                    self.words[piece] = known
-            out.extend(known)
+                    words.put(piece, known)
+            out += known
         return out
 
     def __missing__(self, chunk: str) -> tuple[int, str, str] | None:
-        ids = self.ids(chunk)
-        found = (len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids)) if ids else None
+        found = self.earlier.get(chunk, self)
+        if found is self:
+            ids = self.ids(chunk)
+            found = (len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids)) if ids else None
         if len(chunk) <= 40:
-            if len(self) >= self.size:
-                self.clear()
-            self[chunk] = found
+            self.put(chunk, found)
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -281,9 +314,9 @@ class Encoder(dict):
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids and of the decoded text."""
-        found = [e for e in map(self.__getitem__, CHUNK.findall(text)) if e]
-        ids, decoded = " ".join([e[1] for e in found]), " ".join([e[2] for e in found])
-        return sum([e[0] for e in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+        found = list(filter(None, map(self.__getitem__, CHUNK.findall(text))))
+        ids, decoded = " ".join(map(itemgetter(1), found)), " ".join(map(itemgetter(2), found))
+        return sum(map(itemgetter(0), found)), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 _encoders: dict[int, Encoder] = {}
