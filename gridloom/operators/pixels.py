@@ -8,26 +8,98 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import clip, to_metres
-from gridloom.operators.ordering import numbered
 from gridloom.sources.scratch import stored
 
 
+#: Equal steps in which the values of an interval are counted, and values of an interval that are few enough to be sorted as they are.
+STEPS, FEW = 4096, 4096
+
+
 def percentiles(df: DataFrame, by: Sequence[str], col: str, shares: Sequence[float], exact: bool = True) -> DataFrame:
     """by, p: the percentiles of ``col`` in each group, between two values in proportion; nulls are left out.
 
-    Exact ones are read from the numbers of the different values in order (equal values
-    are counted first), so that no task holds a group; ``exact=False`` takes Spark's
-    bounded sketch, without a sort.
+    Exact ones are found by counting (see ``order_statistics``), so nothing is sorted; infinities and NaN (the
+    largest) count as values. ``exact=False`` takes a KLL sketch of bounded size, see ``sketches``.
     """
+    by = list(by)
     if not exact:
-        return df.groupBy(*by).agg(F.percentile_approx(col, list(shares), 10_000).alias("p"))
-    values = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("__x")).agg(F.count("*").alias("__k"))
-    rows = numbered(values, by, ["__x"], "__n", "__k")
-    at = [F.lit(s) * (F.col("__n_total") - 1) for s in shares]
-    holds = lambda n: (F.col("__n") <= n) & (n < F.col("__n") + F.col("__k"))
-    pick = lambda n: F.max(F.when(holds(n), F.col("__x")))
-    found = rows.groupBy(*by).agg(*(c for k, x in enumerate(at) for c in (pick(F.floor(x)).alias(f"__l{k}"), pick(F.ceil(x)).alias(f"__h{k}"), F.max(x - F.floor(x)).alias(f"__f{k}"))))
-    return found.select(*by, F.array(*(F.col(f"__l{k}") * (1 - F.col(f"__f{k}")) + F.col(f"__h{k}") * F.col(f"__f{k}") for k in range(len(shares)))).alias("p"))
+        return quantiles(sketches(df, by, col), by, shares)
+    rows = stored(df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("__x")), "values")
+    counts = rows.groupBy(*by).agg(F.count("*").alias("__n"))
+    at = F.array(*(F.lit(float(s)) for s in shares))
+    spots = counts.select(*by, F.posexplode(F.transform(at, lambda s: s * (F.col("__n") - 1))).alias("__k", "__at"))
+    ends = F.array_distinct(F.array(F.floor("__at"), F.ceil("__at")))
+    wanted = stored(spots.select(*by, "__k", "__at", F.explode(ends).alias("__rank")), "wanted")
+    found = order_statistics(rows, by, wanted.select(*by, "__rank").distinct())
+    part = F.col("__at") - F.floor("__at")
+    weight = F.when(F.col("__rank") == F.floor("__at"), 1 - part).otherwise(part)
+    near = _met(wanted, found, [*by, "__rank"]).groupBy(*by, "__k").agg(F.sum(F.when(weight > 0, weight * F.col("__value")).otherwise(0.0)).alias("__p"))
+    return near.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__p"))), lambda x: x["__p"]).alias("p"))
+
+
+def _met(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``left`` with those of ``right`` by equal keys, null keys too."""
+    right = right.withColumnsRenamed({k: f"__r{k}" for k in keys})
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"__r{k}"))
+    return left.join(right, met).drop(*(f"__r{k}" for k in keys))
+
+
+def order_statistics(rows: DataFrame, by: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """by, __rank, __value: of each group (by, __x) the values of the wanted ranks (from 0; -inf first, +inf and NaN last).
+
+    The interval that holds a rank is cut into equal steps whose values are counted where they lie;
+    the step that holds the rank is the next interval, until its values are equal or few. What is
+    moved are counts, at most STEPS an interval, and few values; a group may hold any share of the rows.
+    """
+    by, x, inf = list(by), F.col("__x"), float("inf")
+    sides = rows.groupBy(*by).agg(F.count_if(x == -inf).alias("__under"), F.count_if((x == inf) & ~F.isnan(x)).alias("__over"), F.count_if(F.isnan(x)).alias("__nan"), F.count("*").alias("__n"), F.min(F.when(F.abs(x) < inf, x)).alias("__lo"), F.max(F.when(F.abs(x) < inf, x)).alias("__hi"))
+    at = _met(wanted, sides, by)
+    outer = F.when(F.col("__rank") < F.col("__under"), -inf).when(F.col("__rank") >= F.col("__n") - F.col("__nan"), float("nan")).when(F.col("__rank") >= F.col("__n") - F.col("__nan") - F.col("__over"), inf)
+    held = F.col("__n") - F.col("__nan") - F.col("__over") - F.col("__under")
+    # __left: the rank inside the interval; __held: its values.
+    open_ = stored(at.select(*by, "__rank", (F.col("__rank") - F.col("__under")).alias("__left"), held.alias("__held"), outer.alias("__outer"), "__lo", "__hi"), "ranks")
+    done = [open_.where("__outer IS NOT NULL").select(*by, "__rank", F.col("__outer").alias("__value"))]
+    open_ = open_.where("__outer IS NULL").drop("__outer")
+    inside = (x >= F.col("__lo")) & (x <= F.col("__hi"))
+    while True:
+        done.append(open_.where("__lo = __hi").select(*by, "__rank", F.col("__lo").alias("__value")))
+        wide = open_.where(f"__lo < __hi AND __held > {FEW}")
+        if not wide.limit(1).count():
+            break
+        span = F.col("__hi") - F.col("__lo")
+        share = F.when(span < inf, (x - F.col("__lo")) / span).otherwise((x / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2))
+        step = F.least(F.floor(share * STEPS), F.lit(STEPS - 1)).alias("__step")
+        intervals = wide.select(*by, "__lo", "__hi").distinct()
+        counted = _met(rows, intervals, by).where(inside).groupBy(*by, "__lo", "__hi", step).agg(F.count("*").alias("__c"), F.min(x).alias("__a"), F.max(x).alias("__b"))
+        before = F.sum("__c").over(Window.partitionBy(*by, "__lo", "__hi").orderBy("__step")) - F.col("__c")
+        counted = counted.select(*by, "__lo", "__hi", "__c", "__a", "__b", before.alias("__before"))
+        cut = _met(wide, counted, [*by, "__lo", "__hi"]).where("__left >= __before AND __left < __before + __c")
+        cut = cut.select(*by, "__rank", (F.col("__left") - F.col("__before")).alias("__left"), F.col("__c").alias("__held"), F.col("__a").alias("__lo"), F.col("__b").alias("__hi"))
+        open_ = stored(cut.union(open_.where(f"__lo < __hi AND __held <= {FEW}").select(*cut.columns)), "ranks")
+    few = open_.where("__lo < __hi")
+    lists = _met(rows, few.select(*by, "__lo", "__hi").distinct(), by).where(inside).groupBy(*by, "__lo", "__hi").agg(F.array_sort(F.collect_list("__x")).alias("__all"))
+    last = _met(few, lists, [*by, "__lo", "__hi"]).select(*by, "__rank", F.get("__all", F.col("__left").cast("int")).alias("__value"))
+    for d in done:
+        last = last.union(d)
+    return last
+
+
+def sketches(df: DataFrame, by: Sequence[str], col: str, k: int = 4000) -> DataFrame:
+    """by, sketch: a KLL sketch of each group's values, which can be kept and merged with those of more rows (``merged``)."""
+    x = F.col(col).cast("double")
+    return df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by).agg(F.kll_sketch_agg_double(x, k).alias("sketch"))
+
+
+def merged(parts: DataFrame, by: Sequence[str], k: int = 4000) -> DataFrame:
+    """by, sketch: the sketches of coarser groups from those of finer ones, without the values."""
+    return parts.groupBy(*by).agg(F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def quantiles(parts: DataFrame, by: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """by, p: values at those shares of each sketch."""
+    return parts.select(*by, F.kll_sketch_get_quantile_double("sketch", F.array(*(F.lit(float(s)) for s in shares))).alias("p"))
 
 
 def rescale(df: DataFrame, by: Sequence[str], col: str, low: float = 0.02, high: float = 0.98, eps: float = 0.0, positive: bool = False, nodata: float | None = None, on_null: float | None = 0.0, exact: bool = True) -> Column | DataFrame:
