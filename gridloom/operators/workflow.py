@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from gridloom.functions.scalar import blend_weight
 from gridloom.operators import focal, geometry, objects, pixels, reports
+from gridloom.operators.flow import downstream, flow_next
 from gridloom.sources.scratch import stored
 
 
@@ -36,12 +37,19 @@ def preprocess(scenes: DataFrame, by: Sequence[str], order: str, bands: Sequence
     return pixels.median_composite(placed, by, bands)
 
 
-def labels(dem: DataFrame, col: str, shape: tuple[int, int], cell: float, target: tuple[int, int], slope: float = 15.0, facing: tuple[float, float] = (135.0, 315.0), radius: int = 2) -> DataFrame:
-    """r, c: a mask on the ``target`` grid of discs round the steep cells that face between two azimuths."""
+def labels(dem: DataFrame, col: str, shape: tuple[int, int], cell: float, target: tuple[int, int], slope: float = 15.0, facing: tuple[float, float] = (135.0, 315.0), radius: int = 2, length: int = 0, width: int = 3) -> DataFrame:
+    """r, c: a mask on the ``target`` grid of the steep cells that face between two azimuths, each with a disc round it and the channel that runs from it.
+
+    A channel follows the azimuth of each cell it comes to for ``length`` cells (0: no channels) and is ``width`` wide.
+    """
     terrain = focal.focal(dem, [], col, shape, 1, focal.slope_aspect(cell), ["slope", "aspect"])
+    if length:
+        terrain = stored(terrain, "terrain")
     steep = terrain.where((F.col("slope") > slope) & (F.col("aspect") > facing[0]) & (F.col("aspect") < facing[1]))
-    discs = geometry.draw_discs(steep.select((F.col("r") * shape[1] + F.col("c")).alias("id"), "r", "c"), shape, radius).select("r", "c").distinct()
-    on_target = geometry.nearest(discs.withColumn("on", F.lit(1)), [], "on", geometry.zoom_targets(dem.sparkSession, shape, target))
+    drawn = geometry.draw_discs(steep.select((F.col("r") * shape[1] + F.col("c")).alias("id"), "r", "c"), shape, radius).select("r", "c")
+    if length:
+        drawn = drawn.union(focal.dilate(downstream(steep, flow_next(terrain, shape), length), [], shape, width // 2))
+    on_target = geometry.nearest(drawn.distinct().withColumn("on", F.lit(1)), [], "on", geometry.zoom_targets(dem.sparkSession, shape, target))
     return on_target.where(F.col("on") == 1).select(F.col("tr").alias("r"), F.col("tc").alias("c"))
 
 

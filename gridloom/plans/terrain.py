@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import focal as O
+from gridloom.operators.boxes import box_deviation
 from gridloom.operators.distance import class_distance, nearest_cell
 from gridloom.registry import query
 
@@ -44,9 +45,9 @@ def aspect(v):
     return _terrain(v, O.slope_aspect(CELL), ["aspect"]).withColumn("aspect", F.round("aspect", 6))
 
 
-@query(f"WITH {_ring()}, {_SLOPE} SELECT r, c FROM t WHERE slope > 15 AND aspect > 135 AND aspect < 315")
+@query(f"WITH {_ring()}, {_SLOPE} SELECT r, c FROM t WHERE slope > 0.5 AND aspect > 135 AND aspect < 315")
 def slope_candidates(v):
-    return _terrain(v, O.slope_aspect(CELL), ["slope", "aspect"]).where("slope > 15 AND aspect > 135 AND aspect < 315").select("r", "c")
+    return _terrain(v, O.slope_aspect(CELL), ["slope", "aspect"]).where("slope > 0.5 AND aspect > 135 AND aspect < 315").select("r", "c")
 
 
 _CURVE = """q AS (SELECT r, c, (z12 - 2 * z11 + z10) / (2 * 463.0 * 463.0) AS d, (z21 - 2 * z11 + z01) / (2 * 463.0 * 463.0) AS e1, (z22 - z20 - z02 + z00) / (4 * 463.0 * 463.0) AS f,
@@ -60,7 +61,16 @@ for _name, _top in (("plan", "d * h1 * h1 - f * g * h1 + e1 * g * g"), ("profile
 
 @query(f"WITH {_ring()}, s AS (SELECT r, c, avg(z) AS m, avg(z * z) AS m2 FROM nb GROUP BY r, c) SELECT r, c, round(sqrt(greatest(m2 - m * m, 0)), 4) AS roughness FROM s")
 def roughness(v):
-    return _terrain(v, O.roughness(), ["roughness"], mode="reflect").withColumn("roughness", F.round("roughness", 4))
+    return box_deviation(v.dem, [], "elev", extent(v), 3).withColumn("roughness", F.round("roughness", 4))
+
+
+@query("""WITH e AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM {dem}), o AS (SELECT i AS d FROM range(-32, 33) a(i)),
+  rr AS (SELECT r, c, elev, h, w FROM {dem}, e), hz AS (SELECT x.r, x.c, sum(n.elev) AS s, sum(n.elev * n.elev) AS q FROM rr x, o JOIN {dem} n ON n.r = x.r AND n.c = CASE WHEN ((x.c + d) % (2 * w) + 2 * w) % (2 * w) < w THEN ((x.c + d) % (2 * w) + 2 * w) % (2 * w) ELSE 2 * w - 1 - ((x.c + d) % (2 * w) + 2 * w) % (2 * w) END GROUP BY 1, 2),
+  vt AS (SELECT x.r, x.c, sum(n.s) / 4225 AS m, sum(n.q) / 4225 AS m2 FROM rr x, o JOIN hz n ON n.c = x.c AND n.r = CASE WHEN ((x.r + d) % (2 * h) + 2 * h) % (2 * h) < h THEN ((x.r + d) % (2 * h) + 2 * h) % (2 * h) ELSE 2 * h - 1 - ((x.r + d) % (2 * h) + 2 * h) % (2 * h) END GROUP BY 1, 2)
+  SELECT r, c, round(sqrt(greatest(m2 - m * m, 0)), 3) AS roughness FROM vt""")
+def roughness_wide(v):
+    """The deviation in windows of 65 cells a side, which cost what those of 3 cost."""
+    return box_deviation(v.dem, [], "elev", extent(v), 65).withColumn("roughness", F.round("roughness", 3))
 
 
 _TAPS = ", ".join(f"({k - 4}, CAST({float(w)!r} AS DOUBLE))" for k, w in enumerate(O.gaussian_taps(1.0)))
@@ -103,9 +113,9 @@ def dilate(v):
     return O.dilate(mask(v), ["site", "scene"], (v.side, v.side))
 
 
-@query(f"WITH {_M} SELECT site, scene, r + a.d AS r, c + b.d AS c FROM m, o3 a, o3 b WHERE abs(a.d) + abs(b.d) <= 1 GROUP BY 1, 2, 3, 4 HAVING count(*) = 5")
+@query(f"WITH {_M.replace('0.7', '0.3')} SELECT site, scene, r + a.d AS r, c + b.d AS c FROM m, o3 a, o3 b WHERE abs(a.d) + abs(b.d) <= 1 GROUP BY 1, 2, 3, 4 HAVING count(*) = 5")
 def erode(v):
-    return O.erode(mask(v), ["site", "scene"], (v.side, v.side), cross=True)
+    return O.erode(mask(v, 0.3), ["site", "scene"], (v.side, v.side), cross=True)
 
 
 @query(f"""WITH {_M}, di AS (SELECT DISTINCT site, scene, r + a.d AS r, c + b.d AS c FROM m, o5 a, o5 b, {{grid_side}} WHERE r + a.d BETWEEN 0 AND side - 1 AND c + b.d BETWEEN 0 AND side - 1)

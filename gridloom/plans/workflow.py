@@ -55,6 +55,31 @@ def workflow_labels(v):
     return geometry.patches(mask, [], side, 16, 8).where("fraction >= 0.001").select("r0", "c0", "n")
 
 
+_FLOW = f"""{_ring()}, {_SLOPE}, ex AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM {{dem}}), e8(k, a, b) AS (VALUES (0, -1, 0), (1, -1, 1), (2, 0, 1), (3, 1, 1), (4, 1, 0), (5, 1, -1), (6, 0, -1), (7, -1, -1)),
+  fl AS (SELECT r, c, r + a AS nr, c + b AS nc FROM t JOIN e8 ON k = CAST(floor(aspect / 45 + 0.5) AS BIGINT) % 8, ex WHERE r + a BETWEEN 0 AND h - 1 AND c + b BETWEEN 0 AND w - 1),
+  sd AS (SELECT r, c FROM t WHERE slope > 0.5 AND aspect > 135 AND aspect < 315),
+  dn(r, c, k) AS (SELECT r, c, 1 FROM sd UNION SELECT nr, nc, k + 1 FROM dn JOIN fl USING (r, c) WHERE k < 11)"""
+
+
+@query(f"WITH {_FLOW} SELECT DISTINCT r, c FROM dn", recursive=True)
+def channels(v):
+    """What lies within eleven cells downstream of the steep cells that face south."""
+    from gridloom.operators.flow import downstream, flow_next
+
+    terrain = stored(focal.focal(v.dem, [], "elev", extent(v), 1, focal.slope_aspect(463.0), ["slope", "aspect"]), "terrain")
+    return downstream(terrain.where("slope > 0.5 AND aspect > 135 AND aspect < 315"), flow_next(terrain, extent(v)), 11)
+
+
+@query(f"""WITH {_FLOW}, o3(d) AS (VALUES (-1), (0), (1)), o5(d) AS (VALUES (-2), (-1), (0), (1), (2)),
+  ds AS (SELECT r + a.d AS r, c + b.d AS c FROM sd, o5 a, o5 b, ex WHERE a.d * a.d + b.d * b.d <= 4 AND r + a.d BETWEEN 0 AND h - 1 AND c + b.d BETWEEN 0 AND w - 1
+    UNION SELECT r + a.d, c + b.d FROM dn, o3 a, o3 b, ex WHERE r + a.d BETWEEN 0 AND h - 1 AND c + b.d BETWEEN 0 AND w - 1),
+  gq AS (SELECT tr, unnest(range(0, side)) AS tc, side FROM (SELECT side, unnest(range(0, side)) AS tr FROM {{grid_side}}) x)
+  SELECT tr AS r, tc AS c FROM gq, ex JOIN ds ON ds.r = CAST(floor(tr * (CAST(h - 1 AS DOUBLE) / (side - 1)) + 0.5) AS BIGINT) AND ds.c = CAST(floor(tc * (CAST(w - 1 AS DOUBLE) / (side - 1)) + 0.5) AS BIGINT)""", recursive=True)
+def workflow_label_cells(v):
+    """Discs and channels on the pixels' grid, cell by cell."""
+    return workflow.labels(v.dem, "elev", extent(v), 463.0, (v.side, v.side), slope=0.5, length=11)
+
+
 _H = "greatest((0.5 - 0.5 * cos(2 * pi() * (r - r0) / 15)) * (0.5 - 0.5 * cos(2 * pi() * (c - c0) / 15)), 1e-6)"
 _BLENDED = f"""{_TILES}, tc AS (SELECT site, scene, r0, c0, r, c, prob AS z, avg(prob) OVER (PARTITION BY site, scene, r0, c0) AS m FROM {{px}} JOIN t ON r >= r0 AND r < r0 + 16 AND c >= c0 AND c < c0 + 16),
   bl AS (SELECT site, scene, r, c, round(sum({_H} / (1 + exp(-8 * (z - m)))) / sum({_H}), 6) AS prob FROM tc GROUP BY 1, 2, 3, 4)"""
