@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.sources.scratch import stored
+
 
 def parse_index(lines: DataFrame, line: str = "line", number: str = "line_no") -> DataFrame:
     """product_id, volume, path from lines of volume, path, ...: of a repeated product the last line wins."""
@@ -66,18 +68,74 @@ def resolve(keys: DataFrame, key: str, sources: Sequence[DataFrame], value: str)
     return out.select(*keys.columns, F.coalesce(*found).alias(value), which.cast("long").alias("source_no"))
 
 
-def bbox_search(items: DataFrame, sites: DataFrame, cell: float = 10.0) -> DataFrame:
-    """site, id for boxes that overlap: both sides are spread over the cells of a coarse grid and meet by equal cell.
+#: Degrees of the coarsest cells; a cell of level k has the 2**k-th part. Powers of two, so that cells of all levels fit into each other exactly.
+ROOT = 64.0
+_BOX = ("lon0", "lat0", "lon1", "lat1")
+
+
+def _cell(x, level) -> Column:
+    return F.floor(x * F.pow(F.lit(2.0), level) / ROOT).cast("long")
+
+
+def _pieces(boxes: DataFrame, key: str, around: float | None) -> DataFrame:
+    """key and box, its longitudes between 0 and ``around``: a box that goes across the end is two."""
+    x = boxes.select(key, *(F.col(k).cast("double").alias(k) for k in _BOX))
+    if around is None:
+        return x
+    width = F.when(F.col("lon1") >= F.col("lon0"), F.col("lon1") - F.col("lon0")).otherwise(F.col("lon1") + around - F.col("lon0"))
+    low = F.when(width >= around, 0.0).otherwise(F.pmod("lon0", F.lit(around)))
+    high = low + F.least(width, F.lit(around))
+    part = lambda a, b: F.struct(a.alias("lon0"), "lat0", b.alias("lon1"), "lat1")
+    parts = F.when(high >= around, F.array(part(low, F.lit(around)), part(F.lit(0.0), high - around))).otherwise(F.array(part(low, high)))
+    return x.select(key, F.explode(parts).alias("__p")).select(key, "__p.*")
+
+
+def _in_cells(boxes: DataFrame, splits: DataFrame, levels: Sequence[int]) -> DataFrame:
+    """``boxes`` in each leaf (k, x, y) of the quadtree that they touch: a cell that is split hands them to its quarters."""
+
+    def spread(df: DataFrame, level: int, x: tuple[Column, Column], y: tuple[Column, Column]) -> DataFrame:
+        reach = lambda axis, own: F.explode(F.sequence(F.greatest(own[0], _cell(F.col(f"{axis}0"), F.lit(level))), F.least(own[1], _cell(F.col(f"{axis}1"), F.lit(level)))))
+        return df.withColumn("__nx", reach("lon", x)).withColumn("__ny", reach("lat", y)).drop("x", "y").withColumnsRenamed({"__nx": "x", "__ny": "y"})
+
+    least, most = F.lit(-(1 << 60)), F.lit(1 << 60)
+    open_, leaves = spread(boxes, 0, (least, most), (least, most)), None
+    for level in levels:
+        at = splits.where(F.col("k") == level).select("x", "y")
+        done = open_.join(at, ["x", "y"], "left_anti").withColumn("k", F.lit(level))
+        leaves = done if leaves is None else leaves.unionByName(done)
+        x, y = F.col("x"), F.col("y")
+        open_ = stored(spread(open_.join(at, ["x", "y"], "left_semi"), level + 1, (2 * x, 2 * x + 1), (2 * y, 2 * y + 1)), "boxes")
+    open_ = open_.withColumn("k", F.lit(len(levels)))
+    return open_ if leaves is None else leaves.unionByName(open_)
+
+
+def bbox_search(items: DataFrame, sites: DataFrame, around: float | None = None, crowd: int = 10_000, depth: int = 16) -> DataFrame:
+    """site, id for boxes that overlap or touch: both sides meet in the cells of a quadtree that is fine where items are dense.
 
-    A pair that shares several cells is given by the one with their larger lower corners, so no pair comes twice.
+    A cell with more than ``crowd`` items is split, ``depth`` times at most; in one that is still crowded,
+    as where boxes are alike, items are dealt over parts and the sites' boxes copied to each. A pair that shares
+    several cells is given by the one with their larger lower corners. With ``around`` (360) longitudes are
+    a circle: boxes may cross its end, or have a smaller lon1 than lon0.
     """
-    spread = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    gx = lambda df: df.withColumn("__x", spread("lon0", "lon1")).withColumn("__y", spread("lat0", "lat1"))
-    a = gx(items.select("id", "lon0", "lat0", "lon1", "lat1"))
-    b = gx(sites.select("site", "lon0", "lat0", "lon1", "lat1")).withColumnsRenamed({k: f"s{k}" for k in ("lon0", "lat0", "lon1", "lat1")})
-    both = a.join(b, ["__x", "__y"]).where("lon0 <= slon1 AND lon1 >= slon0 AND lat0 <= slat1 AND lat1 >= slat0")
-    home = (F.floor(F.greatest("lon0", "slon0") / cell) == F.col("__x")) & (F.floor(F.greatest("lat0", "slat0") / cell) == F.col("__y"))
-    return both.where(home).select("site", "id")
+    a, b = _pieces(items, "id", around), _pieces(sites, "site", around)
+    fine = a.groupBy(_cell(F.col("lon0"), F.lit(depth)).alias("fx"), _cell(F.col("lat0"), F.lit(depth)).alias("fy")).agg(F.count("*").alias("n"))
+    up = F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))
+    above = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), depth - F.col("k"))).cast("long")
+    cells = fine.withColumn("k", up).groupBy("k", above("fx").alias("x"), above("fy").alias("y")).agg(F.sum("n").alias("n"))
+    splits = stored(cells.where(F.col("n") > crowd).select("k", "x", "y"), "splits")
+    levels = sorted(r["k"] for r in splits.select("k").distinct().collect())  # ``depth`` numbers at most
+    placed = _in_cells(a, splits, levels)
+    if levels:
+        placed = stored(placed, "placed")
+    loads = placed.groupBy("k", "x", "y").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("k", "x", "y", F.ceil(F.col("n") / crowd).alias("parts"))
+    loads = stored(loads, "loads")
+    one = F.coalesce("parts", F.lit(1))
+    left = placed.join(loads, ["k", "x", "y"], "left").withColumn("part", F.pmod(F.xxhash64("id", *_BOX), one)).drop("parts")
+    right = _in_cells(b, splits, levels).join(loads, ["k", "x", "y"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("parts")
+    both = left.join(right.withColumnsRenamed({k: f"s{k}" for k in _BOX}), ["k", "x", "y", "part"]).where("lon0 <= slon1 AND lon1 >= slon0 AND lat0 <= slat1 AND lat1 >= slat0")
+    home = (_cell(F.greatest("lon0", "slon0"), F.col("k")) == F.col("x")) & (_cell(F.greatest("lat0", "slat0"), F.col("k")) == F.col("y"))
+    out = both.where(home).select("site", "id")
+    return out.distinct() if around is not None else out
 
 
 def ledger_state(ledger: DataFrame) -> DataFrame:

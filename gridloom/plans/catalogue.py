@@ -130,6 +130,13 @@ def bbox_search(v):
     return C.bbox_search(v.footprint, v.sites)
 
 
+@query("SELECT DISTINCT s.site, f.id FROM (SELECT id, lon0 + 9 AS lon0, lat0, lon1 + 9 AS lon1, lat1 FROM {footprint}) f, (SELECT site, lon0 - 8 AS lon0, lat0, lon1 - 8 AS lon1, lat1 FROM {sites}) s, (VALUES (-360), (0), (360)) w(k) WHERE f.lon0 + k <= s.lon1 AND f.lon1 + k >= s.lon0 AND f.lat0 <= s.lat1 AND f.lat1 >= s.lat0")
+def bbox_around(v):
+    """Boxes on a circle of longitudes, some of them across its end; crowded cells are split."""
+    moved = lambda df, by: df.withColumns({"lon0": F.col("lon0") + by, "lon1": F.col("lon1") + by})
+    return C.bbox_search(moved(v.footprint, 9), moved(v.sites, -8), around=360.0, crowd=20)
+
+
 @query(f"SELECT site, id FROM (SELECT s.site, f.id, row_number() OVER (PARTITION BY s.site ORDER BY f.id DESC) AS n FROM {{footprint}} f JOIN {{sites}} s ON {_HIT}) q WHERE n <= 6")
 def topk_per_site(v):
     return C.top_k(C.bbox_search(v.footprint, v.sites), ["site"], [F.desc("id")], 6)
