@@ -243,21 +243,26 @@ class Tokenizer:
         good = self.pairs[ahead * self.size + token] = self.fits(ahead, token)
         return good
 
-    def pieces(self, chunk: str) -> Iterator[str | int]:
+    def pieces(self, chunk: str) -> list[str | int]:
         """The parts of text without white space that are encoded by themselves; specials as ids."""
+        if chunk.isascii() and "<" not in chunk:
+            part = chunk.lower()
+            return [part] if part.isalpha() else self.splitter.findall(part)
+        out: list[str | int] = []
         for k, part in enumerate(self.special.split(chunk) if self.special and "<" in chunk else [chunk]):
             if k % 2:
-                yield self.specials[part]
+                out.append(self.specials[part])
             elif part:
                 if not part.isascii():
                     part = composed(part).translate(self.lower_first)
                 part = lower(part)
                 if not self.classes.plain(part):
-                    yield from self.exact.findall(part)
+                    out += self.exact.findall(part)
                 elif part.isalpha():
-                    yield part
+                    out.append(part)
                 else:
-                    yield from self.splitter.findall(part)
+                    out += self.splitter.findall(part)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' own strings with a blank between them: the file names no decoder."""
@@ -285,32 +290,33 @@ class Encoder(Kept):
         tokenizer.prepare()
         self.tokenizer, self.words = tokenizer, Kept(size)
 
-    def ids(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        words = self.words
-        for piece in self.tokenizer.pieces(chunk):
-            if isinstance(piece, int):
-                out.append(piece)
-                continue
-            known = words.get(piece)
-            if known is None:
-                known = words.earlier.get(piece) or self.tokenizer.word(piece)
-                if len(piece) <= 40:
-                    words.put(piece, known)
-            out += known
-        return out
+    def piece(self, piece: str | int) -> tuple[int, str, str]:
+        """The encoding of one piece, kept for other chunks that hold it."""
+        found = self.words.get(piece)
+        if found is None:
+            found = self.words.earlier.get(piece)
+            if found is None:
+                ids = [piece] if isinstance(piece, int) else self.tokenizer.word(piece)
+                found = (len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids))
+            if isinstance(piece, int) or len(piece) <= 40:
+                self.words.put(piece, found)
+        return found
 
     def __missing__(self, chunk: str) -> tuple[int, str, str] | None:
         found = self.earlier.get(chunk, self)
         if found is self:
-            ids = self.ids(chunk)
-            found = (len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids)) if ids else None
+            parts = [self.piece(p) for p in self.tokenizer.pieces(chunk)]
+            if len(parts) > 1:
+                counts, ids, decoded = zip(*parts)
+                found = (sum(counts), " ".join(ids), " ".join(decoded))
+            else:
+                found = parts[0] if parts else None
         if len(chunk) <= 40:
             self.put(chunk, found)
         return found
 
     def encode(self, text: str) -> list[int]:
-        return [i for chunk in CHUNK.findall(text) for i in self.ids(chunk)]
+        return [int(i) for found in map(self.__getitem__, CHUNK.findall(text)) if found for i in found[1].split()]
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids and of the decoded text."""
