@@ -179,6 +179,7 @@ def test_tracking_survives_a_restart(spark, tmp_path):
     pairs = pixels.scene_pairs(masks.select("site", "scene").distinct(), ["site"], "scene")
     want = Counter(map(tuple, objects.match(cells, pairs, ["site"], "scene", 0.1).select("site", "t0", "t1", "comp", "prev", F.round("iou", 9)).collect()))
     assert got == want and want
+    assert sorted(f.name for f in (tmp_path / "out" / "manifest").iterdir()) == ["batch=2", "batch=3"]  # the last and the one before
 
 
 def test_late_events_are_dropped(spark, tmp_path):
