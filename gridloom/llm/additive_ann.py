@@ -9,6 +9,7 @@ and dividing by the stored length; the best are scored again on the original vec
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -126,14 +127,46 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Codes in a group, and queries that meet it together, at most (the mean; both are dealt by hash).
+GROUP, QUERIES = 1 << 20, 1 << 14
+
+
+class Best:
+    """The best codes of some queries over the blocks of a group: their ids and scores, and the best score that was let go (``beyond``)."""
+
+    def __init__(self, queries: int, total: int, candidates: int, k: int, full: bool, size: int):
+        share = candidates * size / total
+        whole = min(candidates, size)
+        self.keep = whole if full else min(whole, int(share + 4 * share**0.5) + k + 1)
+        self.cut = self.keep < whole
+        self.rep, self.near = np.zeros((0, queries), np.int64), np.zeros((0, queries), np.float32)
+        self.beyond = np.full(queries, -np.inf, np.float32)
+
+    def _top(self, score: np.ndarray) -> np.ndarray | None:
+        """Places of the best in each column, or nothing if all stay."""
+        if len(score) <= self.keep:
+            return None
+        order = np.argpartition(-score, self.keep - 1, axis=0)
+        np.maximum(self.beyond, np.take_along_axis(score, order[self.keep :], 0).max(axis=0), out=self.beyond)
+        return order[: self.keep]
+
+    def add(self, ids: np.ndarray, score: np.ndarray) -> None:
+        rep, top = np.broadcast_to(ids[:, None], score.shape), self._top(score)
+        if top is not None:
+            rep, score = ids[top], np.take_along_axis(score, top, 0)
+        rep, near = np.concatenate([self.rep, rep]), np.concatenate([self.near, score.astype(np.float32)])
+        top = self._top(near)
+        self.rep, self.near = (rep, near) if top is None else (np.take_along_axis(rep, top, 0), np.take_along_axis(near, top, 0))
+
+
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, candidates: int = 300, sample: int = 16_000, books: int = 16, block: int = 4096, query_block: int = 256) -> DataFrame:
     """For each row whose vec_id is divisible by ``every``: its ``k`` nearest others by cosine.
 
     query_id, rank (from 1), vec_id, score. The codebooks are learned from at most
     ``sample`` different vectors (those with the smallest hash), and every vector is
-    encoded. Codes are scored in blocks, every block of queries against every block of
-    codes; of each query's ``candidates`` best codes the original vectors are compared.
-    Vectors are dealt over blocks by hash, so a block gives each query its share of the
+    encoded. Groups of codes meet parts of the queries; a group keeps each query's best over
+    all its blocks. Of each query's ``candidates`` best codes the original vectors are compared.
+    Vectors are dealt over groups by hash, so a group gives each query its share of the
     candidates and four standard deviations more, and says how good the next one is. A
     query for which that was among the best candidates is asked again in full.
 
@@ -161,7 +194,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, candidates: int = 3
     learned = learn(_matrix(reps.orderBy(F.xxhash64("v"), "rep").limit(sample).select("v").toArrow().column("v").combine_chunks()), books)
     books_sent = spark.sparkContext.broadcast(learned)
     total = reps.count()
-    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / GROUP))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,40 +204,38 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, candidates: int = 3
                 ids = part.column("rep").to_numpy()
                 yield pa.RecordBatch.from_pydict({"grp": pa.array([int(ids[0] % groups)], pa.int32()), "ids": [ids.tobytes()], "codes": [np.ascontiguousarray(codes.T).tobytes()], "lengths": [lengths.tobytes()]})
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, query_block):
-                part = b.slice(at, query_block)
-                yield pa.RecordBatch.from_pydict({"qids": [part.column("qid").to_numpy().tobytes()], "qs": [_matrix(part.column("v")).tobytes()]})
-
     codes = reps.mapInArrow(encoded, "grp int, ids binary, codes binary, lengths binary")
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("qid"), "v").distinct()
 
-    def scan(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBatch]:
-        model = books_sent.value
-        for b in batches:
-            for r in b.to_pylist():
-                ids, lengths = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["lengths"], np.float32)
-                code = np.frombuffer(r["codes"], np.uint8).reshape(-1, len(ids))
-                qids = np.frombuffer(r["qids"], np.int64)
-                tables = model.tables(np.frombuffer(r["qs"], np.float32).reshape(len(qids), -1))
-                score = tables[0][code[0]]
-                for m in range(1, len(code)):
-                    score += tables[m][code[m]]
-                score /= lengths[:, None]
-                share = candidates * len(ids) / total
-                keep = min(candidates, len(ids)) if full else min(candidates, len(ids), int(share + 4 * share**0.5) + k + 1)
-                top = np.argpartition(-score, keep - 1, axis=0)[:keep]
-                yield pa.RecordBatch.from_pydict({"qid": np.tile(qids, keep), "rep": ids[top].ravel(), "near": np.take_along_axis(score, top, 0).ravel()})
-                if keep < min(candidates, len(ids)):
-                    np.put_along_axis(score, top, -np.inf, 0)
-                    yield pa.RecordBatch.from_pydict({"qid": qids, "rep": pa.nulls(len(qids), pa.int64()), "near": score.max(axis=0)})
-
     def best_codes(asking: DataFrame, full: bool) -> tuple[DataFrame, DataFrame]:
         """The best candidates of each query (qid, rep, near), and the queries that may have lost some."""
-        questions = asking.mapInArrow(asked, "qids binary, qs binary").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        scanned = codes.join(questions.hint("shuffle_hash"), "grp").select("ids", "codes", "lengths", "qids", "qs").mapInArrow(lambda b: scan(b, full), "qid long, rep long, near float")
-        scanned = stored(scanned, "scanned")
+        parts = max(1, math.ceil(asking.count() / QUERIES))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        questions = asking.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")).withColumn("grp", each(groups))
+
+        def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+            model, schema = books_sent.value, pa.schema([("qid", pa.int64()), ("rep", pa.int64()), ("near", pa.float32())])
+            out = [schema.empty_table()]
+            for at in range(0, right.num_rows if left.num_rows else 0, query_block):
+                part = right.slice(at, query_block).combine_chunks()
+                qids = part.column("qid").to_numpy()
+                tables = model.tables(_matrix(part.column("v").combine_chunks()))
+                best = Best(len(qids), total, candidates, k, full, sum(len(x.as_py()) for x in left.column("ids")) // 8)
+                for r in range(left.num_rows):
+                    ids, lengths = np.frombuffer(left.column("ids")[r].as_py(), np.int64), np.frombuffer(left.column("lengths")[r].as_py(), np.float32)
+                    code = np.frombuffer(left.column("codes")[r].as_py(), np.uint8).reshape(-1, len(ids))
+                    score = tables[0][code[0]]
+                    for m in range(1, len(code)):
+                        score += tables[m][code[m]]
+                    score /= lengths[:, None]
+                    best.add(ids, score)
+                out.append(pa.table({"qid": np.tile(qids, len(best.near)), "rep": best.rep.ravel(), "near": best.near.ravel()}, schema))
+                if best.cut:
+                    out.append(pa.table({"qid": qids, "rep": pa.nulls(len(qids), pa.int64()), "near": best.beyond}, schema))
+            return pa.concat_tables(out)
+
+        spread = codes.withColumn("part", each(parts)).groupBy("grp", "part").cogroup(questions.groupBy("grp", "part"))
+        scanned = stored(spread.applyInArrow(scan, "qid long, rep long, near float"), "scanned")
         best = Window.partitionBy("qid").orderBy(F.desc("near"), F.asc("rep"))
         found = scanned.where("rep IS NOT NULL").withColumn("n", F.row_number().over(best)).where(F.col("n") <= candidates)
         last = found.groupBy("qid").agg(F.min("near").alias("last"), F.count("*").alias("have"))
