@@ -285,7 +285,7 @@ class Kept(dict):
 class Encoder(Kept):
     """Encodings of chunks, keeping those seen lately: number of ids, ids and decoded text as strings."""
 
-    def __init__(self, tokenizer: Tokenizer, size: int = 200_000):
+    def __init__(self, tokenizer: Tokenizer, size: int = 300_000):
         super().__init__(size)
         tokenizer.prepare()
         self.tokenizer, self.words = tokenizer, Kept(size)
@@ -299,7 +299,10 @@ class Encoder(Kept):
                 ids = [piece] if isinstance(piece, int) else self.tokenizer.word(piece)
                 found = (len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids))
             if isinstance(piece, int) or len(piece) <= 40:
-                self.words.put(piece, found)
+                if len(self.words) < self.size:
+                    self.words[piece] = found
+                else:
+                    self.words.put(piece, found)
         return found
 
     def __missing__(self, chunk: str) -> tuple[int, str, str] | None:
@@ -312,7 +315,10 @@ class Encoder(Kept):
             else:
                 found = parts[0] if parts else None
         if len(chunk) <= 40:
-            self.put(chunk, found)
+            if len(self) < self.size:
+                self[chunk] = found
+            else:
+                self.put(chunk, found)
         return found
 
     def encode(self, text: str) -> list[int]:
