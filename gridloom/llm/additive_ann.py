@@ -204,7 +204,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, candidates: int = 3
                 ids = part.column("rep").to_numpy()
                 yield pa.RecordBatch.from_pydict({"grp": pa.array([int(ids[0] % groups)], pa.int32()), "ids": [ids.tobytes()], "codes": [np.ascontiguousarray(codes.T).tobytes()], "lengths": [lengths.tobytes()]})
 
-    codes = reps.mapInArrow(encoded, "grp int, ids binary, codes binary, lengths binary")
+    codes = stored(reps.mapInArrow(encoded, "grp int, ids binary, codes binary, lengths binary"), "codes")
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("qid"), "v").distinct()
 
     def best_codes(asking: DataFrame, full: bool) -> tuple[DataFrame, DataFrame]:
