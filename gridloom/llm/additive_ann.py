@@ -3,8 +3,10 @@
 A vector, scaled to length one, is approximated by a sum of codewords, one from each of
 several codebooks of full dimension. Encoding keeps the best few partial sums while it
 goes through the codebooks (beam search); the length of the sum is stored beside the
-codes. A query is scored against a code by adding up one table entry for each codebook
-and dividing by the stored length; the best are scored again on the original vectors.
+codes, and so is how far the vector is from the sum. A query is scored against a code by adding up one table entry
+for each codebook and dividing by the stored length. The angle between query and vector is at least the one between
+query and sum less the one between vector and sum: vectors that this bound puts behind the best seen so far are left
+out, all others are compared themselves, so that none of the nearest is missed, however the vectors lie.
 """
 
 from __future__ import annotations
@@ -28,13 +30,21 @@ class Codebooks:
     words: np.ndarray
     beam: int = 4
 
-    def encode(self, x: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (n, books) and the lengths of the sums they stand for."""
-        codes = np.empty((len(x), len(self.words)), np.uint8)
+    def encode(self, x: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes (n, books), the lengths of the sums they stand for, and the parts (n, 2) of each vector along its sum and across it."""
+        codes, near = np.empty((len(x), len(self.words)), np.uint8), x.astype(np.float32)
         for at in range(0, len(x), block):
-            codes[at : at + block] = self._search(x[at : at + block])
-        total = self.decode(codes)
-        return codes, np.maximum(np.linalg.norm(total, axis=1), 1e-6).astype(np.float32)
+            codes[at : at + block] = self._search(near[at : at + block])
+        total = self.decode(codes).astype(np.float64)
+        lengths = np.maximum(np.linalg.norm(total, axis=1), 1e-6)
+        total /= lengths[:, None]
+        along = (x * total).sum(axis=1)
+        across = np.linalg.norm(x - along[:, None] * total, axis=1)
+        return codes, lengths.astype(np.float32), np.stack([along, across], axis=1).astype(np.float32)
+
+    def slack(self, lengths: np.ndarray) -> np.ndarray:
+        """How far scores in single precision may be off."""
+        return np.float32(1e-6) * (1 + np.sqrt((self.words * self.words).sum(axis=2)).max(axis=1).sum() / lengths)
 
     def _search(self, x: np.ndarray) -> np.ndarray:
         n, k = len(x), self.words.shape[1]
@@ -85,7 +95,7 @@ def learn(x: np.ndarray, books: int = 16, words: int = 256, beam: int = 4, passe
         found.append(book)
     out = Codebooks(np.stack(found).astype(np.float32), beam)
     for _ in range(passes):
-        codes, _ = out.encode(x)
+        codes = out.encode(x)[0]
         at = codes.astype(np.int64) + np.arange(books) * words
         gram = np.zeros((books * words, books * words))
         for m in range(books):
@@ -114,7 +124,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     with np.errstate(over="ignore"):
         flat = flat / np.abs(flat).max(axis=1, keepdims=True)
-    return (flat / np.linalg.norm(flat, axis=1, keepdims=True)).astype(np.float32)
+    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -127,36 +137,49 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-#: Codes in a group, and queries that meet it together, at most (the mean; both are dealt by hash).
-GROUP, QUERIES = 1 << 20, 1 << 14
+#: Components of the vectors in a group, and queries that meet it together, at most (the mean; both are dealt by hash).
+GROUP, QUERIES = 1 << 23, 1 << 14
 
 
 class Best:
-    """The best codes of some queries over the blocks of a group: their ids and scores, and the best score that was let go (``beyond``)."""
-
-    def __init__(self, queries: int, total: int, candidates: int, k: int, full: bool, size: int):
-        share = candidates * size / total
-        whole = min(candidates, size)
-        self.keep = whole if full else min(whole, int(share + 4 * share**0.5) + k + 1)
-        self.cut = self.keep < whole
-        self.rep, self.near = np.zeros((0, queries), np.int64), np.zeros((0, queries), np.float32)
-        self.beyond = np.full(queries, -np.inf, np.float32)
-
-    def _top(self, score: np.ndarray) -> np.ndarray | None:
-        """Places of the best in each column, or nothing if all stay."""
-        if len(score) <= self.keep:
-            return None
-        order = np.argpartition(-score, self.keep - 1, axis=0)
-        np.maximum(self.beyond, np.take_along_axis(score, order[self.keep :], 0).max(axis=0), out=self.beyond)
-        return order[: self.keep]
-
-    def add(self, ids: np.ndarray, score: np.ndarray) -> None:
-        rep, top = np.broadcast_to(ids[:, None], score.shape), self._top(score)
-        if top is not None:
-            rep, score = ids[top], np.take_along_axis(score, top, 0)
-        rep, near = np.concatenate([self.rep, rep]), np.concatenate([self.near, score.astype(np.float32)])
-        top = self._top(near)
-        self.rep, self.near = (rep, near) if top is None else (np.take_along_axis(rep, top, 0), np.take_along_axis(near, top, 0))
+    """The best vectors of some queries (rows of ``asked``) over the blocks of a group: place of the query, id and cosine, best first, ties to the smaller id."""
+
+    def __init__(self, asked: np.ndarray, keep: int):
+        self.asked, self.keep = asked, keep
+        self.at, self.rep, self.near = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def _least(self) -> np.ndarray:
+        """The last cosine that is kept, of queries that have all they keep."""
+        out = np.full(len(self.asked), -np.inf)
+        count = np.bincount(self.at, minlength=len(out))
+        full = count == self.keep
+        out[full] = self.near[np.cumsum(count)[full] - 1]
+        return out
+
+    def _cosines(self, x: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if len(row) * 8 > len(x) * len(self.asked):
+            return (x @ self.asked.T)[row, at]
+        step = max(1, (1 << 21) // x.shape[1])
+        return np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[row[i : i + step]], self.asked[at[i : i + step]]) for i in range(0, len(row), step))])
+
+    def add(self, ids: np.ndarray, score: np.ndarray, parts: np.ndarray, slack: np.ndarray, x: np.ndarray) -> None:
+        """Scores (vectors, queries) of the sums of a block, and its vectors ``x``: those that may be among the best are compared."""
+        least = self._least()
+        if np.isneginf(least).any() and len(ids) >= self.keep:
+            first = np.argpartition(-score, self.keep - 1, axis=0)[: self.keep].ravel()
+            own = self._cosines(x, first, np.tile(np.arange(len(self.asked)), self.keep)).reshape(self.keep, -1)
+            least = np.maximum(least, own.min(axis=0) - 1e-12)
+        low = np.clip(least, -1, 1)
+        low, side = low.astype(np.float32), np.sqrt(1 - low * low).astype(np.float32)
+        bound = np.outer(parts[:, 0], low) - np.outer(parts[:, 1], side) - (slack[:, None] + np.float32(1e-6))
+        row, at = np.nonzero((score >= bound) | (parts[:, :1] <= -low))
+        near = self._cosines(x, row, at)
+        kept = near >= least[at]
+        at, rep, near = np.concatenate([self.at, at[kept]]), np.concatenate([self.rep, ids[row[kept]]]), np.concatenate([self.near, near[kept]])
+        order = np.lexsort((rep, -near, at))
+        at = at[order]
+        fine = np.arange(len(at)) - np.searchsorted(at, at) < self.keep
+        self.at, self.rep, self.near = at[fine], rep[order][fine], near[order][fine]
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, candidates: int = 300, sample: int = 16_000, books: int = 16, block: int = 4096, query_block: int = 256) -> DataFrame:
@@ -164,11 +187,10 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, candidates: int = 3
 
     query_id, rank (from 1), vec_id, score. The codebooks are learned from at most
     ``sample`` different vectors (those with the smallest hash), and every vector is
-    encoded. Groups of codes meet parts of the queries; a group keeps each query's best over
-    all its blocks. Of each query's ``candidates`` best codes the original vectors are compared.
-    Vectors are dealt over groups by hash, so a group gives each query its share of the
-    candidates and four standard deviations more, and says how good the next one is. A
-    query for which that was among the best candidates is asked again in full.
+    encoded. Groups of codes, with their vectors, meet parts of the queries; a group keeps each query's best over
+    all its blocks, twice as many as can have a place. Of all groups' best, at most ``candidates`` a query
+    are compared once more, in the order of their components. The bound on
+    codes only saves work: the more coarsely they stand for the vectors, the more vectors are compared.
 
     Equal vectors are one code, so a frequent vector takes one place among the
     candidates; its k + 1 smallest ids stand for it, which is all that ``k`` places can
@@ -191,62 +213,51 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, candidates: int = 3
     reps = few.where("vec_id = rep").select("rep", "v")
     members = few.select("rep", "vec_id")
 
-    learned = learn(_matrix(reps.orderBy(F.xxhash64("v"), "rep").limit(sample).select("v").toArrow().column("v").combine_chunks()), books)
+    learned = learn(_matrix(reps.orderBy(F.xxhash64("v"), "rep").limit(sample).select("v").toArrow().column("v").combine_chunks()).astype(np.float32), books)
     books_sent = spark.sparkContext.broadcast(learned)
     total = reps.count()
-    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / GROUP))
+    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * common["d"] / GROUP))
+    keep = 2 * (k + 1)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, block):
                 part = b.slice(at, block)
-                codes, lengths = books_sent.value.encode(_matrix(part.column("v")))
+                x = _matrix(part.column("v"))
+                codes, lengths, sides = books_sent.value.encode(x)
                 ids = part.column("rep").to_numpy()
-                yield pa.RecordBatch.from_pydict({"grp": pa.array([int(ids[0] % groups)], pa.int32()), "ids": [ids.tobytes()], "codes": [np.ascontiguousarray(codes.T).tobytes()], "lengths": [lengths.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"grp": pa.array([int(ids[0] % groups)], pa.int32()), "ids": [ids.tobytes()], "codes": [np.ascontiguousarray(codes.T).tobytes()], "lengths": [lengths.tobytes()], "parts": [sides.tobytes()], "x": [x.tobytes()]})
 
-    codes = stored(reps.mapInArrow(encoded, "grp int, ids binary, codes binary, lengths binary"), "codes")
+    codes = stored(reps.mapInArrow(encoded, "grp int, ids binary, codes binary, lengths binary, parts binary, x binary"), "codes")
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("qid"), "v").distinct()
 
-    def best_codes(asking: DataFrame, full: bool) -> tuple[DataFrame, DataFrame]:
-        """The best candidates of each query (qid, rep, near), and the queries that may have lost some."""
-        parts = max(1, math.ceil(asking.count() / QUERIES))
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        questions = asking.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")).withColumn("grp", each(groups))
-
-        def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-            model, schema = books_sent.value, pa.schema([("qid", pa.int64()), ("rep", pa.int64()), ("near", pa.float32())])
-            out = [schema.empty_table()]
-            for at in range(0, right.num_rows if left.num_rows else 0, query_block):
-                part = right.slice(at, query_block).combine_chunks()
-                qids = part.column("qid").to_numpy()
-                tables = model.tables(_matrix(part.column("v").combine_chunks()))
-                best = Best(len(qids), total, candidates, k, full, sum(len(x.as_py()) for x in left.column("ids")) // 8)
-                for r in range(left.num_rows):
-                    ids, lengths = np.frombuffer(left.column("ids")[r].as_py(), np.int64), np.frombuffer(left.column("lengths")[r].as_py(), np.float32)
-                    code = np.frombuffer(left.column("codes")[r].as_py(), np.uint8).reshape(-1, len(ids))
-                    score = tables[0][code[0]]
-                    for m in range(1, len(code)):
-                        score += tables[m][code[m]]
-                    score /= lengths[:, None]
-                    best.add(ids, score)
-                out.append(pa.table({"qid": np.tile(qids, len(best.near)), "rep": best.rep.ravel(), "near": best.near.ravel()}, schema))
-                if best.cut:
-                    out.append(pa.table({"qid": qids, "rep": pa.nulls(len(qids), pa.int64()), "near": best.beyond}, schema))
-            return pa.concat_tables(out)
-
-        spread = codes.withColumn("part", each(parts)).groupBy("grp", "part").cogroup(questions.groupBy("grp", "part"))
-        scanned = stored(spread.applyInArrow(scan, "qid long, rep long, near float"), "scanned")
-        best = Window.partitionBy("qid").orderBy(F.desc("near"), F.asc("rep"))
-        found = scanned.where("rep IS NOT NULL").withColumn("n", F.row_number().over(best)).where(F.col("n") <= candidates)
-        last = found.groupBy("qid").agg(F.min("near").alias("last"), F.count("*").alias("have"))
-        cut = scanned.where("rep IS NULL").join(last, "qid").where((F.col("near") > F.col("last")) | (F.col("have") < candidates))
-        return found.select("qid", "rep"), cut.select("qid").distinct()
-
-    found, lost = best_codes(queries, False)
-    lost = stored(lost, "lost")
-    if lost.limit(1).count():
-        again, _ = best_codes(queries.join(lost, "qid"), True)
-        found = found.join(lost, "qid", "left_anti").union(again)
+    parts = max(1, math.ceil(queries.count() / QUERIES))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    questions = queries.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")).withColumn("grp", each(groups))
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        model, schema = books_sent.value, pa.schema([("qid", pa.int64()), ("rep", pa.int64()), ("near", pa.float64())])
+        out = [schema.empty_table()]
+        for at in range(0, right.num_rows if left.num_rows else 0, query_block):
+            part = right.slice(at, query_block).combine_chunks()
+            qids, asked = part.column("qid").to_numpy(), _matrix(part.column("v").combine_chunks())
+            tables, best = model.tables(asked.astype(np.float32)), Best(asked, keep)
+            for r in range(left.num_rows):
+                read = lambda name, kind, r=r: np.frombuffer(left.column(name)[r].as_buffer(), kind)
+                ids, lengths = read("ids", np.int64), read("lengths", np.float32)
+                code = read("codes", np.uint8).reshape(-1, len(ids))
+                score = tables[0][code[0]]
+                for m in range(1, len(code)):
+                    score += tables[m][code[m]]
+                score /= lengths[:, None]
+                best.add(ids, score, read("parts", np.float32).reshape(-1, 2), model.slack(lengths), read("x", np.float64).reshape(len(ids), -1))
+            out.append(pa.table({"qid": qids[best.at], "rep": best.rep, "near": best.near}, schema))
+        return pa.concat_tables(out)
+
+    spread = codes.withColumn("part", each(parts)).groupBy("grp", "part").cogroup(questions.groupBy("grp", "part"))
+    scanned = stored(spread.applyInArrow(scan, "qid long, rep long, near double"), "scanned")
+    foremost = Window.partitionBy("qid").orderBy(F.desc("near"), F.asc("rep"))
+    found = scanned.withColumn("n", F.row_number().over(foremost)).where(F.col("n") <= max(candidates, keep)).select("qid", "rep")
     exact = found.join(queries.withColumnRenamed("v", "qv"), "qid").join(reps, "rep").select("qid", "rep", cosine(F.col("qv"), F.col("v")).alias("score"))
     front = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("rep"))
     exact = exact.withColumn("n", F.row_number().over(front)).where(F.col("n") <= k + 1).drop("n")
