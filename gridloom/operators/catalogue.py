@@ -55,7 +55,8 @@ def first_containing(names: DataFrame, stems: DataFrame, name: str, stem: str) -
         return F.when(size >= n, found).otherwise(F.array().cast("array<string>"))
 
     spread = names.select(name, F.explode(F.array_distinct(F.concat(*map(parts, lengths)))).alias(stem))
-    return spread.join(stems, stem).groupBy(stem).agg(F.min(name).alias(name))
+    # Texts shrink so much in a shuffle that Spark would take millions of stems for a small table, and broadcast them.
+    return spread.join(stems.hint("merge"), stem).groupBy(stem).agg(F.min(name).alias(name))
 
 
 def resolve(keys: DataFrame, key: str, sources: Sequence[DataFrame], value: str) -> DataFrame:
