@@ -39,6 +39,7 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str =
 def running_share(df: DataFrame, key: str, weight: str) -> tuple[DataFrame, list[tuple[int, float]]]:
     """part, key, low, high: the piece of [0, 1) that each row's weight takes, in order of key; and where each part begins.
 
+    A piece begins exactly where the one before it ends, the first of a part where the part does.
     Parts are ranges of keys. What reaches the driver is one number a part.
     """
     ranged = stored(df.select(key, F.col(weight).alias("w")).where("w > 0").repartitionByRange(key).withColumns({"part": F.spark_partition_id(), "id": F.monotonically_increasing_id()}), "ranged")
@@ -50,8 +51,9 @@ def running_share(df: DataFrame, key: str, weight: str) -> tuple[DataFrame, list
     if not begin:
         return ranged.select("part", key, F.col("w").alias("low"), F.col("w").alias("high")), begin
     offset = F.element_at(F.create_map(*(F.lit(x) for p in begin for x in p)), F.col("part"))
-    high = offset + F.sum("w").over(Window.partitionBy("part").orderBy(key, "id").rowsBetween(Window.unboundedPreceding, 0)) / total
-    return ranged.withColumn("high", high).select("part", key, (F.col("high") - F.col("w") / total).alias("low"), "high"), begin
+    inside = Window.partitionBy("part").orderBy(key, "id")
+    ranged = ranged.withColumn("high", offset + F.sum("w").over(inside.rowsBetween(Window.unboundedPreceding, 0)) / total)
+    return ranged.select("part", key, F.coalesce(F.lag("high").over(inside), offset).alias("low"), "high"), begin
 
 
 def changes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
