@@ -270,21 +270,34 @@ def stack(base: DataFrame, by: Sequence[str], shape: tuple[int, int], layers: Se
     return out.select(*base.columns, *(c for t, _, c, _ in layers if t is not None))
 
 
+#: Seeds that a task draws, about.
+SEEDS = 1 << 18
+
+
+def _drawn(seeds: DataFrame, cells: Column, shape: tuple[int, int]) -> DataFrame:
+    """id, r, c: the ``cells`` (an array of r, c) of each seed that are inside, once for each id.
+
+    Cells of a seed are told apart in its own row; only those of ids with several seeds meet in a shuffle.
+    """
+    seeds = stored(seeds, "seeds")
+    parts = max(1, math.ceil(seeds.count() / SEEDS))
+    counted = seeds.repartition(parts, "id").withColumn("__n", F.count("*").over(Window.partitionBy("id")))
+    inside = F.array_distinct(F.filter(cells, lambda x: x["r"].between(0, shape[0] - 1) & x["c"].between(0, shape[1] - 1)))
+    draw = lambda df: df.select("id", F.explode(inside).alias("__o")).select("id", "__o.r", "__o.c")
+    return draw(counted.where("__n = 1")).unionByName(draw(counted.where("__n > 1")).distinct())
+
+
 def draw_channels(seeds: DataFrame, shape: tuple[int, int], width: int = 3) -> DataFrame:
     """Cells of straight channels: seeds have id, r, c, dr, dc (steps of the direction) and length."""
-    k = F.explode(F.sequence(F.lit(0), F.col("length").cast("int") - 1))
-    line = seeds.where("length > 0").select("id", "r", "c", "dr", "dc", k.alias("k"))
-    trunc = lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
-    line = line.select("id", trunc(F.col("r") + F.col("k") * F.col("dr")).cast("long").alias("r"), trunc(F.col("c") + F.col("k") * F.col("dc")).cast("long").alias("c"))
+    trunc = lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long")
+    at = lambda k: F.struct(trunc(F.col("r") + k * F.col("dr")).alias("r"), trunc(F.col("c") + k * F.col("dc")).alias("c"))
+    line = F.filter(F.transform(F.sequence(F.lit(0), F.col("length").cast("int") - 1), at), lambda p: p["r"].between(-width, shape[0] + width) & p["c"].between(-width, shape[1] + width))
     span = range((-width) // 2, width // 2 + 1)
-    wide = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in span for j in span)))
-    out = line.select("id", "r", "c", wide.alias("o")).select("id", (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"))
-    return out.where(F.col("r").between(0, shape[0] - 1) & F.col("c").between(0, shape[1] - 1)).distinct()
+    wide = F.transform(line, lambda p: F.array(*(F.struct((p["r"] + i).alias("r"), (p["c"] + j).alias("c")) for i in span for j in span)))
+    return _drawn(seeds.where("length > 0").select("id", "r", "c", "dr", "dc", "length"), F.flatten(wide), shape)
 
 
 def draw_discs(seeds: DataFrame, shape: tuple[int, int], radius: int) -> DataFrame:
     """Cells within ``radius`` of each seed (id, r, c)."""
     near = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
-    o = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in near)))
-    out = seeds.select("id", "r", "c", o.alias("o")).select("id", (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"))
-    return out.where(F.col("r").between(0, shape[0] - 1) & F.col("c").between(0, shape[1] - 1)).distinct()
+    return _drawn(seeds.select("id", "r", "c"), F.array(*(F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i, j in near)), shape)
