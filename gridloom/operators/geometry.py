@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions.scalar import blend_weight, clip
 from gridloom.operators.ordering import numbered, running_share
@@ -200,11 +203,91 @@ def weighted_draw(df: DataFrame, key: str, weight: str, n: int, seed: int) -> Da
     return both.withColumn(key, F.last(key, ignorenulls=True).over(w)).where("draw IS NOT NULL").select("draw", key)
 
 
+#: Cells a side of the tiles of scenes that are compared.
+TILE = 256
+
+
+def _steps(reach: int) -> Column:
+    """All shifts within ``reach``."""
+    return F.array(*(F.struct(F.lit(i).cast("long").alias("dr"), F.lit(j).cast("long").alias("dc")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
+
+
+def _shift_scores(fixed: DataFrame, moving: DataFrame, col: str, reach: int, by: Sequence[str], each: Sequence[str], steps: DataFrame | None = None) -> DataFrame:
+    """by, each, dr, dc, score: the correlation over shared cells for every shift that overlaps; of those in ``steps`` (by, each, steps), or all within ``reach``.
+
+    A tile of a scene meets the same tile of the fixed one and a border of ``reach`` cells. It gives a count, means and
+    moments for each shift, and these are added up: cells move once, not once for each shift.
+    """
+    keys = [*by, *each]
+    z = F.col(col).cast("double").alias("z")
+    tile = lambda x: F.floor(x / F.lit(TILE))
+    loose = moving.select(*keys, tile(F.col("r")).alias("__tr"), tile(F.col("c")).alias("__tc"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), z, F.lit(None).cast("array<struct<dr: bigint, dc: bigint>>").alias("steps"))
+    asked = loose.select(*keys, "__tr", "__tc").distinct()
+    if steps is None:
+        asked = asked.withColumn("steps", _steps(reach))
+    else:
+        asked = asked.join(steps, keys) if keys else asked.crossJoin(steps)
+    loose = loose.unionByName(asked.withColumns({"r": F.lit(None).cast("long"), "c": F.lit(None).cast("long"), "z": F.lit(None).cast("double")}))
+    if each:
+        scenes = moving.select(*keys).distinct()
+        fixed = fixed.join(scenes, list(by)) if by else fixed.crossJoin(scenes)
+    over = lambda x: F.explode(F.sequence(tile(F.col(x) - reach), tile(F.col(x) + reach)))
+    still = fixed.select(*(F.col(k).alias(k) for k in keys), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), z).withColumn("__tr", over("r")).withColumn("__tc", over("c"))
+    numbers = ["n", "mf", "mm", "sf", "sm", "sc"]
+    schema = T.StructType([*(T.StructField(k, moving.schema[k].dataType) for k in keys), *(T.StructField(x, T.LongType()) for x in ("dr", "dc")), *(T.StructField(x, T.DoubleType()) for x in numbers)])
+
+    def grid_of(part: pa.Table, r0: int, c0: int, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values, which cells are there, and which have a value."""
+        r, c = part.column("r").to_numpy() - r0, part.column("c").to_numpy() - c0
+        fine = (r >= 0) & (r < shape[0]) & (c >= 0) & (c < shape[1])
+        at = r[fine], c[fine]
+        value, there, valid = np.zeros(shape), np.zeros(shape, bool), np.zeros(shape, bool)
+        value[at], there[at], valid[at] = part.column("z").to_numpy()[fine], True, part.column("z").is_valid().to_numpy()[fine]
+        return value, there, valid
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        tried = right.column("steps").drop_null().to_pylist()
+        right = right.filter(right.column("steps").is_null())
+        if left.num_rows and right.num_rows and tried:
+            r, c = right.column("r").to_numpy(), right.column("c").to_numpy()
+            r0, c0, h, w = int(r.min()), int(c.min()), int(np.ptp(r)) + 1, int(np.ptp(c)) + 1
+            y, y_there, y_valid = grid_of(right, r0, c0, (h, w))
+            x, x_there, x_valid = grid_of(left, r0 - reach, c0 - reach, (h + 2 * reach, w + 2 * reach))
+            for step in tried[0]:
+                cut = (slice(reach + step["dr"], reach + step["dr"] + h), slice(reach + step["dc"], reach + step["dc"] + w))
+                if not (x_there[cut] & y_there).any():
+                    continue
+                both = x_valid[cut] & y_valid
+                f, m = x[cut][both], y[both]
+                row = [0.0] * len(numbers)
+                if len(f):
+                    with np.errstate(invalid="ignore", over="ignore"):
+                        mf, mm = f[0] + (f - f[0]).mean(), m[0] + (m - m[0]).mean()
+                        f, m = f - mf, m - mm
+                        row = [float(len(f)), mf, mm, f @ f, m @ m, f @ m]
+                out.append((step["dr"], step["dc"], *row))
+        own = [pa.array([k.as_py()] * len(out), k.type) for k in key[: len(keys)]]
+        rest = [pa.array([o[i] for o in out], pa.int64() if i < 2 else pa.float64()) for i in range(2 + len(numbers))]
+        return pa.Table.from_arrays([*own, *rest], names=schema.names)
+
+    at = [*keys, "__tr", "__tc"]
+    parts = loose.groupBy(*at).cogroup(still.groupBy(*at))
+    parts = parts.applyInArrow(lambda key, right, left: run(key, left, right), schema)
+    w = Window.partitionBy(*keys, "dr", "dc")
+    some = F.when(F.col("n") > 0, 1.0)
+    middle = {}
+    for k in ("mf", "mm"):
+        low = F.min(some * F.col(k)).over(w)
+        middle[f"d{k}"] = F.col(k) - (low + F.sum(F.col("n") * (F.col(k) - low)).over(w) / F.nullif(F.sum("n").over(w), F.lit(0.0)))
+    sums = {k: F.sum(F.when(F.col("n") > 0, F.col(k) + F.col("n") * a * b)) for k, a, b in (("sf", F.col("dmf"), F.col("dmf")), ("sm", F.col("dmm"), F.col("dmm")), ("sc", F.col("dmf"), F.col("dmm")))}
+    total = parts.withColumns(middle).groupBy(*keys, "dr", "dc").agg(*(e.alias(k) for k, e in sums.items()))
+    return total.select(*keys, "dr", "dc", F.when((F.col("sf") > 0) & (F.col("sm") > 0), F.col("sc") / F.sqrt(F.col("sf") * F.col("sm"))).alias("score"))
+
+
 def register_shift(fixed: DataFrame, moving: DataFrame, col: str, reach: int, by: Sequence[str] = (), each: Sequence[str] = ()) -> DataFrame:
-    """by, each, dr, dc, score for every shift of ``moving`` within ``reach`` that overlaps: the correlation over shared cells. ``each`` names the scenes of ``moving`` that share one fixed scene."""
-    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1))))
-    moved = moving.select(*by, *each, "r", "c", F.col(col).alias("m"), steps.alias("o")).select(*by, *each, (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"), F.col("o.i").cast("long").alias("dr"), F.col("o.j").cast("long").alias("dc"), "m")
-    return moved.join(fixed.select(*by, "r", "c", F.col(col).alias("f")), [*by, "r", "c"]).groupBy(*by, *each, "dr", "dc").agg(F.corr("f", "m").alias("score"))
+    """by, each, dr, dc, score for every shift of ``moving`` within ``reach`` that overlaps: the correlation over shared cells, null where one side is level. ``each`` names the scenes of ``moving`` that share one fixed scene; a scene has a cell once."""
+    return _shift_scores(fixed, moving, col, reach, by, each)
 
 
 def best_shift(scores: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -224,9 +307,8 @@ def register_pyramid(fixed: DataFrame, moving: DataFrame, col: str, reach: int,
     """by, each, dr, dc, score: the shift of ``moving`` that correlates best, searched from coarse cells to fine ones.
 
     Cells are averaged by powers of two until ``reach`` is at most ``least`` of them; there every
-    shift is tried. Each finer level tries the cells round twice the ``kept`` best shifts of the one before. So a
-    pixel is copied some 12 * ``kept`` times whatever the reach, where all shifts would
-    copy it (2 reach + 1)**2 times; with a reach of ``least`` or less it is the exhaustive search. Ties are as in
+    shift is tried. Each finer level tries the cells round twice the ``kept`` best shifts of the one before. So some
+    12 * ``kept`` shifts are tried whatever the reach, not all (2 reach + 1)**2; a pixel moves once a level; with a reach of ``least`` or less it is the exhaustive search. Ties are as in
     ``best_shift``; scenes without a score have no row.
     """
     keys = [*by, *each]
@@ -242,9 +324,7 @@ def register_pyramid(fixed: DataFrame, moving: DataFrame, col: str, reach: int,
             near = F.explode(F.array(*(F.struct((2 * F.col("dr") + i).alias("dr"), (2 * F.col("dc") + j).alias("dc")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
             shifts = found.select(*keys, near.alias("__o")).select(*keys, "__o.dr", "__o.dc").where((F.abs("dr") <= math.ceil(reach / factor)) & (F.abs("dc") <= math.ceil(reach / factor))).distinct()
             steps = shifts.groupBy(*keys).agg(F.collect_list(F.struct("dr", "dc")).alias("steps"))  # a row for each scene, of 9 * kept at most
-            moved = (loose.join(steps, keys) if keys else loose.crossJoin(steps)).select(*keys, "r", "c", F.col(col).alias("m"), F.explode("steps").alias("__o"))
-            moved = moved.select(*keys, (F.col("r") + F.col("__o.dr")).alias("r"), (F.col("c") + F.col("__o.dc")).alias("c"), F.col("__o.dr").alias("dr"), F.col("__o.dc").alias("dc"), "m")
-            scores = moved.join(still.select(*by, "r", "c", F.col(col).alias("f")), [*by, "r", "c"]).groupBy(*keys, "dr", "dc").agg(F.corr("f", "m").alias("score"))
+            scores = _shift_scores(still, loose, col, math.ceil(reach / factor), by, each, steps)
         fine = scores.where(F.col("score").isNotNull() & ~F.isnan("score"))
         rank = F.struct((-F.round("score", 6)).alias("a"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("b"), "dr", "dc", "score")
         best = F.slice(F.array_sort(F.collect_list(rank)), 1, kept if level else 1)

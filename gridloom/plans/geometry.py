@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalar as S
 from gridloom.operators import geometry as G
 from gridloom.operators.pixels import scene_pairs
 from gridloom.registry import query
+from gridloom.sources.scratch import stored
 
 PI = math.pi
 
@@ -130,18 +132,21 @@ def reproject_bilinear(v):
 _PAIRS = "p AS (SELECT * FROM (SELECT site, scene AS t0, lead(scene) OVER (PARTITION BY site ORDER BY scene) AS t1 FROM (SELECT DISTINCT site, scene FROM {px}) s) u WHERE t1 IS NOT NULL)"
 
 
-def paired(v, which: str):
-    """The pixels of the earlier (t0) or later (t1) scene of every pair of scenes."""
-    pairs = scene_pairs(v.px.select("site", "scene").distinct(), ["site"], "scene")
-    return v.px.join(pairs.withColumn("scene", F.col(which)), ["site", "scene"]).select("site", "t0", "t1", "r", "c", "red")
+def paired(v) -> tuple[DataFrame, DataFrame]:
+    """The pixels of the earlier (t0) and of the later (t1) scene of every pair of scenes. Pixels are made once."""
+    px = stored(v.px.select("site", "scene", "r", "c", "red"), "px")
+    pairs = scene_pairs(px.select("site", "scene").distinct(), ["site"], "scene")
+    before, after = (px.join(pairs.withColumn("scene", F.col(t)), ["site", "scene"]).select("site", "t0", "t1", "r", "c", "red") for t in ("t0", "t1"))
+    return before, after
 
 
 @query(f"WITH {_PAIRS} SELECT p.site, p.t0, p.t1, a.r, a.c, b.red FROM p JOIN {{px}} a ON a.site = p.site AND a.scene = t0 JOIN {{px}} b ON b.site = p.site AND b.scene = t1 AND b.r = a.r AND b.c = a.c")
 def align_nearest(v):
     """Each later scene on the cells of the one before it."""
     keys = ["site", "t0", "t1"]
-    at = paired(v, "t0").select(*keys, F.col("r").alias("tr"), F.col("c").alias("tc"), F.col("r").cast("double").alias("y"), F.col("c").cast("double").alias("x"))
-    out = G.nearest(paired(v, "t1"), keys, "red", at).where("red IS NOT NULL")
+    before, after = paired(v)
+    at = before.select(*keys, F.col("r").alias("tr"), F.col("c").alias("tc"), F.col("r").cast("double").alias("y"), F.col("c").cast("double").alias("x"))
+    out = G.nearest(after, keys, "red", at).where("red IS NOT NULL")
     return out.select(*keys, F.col("tr").alias("r"), F.col("tc").alias("c"), "red")
 
 
@@ -257,7 +262,7 @@ def split_by_place(v):
 @query(f"WITH {_PAIRS}, o AS (SELECT i AS d FROM range(-2, 3) a(i)), m AS (SELECT p.site, t0, t1, r + a.d AS r, c + b.d AS c, a.d AS dr, b.d AS dc, red AS m FROM p JOIN {{px}} x ON x.site = p.site AND x.scene = t1, o a, o b) SELECT m.site, t0, t1, dr, dc, round(CASE WHEN isnan(corr(red, m)) THEN NULL ELSE corr(red, m) END, 5) AS score FROM m JOIN {{px}} f ON f.site = m.site AND f.scene = t0 AND f.r = m.r AND f.c = m.c GROUP BY 1, 2, 3, 4, 5")
 def register_shift(v):
     """Every later scene against the one before it."""
-    out = G.register_shift(paired(v, "t0"), paired(v, "t1"), "red", 2, ["site", "t0", "t1"])
+    out = G.register_shift(*paired(v), "red", 2, ["site", "t0", "t1"])
     return out.withColumn("score", F.round(F.nanvl("score", F.lit(None).cast("double")), 5))
 
 
@@ -269,13 +274,13 @@ def register_shift(v):
   SELECT site, t0, t1, dr, dc, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY site, t0, t1 ORDER BY round(s, 6) DESC, dr * dr + dc * dc, dr, dc) AS n FROM sc WHERE s IS NOT NULL AND NOT isnan(s)) q WHERE n = 1""")
 def register_pyramid(v):
     """Every later scene against the one before it, by halves of the resolution first."""
-    return G.register_pyramid(paired(v, "t0"), paired(v, "t1"), "red", 6, ["site", "t0", "t1"]).withColumn("score", F.round("score", 5))
+    return G.register_pyramid(*paired(v), "red", 6, ["site", "t0", "t1"]).withColumn("score", F.round("score", 5))
 
 
 @query(f"WITH {_PAIRS}, o AS (SELECT i AS d FROM range(-2, 3) a(i)), sc AS (SELECT p.site, t0, t1, a.d AS dr, b.d AS dc, corr(f.red, m.red) AS s FROM p, o a, o b JOIN {{px}} m ON m.site = p.site AND m.scene = t1 JOIN {{px}} f ON f.site = p.site AND f.scene = t0 AND f.r = m.r + a.d AND f.c = m.c + b.d GROUP BY 1, 2, 3, 4, 5) SELECT site, t0, t1, dr, dc FROM (SELECT *, row_number() OVER (PARTITION BY site, t0, t1 ORDER BY round(s, 6) DESC, dr * dr + dc * dc, dr, dc) AS n FROM sc WHERE s IS NOT NULL AND NOT isnan(s)) q WHERE n = 1")
 def register_best(v):
     """The best of all shifts within two cells, as the pyramid finds it at that reach."""
-    return G.register_pyramid(paired(v, "t0"), paired(v, "t1"), "red", 2, ["site", "t0", "t1"]).drop("score")
+    return G.register_pyramid(*paired(v), "red", 2, ["site", "t0", "t1"]).drop("score")
 
 
 _SEED = "sd AS (SELECT p_partkey AS id, p_partkey % 30 AS r, p_partkey * 7 % 30 AS c, ((p_partkey % 3) - 1) * CAST(0.5 AS DOUBLE) + 0.25 AS dr, CAST(0.75 AS DOUBLE) AS dc, p_size % 8 AS length FROM part)"
