@@ -92,7 +92,11 @@ def _pieces(boxes: DataFrame, key: str, around: float | None) -> DataFrame:
 
 
 def _in_cells(boxes: DataFrame, splits: DataFrame, levels: Sequence[int]) -> DataFrame:
-    """``boxes`` in each leaf (k, x, y) of the quadtree that they touch: a cell that is split hands them to its quarters."""
+    """``boxes`` in the cells (k, x, y) of the quadtree that they touch: a cell that is split hands them to its quarters.
+
+    A box with a level of its own stays in the cells of that level, split or not, so it is in four cells or so. One without
+    is in every cell on its way to the leaves.
+    """
 
     def spread(df: DataFrame, level: int, x: tuple[Column, Column], y: tuple[Column, Column]) -> DataFrame:
         reach = lambda axis, own: F.explode(F.sequence(F.greatest(own[0], _cell(F.col(f"{axis}0"), F.lit(level))), F.least(own[1], _cell(F.col(f"{axis}1"), F.lit(level)))))
@@ -102,10 +106,11 @@ def _in_cells(boxes: DataFrame, splits: DataFrame, levels: Sequence[int]) -> Dat
     open_, leaves = spread(boxes, 0, (least, most), (least, most)), None
     for level in levels:
         at = splits.where(F.col("k") == level).select("x", "y")
-        done = open_.join(at, ["x", "y"], "left_anti").withColumn("k", F.lit(level))
+        met = open_.join(at.withColumn("split", F.lit(True)), ["x", "y"], "left")
+        done = met.withColumn("k", F.lit(level)).where("split IS NULL OR own IS NULL OR own <= k").drop("split")
         leaves = done if leaves is None else leaves.unionByName(done)
         x, y = F.col("x"), F.col("y")
-        open_ = stored(spread(open_.join(at, ["x", "y"], "left_semi"), level + 1, (2 * x, 2 * x + 1), (2 * y, 2 * y + 1)), "boxes")
+        open_ = stored(spread(met.where(F.col("split") & (F.col("own").isNull() | (F.col("own") > level))).drop("split"), level + 1, (2 * x, 2 * x + 1), (2 * y, 2 * y + 1)), "boxes")
     open_ = open_.withColumn("k", F.lit(len(levels)))
     return open_ if leaves is None else leaves.unionByName(open_)
 
@@ -113,14 +118,17 @@ def _in_cells(boxes: DataFrame, splits: DataFrame, levels: Sequence[int]) -> Dat
 def bbox_search(items: DataFrame, sites: DataFrame, around: float | None = None, crowd: int = 10_000, depth: int = 16) -> DataFrame:
     """site, id for boxes that overlap or touch: both sides meet in the cells of a quadtree that is fine where items are dense.
 
-    A cell with more than ``crowd`` items is split, ``depth`` times at most; in one that is still crowded,
+    An item goes down to cells of about its own size at most, so that it is copied some four times however dense items are;
+    sites are met on all levels. A cell with more than ``crowd`` items that go further down is split, ``depth`` times at most; in one that is still crowded,
     as where boxes are alike, items are dealt over parts and the sites' boxes copied to each. A pair that shares
     several cells is given by the one with their larger lower corners. With ``around`` (360) longitudes are
     a circle: boxes may cross its end, or have a smaller lon1 than lon0.
     """
-    a, b = _pieces(items, "id", around), _pieces(sites, "site", around)
-    fine = a.groupBy(_cell(F.col("lon0"), F.lit(depth)).alias("fx"), _cell(F.col("lat0"), F.lit(depth)).alias("fy")).agg(F.count("*").alias("n"))
-    up = F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))
+    side = F.greatest(F.col("lon1") - F.col("lon0"), F.col("lat1") - F.col("lat0"), F.lit(ROOT / (1 << depth)))
+    a = _pieces(items, "id", around).withColumn("own", F.greatest(F.floor(F.log2(F.lit(ROOT) / side)), F.lit(0)).cast("int"))
+    b = _pieces(sites, "site", around).withColumn("own", F.lit(None).cast("int"))
+    fine = a.where("own > 0").groupBy(_cell(F.col("lon0"), F.lit(depth)).alias("fx"), _cell(F.col("lat0"), F.lit(depth)).alias("fy"), "own").agg(F.count("*").alias("n"))
+    up = F.explode(F.sequence(F.lit(0), F.col("own") - 1))
     above = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), depth - F.col("k"))).cast("long")
     cells = fine.withColumn("k", up).groupBy("k", above("fx").alias("x"), above("fy").alias("y")).agg(F.sum("n").alias("n"))
     splits = stored(cells.where(F.col("n") > crowd).select("k", "x", "y"), "splits")
@@ -131,8 +139,8 @@ def bbox_search(items: DataFrame, sites: DataFrame, around: float | None = None,
     loads = placed.groupBy("k", "x", "y").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("k", "x", "y", F.ceil(F.col("n") / crowd).alias("parts"))
     loads = stored(loads, "loads")
     one = F.coalesce("parts", F.lit(1))
-    left = placed.join(loads, ["k", "x", "y"], "left").withColumn("part", F.pmod(F.xxhash64("id", *_BOX), one)).drop("parts")
-    right = _in_cells(b, splits, levels).join(loads, ["k", "x", "y"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("parts")
+    left = placed.drop("own").join(loads, ["k", "x", "y"], "left").withColumn("part", F.pmod(F.xxhash64("id", *_BOX), one)).drop("parts")
+    right = _in_cells(b, splits, levels).drop("own").join(loads, ["k", "x", "y"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("parts")
     both = left.join(right.withColumnsRenamed({k: f"s{k}" for k in _BOX}), ["k", "x", "y", "part"]).where("lon0 <= slon1 AND lon1 >= slon0 AND lat0 <= slat1 AND lat1 >= slat0")
     home = (_cell(F.greatest("lon0", "slon0"), F.col("k")) == F.col("x")) & (_cell(F.greatest("lat0", "slat0"), F.col("k")) == F.col("y"))
     out = both.where(home).select("site", "id")
