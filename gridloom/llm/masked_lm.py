@@ -26,6 +26,8 @@ from gridloom.llm.text import mix, owners, slices, word_hashes
 SIDES = (-2, -1, 1, 2)
 #: Weights are summed as whole numbers of this size, so that their order doesn't matter.
 _UNIT = 2.0**-24
+#: Words that a task counts together.
+_COUNTED = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -106,37 +108,58 @@ def contexts(tokens: np.ndarray, first: np.ndarray, beyond: int) -> np.ndarray:
     return out
 
 
-def _softmax_log(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _by_value(x: np.ndarray) -> np.ndarray:
+    """A stable order of small whole numbers."""
+    return np.argsort(x.astype(np.int16) if len(x) and int(x.max()) < 1 << 15 else x, kind="stable")
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    x /= x.sum(axis=1, keepdims=True)
+def _by_branch(around: np.ndarray, tokens: np.ndarray, branch: int) -> tuple[np.ndarray, ...]:
+    """Rows in the order of their branches, so that those of one are a slice: that order, contexts, branches, leaves, and where each branch begins."""
+    order = _by_value(tokens % branch)
+    sorted_tokens = np.take(tokens, order)
+    top = sorted_tokens % branch
+    return order, np.take(around, order, axis=0), top, sorted_tokens // branch, np.searchsorted(top, np.arange(branch + 1))
+
+
+def _hidden(embed: np.ndarray, bias: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """What the network makes of the contexts, a column each: (width, tokens)."""
+    out = np.take(embed[0], around[:, 0], axis=0)
+    for k in range(1, around.shape[1]):
+        out += np.take(embed[k], around[:, k], axis=0)
+    out += bias
+    return np.ascontiguousarray(np.tanh(out, out=out).T)
+
+
+def _logits(weights: np.ndarray, offsets: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Outcomes by tokens, less each token's largest. NumPy sums and compares whole rows at once, so the tokens are columns."""
+    x = weights.T @ h
+    x += offsets[:, None]
+    x -= x.max(axis=0)
     return x
 
 
-def _by_value(x: np.ndarray) -> np.ndarray:
-    """A stable order of small whole numbers."""
-    return np.argsort(x.astype(np.int16) if len(x) and int(x.max()) < 1 << 15 else x, kind="stable")
+def _softmax(x: np.ndarray) -> np.ndarray:
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    return x
 
 
 def log_probabilities(weights: dict[str, np.ndarray], around: np.ndarray, tokens: np.ndarray, branch: int, block: int = 1 << 15) -> np.ndarray:
     """log p(token | both sides) of every token."""
     out = np.empty(len(tokens), np.float32)
+    place = np.arange(min(block, len(tokens)))
     for at in range(0, len(tokens), block):
-        x, t = around[at : at + block], tokens[at : at + block]
-        h = np.tanh(sum(weights["embed"][k][x[:, k]] for k in range(x.shape[1])) + weights["bias"])
-        top, leaf = t % branch, t // branch
-        p = _softmax_log(h @ weights["up"] + weights["up0"])[np.arange(len(t)), top]
-        order = _by_value(top)
-        cut = np.searchsorted(top[order], np.arange(branch + 1))
-        for c in range(branch):
-            rows = order[cut[c] : cut[c + 1]]
-            if len(rows):
-                p[rows] += _softmax_log(h[rows] @ weights["low"][c] + weights["low0"][c])[np.arange(len(rows)), leaf[rows]]
-        out[at : at + block] = p
+        order, x, top, leaf, cut = _by_branch(around[at : at + block], tokens[at : at + block], branch)
+        h = _hidden(weights["embed"], weights["bias"], x)
+        z = _logits(weights["up"], weights["up0"], h)
+        p = z[top, place[: len(top)]]
+        total = np.exp(z, out=z).sum(axis=0)
+        for c in np.flatnonzero(np.diff(cut)):
+            rows = slice(cut[c], cut[c + 1])
+            z = _logits(weights["low"][c], weights["low0"][c], h[:, rows])
+            p[rows] += z[leaf[rows], place[: z.shape[1]]]
+            total[rows] *= np.exp(z, out=z).sum(axis=0)
+        out[at + order] = p - np.log(total)
     return out
 
 
@@ -148,61 +171,72 @@ class Trainer:
         self.squares = {k: np.full(v.shape, 1e-2, np.float32) for k, v in weights.items()}
 
     def _move(self, name: str, at, grad: np.ndarray) -> None:
-        self.squares[name][at] += grad * grad
-        self.w[name][at] -= self.rate * grad / np.sqrt(self.squares[name][at])
+        squares = self.squares[name][at] + grad * grad
+        self.squares[name][at] = squares
+        self.w[name][at] -= self.rate * grad / np.sqrt(squares)
 
     def step(self, around: np.ndarray, tokens: np.ndarray) -> None:
         w, n = self.w, len(tokens)
-        h = np.tanh(sum(w["embed"][k][around[:, k]] for k in range(around.shape[1])) + w["bias"])
-        top, leaf = tokens % self.branch, tokens // self.branch
-        d = _softmax(h @ w["up"] + w["up0"])
-        d[np.arange(n), top] -= 1
-        d /= n
-        dh = d @ w["up"].T
-        order = _by_value(top)
-        cut = np.searchsorted(top[order], np.arange(self.branch + 1))
-        for c in range(self.branch):
-            rows = order[cut[c] : cut[c + 1]]
-            if not len(rows):
-                continue
-            hr = h[rows]
-            e = _softmax(hr @ w["low"][c] + w["low0"][c])
-            e[np.arange(len(rows)), leaf[rows]] -= 1
-            e /= n
-            dh[rows] += e @ w["low"][c].T
-            self._move("low", c, hr.T @ e)
-            self._move("low0", c, e.sum(axis=0))
-        self._move("up", ..., h.T @ d)
-        self._move("up0", ..., d.sum(axis=0))
-        dz = dh * (1 - h * h)
-        self._move("bias", ..., dz.sum(axis=0))
+        _, around, top, leaf, cut = _by_branch(around, tokens, self.branch)
+        place = np.arange(n)
+        h = _hidden(w["embed"], w["bias"], around)
+        d = _softmax(_logits(w["up"], w["up0"], h))
+        d[top, place] -= 1
+        dh = w["up"] @ d
+        low, low0 = np.zeros_like(w["low"]), np.zeros_like(w["low0"])
+        for c in np.flatnonzero(np.diff(cut)):
+            rows = slice(cut[c], cut[c + 1])
+            hr = h[:, rows]
+            e = _softmax(_logits(w["low"][c], w["low0"][c], hr))
+            e[leaf[rows], place[: e.shape[1]]] -= 1
+            dh[:, rows] += w["low"][c] @ e
+            np.matmul(hr, e.T, out=low[c])
+            e.sum(axis=1, out=low0[c])
+        self._move("low", ..., low / n)
+        self._move("low0", ..., low0 / n)
+        self._move("up", ..., h @ d.T / n)
+        self._move("up0", ..., d.sum(axis=1) / n)
+        dz = (dh * (1 - h * h)).astype(np.float64) / n
+        self._move("bias", ..., dz.sum(axis=1).astype(h.dtype))
         for k in range(around.shape[1]):
-            by = _by_value(around[:, k])
-            ids = around[by, k]
-            begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            self._move("embed", (k, ids[begin]), np.add.reduceat(dz[by], begin, axis=0))
+            met = np.bincount(around[:, k]) > 0
+            ids = (np.cumsum(met) - 1)[around[:, k]]
+            grad = np.array([np.bincount(ids, row) for row in dz], h.dtype)
+            self._move("embed", (k, np.flatnonzero(met)), grad.T)
         self.seen += n
 
 
 @dataclass(frozen=True)
 class Model:
-    """``inside`` (word, gain in whole units) has every counted word of the buckets: what it adds to ``unseen``, the log-share of the words of its bucket that were never counted. ``seen`` counts the targets it was trained on."""
+    """``inside`` (word, gain in whole units) has every counted word of the buckets: what it adds to ``unseen``, the log-share of the words of its bucket that were never counted. The commonest of them also stand in ``known``, sorted, and ``gains``. ``seen`` counts the targets it was trained on."""
 
     frequent: np.ndarray
     weights: np.ndarray
     shape: Shape
     inside: DataFrame
     unseen: np.ndarray
+    known: np.ndarray
+    gains: np.ndarray
     seen: int
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (its hash) and n of all words of all documents, written once."""
 
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        times = pa.array(np.concatenate(held).view(np.int64)).value_counts()
+        return pa.RecordBatch.from_arrays([times.field("values"), times.field("counts")], ["word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for t in slices(batches):
-            words, times = np.unique(word_hashes(t)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(times)], ["word", "n"])
+            held.append(word_hashes(t)[0])
+            size += len(held[-1])
+            if size >= _COUNTED:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
 
     return stored(docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
@@ -216,11 +250,13 @@ def frequent_words(counts: DataFrame, shape: Shape, total: int) -> tuple[np.ndar
     return np.array([r["word"] for r in rows], np.int64).view(np.uint64), share / share.sum()
 
 
-def within_buckets(counts: DataFrame, frequent: np.ndarray, shape: Shape) -> tuple[DataFrame, np.ndarray]:
-    """A word's share of its bucket: the ``inside`` and ``unseen`` of a model.
+def within_buckets(counts: DataFrame, frequent: np.ndarray, shape: Shape, known: int = 128) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """A word's share of its bucket: the ``inside``, ``unseen``, ``known`` and ``gains`` of a model.
 
     Of n words in a bucket, t different ones, a word that came c times has the share
-    c / (n + t), and all words that never came have t / (n + t) together.
+    c / (n + t), and all words that never came have t / (n + t) together. Known are the
+    words from some count on, at most ``known`` times as many as the frequent ones: tasks
+    look them up, and only the others are joined.
     """
     sent = counts.sparkSession.sparkContext.broadcast(frequent)
 
@@ -238,7 +274,15 @@ def within_buckets(counts: DataFrame, frequent: np.ndarray, shape: Shape) -> tup
     kinds = F.broadcast(counts.sparkSession.createDataFrame([(k, float(x)) for k, x in enumerate(t)], "bucket int, t double"))
     gain = F.round(F.log(F.col("n") / F.col("t")) / F.lit(_UNIT)).cast("long")
     unseen = np.log(np.where(t > 0, t / np.maximum(n + t, 1), 1))
-    return stored(held.join(kinds, "bucket").select("word", gain.alias("gain")), "inside"), unseen
+    step = F.floor(F.log2("n") * 8).cast("int")
+    inside = stored(held.join(kinds, "bucket").select("word", gain.alias("gain"), step.alias("step")), "inside")
+    steps = sorted(((r["step"], r["count"]) for r in inside.groupBy("step").count().collect()), reverse=True)
+    few = np.cumsum([n for _, n in steps]) <= known * shape.frequent
+    least = min((k for (k, _), fits in zip(steps, few, strict=True) if fits), default=None)
+    common = inside.where(F.lit(False) if least is None else F.col("step") >= least).select("word", "gain").toArrow()
+    words, gains = common["word"].to_numpy().view(np.uint64), common["gain"].to_numpy()
+    order = np.argsort(words)
+    return inside.select("word", "gain"), unseen, words[order], gains[order]
 
 
 def trained(docs: DataFrame, shape: Shape | None = None, rounds: int = 3, masked: float = 1.0, rate: float = 0.2, batch: int = 8192, seed: int = 5) -> Model:
@@ -275,7 +319,7 @@ def trained(docs: DataFrame, shape: Shape | None = None, rounds: int = 3, masked
                 chosen = chosen[np.argsort(draw[chosen], kind="stable")]
                 for at in range(0, len(chosen), batch):
                     rows = chosen[at : at + batch]
-                    trainer.step(around[rows], tokens[rows])
+                    trainer.step(np.take(around, rows, axis=0), np.take(tokens, rows))
             if trainer.seen:
                 learned = np.rint((packed(trainer.w).astype(np.float64) - begin) / _UNIT) * trainer.seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(learned) + 1, dtype=np.int32)), pa.array(np.append(learned, trainer.seen).astype(np.int64))], ["at", "sum"])
@@ -301,37 +345,31 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     kept = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
     shape = model.shape
-    sent = docs.sparkSession.sparkContext.broadcast((model.frequent, model.weights, model.unseen))
-    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n_tokens long, total double"
+    sent = docs.sparkSession.sparkContext.broadcast((model.frequent, model.weights, model.unseen, model.known, model.gains))
+    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n_tokens long, total double, others array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, flat, unseen = sent.value
+        frequent, flat, unseen, known, gains = sent.value
         vocabulary, weights = Vocabulary(frequent, shape), unpacked(flat, shape)
         beside = np.concatenate([np.zeros(shape.frequent), unseen])
         for t in slices(batches):
             hashes, first = word_hashes(t)
-            tokens = vocabulary(hashes)
+            tokens, owner = vocabulary(hashes), owners(first)
             each = log_probabilities(weights, contexts(tokens, first, shape.size), tokens, shape.branch) + beside[tokens]
-            total = np.bincount(owners(first), each, minlength=len(t)).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*(t.batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(np.diff(first)), pa.array(total)], ["doc_id", "k1", "k2", "n_tokens", "total"])
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(sent.value[0], shape)
-        for t in slices(batches):
-            hashes, first = word_hashes(t)
-            at = np.flatnonzero(vocabulary(hashes) >= shape.frequent)
-            hashes, owner = hashes[at], owners(first)[at]
-            order = np.lexsort((hashes, owner))
-            hashes, owner = hashes[order], owner[order]
-            new = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])[: len(hashes)])
-            times = np.diff(np.append(new, len(hashes)))
-            keys = t.batch.select(["k1", "k2"]).take(pa.array(owner[new]))
-            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(hashes[new].view(np.int64)), pa.array(times.astype(np.int32))], ["k1", "k2", "word", "times"])
+            rare = np.flatnonzero(tokens >= shape.frequent)
+            hashes, holder = hashes[rare], owner[rare]
+            at = np.searchsorted(known, hashes)
+            met = np.take(known, at, mode="clip") == hashes if len(known) else np.zeros(len(at), bool)
+            gain = np.bincount(holder[met], gains[at[met]], minlength=len(t))
+            total = np.bincount(owner, each, minlength=len(t)) + gain * _UNIT
+            cut = np.searchsorted(holder[~met], np.arange(len(t) + 1))
+            others = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(hashes[~met].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(t.batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(np.diff(first)), pa.array(total), others], ["doc_id", "k1", "k2", "n_tokens", "total", "others"])
 
     facts = stored(kept.mapInArrow(run, schema), "facts")
-    pieces = kept.select("text", "k1", "k2").mapInArrow(rare, "k1 long, k2 long, word long, times int").join(model.inside, "word")
+    pieces = facts.select("k1", "k2", F.explode("others").alias("word")).join(model.inside, "word")
     # Equal texts have one sum between them, and count how many share it.
-    sums = pieces.select("k1", "k2", (F.col("times") * F.col("gain")).alias("gain"), F.lit(0).alias("copies")).union(facts.select("k1", "k2", F.lit(0).cast("long"), F.lit(1)))
+    sums = pieces.select("k1", "k2", "gain", F.lit(0).alias("copies")).union(facts.select("k1", "k2", F.lit(0).cast("long"), F.lit(1)))
     sums = stored(sums.groupBy("k1", "k2").agg((F.sum("gain") / F.sum("copies") * F.lit(_UNIT)).alias("gain")), "gains")
     total = F.col("total") + F.col("gain")
     return facts.join(sums, ["k1", "k2"]).select("doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -678,6 +679,45 @@ def test_steps_follow_the_gradient():
             assert trainer.w[name][at] - old[at] == pytest.approx(-0.1 * g / np.sqrt(0.01 + g * g), abs=2e-3)
 
 
+def test_common_words_are_looked_up_and_the_others_joined(spark):
+    """Scores don't depend on how many of the words inside buckets are known; those are the commonest, and never more than asked for."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, [1 / (1 + i) for i in range(60)], k=rng.randint(1, 40))) for _ in range(50)] + ODD
+    d = docs(spark, [*texts, texts[0], "never seen " + texts[1]])
+    shape = masked_lm.Shape(frequent=3, buckets=4, width=3, branch=3)
+    model = masked_lm.trained(docs(spark, texts), shape)
+    counts = masked_lm.word_counts(docs(spark, texts))
+    times = {np.uint64(r.word % 2**64): r.n for r in counts.collect()}
+    scores = []
+    for known in (128, 5, 0):
+        inside, unseen, held, gains = masked_lm.within_buckets(counts, model.frequent, shape, known)
+        every = {np.uint64(r.word % 2**64): r.gain for r in inside.collect()}
+        assert {w: every[w] for w in held} == dict(zip(held, gains, strict=True)) and (np.diff(held.astype(object)) > 0).all()
+        assert len(held) == len(every) if known == 128 else len(held) <= known * shape.frequent
+        assert known == 0 or min(times[w] for w in held) >= max([times[w] for w in every.keys() - set(held)], default=0)
+        assert known != 5 or 0 < len(held) < len(every)
+        part = dataclasses.replace(model, inside=inside, unseen=unseen, known=held, gains=gains)
+        scores.append([r.log_likelihood for r in masked_lm.score(d, part).orderBy("doc_id").collect()])
+    assert scores[1] == pytest.approx(scores[0], abs=1e-6) and scores[2] == pytest.approx(scores[0], abs=1e-6)
+
+
+def test_texts_are_read_once_for_scoring(spark):
+    """Words and likelihoods come from one pass over the texts, whose rows are written once."""
+    texts = ["a b a c", "c b a a b", "b"]
+    model = masked_lm.trained(docs(spark, texts), masked_lm.Shape(1, 2, 3, 2), rounds=1)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def passed(text):
+        seen.add(1)
+        return text
+
+    d = docs(spark, texts)
+    masked_lm.score(d.withColumn("text", passed.asNondeterministic()("text")), model).collect()
+    assert seen.value == len(texts)
+
+
 def test_language_model_of_odd_rows(spark):
     rows = [(1, "a b c")] * 3 + [(None, "a b c"), (None, None), (2, ""), (1, "other words")]
     out = masked_lm.scored(clashing(spark.createDataFrame(rows, DOCS))).collect()
