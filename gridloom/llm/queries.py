@@ -28,7 +28,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"), passage=suffix_dedup.PASSAGE)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

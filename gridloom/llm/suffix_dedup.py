@@ -19,6 +19,9 @@ is removed wherever it starts. The corpus is never one text in one place:
     their windows are hashed one by one and counted by Spark.
 
 Exact copies of a whole document are found by a hash of the text; one of them takes part.
+
+Shorter strings can be counted beside the removed ones. A string that starts elsewhere has
+only parts that do, so the longer ones are then sought in documents that share shorter ones.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from gridloom.llm.suffix_array import suffix_array
 from gridloom.llm.text import mix, prefix_hash, slices, span_hash, spans_hash
 
 LENGTH = 400
+#: Bytes from which a repeated string counts as a passage in the query: under 4 for each word of a passage of over 50 words.
+PASSAGE = 200
 #: Contexts of one anchor, whole copies of documents aside, that one task takes together; anchors with more are split.
 CROWD = 500
 #: Bytes of contexts that are sorted together.
@@ -277,20 +282,25 @@ def resolve(batches: Iterator[pa.RecordBatch], length: int, batch: int) -> Itera
         yield flush(rows)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What the corpus repeats: the named rows, the keys of whole copies, and (k1, k2, text, spans) of other documents with repeats."""
+def whole_copies(named: DataFrame, length: int) -> DataFrame:
+    """k1, k2, n_bytes, rep of rows whose text of at least ``length`` bytes occurs again; ``rep`` marks the first of each text."""
     if length < 100:
         raise ValueError("length must be at least 100 bytes")
-    named = keyed(docs)
     long = named.where(F.col("n_bytes") >= length)
     twice = stored(long.groupBy("k1", "h2").agg(F.count("*").alias("n"), F.min("k2").alias("rep")).where("n > 1").select("k1", "h2", "rep"), "twice")
-    copies = stored(long.select("k1", "k2", "h2").join(twice, ["k1", "h2"]).select("k1", "k2", (F.col("k2") == F.col("rep")).alias("rep")).distinct(), "copies")
+    return stored(long.select("k1", "k2", "h2", "n_bytes").join(twice, ["k1", "h2"]).select("k1", "k2", "n_bytes", (F.col("k2") == F.col("rep")).alias("rep")).distinct(), "copies")
+
+
+def repeated_spans(long: DataFrame, length: int, crowd: int, spare: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents (k1, k2, text) that share an anchor with another, and the repeated spans (k1, k2, spans) among them.
 
+    The rows in ``spare`` take no part.
+    """
     # Copies beyond the first take no part; a document is equal to its first copy in every window.
     found = stored(contexts(long, length), "contexts")
     often = stored(found.groupBy("ahash").agg(F.count("*").alias("n")).where("n > 1").select("ahash"), "often")
-    spare = copies.where("NOT rep").select("k1", "k2")
-    mine = stored(found.join(often, "ahash").join(spare, ["k1", "k2"], "left_anti"), "mine")
+    mine = found.join(often, "ahash")
+    mine = stored(mine if spare is None else mine.join(spare, ["k1", "k2"], "left_anti"), "mine")
 
     def per_document(rows: DataFrame) -> DataFrame:
         """The contexts of each document whose anchor others have too, with whether it is crowded."""
@@ -353,10 +363,33 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> tuple[
     double = stored(each.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "double")
     lone = each.join(double, ["w1", "w2"], "left_semi").select("k1", "k2", "s", (F.col("s") + F.lit(length)).alias("e"))
     spans = spans.union(lone).union(equal).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    rest = work.select("k1", "k2", "text").join(stored(spans, "spans"), ["k1", "k2"]).join(copies.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    return work.select("k1", "k2", "text"), stored(spans, "spans")
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the corpus repeats: the named rows, the keys of whole copies, and (k1, k2, text, spans) of other documents with repeats."""
+    named = keyed(docs)
+    copies = whole_copies(named, length)
+    work, spans = repeated_spans(named.where(F.col("n_bytes") >= length), length, crowd, copies.where("NOT rep").select("k1", "k2"))
+    rest = work.join(spans, ["k1", "k2"]).join(copies.select("k1", "k2"), ["k1", "k2"], "left_anti")
     return named, copies, rest
 
 
+def nested_repeats(docs: DataFrame, length: int, passage: int, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What ``repeats`` gives for ``length``, and (k1, k2, n_passage_bytes) of rows with repeated strings of the shorter ``passage`` bytes."""
+    if passage > length:
+        raise ValueError("passage must not be longer than length")
+    named = keyed(docs)
+    copies = whole_copies(named, passage)
+    work, spans = repeated_spans(named.where(F.col("n_bytes") >= passage), passage, crowd, copies.where("NOT rep").select("k1", "k2"))
+    own = covered(spans).join(copies.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    # Every part of a repeated string is repeated, so all documents with one of length bytes are among those with shared anchors.
+    work, spans = repeated_spans(work.where(F.octet_length("text") >= length), length, crowd)
+    copies_long = copies.where(F.col("n_bytes") >= length)
+    rest = work.join(spans, ["k1", "k2"]).join(copies_long.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    return named, copies_long, rest, own.union(copies.select("k1", "k2", F.col("n_bytes").alias("n_passage_bytes")))
+
+
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The maximal runs that overlapping or touching spans cover."""
     order = np.argsort(start, kind="stable")
@@ -365,6 +398,23 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], far[np.append(new[1:] - 1, len(far) - 1)]
 
 
+def covered(spans: DataFrame) -> DataFrame:
+    """k1, k2, n_passage_bytes: bytes that a document's spans cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = []
+            lists = b.column("spans")
+            cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+            s, e = (lists.flatten().field(c).to_numpy().astype(np.int64) for c in ("s", "e"))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                start, end = merged(s[x:y], e[x:y])
+                n.append(int((end - start).sum()))
+            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(n, pa.int64())], ["k1", "k2", "n_passage_bytes"])
+
+    return spans.mapInArrow(run, "k1 long, k2 long, n_passage_bytes long")
+
+
 def whole_characters(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs widened to all bytes of the UTF-8 characters that they touch."""
     start, end = start.copy(), end.copy()
@@ -403,21 +453,31 @@ def _joined(named: DataFrame, copies: DataFrame, parts: DataFrame) -> DataFrame:
     return out.withColumns({"n_removed": F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long"), "n_spans": F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long"), "whole": gone})
 
 
-def digest(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+def digest(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with ``passage`` n_passage_bytes.
 
     A byte is removed if a string of ``length`` bytes that covers it also starts
     elsewhere; strings are judged on the input and don't cross documents. Null and empty
     texts have no bytes; documents under ``length`` bytes keep all of theirs. Repeated
     rows repeat each other's text and lose it all from ``length`` bytes on. Null ids
     are ids like any other. Other columns are left out.
+
+    ``n_passage_bytes`` counts the bytes covered by strings of ``passage`` bytes that also
+    start elsewhere. They are only counted, and change none of the other columns.
     """
-    named, copies, rest = repeats(docs.select("doc_id", "text"), length, crowd)
+    docs = docs.select("doc_id", "text")
+    if passage is None:
+        named, copies, rest = repeats(docs, length, crowd)
+    else:
+        named, copies, rest, short = nested_repeats(docs, length, passage, crowd)
     parts = cleaned(rest).select("k1", "k2", "n_removed", "n_spans", F.sha2("kept", 256).alias("part_sha"))
+    if passage is not None:
+        parts = short.join(stored(parts, "parts"), ["k1", "k2"], "left")
     base = named.select("doc_id", "k1", "k2", "n_bytes", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("all_sha"))
     out = _joined(base, copies, stored(parts, "parts"))
     empty = F.sha2(F.lit("").cast("binary"), 256)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.when(F.col("whole"), empty).otherwise(F.coalesce("part_sha", "all_sha")).alias("kept_sha256"))
+    more = [] if passage is None else [F.coalesce("n_passage_bytes", F.lit(0)).cast("long").alias("n_passage_bytes")]
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.when(F.col("whole"), empty).otherwise(F.coalesce("part_sha", "all_sha")).alias("kept_sha256"), *more)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:

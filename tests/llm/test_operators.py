@@ -251,6 +251,31 @@ def test_removal_by_hand(spark, crowd):
     assert got == removed_by_hand(texts, 150)
 
 
+@pytest.mark.parametrize("crowd", [4000, 2])
+def test_short_passages_are_counted_beside_the_removed(spark, crowd):
+    """Passages between the two lengths are counted and stay; the removed strings are those of brute force."""
+    rng = random.Random(11)
+    make = lambda n: " ".join("".join(rng.choices("abcdeé", k=rng.randint(2, 7))) for _ in range(n))
+    short, long = [make(32), make(45)], [make(90), make(120)]
+    assert all(150 < len(t.encode()) < 300 for t in short) and all(len(t.encode()) > 400 for t in long)
+    texts = [*ODD, make(80), "z" * 250, "z" * 900]
+    for _ in range(40):
+        texts.append(" ".join(rng.choice([make(rng.randint(1, 30)), rng.choice(short), rng.choice(long)[rng.randint(0, 200) :]]) for _ in range(rng.randint(1, 4))))
+    texts += [texts[-1], texts[-1], short[0] + "x", short[0] + "x"]
+    got = [tuple(r)[1:] for r in suffix_dedup.digest(docs(spark, texts), 300, crowd, passage=150).orderBy("doc_id").collect()]
+    assert [r[:4] for r in got] == removed_by_hand(texts, 300)
+    assert [r[4] for r in got] == [r[1] for r in removed_by_hand(texts, 150)]
+    assert any(r[1] == 0 and r[4] for r in got) and any(0 < r[1] < r[4] for r in got)
+
+
+def test_the_query_shows_passages_of_over_fifty_words(spark, tmp_path):
+    passage = " ".join(f"w{i:03d}" for i in range(55))
+    assert len(passage) < suffix_dedup.LENGTH
+    docs(spark, ["head " + passage, passage + " tail", "alone " * 20]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op4_suffix_dedup"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.n_removed, r.n_spans, r.n_passage_bytes) for r in got] == [(0, 0, 274), (0, 0, 274), (0, 0, 0)]
+
+
 def test_removal_odd_tables(spark):
     assert suffix_dedup.digest(docs(spark, []), 150).count() == 0
     long = " ".join(f"w{i}" for i in range(200))
